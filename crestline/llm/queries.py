@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe_trie import op8_bpe_trie
 from .line_dedup import OP9_SQL, op9_line_dedup
+from .packing import op6_packing
 from .quality_rules import OP7_SQL, op7_quality_rules
+from .simhash import op10_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
+    "op8_bpe_trie": op8_bpe_trie,
     "op9_line_dedup": op9_line_dedup,
+    "op10_simhash": op10_simhash,
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_quality_rules": OP7_SQL,
