@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_trie import op8_bpe_trie
+from .license_scan import op5_license_scan
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .packing import op6_packing
+from .quality_classifier import op3_quality_classifier
 from .quality_rules import OP7_SQL, op7_quality_rules
 from .simhash import op10_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_classifier": op3_quality_classifier,
+    "op5_license_scan": op5_license_scan,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
     "op8_bpe_trie": op8_bpe_trie,
