@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_trie import op8_bpe_trie
+from .lattice_lm import op4_lattice_lm
 from .license_scan import op5_license_scan
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .packing import op6_packing
@@ -16,6 +17,7 @@ from .simhash import op10_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_lattice_lm": op4_lattice_lm,
     "op5_license_scan": op5_license_scan,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
