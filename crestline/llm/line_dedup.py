@@ -101,36 +101,37 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout
     return gone.groupBy("owner", "text_hash").agg(F.collect_set("pos").alias("dropped"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10,
-                batches: int = 4, fanout: int = 2) -> DataFrame:
-    """Drop every line that an earlier document (by id) has too.
-
-    Returns a row per input row: doc_id, text (the kept lines joined by newline),
-    n_lines, n_dropped. A line's key is the line without ASCII white space at its
-    ends, A-Z lower-cased; keys under min_chars code points are never dropped. All
-    lines with a key stay in the smallest doc_id that holds it.
-
-    A null text is one empty line. A null id counts as the largest. Rows that
-    repeat one id are one document: a key stays in all of them. An empty table
-    gives an empty table. Documents that lose all lines stay, with an empty text.
+def with_lines_dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10,
+                       batches: int = 4, fanout: int = 2, counts: bool = False) -> DataFrame:
+    """docs with every line gone that an earlier document (by id) has too; all columns, a row per input row.
+
+    A line's key is the line without ASCII white space at its ends, A-Z lower-cased;
+    keys under min_chars code points are never dropped. All lines with a key stay in
+    the smallest doc_id that holds it. With counts, two columns are added: n_lines
+    (before) and n_dropped.
+
+    A null text is one empty line and comes back empty. A null id counts as the
+    largest. Rows that repeat one id are one document: a key stays in all of them. An
+    empty table gives an empty table. Documents that lose all lines stay, with an empty text.
     """
-    spark = docs.sparkSession
-    own = id_and_text(docs, id_col, text_col)
-    lost = dropped_lines(own, min_chars, batches, fanout)
-    keyed = own.select("doc_id", "text", F.coalesce("doc_id", F.lit(LAST)).alias("owner"), F.xxhash64("text").alias("text_hash"))
-    both = keyed.join(lost, ["owner", "text_hash"], "left")
-    lines = F.split("text", "\n", -1)
+    own = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs[text_col], F.lit("")).alias("text"),
+        F.coalesce(docs[id_col].cast("long"), F.lit(LAST)).alias("owner"))
+    lost = dropped_lines(id_and_text(docs, id_col, text_col), min_chars, batches, fanout)
+    both = own.withColumn("text_hash", F.xxhash64("text")).join(lost, ["owner", "text_hash"], "left")
     kept = F.expr("""
         array_join(transform(array(split(text, '\\n', -1)), a ->
             transform(array_except(sequence(0, size(a) - 1), dropped), p -> a[p]))[0], '\\n')""")
-    return both.select(
-        "doc_id", F.when(F.col("dropped").isNull(), F.col("text")).otherwise(kept).alias("text"),
-        F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"))
+    text = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(kept)
+    found = both.select(
+        *[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns],
+        *([F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"),
+           F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped")] if counts else []))
+    return found
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup_lines(table(spark, sf_dir, "documents"))
+    found = with_lines_dropped(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 

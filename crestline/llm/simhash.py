@@ -205,8 +205,8 @@ def shard_links(routed: DataFrame, radius: int, cap: int = 4096, similarity: flo
         if similarity is not None:
             width = len(t.column("sketch")[0].as_py())
             sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, width)[several]
-            # two equal bytes by chance: 1 in 256
-            least = (similarity + (1 - similarity) / 256) * width
+            # two equal bytes by chance: 1 in 256; less two standard errors, not to lose what is at the bound
+            least = (similarity + (1 - similarity) / 256 - 2 * (similarity * (1 - similarity) / width) ** 0.5) * width
 
             def similar(u: np.ndarray, v: np.ndarray) -> np.ndarray:
                 return (sketch[u] == sketch[v]).sum(axis=1) >= least
@@ -296,6 +296,75 @@ def simhash_classes(docs: DataFrame, size: int = 3, radius: int = 2, id_col: str
     return found.select("doc_id", F.col("node").alias("fp"), "component_id")
 
 
+def sketches(docs: DataFrame, size: int, bands: int, rows: int, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, fp, keys, sketch) of each text with words, the smallest id per distinct row of shingle hashes as node.
+
+    sketch: a byte of each of `width` minima of the shingles' hashes; keys: a hash of
+    `rows` whole minima for each band.
+    """
+    salts = np.random.default_rng(20).integers(1, 1 << 62, (width, 2), np.uint64) | np.uint64(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                hashes = shingle_hashes(text.as_py(), size)
+                distinct = np.unique(hashes)
+                if not len(distinct):
+                    continue
+                low = np.full(width, np.iinfo(np.uint64).max)
+                for at in range(0, len(distinct), 4096):
+                    np.minimum(low, (distinct[at : at + 4096, None] * salts[:, 0] + salts[:, 1]).min(axis=0), out=low)
+                mixed = low ^ (low >> np.uint64(31))
+                mixed = mixed * np.uint64(0x9E3779B97F4A7C15)
+                keys = [xxhash.xxh64_intdigest(bytes([b]) + mixed[b * rows : (b + 1) * rows].tobytes()) - (1 << 63) for b in range(bands)]
+                same = xxhash.xxh3_128_digest(distinct.tobytes())
+                out.append((doc_id, fingerprint(hashes), same, keys, (mixed >> np.uint64(56)).astype(np.uint8).tobytes()))
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
+            columns = zip(*out, strict=True) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "fp", "same", "keys", "sketch"])
+
+    own = id_and_text(docs, id_col, text_col).filter("doc_id is not null")
+    return own.mapInArrow(run, "doc_id long, fp long, same binary, keys array<long>, sketch binary")
+
+
+def near_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 18, bands: int = 8, rows: int = 2, width: int = 256,
+                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) of documents by the Jaccard similarity of their shingles; component_id is the smallest linked doc_id.
+
+    Documents with one set of shingles are one node. The others meet in shards of equal MinHash
+    bands, where BK-trees of SimHash fingerprints find what differs in radius bits or
+    fewer and sketches of `width` bytes estimate the similarity, with a standard error of
+    0.025; up to two of those below the bound count as similar. With the defaults a
+    pair of similarity 0.8 shares a band with a probability of 0.9997.
+
+    Texts without words (null, empty) and rows without an id are linked to nothing and
+    not in the result. Repeated ids are in it more than once.
+    """
+    members = written(sketches(docs, size, bands, rows, width, id_col, text_col), "sketches")
+    nodes = members.groupBy("same").agg(F.min(F.struct("doc_id", "fp", "keys", "sketch")).alias("n")).select("same", "n.*")
+    nodes = written(nodes.withColumnRenamed("doc_id", "node"), "sketch-nodes")
+    routed = nodes.select("node", "fp", "sketch", F.explode("keys").alias("key"))
+    # of a node in several sets (a repeated id) all are one
+    rooted = nodes.select("node", "same").join(components(shard_links(routed, radius, similarity=similarity)), "node", "left")
+    by_set = written(rooted.select("same", F.coalesce("root", "node").alias("component_id")), "set-classes")
+    return members.select("doc_id", "same").join(by_set, "same").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, all columns, without near-duplicates: of each class the smallest id stays.
+
+    Linked are documents with fingerprints of simhash_classes() near each other, and
+    those that near_classes() finds similar. Texts without words have one fingerprint,
+    so one of them stays. Rows without an id stay, and so do rows that repeat a kept id.
+    """
+    named = docs.filter(F.col(id_col).isNotNull())
+    pairs = [x.filter("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+             for x in (simhash_classes(named, id_col=id_col, text_col=text_col), near_classes(named, id_col=id_col, text_col=text_col, **options))]
+    gone = components(pairs[0].unionByName(pairs[1])).filter("node <> root").select(F.col("node").alias("gone")).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("gone"), "left_anti")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
