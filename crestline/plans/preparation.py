@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import tiles
 from . import terrain
-from .registry import query, table
+from .registry import query, r3, r3_sql, table
 from .terrain import CELLS, CELLS_SQL, GRID, MOSAIC_SQL, SAMPLES_SQL, VERTICES_SQL
 
 
@@ -33,10 +33,10 @@ def mosaic(spark, sf):
     return terrain.mosaic(spark, sf).select("col", "row", F.round("z", 3).alias("z"))
 
 
-@query("t3_scale_offset", f"""WITH {SAMPLES_SQL} SELECT source_id, round(min(value * 0.5 + source_id % 7), 3) AS lo, round(max(value * 0.5 + source_id % 7), 3) AS hi FROM s GROUP BY 1""")
+@query("t3_scale_offset", f"""WITH {SAMPLES_SQL} SELECT source_id, {r3_sql('min(value * 0.5 + source_id % 7)')} AS lo, {r3_sql('max(value * 0.5 + source_id % 7)')} AS hi FROM s GROUP BY 1""")
 def scale_offset(spark, sf):
     z = tiles.scale_offset(F.col("value"), F.lit(0.5), (F.col("source_id") % 7).cast("double"))
-    return terrain.samples(spark, sf).groupBy("source_id").agg(F.round(F.min(z), 3).alias("lo"), F.round(F.max(z), 3).alias("hi"))
+    return terrain.samples(spark, sf).groupBy("source_id").agg(r3(F.min(z)).alias("lo"), r3(F.max(z)).alias("hi"))
 
 
 LOD_SQL = f"""WITH {VERTICES_SQL},
@@ -44,19 +44,19 @@ l2 AS (SELECT trow, tcol, y // 2 AS y, x // 2 AS x, z FROM v WHERE x % 2 = 0 AND
   UNION ALL SELECT a.trow, a.tcol, a.y // 2, a.x // 2, @VALUE
   FROM (SELECT trow, tcol, y * 2 AS y, x * 2 AS x FROM (SELECT DISTINCT trow, tcol FROM v), range(1, 8) t(x), range(1, 8) u(y)) a
   JOIN v b ON a.trow = b.trow AND a.tcol = b.tcol AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY a.trow, a.tcol, a.y, a.x HAVING count(*) = 9)
-SELECT trow, tcol, y::INT AS y, x::INT AS x, round(z, 3) AS z FROM l2"""
+SELECT trow, tcol, y::INT AS y, x::INT AS x, {r3_sql('z')} AS z FROM l2"""
 
 
 def _lod(method):
     def run(spark, sf):
-        return tiles.lod_step(terrain.vertices(spark, sf), CELLS, method).select("trow", "tcol", "y", "x", F.round("z", 3).alias("z"))
+        return tiles.lod_step(terrain.vertices(spark, sf), CELLS, method).select("trow", "tcol", "y", "x", r3(F.col("z")).alias("z"))
 
     return run
 
 
 query("t4_lod_mean", LOD_SQL.replace("@VALUE", "sum(z * (2 - abs(a.x - b.x)) * (2 - abs(a.y - b.y))) / 16"))(_lod("mean"))
 query("t4_lod_max", LOD_SQL.replace("@VALUE", "max(z)"))(_lod("max"))
-query("t4_lod_point", f"WITH {VERTICES_SQL} SELECT trow, tcol, (y // 2)::INT AS y, (x // 2)::INT AS x, round(z, 3) AS z FROM v WHERE x % 2 = 0 AND y % 2 = 0")(_lod("point"))
+query("t4_lod_point", f"WITH {VERTICES_SQL} SELECT trow, tcol, (y // 2)::INT AS y, (x // 2)::INT AS x, {r3_sql('z')} AS z FROM v WHERE x % 2 = 0 AND y % 2 = 0")(_lod("point"))
 
 
 @query("t5_usable_cells", f"""WITH {CELLS_SQL} SELECT trow, tcol, y, x, round(z00, 3) AS z00, round(z01, 3) AS z01, round(z10, 3) AS z10, round(z11, 3) AS z11 FROM c""")
@@ -132,7 +132,7 @@ def build_manifest(spark, sf):
     return tiles.build_manifest(every.filter("(trow + tcol) % 2 = 0"), old).select("trow", "tcol", F.round("zmin", 3).alias("zmin"), F.round("zmax", 3).alias("zmax"), "rescan")
 
 
-@query("t12_max_pyramid", f"""WITH {CELLS_SQL} SELECT trow, tcol, k::INT AS level, (y // power(2, k - 1))::INT AS "by", (x // power(2, k - 1))::INT AS bx, round(max(zmax), 3) AS zmax
+@query("t12_max_pyramid", f"""WITH {CELLS_SQL} SELECT trow, tcol, k::INT AS level, (y >> (k - 1))::INT AS "by", (x >> (k - 1))::INT AS bx, round(max(zmax), 3) AS zmax
 FROM c, range(1, 6) t(k) GROUP BY ALL""")
 def max_pyramid(spark, sf):
     return tiles.max_pyramid(terrain.cells(spark, sf), 5).withColumn("zmax", F.round("zmax", 3))

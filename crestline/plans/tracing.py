@@ -1,0 +1,246 @@
+"""Queries of rays, tracing and shadows (R)."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from ..operators import rays, tiles, trace
+from ..storage import written
+from . import terrain
+from .registry import query, r3, r3_sql, table
+from .terrain import CELLS_SQL, GRID
+
+K = rays.CURVATURE
+#: One small view for each supplier, above the ground and looking down.
+WIDTH, HEIGHT, RANGE = 12, 6, 300.0
+EL0, EL1 = math.radians(-5), math.radians(-85)
+
+
+def views(spark, sf):
+    n = terrain.side(spark, sf)
+    key = F.col("s_suppkey")
+    return table(spark, sf, "supplier").select(
+        key.alias("view_id"), (2600000.0 + (key * 37 % (n - 2)) * 10 + 3.7).alias("x"), (1200000.0 - (key * 53 % (n - 2)) * 10 - 4.3).alias("y"),
+        (2150.0 + (key % 5) * 20).alias("z"), F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), F.lit(0.05).alias("az0"), F.lit(0.05 + 2 * math.pi).alias("az1"),
+        F.lit(EL0).alias("el0"), F.lit(EL1).alias("el1"), F.lit(RANGE).alias("tmax"))
+
+
+VIEWS_SQL = """vw AS (SELECT s_suppkey AS view_id, 2600000.0::DOUBLE + (s_suppkey * 37 % (n - 2)) * 10 + 3.7::DOUBLE AS x,
+  1200000.0::DOUBLE - (s_suppkey * 53 % (n - 2)) * 10 - 4.3::DOUBLE AS y, 2150.0::DOUBLE + (s_suppkey % 5) * 20 AS z FROM supplier, g)"""
+RAYS_SQL = VIEWS_SQL + f""",
+ry AS (SELECT view_id, px, py, x, y, z, sin(0.05 + (px + 0.5) * 2 * pi() / {WIDTH}) AS dx, cos(0.05 + (px + 0.5) * 2 * pi() / {WIDTH}) AS dy,
+  tan({EL0!r} + (py + 0.5) * ({EL1!r} - {EL0!r}) / {HEIGHT}) AS slope FROM vw, range({WIDTH}) a(px), range({HEIGHT}) b(py))"""
+
+
+@query("r1_angular_rays", f"WITH {terrain.GRID_SQL}, {RAYS_SQL} SELECT view_id, px::INT AS px, py::INT AS py, {r3_sql('dx')} AS dx, {r3_sql('dy')} AS dy, {r3_sql('slope')} AS slope FROM ry")
+def angular_rays(spark, sf):
+    return rays.angular_rays(views(spark, sf)).select("view_id", "px", "py", r3(F.col("dx")).alias("dx"), r3(F.col("dy")).alias("dy"), r3(F.col("slope")).alias("slope"))
+
+
+def cameras(spark, sf):
+    key = F.col("s_suppkey")
+    base = table(spark, sf, "supplier").select(key.alias("view_id"), F.lit(9).alias("width"), F.lit(5).alias("height"), (key * 0.37).alias("heading"),
+                                               ((key % 7 - 3) * 0.1).alias("pitch"), ((key % 3 - 1) * 0.05).alias("roll"), (0.5 + (key % 4) * 0.3).alias("fov"))
+    f = rays.intrinsics_from_fov(F.col("height"), F.col("fov"))
+    return base.withColumns({"fx": f, "fy": f, "cx": F.col("width") / 2, "cy": F.col("height") / 2})
+
+
+CAMERAS_SQL = """cam AS (SELECT *, 0.5 * 5 / tan(0.5 * fov) AS f FROM (SELECT s_suppkey AS view_id, s_suppkey * 0.37::DOUBLE AS h, (s_suppkey % 7 - 3) * 0.1::DOUBLE AS p,
+  (s_suppkey % 3 - 1) * 0.05::DOUBLE AS r, 0.5::DOUBLE + (s_suppkey % 4) * 0.3::DOUBLE AS fov FROM supplier)),
+pix AS (SELECT view_id, px, py, cos(p) * sin(h) + u * (cos(r) * cos(h) - sin(r) * sin(p) * sin(h)) - v * (-sin(r) * cos(h) - cos(r) * sin(p) * sin(h)) AS e,
+  cos(p) * cos(h) + u * (-cos(r) * sin(h) - sin(r) * sin(p) * cos(h)) - v * (sin(r) * sin(h) - cos(r) * sin(p) * cos(h)) AS no,
+  sin(p) + u * sin(r) * cos(p) - v * cos(r) * cos(p) AS up
+  FROM (SELECT cam.*, px, py, (px + 0.5 - 4.5) / f AS u, (py + 0.5 - 2.5) / f AS v FROM cam, range(9) a(px), range(5) b(py)))"""
+
+
+@query("r2_camera_rays", f"WITH {CAMERAS_SQL} SELECT view_id, px::INT AS px, py::INT AS py, {r3_sql('e / sqrt(e*e + no*no)')} AS dx, {r3_sql('no / sqrt(e*e + no*no)')} AS dy, {r3_sql('up / sqrt(e*e + no*no)')} AS slope FROM pix")
+def camera_rays(spark, sf):
+    return rays.camera_rays(cameras(spark, sf)).select("view_id", "px", "py", r3(F.col("dx")).alias("dx"), r3(F.col("dy")).alias("dy"), r3(F.col("slope")).alias("slope"))
+
+
+@query("r3_undistort")
+def undistort(spark, sf):
+    """Distort points made from keys, undo it, and return both."""
+    u, v = (F.col("c_custkey") % 21 - 10) / 20, (F.col("c_custkey") % 13 - 6) / 15
+    radial, tx, ty = rays.distortion(u, v, 0.05, -0.01, 0.001, 0.002, -0.001)
+    at = rays.undistort(u * radial + tx, v * radial + ty, F.lit(0.05), F.lit(-0.01), F.lit(0.001), F.lit(0.002), F.lit(-0.001))
+    return table(spark, sf, "customer").select("c_custkey", u.alias("u"), v.alias("v"), at.alias("at")).select("c_custkey", "u", "v", F.round("at.x", 6).alias("x"), F.round("at.y", 6).alias("y"))
+
+
+@query("r4_intrinsics", f"WITH {CAMERAS_SQL} SELECT view_id, {r3_sql('f')} AS focal FROM cam")
+def intrinsics(spark, sf):
+    return cameras(spark, sf).select("view_id", r3(F.col("fx")).alias("focal"))
+
+
+FOOT_SQL = CAMERAS_SQL + """,
+un AS (SELECT view_id, px, py, e / w AS e, no / w AS no, up / w AS up FROM (SELECT *, sqrt(e * e + no * no + up * up) AS w FROM pix)),
+foot AS (SELECT a.view_id, min(2 * asin(sqrt(power(a.e - b.e, 2) + power(a.no - b.no, 2) + power(a.up - b.up, 2)) / 2)) AS footprint FROM un a JOIN un b
+  ON a.view_id = b.view_id AND ((a.px + 1 = b.px AND a.py = b.py) OR (a.px = b.px AND a.py + 1 = b.py)) GROUP BY 1)"""
+
+
+@query("r5_pixel_footprint", f"WITH {FOOT_SQL} SELECT view_id, floor(footprint * 1000000 + 0.37) / 1000000 AS footprint FROM foot")
+def footprint(spark, sf):
+    return rays.pixel_footprint(rays.camera_rays(cameras(spark, sf))).select("view_id", (F.floor(F.col("footprint") * 1e6 + 0.37) / 1e6).alias("footprint"))
+
+
+@query("r6_select_lod", """SELECT c_custkey AS id, 1 + (SELECT count(*) FROM range(2, 6) t(k) WHERE 1.5 * c_custkey * 1.7 * 0.01 / 10 >= power(2.0, k - 1) * (1 + 4 * power(2.0, -23)))::INT AS lod FROM customer""")
+def select_lod(spark, sf):
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), rays.select_lod(F.col("c_custkey") * 1.7, F.lit(0.01), F.lit(10.0), 5, 1.5).alias("lod"))
+
+
+def crossing_sql(step: float, cte: str, src: str, keys: str, x: str, y: str) -> str:
+    """Flat crossings of rays with grid lines, as windows over a union."""
+    return f"""{cte}_t AS (SELECT {keys}, 0.0::DOUBLE AS t FROM {src} UNION ALL SELECT {keys}, {RANGE}::DOUBLE FROM {src}
+  UNION ALL SELECT {keys}, t FROM (SELECT {keys}, (k * {step} - ({x})) / dx AS t FROM {src}, range(-{int(RANGE / step) + 2}, {int(RANGE / step) + 3}) r(j), LATERAL (SELECT floor(({x}) / {step}) + j AS k)) WHERE t > 0 AND t < {RANGE}
+  UNION ALL SELECT {keys}, t FROM (SELECT {keys}, (k * {step} - ({y})) / dy AS t FROM {src}, range(-{int(RANGE / step) + 2}, {int(RANGE / step) + 3}) r(j), LATERAL (SELECT floor(({y}) / {step}) + j AS k)) WHERE t > 0 AND t < {RANGE}),
+{cte} AS (SELECT * FROM (SELECT *, lead(t) OVER (PARTITION BY {keys} ORDER BY t) AS t1 FROM {cte}_t) WHERE t1 - t > 1e-9)"""
+
+
+COLS_SQL = f"cl AS (SELECT DISTINCT view_id, px, x, y, z, dx, dy FROM ry), {crossing_sql(160.0, 'tp', 'cl', 'view_id, px, x, y, z, dx, dy', 'x - 2600000.0', 'y - 1200000.0')}, tk AS (SELECT *, floor((x - 2600000.0 + dx * (t + t1) / 2) / 160)::BIGINT AS tcol, floor(-(y - 1200000.0 + dy * (t + t1) / 2) / 160)::BIGINT AS trow FROM tp)"
+
+
+@query("r7_tile_path", f"WITH {terrain.GRID_SQL}, {RAYS_SQL}, {COLS_SQL} SELECT view_id, px::INT AS px, {r3_sql('t')} AS t0, {r3_sql('t1')} AS t1, trow, tcol FROM tk")
+def tile_path(spark, sf):
+    found = trace.tile_path(rays.angular_columns(views(spark, sf)), GRID)
+    return found.select("view_id", "px", r3(F.col("t0")).alias("t0"), r3(F.col("t1")).alias("t1"), "trow", "tcol")
+
+
+def prepared(spark, sf):
+    """(cells, manifest), stored: a trace reads both several times."""
+    cells = written(terrain.cells(spark, sf), "cells")
+    return cells, cells.groupBy("trow", "tcol").agg(F.max("zmax").alias("zmax"))
+
+
+LOW_SQL = f"z + slope * least(greatest(-slope / (2 * {K!r}), t), t1) + {K!r} * power(least(greatest(-slope / (2 * {K!r}), t), t1), 2)"
+
+
+@query("r8_cull_tiles", f"""WITH {CELLS_SQL}, {RAYS_SQL}, {COLS_SQL}, mf AS (SELECT trow, tcol, max(zmax) AS tile_max FROM c GROUP BY 1, 2)
+SELECT tk.view_id, tk.px::INT AS px, tk.trow, tk.tcol FROM (SELECT *, -0.2::DOUBLE AS slope FROM tk) tk JOIN mf ON tk.trow = mf.trow AND tk.tcol = mf.tcol WHERE {LOW_SQL} <= tile_max + 1""")
+def cull_tiles(spark, sf):
+    _, manifest = prepared(spark, sf)
+    found = trace.cull_tiles(trace.tile_path(rays.angular_columns(views(spark, sf)), GRID), manifest, F.lit(-0.2))
+    return found.select("view_id", "px", "trow", "tcol")
+
+
+CELL_PATH_SQL = f"""{crossing_sql(10.0, 'cp', 'ry', 'view_id, px, py, x, y, z, dx, dy, slope', 'x - 2600000.0', 'y - 1200000.0')},
+ck AS (SELECT *, floor((x - 2600000.0 + dx * (t + t1) / 2) / 10)::BIGINT AS gx, floor(-(y - 1200000.0 + dy * (t + t1) / 2) / 10)::BIGINT AS gy FROM cp),
+met AS (SELECT ck.*, z00, z01, z10, z11, zmax, (ck.x - 2600000.0 + dx * t) / 10 - gx AS a0, 1 + gy + (ck.y - 1200000.0 + dy * t) / 10 AS b0, dx / 10 AS a1, dy / 10 AS b1
+  FROM ck JOIN c ON c.tcol = gx // 16 AND c.trow = gy // 16 AND c.x = gx % 16 AND c.y = 15 - gy % 16 WHERE gx >= 0 AND gy >= 0)"""
+BILINEAR_SQL = f"""co AS (SELECT *, {K!r} - q * a1 * b1 AS qa, slope + 2 * {K!r} * t - ee * a1 - nn * b1 - q * (a0 * b1 + a1 * b0) AS qb,
+  z + slope * t + {K!r} * t * t - (z00 + ee * a0 + nn * b0 + q * a0 * b0) AS qc
+  FROM (SELECT *, z01 - z00 AS ee, z10 - z00 AS nn, z00 - z01 - z10 + z11 AS q FROM met)),
+so AS (SELECT *, CASE WHEN abs(qa) < 1e-12 THEN CASE WHEN abs(qb) > 1e-12 THEN -qc / qb END WHEN disc < 0 THEN NULL ELSE w / qa END AS r1,
+    CASE WHEN abs(qa) < 1e-12 OR disc < 0 OR w = 0 THEN NULL ELSE qc / w END AS r2
+  FROM (SELECT *, -0.5 * (qb + CASE WHEN qb < 0 THEN -1 ELSE 1 END * sqrt(greatest(disc, 0))) AS w FROM (SELECT *, qb * qb - 4 * qa * qc AS disc FROM co))),
+hit AS (SELECT *, t + least(CASE WHEN r1 BETWEEN -1e-6 AND t1 - t + 1e-6 THEN least(greatest(r1, 0), t1 - t) END, CASE WHEN r2 BETWEEN -1e-6 AND t1 - t + 1e-6 THEN least(greatest(r2, 0), t1 - t) END,
+    CASE WHEN qc <= 0 AND qc >= -0.001 THEN 0 END) AS th FROM so),
+fh AS (SELECT view_id, px, py, min(th) AS distance, arg_min(struct_pack(z00, z01, z10, z11, gx, gy), th) AS h FROM hit WHERE th IS NOT NULL GROUP BY 1, 2, 3)"""
+HITS_SQL = f"""{CELLS_SQL}, {RAYS_SQL}, {CELL_PATH_SQL}, {BILINEAR_SQL}"""
+
+
+@query("r9_cell_path", f"WITH {CELLS_SQL}, {RAYS_SQL}, {CELL_PATH_SQL} SELECT view_id, px::INT AS px, (gx // 16)::BIGINT AS tcol, (gy // 16)::BIGINT AS trow, (gx % 16)::INT AS cx, (15 - gy % 16)::INT AS cy FROM met WHERE py = 0")
+def cell_path(spark, sf):
+    cells, manifest = prepared(spark, sf)
+    crossed = trace.cell_path(trace.tile_path(rays.angular_columns(views(spark, sf)), GRID), GRID)
+    ground = cells.select("trow", "tcol", F.col("y").alias("cy"), F.col("x").alias("cx"))
+    return crossed.join(ground, ["trow", "tcol", "cy", "cx"]).select("view_id", "px", "tcol", "trow", "cx", "cy")
+
+
+@query("r10_r12_first_hits", f"""WITH {HITS_SQL} SELECT ry.view_id, ry.px::INT AS px, ry.py::INT AS py, {r3_sql('distance')} AS distance, {r3_sql(f'z + slope * distance + {K!r} * distance * distance')} AS elevation
+FROM ry LEFT JOIN fh ON ry.view_id = fh.view_id AND ry.px = fh.px AND ry.py = fh.py""")
+def first_hits(spark, sf):
+    cells, manifest = prepared(spark, sf)
+    return trace.trace(views(spark, sf), cells, manifest, GRID).select("view_id", "px", "py", r3(F.col("distance")).alias("distance"), r3(F.col("elevation")).alias("elevation"))
+
+
+@query("r11_triangle_hits", f"""WITH {CELLS_SQL}, {RAYS_SQL}, {CELL_PATH_SQL},
+pl AS (SELECT *, z + slope * t + {K!r} * t * t AS hh, abs(z00 - z11) < abs(z01 - z10) AS sp FROM met),
+pp AS (SELECT *, CASE WHEN k = 0 THEN z00 WHEN sp THEN z00 ELSE z01 + z10 - z11 END AS base, CASE WHEN k = 0 THEN z01 - z00 ELSE z11 - z10 END AS ee,
+  CASE WHEN k = 0 THEN CASE WHEN sp THEN z11 - z01 ELSE z10 - z00 END ELSE CASE WHEN sp THEN z10 - z00 ELSE z11 - z01 END END AS nn FROM pl, (SELECT unnest([0, 1]) AS k)),
+rt AS (SELECT *, CASE WHEN abs(slope - ee * a1 - nn * b1) > 1e-12 THEN (base + ee * a0 + nn * b0 - hh) / (slope - ee * a1 - nn * b1) END AS r FROM pp),
+ok AS (SELECT *, a0 + a1 * r AS sx, b0 + b1 * r AS sy FROM rt WHERE r >= 0),
+fin AS (SELECT view_id, px, py, min(t + r) AS distance FROM ok WHERE sx BETWEEN -1e-9 AND 1 + 1e-9 AND sy BETWEEN -1e-9 AND 1 + 1e-9
+  AND CASE WHEN sp THEN CASE WHEN k = 0 THEN sx - sy >= -1e-9 ELSE sx - sy <= 1e-9 END ELSE CASE WHEN k = 0 THEN sx + sy <= 1 + 1e-9 ELSE sx + sy >= 1 - 1e-9 END END GROUP BY 1, 2, 3)
+SELECT ry.view_id, ry.px::INT AS px, ry.py::INT AS py, {r3_sql('distance')} AS distance FROM ry LEFT JOIN fin ON ry.view_id = fin.view_id AND ry.px = fin.px AND ry.py = fin.py""")
+def triangle_hits(spark, sf):
+    cells, manifest = prepared(spark, sf)
+    return trace.trace(views(spark, sf), cells, manifest, GRID, "triangles").select("view_id", "px", "py", r3(F.col("distance")).alias("distance"))
+
+
+def hits_with_gradients(spark, sf):
+    cells, manifest = prepared(spark, sf)
+    found = trace.trace(views(spark, sf), cells, manifest, GRID)
+    ground = cells.select("trow", "tcol", F.col("y").alias("cy"), F.col("x").alias("cx"), "z00", "z01", "z10", "z11")
+    e, n = trace.gradient_bilinear(F.col("sx"), F.col("sy"), GRID.cell)
+    return written(found.filter("distance is not null").join(ground, ["trow", "tcol", "cy", "cx"]).withColumns({"grad_e": e, "grad_n": n}), "hits"), cells, manifest
+
+
+GRAD_SQL = f"""{HITS_SQL},
+gr AS (SELECT ry.*, distance, z + slope * distance + {K!r} * distance * distance AS elevation, (x - 2600000.0 + dx * distance) / 10 - h.gx AS sx, 1 + h.gy + (y - 1200000.0 + dy * distance) / 10 AS sy, h
+  FROM ry JOIN fh ON ry.view_id = fh.view_id AND ry.px = fh.px AND ry.py = fh.py),
+gg AS (SELECT *, (h.z01 - h.z00 + (h.z00 - h.z01 - h.z10 + h.z11) * sy) / 10 AS grad_e, (h.z10 - h.z00 + (h.z00 - h.z01 - h.z10 + h.z11) * sx) / 10 AS grad_n FROM gr)"""
+
+
+@query("r14_gradient_bilinear", f"WITH {GRAD_SQL} SELECT view_id, px::INT AS px, py::INT AS py, {r3_sql('grad_e')} AS grad_e, {r3_sql('grad_n')} AS grad_n FROM gg")
+def gradients(spark, sf):
+    hits, _, _ = hits_with_gradients(spark, sf)
+    return hits.select("view_id", "px", "py", r3(F.col("grad_e")).alias("grad_e"), r3(F.col("grad_n")).alias("grad_n"))
+
+
+TRI_E = "CASE WHEN CASE WHEN abs(z00 - z11) < abs(z01 - z10) THEN sx > sy ELSE sx + sy < 1 END THEN z01 - z00 ELSE z11 - z10 END / 10"
+TRI_N = "CASE WHEN CASE WHEN abs(z00 - z11) < abs(z01 - z10) THEN sx <= sy ELSE sx + sy < 1 END THEN z10 - z00 ELSE z11 - z01 END / 10"
+
+
+@query("r14_gradient_triangle", f"WITH {CELLS_SQL}, u AS (SELECT *, 0.3::DOUBLE AS sx, 0.6::DOUBLE AS sy FROM c) SELECT trow, tcol, y, x, {r3_sql(TRI_E)} AS grad_e, {r3_sql(TRI_N)} AS grad_n FROM u")
+def gradient_triangle(spark, sf):
+    e, n = trace.gradient_triangle(F.lit(0.3), F.lit(0.6), GRID.cell)
+    return terrain.cells(spark, sf).select("trow", "tcol", "y", "x", r3(e).alias("grad_e"), r3(n).alias("grad_n"))
+
+
+SMOOTH_JOINS = " ".join(f"LEFT JOIN v {k} ON {k}.trow = c.trow AND {k}.tcol = c.tcol AND {k}.x = c.x + {dx} AND {k}.y = c.y + {dy}" for k, (dx, dy) in trace.NEIGHBOURS.items())
+
+
+@query("r15_gradient_smooth", f"""WITH {CELLS_SQL}, w AS (SELECT c.*, {', '.join(f'{k}.z AS {k}' for k in trace.NEIGHBOURS)} FROM c {SMOOTH_JOINS})
+SELECT trow, tcol, y, x, {r3_sql('coalesce((0.7*0.4*(z01-zw0) + 0.3*0.4*(ze0-z00) + 0.7*0.6*(z11-zw1) + 0.3*0.6*(ze1-z10)) / 20 + 0*(zs0+zs1+zn0+zn1), (z01 - z00 + (z00-z01-z10+z11) * 0.6) / 10)')} AS grad_e,
+  {r3_sql('coalesce((0.7*0.4*(z10-zs0) + 0.3*0.4*(z11-zs1) + 0.7*0.6*(zn0-z00) + 0.3*0.6*(zn1-z01)) / 20 + 0*(zw0+zw1+ze0+ze1), (z10 - z00 + (z00-z01-z10+z11) * 0.3) / 10)')} AS grad_n FROM w""")
+def gradient_smooth(spark, sf):
+    vertices = written(terrain.vertices(spark, sf), "vertices")
+    wide = trace.with_neighbours(tiles.usable_cells(vertices), vertices)
+    e, n = trace.gradient_smooth(F.lit(0.3), F.lit(0.6), GRID.cell)
+    return wide.select("trow", "tcol", "y", "x", r3(e).alias("grad_e"), r3(n).alias("grad_n"))
+
+
+@query("r17_trace_stats")
+def trace_stats(spark, sf):
+    cells, manifest = prepared(spark, sf)
+    return trace.trace(views(spark, sf), cells, manifest, GRID).groupBy("view_id").agg(
+        F.count(F.lit(1)).alias("n_rays"), F.sum("n_cells").alias("n_cells"), F.count("distance").alias("n_hits"))
+
+
+AZ, EL = 3.9, 0.6
+SUN_SQL = f"""{GRAD_SQL},
+sr AS (SELECT view_id, px, py, x + distance * dx + 0.5 * sin({AZ}) AS x, y + distance * dy + 0.5 * cos({AZ}) AS y, elevation + 0.5 * tan({EL}) + 0.05 AS z, sin({AZ}) AS dx, cos({AZ}) AS dy, tan({EL}) AS slope
+  FROM gg WHERE distance > 0 AND -grad_e * sin({AZ}) - grad_n * cos({AZ}) + tan({EL}) > 0)"""
+
+
+@query("r18_shadow_rays", f"WITH {SUN_SQL} SELECT view_id, px::INT AS px, py::INT AS py, {r3_sql('x')} AS x, {r3_sql('y')} AS y, {r3_sql('z')} AS z FROM sr")
+def shadow_rays(spark, sf):
+    hits, _, _ = hits_with_gradients(spark, sf)
+    found = trace.shadow_rays(hits, F.lit(AZ), F.lit(EL), GRID.cell)
+    return found.select("view_id", "px", "py", *[r3(F.col(c)).alias(c) for c in "xyz"])
+
+
+def _again(sql: str) -> str:
+    """The flat trace's CTEs once more, under other names, for the shadow rays."""
+    import re
+
+    return re.sub(r"\b(cp_t|cp|ck|met|co|so|hit|fh|ry)\b", lambda m: {"ry": "sr"}.get(m[1], "s_" + m[1]), sql)
+
+
+@query("r19_shadow_visibility", f"""WITH {SUN_SQL}, {_again(CELL_PATH_SQL)}, {_again(BILINEAR_SQL)}
+SELECT gg.view_id, gg.px::INT AS px, gg.py::INT AS py, s_fh.distance IS NULL AS lit FROM gg LEFT JOIN s_fh ON gg.view_id = s_fh.view_id AND gg.px = s_fh.px AND gg.py = s_fh.py""")
+def shadow_visibility(spark, sf):
+    hits, cells, manifest = hits_with_gradients(spark, sf)
+    return trace.shadow_visibility(hits, cells, manifest, GRID, AZ, EL, RANGE).select("view_id", "px", "py", "lit")
