@@ -78,10 +78,11 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64) ->
     for radius in range(SEGMENT_BITS + 1):
         probes = segment_rows(waiting, "query", bits)
         if radius:
-            probes = probes.select("query", "segment", F.explode(F.array(*map(F.lit, masks(radius)))).alias("mask"), "value")
+            probes = probes.select("query", "segment", F.explode(F.expr(f"array({', '.join(map(str, masks(radius)))})")).alias("mask"), "value")
             probes = probes.select("query", "segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
-        hits = probes.join(index, ["segment", "value"]).select("query", "code").distinct()
-        near = hits.join(ids, "code").select(
+        # merged, not broadcast: the planner can't see how many rows explode() makes
+        hits = probes.join(index.hint("merge"), ["segment", "value"]).select("query", "code").distinct()
+        near = hits.join(ids.hint("merge"), "code").select(
             "query", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).cast("int").alias("distance"), F.explode("ids").alias("id"))
         if best is not None:
             near = near.unionByName(best.select("query", F.explode("best").alias("b")).select("query", "b.distance", "b.id"))
