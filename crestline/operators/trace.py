@@ -283,3 +283,28 @@ def shadow_visibility(hits: DataFrame, cells: DataFrame, manifest: DataFrame, gr
     rays = shadow_rays(hits, F.lit(azimuth), F.lit(elevation), grid.cell)
     dark = shadowed(rays, cells, manifest, grid, tmax).withColumn("dark", F.lit(True))
     return hits.join(dark, ["view_id", "px", "py"], "left").withColumn("lit", F.col("dark").isNull()).drop("dark")
+
+
+def crossed_cells(rays: DataFrame, cells: DataFrame, manifest: DataFrame | None, grid: Grid) -> DataFrame:
+    """Rays with paths of their own (x, y, z, dx, dy, slope, tmax) and the cells they cross, tiles culled first if there is a manifest."""
+    segments = tile_path(rays, grid)
+    near = cull_tiles(segments, manifest, F.col("slope")) if manifest is not None else segments
+    ground = cells.select("trow", "tcol", F.col("y").alias("cy"), F.col("x").alias("cx"), "z00", "z01", "z10", "z11", "zmax")
+    return cell_path(near, grid).join(ground, ["trow", "tcol", "cy", "cx"])
+
+
+def first_hits(rays: DataFrame, cells: DataFrame, manifest: DataFrame, grid: Grid) -> DataFrame:
+    """R10, R12, R13 for rays with paths of their own (camera rays): every ray with distance and elevation, NULL for sky."""
+    met = crossed_cells(rays, cells, manifest, grid)
+    met = met.filter(lowest(F.col("slope"), F.col("z"), F.col("t0"), F.col("t1")) <= F.col("zmax"))
+    found = met.withColumn("t", hit_bilinear(F.col("slope"), grid)).groupBy("view_id", "px", "py").agg(F.min("t").alias("distance"))
+    hit = rays.join(found, ["view_id", "px", "py"], "left")
+    return hit.withColumn("elevation", F.col("z") + F.col("slope") * F.col("distance") + CURVATURE * F.col("distance") * F.col("distance"))
+
+
+def entries(rays: DataFrame, cells: DataFrame, grid: Grid) -> DataFrame:
+    """R16's input: the cells of each ray with their root and whether the ray enters below the ground."""
+    met = crossed_cells(rays, cells, None, grid)
+    sx, sy = local(F.col("t0"), grid)
+    height = F.col("z") + F.col("slope") * F.col("t0") + CURVATURE * F.col("t0") * F.col("t0")
+    return met.select("view_id", "px", "py", "t0", "t1", hit_bilinear(F.col("slope"), grid).alias("t_hit"), (height < bilinear(sx, sy)).alias("entry_below"))

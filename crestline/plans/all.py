@@ -1,4 +1,4 @@
 """Everything that is registered; importing the modules registers their queries."""
 
-from . import checks, imaging, preparation, tracing  # noqa: F401
+from . import checks, imaging, points, preparation, sources, tracing  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
