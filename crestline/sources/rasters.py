@@ -93,7 +93,7 @@ def read_asc(spark: SparkSession, path: str, glob: str = "*.asc") -> DataFrame:
         return F.nullif(F.regexp_extract("text", r"(?im)^\s*" + key + r"\s+" + number, 1), F.lit("")).try_cast("double")
 
     parsed = text.select("source", *extra, head("ncols").cast("int").alias("ncols"), head("xll(?:corner|center)").alias("x0"), head("yll(?:corner|center)").alias("y0"), head("cellsize").alias("cell"),
-                         head("nodata_value").alias("no_data"), F.split(F.trim(F.regexp_replace("text", r"(?im)^\s*[a-z_]+\s+" + number + r"\s*$", "")), r"\s+").alias("values"))
+                         head("nodata_value").alias("no_data"), F.split(F.btrim(F.regexp_replace("text", r"(?im)^\s*[a-z_]+\s+" + number + r"\s*$", ""), F.lit(" \t\r\n")), r"\s+").alias("values"))
     return parsed.select("source", *extra, "ncols", "x0", "y0", "cell", "no_data", F.posexplode("values").alias("i", "v")).select(
         "source", *extra, "x0", "y0", "cell", "no_data", (F.col("i") % F.col("ncols")).cast("long").alias("col"), F.floor(F.col("i") / F.col("ncols")).alias("row"), F.col("v").cast("double").alias("value"))
 
