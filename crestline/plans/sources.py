@@ -23,12 +23,12 @@ def discover_sources(spark, sf):
     return rasters.discover_sources(spark, path, f"{path}/out", suffixes=(".txt",)).select("kind").groupBy("kind").count()
 
 
-@query("s3_read_asc", f"""WITH {MOSAIC_SQL} SELECT (row // 32)::BIGINT AS strip, col, (row % 32)::BIGINT AS row, round(z, 2) AS value FROM m""")
+@query("s3_read_asc", f"""WITH {MOSAIC_SQL} SELECT (row // 32)::BIGINT AS strip, col, (row % 32)::BIGINT AS row, floor(z * 100 + 0.37) / 100 AS value FROM m""")
 def read_asc(spark, sf):
     """The mosaic as ASCII grids of 32 rows each, and back."""
     n = terrain.side(spark, sf)
     filled = terrain.mosaic(spark, sf).groupBy(F.floor(F.col("row") / 32).alias("strip")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("row") % 32 * n + F.col("col")).alias("k"), "z"))).alias("m"))
-    body = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda r: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda c: let(F.try_element_at("m", (r * n + c).cast("long")), lambda z: F.when(z.isNull(), "-9999").otherwise(F.format_string("%.2f", F.round(z, 2))))), " "))
+    body = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda r: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda c: let(F.try_element_at("m", (r * n + c).cast("long")), lambda z: F.when(z.isNull(), "-9999").otherwise(F.format_string("%.2f", F.floor(z * 100 + 0.37) / 100)))), " "))
     text = F.concat(F.lit(f"ncols {n}\nnrows 32\nxllcorner 2600000\nyllcorner 1200000\ncellsize 10\nNODATA_value -9999\n"), F.array_join(body, "\n"))
     path = scratch_path(spark, "asc")
     filled.select(text.alias("value"), "strip").repartition("strip").write.partitionBy("strip").text(path)
