@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
 from .rays import CURVATURE, angular_columns, angular_slope
 from .tiles import Grid
 
@@ -290,15 +291,29 @@ def crossed_cells(rays: DataFrame, cells: DataFrame, manifest: DataFrame | None,
     segments = tile_path(rays, grid)
     near = cull_tiles(segments, manifest, F.col("slope")) if manifest is not None else segments
     ground = cells.select("trow", "tcol", F.col("y").alias("cy"), F.col("x").alias("cx"), "z00", "z01", "z10", "z11", "zmax")
-    return cell_path(near, grid).join(ground, ["trow", "tcol", "cy", "cx"])
+    path = cell_path(near, grid)
+    if manifest is not None:  # what flies over the tile's highest ground needs no cell
+        path = path.filter(lowest(F.col("slope"), F.col("z"), F.col("t0"), F.col("t1")) <= F.col("tile_max"))
+    return path.join(ground, ["trow", "tcol", "cy", "cx"])
 
 
-def first_hits(rays: DataFrame, cells: DataFrame, manifest: DataFrame, grid: Grid) -> DataFrame:
-    """R10, R12, R13 for rays with paths of their own (camera rays): every ray with distance and elevation, NULL for sky."""
-    met = crossed_cells(rays, cells, manifest, grid)
-    met = met.filter(lowest(F.col("slope"), F.col("z"), F.col("t0"), F.col("t1")) <= F.col("zmax"))
-    found = met.withColumn("t", hit_bilinear(F.col("slope"), grid)).groupBy("view_id", "px", "py").agg(F.min("t").alias("distance"))
-    hit = rays.join(found, ["view_id", "px", "py"], "left")
+def first_hits(rays: DataFrame, cells: DataFrame, manifest: DataFrame, grid: Grid, bands: tuple[float, ...] = ()) -> DataFrame:
+    """R10, R12, R13 for rays with paths of their own (camera rays): every ray with distance and elevation, NULL for sky.
+
+    bands: shares of the range to trace first. Only rays without a hit there go on, each
+    band's hits are stored; worth it where most rays end near by.
+    """
+    keys = ["view_id", "px", "py"]
+    waiting, found = rays, None
+    for share in (*bands, 1.0):
+        met = crossed_cells(waiting.withColumn("tmax", F.col("tmax") * share), cells, manifest, grid)
+        met = met.filter(lowest(F.col("slope"), F.col("z"), F.col("t0"), F.col("t1")) <= F.col("zmax"))
+        hits = met.withColumn("t", hit_bilinear(F.col("slope"), grid)).groupBy(*keys).agg(F.min("t").alias("distance")).filter("distance is not null")
+        if share < 1:
+            hits = written(hits, "band-hits")
+            waiting = waiting.join(hits, keys, "left_anti")
+        found = hits if found is None else found.unionByName(hits)
+    hit = rays.join(found, keys, "left")
     return hit.withColumn("elevation", F.col("z") + F.col("slope") * F.col("distance") + CURVATURE * F.col("distance") * F.col("distance"))
 
 

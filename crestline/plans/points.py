@@ -79,7 +79,7 @@ def view_targets(spark, sf):
 def down_views(spark, sf):
     """Pinhole views from the traced views' places, steeply down, with rays of the same pixels."""
     v = tracing.views(spark, sf).select("view_id", "x", "y", "z", "tmax")
-    return v.withColumns({"width": F.lit(24), "height": F.lit(16), "heading": F.col("view_id") * 0.37, "pitch": F.lit(-1.0), "roll": F.lit(0.0), "fx": F.lit(14.0), "fy": F.lit(14.0), "cx": F.lit(12.0), "cy": F.lit(8.0), "pixel_size": F.lit(0.07)})
+    return v.withColumns({"width": F.lit(12), "height": F.lit(8), "heading": F.col("view_id") * 0.37, "pitch": F.lit(-1.0), "roll": F.lit(0.0), "fx": F.lit(7.0), "fy": F.lit(7.0), "cx": F.lit(6.0), "cy": F.lit(4.0), "pixel_size": F.lit(0.14)})
 
 
 def down_hits(spark, sf):
