@@ -3,8 +3,8 @@
 A notice of n letters may be hit with k errors. Split into k + 1 pieces, at least
 one piece must stand in the text unchanged (the pigeonhole principle). All pieces
 of all notices are found in one pass by an Aho-Corasick automaton; around each
-find the regex library matches the whole notice with at most k errors, and gives
-the span and the number of edits.
+find the regex library matches the whole notice with at most k errors, from left
+to right, and gives the span and the number of edits of each.
 
 Texts are searched in a plain form: A-Z lower-cased, words joined by one blank.
 Documents are independent of each other: no shuffle.
@@ -64,7 +64,7 @@ def searcher(notices: tuple[tuple[str, str], ...], error_rate: float) -> Searche
     seeds, made, pieces = ahocorasick.Automaton(), [], {}
     for n, (text, label) in enumerate(notices):
         k = max(1, int(len(text) * error_rate))
-        made.append(Notice(text, label, k, regex.compile(rf"(?b)(?:\b{regex.escape(text, special_only=True)}\b){{e<={k}}}")))
+        made.append(Notice(text, label, k, regex.compile(rf"(?e)(?:\b{regex.escape(text, special_only=True)}\b){{e<={k}}}")))
         cuts = [round(len(text) * i / (k + 1)) for i in range(k + 2)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             pieces.setdefault(text[a:b], []).append((n, a))
@@ -102,13 +102,24 @@ def fuzzy_spans(text: str, find: Searcher) -> list[tuple[str, int, int, int, flo
     return sorted(found, key=lambda x: (x[1], x[2], x[0]))
 
 
+def spans_by_word(text: str, find: Searcher) -> list[dict]:
+    """The notices of a plain text with the numbers of their first and last words; the text is counted through once."""
+    rows, word, counted = [], 0, 0
+    for label, a, b, edits, similarity in fuzzy_spans(text, find):
+        word, counted = word + text.count(" ", counted, a), a
+        last = word + text.count(" ", a, max(a, b - 1))
+        rows.append({"label": label, "first_word": word, "last_word": last, "matched": text[a:b], "edits": edits, "similarity": similarity})
+    return rows
+
+
 def phrase_starts(text: str, phrases: dict[str, str]) -> list[tuple[int, str]]:
     """(word number, label) of each place of a phrase in a plain text."""
     found, padded = [], f" {text} "
     for phrase, label in phrases.items():
-        at = padded.find(f" {phrase} ")
+        at, word, counted = padded.find(f" {phrase} "), 0, 0
         while at >= 0:
-            found.append((padded.count(" ", 0, at), label))
+            word, counted = word + padded.count(" ", counted, at), at
+            found.append((word, label))
             at = padded.find(f" {phrase} ", at + 1)
     return sorted(found)
 
@@ -143,8 +154,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: tuple[tupl
                 text = plain(value.as_py())
                 counts.append(text.count(" ") + 1 if text else 0)
                 exact.append([{"word": w, "label": x} for w, x in phrase_starts(text, phrases)])
-                spans.append([{"label": label, "first_word": text.count(" ", 0, a), "last_word": text.count(" ", 0, max(a, b - 1)), "matched": text[a:b], "edits": edits, "similarity": s}
-                              for label, a, b, edits, s in fuzzy_spans(text, find)])
+                spans.append(spans_by_word(text, find))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(exact, exact_type), pa.array(spans, span_type)], names=FOUND.names)
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, FOUND)

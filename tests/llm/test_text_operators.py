@@ -204,6 +204,15 @@ def test_license_spans(spark):
     assert license_scan.scan(odd_docs(spark)).count() == len(ODD) + 2
 
 
+def test_license_spans_of_neighbours_and_repeats():
+    find = license_scan.searcher(license_scan.NOTICES, 0.08)
+    # a notice with an error keeps its span when an exact one follows
+    rows = license_scan.spans_by_word("released under the mit licence released under the mit license", find)
+    assert [(r["first_word"], r["last_word"], r["edits"]) for r in rows] == [(0, 4, 1), (5, 9, 0)]
+    rows = license_scan.spans_by_word(" ".join(["x released under the mit license"] * 2000), find)
+    assert [r["first_word"] for r in rows] == [1 + 6 * k for k in range(2000)]
+
+
 def test_license_base_is_every_consecutive_place(spark):
     text = "MIT license mit LICENSE x general public license general public license"
     row = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
