@@ -91,7 +91,7 @@ def covers(spark, sf):
     return tiles.covers(points, tiles.coverage_rects(terrain.cells(spark, sf))).select("id", "covered")
 
 
-@query("t7_covered_area", f"""WITH {RECTS_SQL} SELECT trow, tcol, round(sum(greatest(least(12.5, "column" + width) - greatest(2.5, "column"), 0) * greatest(least(11.0, row + height) - greatest(1.25, row), 0)), 3) AS area FROM rects GROUP BY 1, 2""")
+@query("t7_covered_area", f"""WITH {RECTS_SQL} SELECT trow, tcol, round(sum(greatest(least(12.5, "column" + width) - greatest(2.5, "column"), 0) * greatest(least(11.0, row + height) - greatest(1.25, row), 0)), 3)::DOUBLE AS area FROM rects GROUP BY 1, 2""")
 def covered_area(spark, sf):
     area = tiles.overlap_area(F.lit(2.5), F.lit(1.25), F.lit(12.5), F.lit(11.0))
     return tiles.coverage_rects(terrain.cells(spark, sf)).groupBy("trow", "tcol").agg(F.round(F.sum(area), 3).alias("area"))
