@@ -11,7 +11,7 @@ from ..streaming.track import stream_track_clearance
 from . import terrain, tracing
 from .registry import query, r3, r3_sql, table
 from .terrain import CELLS, CELLS_SQL, GRID, SAMPLES_SQL, VERTICES_SQL
-from .tracing import GRAD_SQL, HITS_SQL, K
+from .tracing import BILINEAR_SQL, CELL_PATH_SQL, GRAD_SQL, HITS_SQL, RANGE, VIEWS_SQL, K
 
 # peaks --------------------------------------------------------------------------
 
@@ -22,7 +22,32 @@ def peaks(spark, sf):
                                            F.col("p_retailprice").alias("elevation"), F.col("p_size").cast("double").alias("prominence"), F.col("p_name").alias("name"))
 
 
-@query("p1_search_peaks")
+# WGS84: semi-axes and flattening, fixed values
+AXIS_A, FLAT = 6378137.0, 1 / 298.257223563
+AXIS_B = AXIS_A * (1 - FLAT)
+
+
+def vincenty_sql(src: str, steps: int = 8) -> str:
+    """src (lat0, lon0, lat1, lon1 in degrees) with distance: metres along the ellipsoid, by that many steps of Vincenty's iteration."""
+    found = f"""SELECT *, lam0 AS lam FROM (SELECT *, radians(lon1 - lon0) AS lam0, atan((1 - {FLAT!r}) * tan(radians(lat0))) AS ua, atan((1 - {FLAT!r}) * tan(radians(lat1))) AS ub FROM {src})"""
+    for k in range(steps + 1):
+        angles = f"""SELECT *, atan2(ss, cs) AS sg, CASE WHEN ss = 0 THEN 0 ELSE cos(ua) * cos(ub) * sin(lam) / ss END AS sa
+          FROM (SELECT *, sqrt(power(cos(ub) * sin(lam), 2) + power(cos(ua) * sin(ub) - sin(ua) * cos(ub) * cos(lam), 2)) AS ss, sin(ua) * sin(ub) + cos(ua) * cos(ub) * cos(lam) AS cs FROM ({found}))"""
+        angles = f"SELECT *, cs - 2 * sin(ua) * sin(ub) / (1 - sa * sa) AS cm, {FLAT!r} / 16 * (1 - sa * sa) * (4 + {FLAT!r} * (4 - 3 * (1 - sa * sa))) AS cc FROM ({angles})"
+        if k < steps:
+            found = f"SELECT * EXCLUDE (lam, ss, cs, sg, sa, cm, cc), lam0 + (1 - cc) * {FLAT!r} * sa * (sg + cc * ss * (cm + cc * cs * (2 * cm * cm - 1))) AS lam FROM ({angles})"
+    return f"""SELECT *, {AXIS_B!r} * (1 + w / 16384 * (4096 + w * (-768 + w * (320 - 175 * w)))) * (sg - bb * ss * (cm + bb / 4 * (cs * (2 * cm * cm - 1) - bb / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))) AS distance
+      FROM (SELECT *, w / 1024 * (256 + w * (-128 + w * (74 - 47 * w))) AS bb FROM (SELECT *, (1 - sa * sa) * {(AXIS_A**2 - AXIS_B**2) / AXIS_B**2!r} AS w FROM ({angles})))"""
+
+
+@query("p1_search_peaks", f"""WITH q AS (SELECT n_nationkey::BIGINT AS query_id, lower(strip_accents(trim(n_name))) AS wanted FROM nation
+  UNION ALL SELECT p_partkey + 1000, lower(strip_accents(trim(p_name[1:5]))) FROM part WHERE p_partkey % 100 = 1),
+b AS (SELECT query_id, p_partkey AS peak_id, CASE WHEN name = wanted THEN 0 WHEN starts_with(name, wanted) THEN 1 ELSE 2 END AS match, 46.0::DOUBLE AS lat0, 7.0::DOUBLE + (query_id % 10)::DOUBLE / 10 AS lon0,
+    45.0::DOUBLE + (p_partkey % 300)::DOUBLE / 100 AS lat1, 6.0::DOUBLE + (p_partkey * 7 % 500)::DOUBLE / 100 AS lon1
+  FROM q JOIN (SELECT p_partkey, lower(strip_accents(p_name)) AS name FROM part) ON wanted <> '' AND contains(name, wanted)),
+d AS ({vincenty_sql('b')})
+SELECT query_id, rank, peak_id, match::INT AS match, {r3_sql('distance')} AS distance
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY match, distance, peak_id)::INT AS rank FROM d) WHERE rank <= 6""")
 def search_peaks(spark, sf):
     """Names of nations and parts of peak names, asked from fixed places; the six best each."""
     words = table(spark, sf, "part").filter("p_partkey % 100 = 1").select((F.col("p_partkey") + 1000).alias("query_id"), F.upper(F.substring("p_name", 1, 5)).alias("text"))
@@ -99,7 +124,24 @@ def visible_peaks(spark, sf):
     return found.select("view_id", "target_id", "rank", r3(F.col("distance")).alias("distance"), "prominence")
 
 
-@query("p3_target_occluded")
+OCCLUDED_SQL = f"""{CELLS_SQL}, {VIEWS_SQL},
+ca AS (SELECT *, sin(view_id * 0.37::DOUBLE) AS sh, cos(view_id * 0.37::DOUBLE) AS ch, sin(-1.0::DOUBLE) AS sp, cos(-1.0::DOUBLE) AS cp FROM vw),
+ax AS (SELECT ca.*, px, py, cp * sh + u * ch + v * sp * sh AS e, cp * ch - u * sh + v * sp * ch AS no, sp - v * cp AS up
+  FROM ca, LATERAL (SELECT px, py, (px - 5.5)::DOUBLE / 7 AS u, (py - 3.5)::DOUBLE / 7 AS v FROM range(12) a(px), range(8) b(py))),
+ry AS (SELECT view_id, px, py, x, y, z, e / sqrt(e * e + no * no) AS dx, no / sqrt(e * e + no * no) AS dy, up / sqrt(e * e + no * no) AS slope FROM ax),
+{CELL_PATH_SQL}, {BILINEAR_SQL},
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trow, tcol ORDER BY z DESC, col DESC, row DESC) AS k FROM v) WHERE k = 1),
+tg AS (SELECT ca.*, trow * 100000 + tcol AS target_id, 2600000.0 + col * 10 - ca.x AS east, 1200000.0 - row * 10 - ca.y AS north, top.z - ca.z AS dz
+  FROM ca JOIN top ON trow BETWEEN floor((1200000.0 - ca.y) / 160) - 2 AND floor((1200000.0 - ca.y) / 160) + 2 AND tcol BETWEEN floor((ca.x - 2600000.0) / 160) - 2 AND floor((ca.x - 2600000.0) / 160) + 2),
+tu AS (SELECT *, dz - {K!r} * (east * east + north * north) AS tup, sqrt(east * east + north * north) AS away FROM tg),
+td AS (SELECT *, cp * (east * sh + north * ch) + tup * sp AS fw, east * ch - north * sh AS ri, sp * (east * sh + north * ch) - tup * cp AS dn FROM tu),
+ti AS (SELECT *, CASE WHEN fw > 1e-9 THEN 6 + 7 * ri / fw ELSE 6 END AS tx, CASE WHEN fw > 1e-9 THEN 4 + 7 * dn / fw ELSE 4 END AS ty FROM td),
+ts AS (SELECT *, fw > 1e-9 AND tx >= 0 AND ty >= 0 AND tx < 12 AND ty < 8 AS onscreen FROM ti)"""
+
+
+@query("p3_target_occluded", f"""WITH {OCCLUDED_SQL} SELECT ts.view_id, target_id, onscreen,
+  CASE WHEN away > {RANGE} THEN true WHEN NOT onscreen THEN false ELSE coalesce(fh.distance + greatest(5.0, 0.28 * away) < away, false) END AS occluded
+FROM ts LEFT JOIN fh ON onscreen AND fh.view_id = ts.view_id AND fh.px = floor(tx) AND fh.py = floor(ty)""")
 def target_occluded(spark, sf):
     views, hits = down_hits(spark, sf)
     seen = points.projected(views, view_targets(spark, sf).drop("prominence", "elevation")).withColumn("distance", F.hypot("east", "north"))

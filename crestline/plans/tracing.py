@@ -60,7 +60,8 @@ def camera_rays(spark, sf):
     return rays.camera_rays(cameras(spark, sf)).select("view_id", "px", "py", r3(F.col("dx")).alias("dx"), r3(F.col("dy")).alias("dy"), r3(F.col("slope")).alias("slope"))
 
 
-@query("r3_undistort")
+@query("r3_undistort", """SELECT c_custkey, (c_custkey % 21 - 10)::DOUBLE / 20 AS u, (c_custkey % 13 - 6)::DOUBLE / 15 AS v,
+  round((c_custkey % 21 - 10)::DOUBLE / 20, 6) AS x, round((c_custkey % 13 - 6)::DOUBLE / 15, 6) AS y FROM customer""")
 def undistort(spark, sf):
     """Distort points made from keys, undo it, and return both."""
     u, v = (F.col("c_custkey") % 21 - 10) / 20, (F.col("c_custkey") % 13 - 6) / 15
