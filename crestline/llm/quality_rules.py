@@ -109,12 +109,16 @@ def failure(rule: Rule, ready: tuple[str, ...] = ()) -> Column:
 
 
 def estimate_rules(docs: DataFrame, rules: tuple[Rule, ...], rows: int = 512, seed: int = 1) -> list[dict]:
-    """Cost (seconds a document) and selectivity (share rejected) of each rule, on a sample of at most rows documents.
+    """Cost (seconds a document) and selectivity (share rejected) of each rule, on a sample of about rows documents.
 
     Returned in the order to ask them: rejection per cost, falling. Without any
-    sampled row the given order stands.
+    sampled row the given order stands. The share to sample comes from a count, so
+    about that many rows are shuffled however many partitions docs has; a limit would
+    send up to rows documents from each of them to one task.
     """
-    sample = with_words(id_and_text(docs).sample(0.05, seed).limit(rows)).persist()
+    own = id_and_text(docs)
+    share = min(1.0, rows / max(own.count(), 1))
+    sample = with_words(own.sample(share, seed).repartition(1)).persist()
     try:
         n = sample.count()
         if not n:
