@@ -16,7 +16,8 @@ to each part's queries (a cell for every pair of parts), so no task gets an
 unbounded group. Cells emit a spanning forest, not all pairs.
 
 Near-duplicates by similarity use the same trees with a wider radius, routed by
-MinHash bands, with an estimate of the Jaccard similarity as the last check.
+MinHash bands, with a loose estimate of the Jaccard similarity as a filter. What it
+connects is only where exact similarities are computed, and those alone link.
 """
 
 from __future__ import annotations
@@ -205,8 +206,8 @@ def shard_links(routed: DataFrame, radius: int, cap: int = 4096, similarity: flo
         if similarity is not None:
             width = len(t.column("sketch")[0].as_py())
             sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, width)[several]
-            # two equal bytes by chance: 1 in 256; less two standard errors, not to lose what is at the bound
-            least = (similarity + (1 - similarity) / 256 - 2 * (similarity * (1 - similarity) / width) ** 0.5) * width
+            # two equal bytes by chance: 1 in 256; less five standard errors, as the exact check follows
+            least = (similarity + (1 - similarity) / 256 - 5 * (similarity * (1 - similarity) / width) ** 0.5) * width
 
             def similar(u: np.ndarray, v: np.ndarray) -> np.ndarray:
                 return (sketch[u] == sketch[v]).sum(axis=1) >= least
@@ -297,9 +298,9 @@ def simhash_classes(docs: DataFrame, size: int = 3, radius: int = 2, id_col: str
 
 
 def sketches(docs: DataFrame, size: int, bands: int, rows: int, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, fp, keys, sketch) of each text with words, the smallest id per distinct row of shingle hashes as node.
+    """(doc_id, fp, same, n, keys, sketch) of each text with words.
 
-    sketch: a byte of each of `width` minima of the shingles' hashes; keys: a hash of
+    same: a digest of the set of shingle hashes; n: their number; sketch: a byte of each of `width` minima of the shingles' hashes; keys: a hash of
     `rows` whole minima for each band.
     """
     salts = np.random.default_rng(20).integers(1, 1 << 62, (width, 2), np.uint64) | np.uint64(1)
@@ -319,13 +320,99 @@ def sketches(docs: DataFrame, size: int, bands: int, rows: int, width: int, id_c
                 mixed = mixed * np.uint64(0x9E3779B97F4A7C15)
                 keys = [xxhash.xxh64_intdigest(bytes([b]) + mixed[b * rows : (b + 1) * rows].tobytes()) - (1 << 63) for b in range(bands)]
                 same = xxhash.xxh3_128_digest(distinct.tobytes())
-                out.append((doc_id, fingerprint(hashes), same, keys, (mixed >> np.uint64(56)).astype(np.uint8).tobytes()))
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
-            columns = zip(*out, strict=True) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "fp", "same", "keys", "sketch"])
+                out.append((doc_id, fingerprint(hashes), same, len(distinct), keys, (mixed >> np.uint64(56)).astype(np.uint8).tobytes()))
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+            columns = zip(*out, strict=True) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "fp", "same", "n", "keys", "sketch"])
 
     own = id_and_text(docs, id_col, text_col).filter("doc_id is not null")
-    return own.mapInArrow(run, "doc_id long, fp long, same binary, keys array<long>, sketch binary")
+    return own.mapInArrow(run, "doc_id long, fp long, same binary, n long, keys array<long>, sketch binary")
+
+
+def similar_sets(sets: list[np.ndarray], part: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(item, linked item) index pairs that connect the sets of a Jaccard similarity from that bound on, at most one an item.
+
+    part: where it has zeros and ones, only sets of different parts are compared.
+    """
+    links, sizes = Forest(len(sets)), np.array([len(x) for x in sets])
+    every, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    # the sets that have an element stand between two places of `first` in `owner`
+    owner = np.repeat(np.arange(len(sets)), sizes)[np.argsort(ids, kind="stable")]
+    first = np.r_[0, np.cumsum(np.bincount(ids, minlength=len(every)))]
+    ends = np.cumsum(sizes)
+    crossed = bool(part.any() and not part.all())
+    for i in np.flatnonzero(part == 1) if crossed else range(1, len(sets)):
+        others = np.flatnonzero(part == 0) if crossed else np.arange(i)
+        low, high = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
+        others = others[(links.label[others] != links.label[i]) & (low / high >= similarity)]
+        if not len(others):
+            continue
+        own = ids[ends[i] - sizes[i] : ends[i]]
+        n = first[own + 1] - first[own]
+        places = np.repeat(first[own] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        common = np.bincount(owner[places], minlength=len(sets))[others]
+        others = others[common / (sizes[i] + sizes[others] - common) >= similarity]
+        links.union(np.full(len(others), i), others)
+    linked = np.flatnonzero(links.label != np.arange(len(sets)))
+    return linked, links.label[linked]
+
+
+def exact_links(docs: DataFrame, groups: DataFrame, size: int, similarity: float, id_col: str = "doc_id", text_col: str = "text",
+                cap: int = 1024, cap_hashes: int = 1 << 20) -> DataFrame:
+    """(a, b) links between the nodes of each group (node, same, n, root) whose sets of shingle hashes are that similar.
+
+    All sets of a group are compared, but for what is linked already or cannot be that similar by its
+    size. A group of more than `cap` sets or `cap_hashes` hashes is split into parts, with a cell for every
+    pair of parts. The hashes are made anew from the texts, of the groups' nodes alone.
+    """
+    large = groups.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / cap), F.ceil(F.sum("n") / cap_hashes)).cast("int").alias("parts")).filter("parts > 1")
+    asked = groups.join(large, "root", "left").select(F.col("node").alias("doc_id"), "same", "root", F.coalesce("parts", F.lit(1)).alias("parts"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, sets = [], []
+            for k, (text, same) in enumerate(zip(batch.column("text"), batch.column("same").to_pylist(), strict=True)):
+                found = np.unique(shingle_hashes(text.as_py(), size)).tobytes()
+                # an id may have several texts
+                if xxhash.xxh3_128_digest(found) == same:
+                    keep.append(k)
+                    sets.append(found)
+            rest = batch.select(["doc_id", "root", "parts"]).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(sets, pa.binary())], names=["node", "root", "parts", "hashes"])
+
+    sets = id_and_text(docs, id_col, text_col).join(asked, "doc_id").select("doc_id", "text", "same", "root", "parts")
+    sets = sets.mapInArrow(hashed, "node long, root long, parts int, hashes binary")
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    cells = sets.select("node", "root", "hashes", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    cells = cells.select("node", "root", "hashes", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("part"))
+    dealt = cells.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high")
+
+    def work(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        node, part = (t.column(c).to_numpy() for c in ("node", "part"))
+        if t.column("low")[0].as_py() != t.column("high")[0].as_py() and (part.all() or not part.any()):
+            return node[:0], node[:0]
+        a, b = similar_sets([np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()], part, similarity)
+        return node[a], node[b]
+
+    def out(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # work off the whole cells, keep the last one
+            t = pa.Table.from_batches([*held, batch])
+            key = np.stack([t.column(c).to_numpy() for c in ("root", "low", "high")])
+            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist()]
+            if len(cuts) > 1:
+                yield out([work(t.slice(at, end - at)) for at, end in zip(cuts, cuts[1:], strict=False)])
+            held = t.slice(cuts[-1]).to_batches()
+        if held:
+            yield out([work(pa.Table.from_batches(held))])
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 18, bands: int = 8, rows: int = 2, width: int = 256,
@@ -335,18 +422,21 @@ def near_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius
     Documents with one set of shingles are one node. The others meet in shards of equal MinHash
     bands, where BK-trees of SimHash fingerprints find what differs in radius bits or
     fewer and sketches of `width` bytes estimate the similarity, with a standard error of
-    0.025; up to two of those below the bound count as similar. With the defaults a
-    pair of similarity 0.8 shares a band with a probability of 0.9997.
+    0.025; up to five of those below the bound pass. Within what these pairs connect, exact_links()
+    computes the similarities, and only pairs at the bound or above link. With the defaults a
+    pair of similarity 0.8 shares a band with a probability of 0.9997, and fails the sketch with one of 0.0000008.
 
     Texts without words (null, empty) and rows without an id are linked to nothing and
     not in the result. Repeated ids are in it more than once.
     """
     members = written(sketches(docs, size, bands, rows, width, id_col, text_col), "sketches")
-    nodes = members.groupBy("same").agg(F.min(F.struct("doc_id", "fp", "keys", "sketch")).alias("n")).select("same", "n.*")
+    nodes = members.groupBy("same").agg(F.min(F.struct("doc_id", "fp", "n", "keys", "sketch")).alias("node")).select("same", "node.*")
     nodes = written(nodes.withColumnRenamed("doc_id", "node"), "sketch-nodes")
     routed = nodes.select("node", "fp", "sketch", F.explode("keys").alias("key"))
+    groups = nodes.select("node", "same", "n").join(components(shard_links(routed, radius, similarity=similarity)), "node")
+    links = exact_links(docs, written(groups, "near-groups"), size, similarity, id_col, text_col)
     # of a node in several sets (a repeated id) all are one
-    rooted = nodes.select("node", "same").join(components(shard_links(routed, radius, similarity=similarity)), "node", "left")
+    rooted = nodes.select("node", "same").join(components(links), "node", "left")
     by_set = written(rooted.select("same", F.coalesce("root", "node").alias("component_id")), "set-classes")
     return members.select("doc_id", "same").join(by_set, "same").select("doc_id", "component_id")
 

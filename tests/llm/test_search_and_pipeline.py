@@ -72,6 +72,34 @@ def test_near_classes_by_similarity(spark):
                 assert got[a] != got[b]
 
 
+@pytest.mark.parametrize("cap", [1024, 40])
+def test_near_classes_equal_brute_force_about_the_bound(spark, monkeypatch, cap):
+    """Templated pages and editions of similarity 0.7 to 0.9: linked from 0.8 on, and only those."""
+    import crestline.llm.simhash as simhash
+
+    exact = simhash.exact_links
+    monkeypatch.setattr(simhash, "exact_links", lambda *args: exact(*args, cap=cap))
+    rng = random.Random(8)
+    docs, pages = [], [words(rng, 300) for _ in range(30)]
+    for f, base in enumerate(pages):
+        for _ in range(60 if f == 0 else rng.randrange(2, 6)):
+            w, edits = list(base), rng.randrange(2, 8)
+            for at in rng.sample(range(300), edits):
+                w[at] = f"edit{rng.randrange(10**6)}"
+            docs.append((len(docs), " ".join(w)))
+    s = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in docs)]
+    label, seen = list(range(len(docs))), []
+    for i in range(len(s)):
+        for j in range(i):
+            share = len(s[i] & s[j]) / len(s[i] | s[j])
+            seen.append(share)
+            if share >= 0.8 and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    assert sum(0.7 <= x < 0.8 for x in seen) > 100 and sum(0.8 <= x < 0.9 for x in seen) > 100
+    assert {r.doc_id: r.component_id for r in near_classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()} == dict(enumerate(label))
+
+
 def test_crowds_of_near_copies(spark):
     """A family beyond a shard's cap stays one class."""
     rng = random.Random(5)
