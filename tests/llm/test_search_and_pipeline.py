@@ -100,6 +100,17 @@ def test_near_classes_equal_brute_force_about_the_bound(spark, monkeypatch, cap)
     assert {r.doc_id: r.component_id for r in near_classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()} == dict(enumerate(label))
 
 
+def test_near_copies_with_repeats_of_their_own(spark):
+    """A passage said over and over counts once, as in the similarity."""
+    rng = random.Random(9)
+    docs = []
+    for n in range(20):
+        base, own = words(rng, 1000), words(rng, 20)
+        docs += [(2 * n, " ".join(base)), (2 * n + 1, " ".join(base + own * 30))]
+    got = {r.doc_id: r.component_id for r in near_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {k: k // 2 * 2 for k, _ in docs}
+
+
 def test_crowds_of_near_copies(spark):
     """A family beyond a shard's cap stays one class."""
     rng = random.Random(5)
