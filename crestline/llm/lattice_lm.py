@@ -120,7 +120,7 @@ class Lattice:
             alpha[end, some] = np.logaddexp(alpha[end, some], alpha[start, some] + self.log_p[piece])
         return alpha, edges
 
-    def long_word(self, word: bytes) -> float:
+    def long_forward(self, word: bytes) -> list[float]:
         """The same for a single long word, byte by byte."""
         alpha = [0.0]
         index, log_p = self.index, self.log_p
@@ -128,7 +128,24 @@ class Lattice:
             terms = [alpha[s] + log_p[i] for s in range(max(0, end - self.longest), end) if (i := index.get(word[s:end])) is not None]
             top = max(terms)
             alpha.append(top + math.log(math.fsum(math.exp(t - top) for t in terms)))
-        return alpha[-1]
+        return alpha
+
+    def long_word(self, word: bytes) -> float:
+        return self.long_forward(word)[-1]
+
+    def long_counts(self, word: bytes, weight: float, total: np.ndarray) -> None:
+        """Adds a single long word's expected pieces to total, byte by byte from its end."""
+        alpha, size = self.long_forward(word), len(word)
+        index, log_p = self.index, self.log_p
+        beta = [-math.inf] * size + [0.0]
+        for start in range(size - 1, -1, -1):
+            steps = [(i, beta[e] + log_p[i]) for e in range(start + 1, min(size, start + self.longest) + 1) if (i := index.get(word[start:e])) is not None]
+            top = max((x for _, x in steps), default=-math.inf)
+            if top == -math.inf:
+                continue
+            beta[start] = top + math.log(math.fsum(math.exp(x - top) for _, x in steps))
+            for i, x in steps:
+                total[i] += weight * math.exp(alpha[start] + x - alpha[-1])
 
     def by_length(self, words: list[bytes], block: int = 20_000) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
         """(word numbers, bytes as a matrix); a long word comes alone and without."""
@@ -154,14 +171,11 @@ class Lattice:
         return found
 
     def expected_counts(self, words: list[bytes], weights: np.ndarray) -> np.ndarray:
-        """Expected number of each piece in the words, each taken weights times.
-
-        Words of over 64 bytes are left to their most likely pieces' prior: they are
-        rare and, as single words, not worth a backward pass.
-        """
+        """Expected number of each piece in the words, each taken weights times."""
         total = np.zeros(len(self.pieces))
         for part, rows in self.by_length(words):
             if rows is None:
+                self.long_counts(words[part[0]], weights[part[0]], total)
                 continue
             alpha, edges = self.forward(rows)
             beta = np.full_like(alpha, -np.inf)

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -165,6 +166,23 @@ def test_lattice_sums_all_segmentations():
     assert np.allclose(got, [expected[x] for x in pieces])
 
 
+def test_pieces_of_a_long_word():
+    """A word of 1,000 bytes, in exact arithmetic over all its segmentations."""
+    pieces = tuple(sorted([b" ", b"a", b"b", b"c", b" a", b"ab", b"bc", b"abc", b" ab"]))
+    whole = sum(range(1, len(pieces) + 1))
+    weight = {x: Fraction(k, whole) for k, x in enumerate(pieces, 1)}
+    word = b" " + bytes(np.random.default_rng(4).choice(list(b"abc"), 1000).tolist())
+    ahead, behind = [Fraction(1)] + [Fraction(0)] * 1001, [Fraction(0)] * 1001 + [Fraction(1)]
+    for at in range(1, 1002):
+        ahead[at] = sum(ahead[at - len(x)] * p for x, p in weight.items() if word[:at].endswith(x))
+    for at in range(1000, -1, -1):
+        behind[at] = sum(behind[at + len(x)] * p for x, p in weight.items() if word.startswith(x, at))
+    want = [float(3 * sum(ahead[at] * p * behind[at + len(x)] for at in range(1001) if word.startswith(x, at)) / ahead[-1]) for x, p in weight.items()]
+    lattice = Lattice(pieces, np.log([float(p) for p in weight.values()]))
+    got = lattice.expected_counts([word, b" ab"], np.array([3.0, 0.0]))
+    assert np.allclose(got, want) and math.isclose(sum(n * len(x) for n, x in zip(got, pieces)), 3 * 1001)
+
+
 def test_op4_base_counts(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     words = {k: [w for w in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t)) if w] + ["\0"] for k, t in texts.items()}
