@@ -13,13 +13,16 @@ from .registry import query, r3, r3_sql, table
 from .terrain import MOSAIC_SQL, VERTICES_SQL
 
 
-@query("s1_discover_sources")
+@query("s1_discover_sources", "SELECT '.txt' AS kind, count(*) AS count FROM (SELECT s_suppkey FROM supplier UNION SELECT l_suppkey FROM lineitem) HAVING count(*) > 0")
 def discover_sources(spark, sf):
-    """Grids of the suppliers as files in folders; the output folder is left out."""
+    """A grid of each supplier's samples, one below the other, as files in folders; the output folder is left out."""
     path = scratch_path(spark, "rasters")
-    rows = table(spark, sf, "supplier").filter("s_suppkey <= 12").select(F.concat(F.lit("ncols 1\nnrows 1\n1\n")).alias("value"), F.col("s_suppkey").alias("k"))
-    rows.select("value", "k").repartition("k").write.partitionBy("k").text(f"{path}/in")
-    rows.select("value").write.text(f"{path}/out")
+    values = terrain.samples(spark, sf).select(F.col("source_id").alias("k"), F.when(F.col("mask") != 0, F.format_string("%.2f", F.col("value").cast("double"))).otherwise("-9999").alias("value"))
+    sizes = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.lit(0).alias("n")).unionByName(values.select("k", F.lit(1).alias("n"))).groupBy("k").agg(F.sum("n").alias("n"))
+    heads = sizes.select("k", F.format_string("ncols 1\nnrows %d\nxllcorner 2600000\nyllcorner 1200000\ncellsize 10\nNODATA_value -9999", "n").alias("value"))
+    rows = heads.withColumn("part", F.lit(0)).unionByName(values.withColumn("part", F.lit(1)))
+    rows.repartition("k").sortWithinPartitions("k", "part").drop("part").write.partitionBy("k").text(f"{path}/in")
+    heads.select("value").write.text(f"{path}/out")
     return rasters.discover_sources(spark, path, f"{path}/out", suffixes=(".txt",)).select("kind").groupBy("kind").count()
 
 

@@ -3,6 +3,7 @@
 import math
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,6 +145,17 @@ def test_hgt_and_zip_and_asc(spark, tmp_path):
     assert got == {(0, 0): 1, (0, 1): 2, (0, 2): 3, (1, 0): -1, (1, 1): 5, (1, 2): 6.5}
 
 
+def test_every_supplier_is_a_source(spark):
+    """As many files as suppliers (100 of sf0.01), as the SQL says."""
+    from crestline.plans.all import ORACLE_SQL, QUERIES
+
+    sf, db = "/root/testdata/sf0.01", duckdb.connect()
+    for name in ("supplier", "lineitem"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    got = [tuple(r) for r in QUERIES["s1_discover_sources"](spark, sf).collect()]
+    assert got == db.execute(ORACLE_SQL["s1_discover_sources"]).fetchall() == [(".txt", 100)]
+
+
 def test_sidecar_numbers(spark):
     one = spark.range(1).select(rasters.epsg_from_gml(F.lit("urn:ogc:def:crs:EPSG::2056 urn:ogc:def:crs:EPSG::2056")).alias("e"))
     assert one.first().e == 2056
