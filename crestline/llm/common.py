@@ -43,7 +43,8 @@ def let(value: Column, body) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where the session names none (local tests) a temporary folder is used.
+    Only a local session (as in tests), whose one machine is driver and executors at
+    once, may leave it unset; then a temporary folder is used.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
@@ -52,6 +53,8 @@ def shared_folder(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named.rstrip("/")
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return context.getCheckpointDir().rstrip("/")
 
@@ -66,3 +69,18 @@ def written(df: DataFrame, what: str, sort_by: list[str] | None = None) -> DataF
     path = scratch_path(spark, what)
     (df.sortWithinPartitions(*sort_by) if sort_by else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def join_unique(rows: DataFrame, unique: DataFrame, key: str, least: int = 100) -> DataFrame:
+    """rows joined with a table that has one row a key, without a hot key's rows meeting in one task.
+
+    Keys of over a thousandth of all rows (and `least`) are fewer than a thousand; their
+    rows of unique are broadcast, the others are joined as usual.
+    """
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    total = rows.count()
+    hot = [r[0] for r in counts.filter(F.col("n") > max(least, total // 1000)).select(key).collect()]
+    if not hot:
+        return rows.join(unique, key)
+    often = F.col(key).isin(hot)
+    return rows.filter(often).join(F.broadcast(unique.filter(often)), key).unionByName(rows.filter(~often | F.col(key).isNull()).join(unique.filter(~often), key))

@@ -6,6 +6,8 @@ fit, the one with the largest dot product of its needs and what the sequence has
 left, both as shares of the limits. When none fits, a piece is cut to fill it.
 Sequences that the end of the input or a limit leaves short are cut back to a
 power of two tokens, which needs no padding, and the rest goes back to the pool.
+A document's prompt (its first tokens) bears no loss: where the loss limit is
+below the token limit, sequences full of answers are topped up with prompts.
 
 Each task packs what it reads, so nothing is shuffled. It holds the pool (`pool`
 pieces of less than a sequence each) and one batch.
@@ -19,42 +21,88 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_and_text, table
+from .common import table
 
 #: How the byte-level vocabularies cut a text before merging (a fixed pattern of the vocabulary file).
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+END_OF_TEXT = "<|endoftext|>"
+#: White space in a row that is cut off before the pattern is applied, whose matcher goes back step by step.
+LONG_BLANK = regex.compile(r"\p{White_Space}{1000,}")
+#: Loss-bearing tokens in a sequence of 1024: the rest is for prompts.
+MAX_LOSS = 992
+
+
 @lru_cache(maxsize=2)
 def byte_bpe(ranks_path: str) -> tiktoken.Encoding:
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
-
+    return tiktoken.Encoding("ranks", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={END_OF_TEXT: len(ranks)})
 
-def tokenized(docs: DataFrame, ranks_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids, loss_start) of each text: ids as little-endian 32-bit integers, end_id last; all tokens bear loss.
 
-    The ranks file is the same vocabulary as its JSON form; the special token's text
-    stands for the special token, as that form has it.
+@lru_cache(maxsize=2)
+def id_sizes(ranks_path: str) -> np.ndarray:
+    """How many bytes of text each id stands for."""
+    enc = byte_bpe(ranks_path)
+    return np.array([len(enc.decode_single_token_bytes(i)) for i in range(enc.n_vocab)], np.int64)
+
+
+def encoded(text: str, enc: tiktoken.Encoding) -> list[int]:
+    """The ids of a text; the special token's text stands for that token."""
+    if len(text) < 100_000 or not LONG_BLANK.search(text):
+        return enc.encode(text, allowed_special="all")
+    ids: list[int] = []
+    for k, part in enumerate(text.split(END_OF_TEXT)):
+        if k:
+            ids.append(enc.eot_token)
+        at = 0
+        for m in LONG_BLANK.finditer(part):
+            # a pre-token takes all of the run, but for its last character where a word follows
+            end = m.end() - (m.end() < len(part))
+            ids += enc.encode_ordinary(part[at : m.start()]) + enc._encode_single_piece(part[m.start() : end])
+            at = end
+        ids += enc.encode_ordinary(part[at:])
+    return ids
+
+
+def tokenized(docs: DataFrame, ranks_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", prompt: Column | None = None) -> DataFrame:
+    """(doc_id, ids, loss_start) of each text: ids as little-endian 32-bit integers, end_id last.
+
+    prompt: the part of the text, from its start, that bears no loss (None: all bears
+    loss); an id that reaches over its end bears loss. The ranks file is the same
+    vocabulary as its JSON form; the special token's text stands for the special token,
+    as that form has it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = byte_bpe(ranks_path)
+        enc, sizes = byte_bpe(ranks_path), id_sizes(ranks_path)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                ids = [np.array([*enc.encode(t, allowed_special="all"), end_id], dtype="<u4").tobytes() for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array([0] * len(ids), pa.int64())],
+                ids, starts = [], []
+                for text, free in zip(part.column("text").to_pylist(), part.column("free").to_pylist(), strict=True):
+                    row = np.array([*encoded(text, enc), end_id], dtype="<u4")
+                    ids.append(row.tobytes())
+                    starts.append(int(np.searchsorted(np.cumsum(sizes[row[:-1]]), free, "right")) if free else 0)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(starts, pa.int64())],
                                                  names=["doc_id", "ids", "loss_start"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary, loss_start long")
+    free = F.lit(0) if prompt is None else F.coalesce(F.octet_length(prompt), F.lit(0))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), free.alias("free"))
+    return own.mapInArrow(run, "doc_id long, ids binary, loss_start long")
+
+
+def first_line(text: Column) -> Column:
+    """A text up to its first \\n and with it; of a text of one line nothing."""
+    return F.substring(text, F.lit(1), F.locate("\n", text))
 
 
 class Piece:
@@ -115,6 +163,8 @@ class Packer:
                 yield [front]
             else:
                 self.pooled(front)
+                while len(self.pieces) > self.pool_size:
+                    yield self.sequence()
         self.pooled(piece)
         while len(self.pieces) > self.pool_size:
             yield self.sequence()
@@ -133,12 +183,13 @@ class Packer:
                 score = needs[:, 0] * (tokens / max_tokens**2) + needs[:, 1] * (loss / max_loss**2) + segments / max_segments**2
                 piece = self.picked(int(np.where(fits, score, -1.0).argmax()))
             else:
-                # of those with a front that may be used, the longest is cut
-                whole = self.picked(int(needs[:, 0].argmax()))
+                # the one with the longest front that may be used is cut; what bears no loss comes first in a piece
+                usable = np.minimum(tokens, needs[:, 0] - needs[:, 1] + loss)
+                if usable.max() < 1:
+                    break
+                whole = self.picked(int(usable.argmax()))
                 piece = whole.take(tokens, loss)
                 self.pooled(whole)
-                if piece is None:
-                    break
             row.append(piece)
             tokens, segments, loss = tokens - len(piece), segments - 1, loss - piece.loss()
         used = max_tokens - tokens
@@ -169,8 +220,11 @@ def pack(examples: DataFrame, max_tokens: int = 1024, max_segments: int = 64, ma
     max_segments pieces and max_loss loss-bearing tokens, and, unless full, a power of two tokens.
 
     Examples of no tokens (or null ids) have no piece. Null and repeated ids are
-    carried along: rows are packed one by one. Sequence ids hold the number of the
-    input partition, so a task that is run again gives the same rows.
+    carried along: rows are packed one by one; of equal dot products the piece that
+    stands first in the pool is taken. A very long example is cut as it comes, so the
+    pool stays bounded. Other columns are ignored. An empty table gives an empty table.
+    Sequence ids hold the number of the input partition, so a task that is run again
+    gives the same rows.
     """
     limit = max_tokens if max_loss is None else max_loss
     if min(max_tokens, max_segments, limit) < 1:
@@ -208,13 +262,18 @@ def pack(examples: DataFrame, max_tokens: int = 1024, max_segments: int = 64, ma
     return examples.select("doc_id", "ids", "loss_start").mapInArrow(run, PIECES)
 
 
-def pack_documents(docs: DataFrame, ranks_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
-    """Tokenize and pack documents; null texts count as empty, whose only token is end_id."""
-    return pack(tokenized(docs, ranks_path, end_id, id_col, text_col), **limits)
+def pack_documents(docs: DataFrame, ranks_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text",
+                   prompt: Column | None = None, **limits: int) -> DataFrame:
+    """Tokenize and pack documents; null texts count as empty, whose only token is end_id.
+
+    Very long texts are tokenized whole, one at a time, and cut into many pieces.
+    """
+    return pack(tokenized(docs, ranks_path, end_id, id_col, text_col, prompt), **limits)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed under three limits: 1024 tokens, 64 segments, 992 tokens that bear loss; a document's first line bears none."""
     import public_tokenizers
 
-    pieces = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    pieces = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), prompt=first_line(F.col("text")), max_loss=MAX_LOSS)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")

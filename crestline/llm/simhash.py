@@ -8,12 +8,14 @@ parent, and a search for radius r from a node at distance d follows the edges
 d - r .. d + r alone.
 
 How trees meet queries: a broadcast from the driver would take all fingerprints
-through it. Instead fingerprints are routed: cut into r + 2 bands, two that
-differ in at most r bits agree in at least two bands, so each fingerprint goes
-to the shards of all pairs of bands and finds every neighbour in one of them. A
-shard of more than `cap` rows is split into parts, and each part's tree is sent
-to each part's queries (a cell for every pair of parts), so no task gets an
-unbounded group. Cells emit a spanning forest, not all pairs.
+through it. Instead fingerprints are routed: cut into r + 1 bands, two that differ
+in at most r bits agree in at least one of them, so each fingerprint goes to one
+shard for each band, chosen by the band's bits, and meets every neighbour in one of
+its shards. There are as many shards as make one about 2,000 fingerprints, of many
+values of the band, so it is the tree that finds the neighbours. A shard of more
+than `cap` rows is split into parts, and each part's tree is sent to each part's
+queries (a cell for every pair of parts), so no task gets an unbounded group. Cells
+emit a spanning forest, not all pairs.
 
 Near-duplicates by similarity use the same trees with a wider radius, routed by
 MinHash bands, with a loose estimate of the Jaccard similarity as a filter. What it
@@ -23,7 +25,6 @@ connects is only where exact similarities are computed, and those alone link.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_and_text, table, written
+from .common import id_and_text, join_unique, table, written
 
 LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SEED = 42
@@ -69,13 +70,12 @@ def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_co
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
 
 
-def band_keys(fp: Column, radius: int) -> Column:
-    """One key for every pair of the radius + 2 bands of a fingerprint."""
-    bands = radius + 2
+def band_keys(fp: Column, radius: int, shards: int) -> Column:
+    """The shard of each of the radius + 1 bands of a fingerprint; a band has `shards` of them."""
+    bands = radius + 1
     cuts = [round(64 * k / bands) for k in range(bands + 1)]
-    mask = [F.lit(((1 << (b - a)) - 1)) for a, b in zip(cuts, cuts[1:], strict=False)]
-    part = [F.shiftrightunsigned(fp, a).bitwiseAND(m) for a, m in zip(cuts, mask, strict=False)]
-    return F.array(*[F.xxhash64(F.lit(i), F.lit(j), part[i], part[j]) for i, j in combinations(range(bands), 2)])
+    part = [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return F.array(*[F.lit(j * shards).cast("long") + F.pmod(F.xxhash64(part[j]), F.lit(shards)) for j in range(bands)])
 
 
 class BKForest:
@@ -241,6 +241,20 @@ def shard_links(routed: DataFrame, radius: int, cap: int = 4096, similarity: flo
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def with_lowest(rows: DataFrame, lowest: DataFrame, total: int, least: int = 100) -> DataFrame:
+    """rows (a, b) with m of lowest (a, m, n), where n rows have that a.
+
+    An a of over a five-hundredth of all rows is one of fewer than 500: those are
+    broadcast, so that a class's centre does not bring all its edges to one task.
+    """
+    limit = max(least, total // 500)
+    hubs = {r.a: r.m for r in lowest.filter(F.col("n") > limit).select("a", "m").collect()} if total > limit else {}
+    if not hubs:
+        return rows.join(lowest, "a").select("a", "b", "m")
+    often, known = F.col("a").isin(list(hubs)), F.broadcast(rows.sparkSession.createDataFrame(list(hubs.items()), "a long, m long"))
+    return rows.filter(often).join(known, "a").select("a", "b", "m").unionByName(rows.filter(~often).join(lowest, "a").select("a", "b", "m"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links (a, b): root is the smallest node that can be reached.
 
@@ -248,29 +262,29 @@ def components(links: DataFrame) -> DataFrame:
     partly before its shuffle, and a join. They end when the edges form stars, after
     a number of rounds that grows with the logarithm of the nodes.
     """
-    edges = written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+
+    def stored(rows: DataFrame) -> tuple[DataFrame, tuple]:
+        found = written(rows.filter("a <> b").distinct(), "edges")
+        return found, found.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
+    edges, now = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     before = None
-    while True:
+    while now != before:
+        before = now
         # large star: link each larger neighbour of u to the smallest of u and its neighbours
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(lowest, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        edges = written(large.distinct(), "edges")
+        lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        edges, size = stored(with_lowest(both, lowest, 2 * now[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         # small star: link u and its smaller neighbours to the smallest of them
-        lowest = edges.groupBy("a").agg(F.min("b").alias("m"))
-        small = edges.join(lowest, "a").select(F.explode(F.array(
-            F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        edges = written(small.filter("a <> b").distinct(), "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
+        lowest = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        edges, now = stored(with_lowest(edges, lowest, size[0]).select(F.explode(F.array(
+            F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 def classes(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(doc_id, node, component_id) from members (doc_id, node) and links between nodes.
+    """(doc_id, node, component_id) from stored members (doc_id, node) and links between nodes.
 
     component_id is the smallest doc_id of all that is linked.
     """
@@ -278,8 +292,16 @@ def classes(members: DataFrame, links: DataFrame) -> DataFrame:
     rooted = smallest.join(components(links), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     rooted = written(rooted, "roots")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_node = written(rooted.join(ids, "root").select("node", "component_id"), "classes")
-    return members.join(by_node, "node")
+    by_node = written(join_unique(rooted, ids, "root").select("node", "component_id"), "classes")
+    return join_unique(members, by_node, "node")
+
+
+def fingerprint_classes(members: DataFrame, radius: int = 2, shard: int = 2048) -> DataFrame:
+    """(doc_id, node, component_id) of stored members (doc_id, node), node being a fingerprint."""
+    distinct = written(members.select("node").distinct(), "distinct-fingerprints")
+    shards = max(1, round(distinct.count() / shard))
+    routed = distinct.select("node", F.col("node").alias("fp"), F.explode(band_keys(F.col("node"), radius, shards)).alias("key"))
+    return classes(members, shard_links(routed, radius))
 
 
 def simhash_classes(docs: DataFrame, size: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -288,44 +310,49 @@ def simhash_classes(docs: DataFrame, size: int = 3, radius: int = 2, id_col: str
     component_id is the smallest doc_id that can be reached. Null and empty texts
     have fingerprint zero and are linked like any other. A null id is carried along
     and never the smallest, unless a component has no other (then it is null).
-    Repeated ids are rows of their own. An empty table gives an empty table.
+    Repeated ids are rows of their own. Very long texts are hashed whole, one at a
+    time. A bit set in exactly half of the hashes is 0. Other columns are ignored. An
+    empty table gives an empty table.
     """
     members = written(fingerprints(docs, size, id_col, text_col), "fingerprints").withColumnRenamed("fp", "node")
-    distinct = members.select("node").distinct()
-    routed = distinct.select("node", F.col("node").alias("fp"), F.explode(band_keys(F.col("node"), radius)).alias("key"))
-    found = classes(members, shard_links(routed, radius))
-    return found.select("doc_id", F.col("node").alias("fp"), "component_id")
+    return fingerprint_classes(members, radius).select("doc_id", F.col("node").alias("fp"), "component_id")
 
 
-def sketches(docs: DataFrame, size: int, bands: int, rows: int, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, fp, same, n, keys, sketch) of each text with words.
+def sketches(docs: DataFrame, size: int, bands: int, rows: int, width: int, id_col: str, text_col: str, plain: int = 3) -> DataFrame:
+    """(doc_id, plain, fp, same, n, keys, sketch) of each text; of one without words all but the first two are null.
 
-    fp: of the set, so a shingle counts once, as in the similarity; same: a digest of the set of shingle hashes; n: their number; sketch: a byte of each of `width` minima of the shingles' hashes; keys: a hash of
-    `rows` whole minima for each band.
+    plain: the fingerprint of simhash_classes(), for shingles of that size; fp: of the
+    set, so a shingle counts once, as in the similarity; same: a digest of the set of
+    shingle hashes; n: their number; keys: a hash of `rows` whole minima of the shingles'
+    hashes for each band; sketch: a byte of each of the first `width` minima.
     """
-    salts = np.random.default_rng(20).integers(1, 1 << 62, (width, 2), np.uint64) | np.uint64(1)
+    salts = np.random.default_rng(20).integers(1, 1 << 62, (max(width, bands * rows), 2), np.uint64) | np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                distinct = np.unique(shingle_hashes(text.as_py(), size))
+                own = text.as_py()
+                whole = fingerprint(shingle_hashes(own, plain))
+                distinct = np.unique(shingle_hashes(own, size))
                 if not len(distinct):
+                    out.append((doc_id, whole, None, None, None, None, None))
                     continue
-                low = np.full(width, np.iinfo(np.uint64).max)
+                low = np.full(len(salts), np.iinfo(np.uint64).max)
                 for at in range(0, len(distinct), 4096):
                     np.minimum(low, (distinct[at : at + 4096, None] * salts[:, 0] + salts[:, 1]).min(axis=0), out=low)
                 mixed = low ^ (low >> np.uint64(31))
                 mixed = mixed * np.uint64(0x9E3779B97F4A7C15)
                 keys = [xxhash.xxh64_intdigest(bytes([b]) + mixed[b * rows : (b + 1) * rows].tobytes()) - (1 << 63) for b in range(bands)]
                 same = xxhash.xxh3_128_digest(distinct.tobytes())
-                out.append((doc_id, fingerprint(distinct), same, len(distinct), keys, (mixed >> np.uint64(56)).astype(np.uint8).tobytes()))
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-            columns = zip(*out, strict=True) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "fp", "same", "n", "keys", "sketch"])
+                out.append((doc_id, whole, fingerprint(distinct), same, len(distinct), keys, (mixed[:width] >> np.uint64(56)).astype(np.uint8).tobytes()))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+            columns = zip(*out, strict=True) if out else [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                                             names=["doc_id", "plain", "fp", "same", "n", "keys", "sketch"])
 
     own = id_and_text(docs, id_col, text_col).filter("doc_id is not null")
-    return own.mapInArrow(run, "doc_id long, fp long, same binary, n long, keys array<long>, sketch binary")
+    return own.mapInArrow(run, "doc_id long, plain long, fp long, same binary, n long, keys array<long>, sketch binary")
 
 
 def similar_sets(sets: list[np.ndarray], part: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -414,23 +441,27 @@ def exact_links(docs: DataFrame, groups: DataFrame, size: int, similarity: float
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 28, bands: int = 8, rows: int = 2, width: int = 256,
-                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 28, bands: int = 25, rows: int = 5, width: int = 64,
+                 id_col: str = "doc_id", text_col: str = "text", members: DataFrame | None = None) -> DataFrame:
     """(doc_id, component_id) of documents by the Jaccard similarity of their shingles; component_id is the smallest linked doc_id.
 
     Documents with one set of shingles are one node. The others meet in shards of equal MinHash
     bands, where BK-trees of SimHash fingerprints find what differs in radius bits or
     fewer and sketches of `width` bytes estimate the similarity, with a standard error of
-    0.025; up to five of those below the bound pass. Within what these pairs connect, exact_links()
+    0.05; up to five of those below the bound pass. Within what these pairs connect, exact_links()
     computes the similarities, and only pairs at the bound or above link. With the defaults a
-    pair of similarity 0.8 shares a band with a probability of 0.9997, and fails the sketch with one of 0.0000008.
+    pair of similarity 0.8 shares a band with a probability of 0.99995 (one of 0.3 with 0.06, one
+    of 0.1 with 0.0002), and fails the sketch with one of 0.000003.
     Its fingerprints differ in a bit with a probability of 0.15, and of 0.1875 at most (sets of 4 and 5): the radius
     is passed with one of 0.0000011 at most.
 
     Texts without words (null, empty) and rows without an id are linked to nothing and
-    not in the result. Repeated ids are in it more than once.
+    not in the result. Repeated ids are in it more than once. Very long texts are hashed
+    whole, one at a time. members: stored sketches() of docs, where there are some.
     """
-    members = written(sketches(docs, size, bands, rows, width, id_col, text_col), "sketches")
+    if members is None:
+        members = written(sketches(docs, size, bands, rows, width, id_col, text_col), "sketches")
+    members = members.filter("same is not null")
     nodes = members.groupBy("same").agg(F.min(F.struct("doc_id", "fp", "n", "keys", "sketch")).alias("node")).select("same", "node.*")
     nodes = written(nodes.withColumnRenamed("doc_id", "node"), "sketch-nodes")
     routed = nodes.select("node", "fp", "sketch", F.explode("keys").alias("key"))
@@ -439,19 +470,22 @@ def near_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius
     # of a node in several sets (a repeated id) all are one
     rooted = nodes.select("node", "same").join(components(links), "node", "left")
     by_set = written(rooted.select("same", F.coalesce("root", "node").alias("component_id")), "set-classes")
-    return members.select("doc_id", "same").join(by_set, "same").select("doc_id", "component_id")
+    return join_unique(members.select("doc_id", "same"), by_set, "same").select("doc_id", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, bands: int = 25, rows: int = 5, width: int = 64, **options) -> DataFrame:
     """The rows of docs, all columns, without near-duplicates: of each class the smallest id stays.
 
     Linked are documents with fingerprints of simhash_classes() near each other, and
-    those that near_classes() finds similar. Texts without words have one fingerprint,
-    so one of them stays. Rows without an id stay, and so do rows that repeat a kept id.
+    those that near_classes() finds similar; the texts are hashed once for both. Texts
+    without words have one fingerprint, so one of them stays. Rows without an id stay,
+    and so do rows that repeat a kept id.
     """
     named = docs.filter(F.col(id_col).isNotNull())
-    pairs = [x.filter("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-             for x in (simhash_classes(named, id_col=id_col, text_col=text_col), near_classes(named, id_col=id_col, text_col=text_col, **options))]
+    members = written(sketches(named, size, bands, rows, width, id_col, text_col), "sketches")
+    by_bits = fingerprint_classes(members.select("doc_id", F.col("plain").alias("node")))
+    by_shingles = near_classes(named, size, bands=bands, rows=rows, width=width, id_col=id_col, text_col=text_col, members=members, **options)
+    pairs = [x.filter("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")) for x in (by_bits, by_shingles)]
     gone = components(pairs[0].unionByName(pairs[1])).filter("node <> root").select(F.col("node").alias("gone")).distinct()
     return docs.join(gone, F.col(id_col).cast("long") == F.col("gone"), "left_anti")
 

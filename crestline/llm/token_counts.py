@@ -186,13 +186,16 @@ def count_edited(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_
 
     Null texts count as empty, null edits as none, a null replacement as empty; places
     beyond the text are its end. Rows are independent; null and repeated ids are carried
-    along. An empty table gives an empty table.
+    along. Very long texts are counted whole, one at a time; a pre-token of any length
+    (white space without end, a single letter repeated) is one leaf entry. Other columns
+    are ignored. An empty table gives an empty table.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(edits_col).alias("edits"))
     schema = "doc_id long, n_tokens long, n_pre_tokens long, n_edits long, n_reencoded long, n_tokens_after long, edited string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counts(byte_bpe(ranks_path).encode_ordinary)
+        # a pre-token is merged as it is, without the pattern that has made it
+        counts = Counts(byte_bpe(ranks_path)._encode_single_piece)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

@@ -9,10 +9,11 @@ from collections import defaultdict
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from crestline.llm.bpe_trie import encode_decode, op8_bpe_trie
-from crestline.llm.packing import op6_packing, pack, pack_documents
+from crestline.llm.packing import MAX_LOSS, byte_bpe, encoded, first_line, op6_packing, pack, pack_documents
 from crestline.llm.simhash import components, op10_simhash, shard_links, simhash_classes
 
 SF = "/root/testdata/sf0.001"
@@ -55,8 +56,42 @@ def check_pieces(rows, ids_of, max_tokens=1024, max_segments=64):
 
 def test_op6_every_id_once(spark):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    ids = {k: [*tok.encode(t, add_special_tokens=False).ids, 0] for k, t in texts_of(spark).items()}
-    check_pieces(op6_packing(spark, SF).collect(), ids)
+    texts = texts_of(spark)
+    ids = {k: [*tok.encode(t, add_special_tokens=False).ids, 0] for k, t in texts.items()}
+    rows = op6_packing(spark, SF).collect()
+    check_pieces(rows, ids)
+    loss, by_seq = defaultdict(int), defaultdict(list)
+    for r in rows:
+        loss[r.doc_id] += r.loss_tokens
+        by_seq[r.sequence_id].append(r)
+    # an id that begins in the first line and ends in it bears no loss
+    for k, t in texts.items():
+        ends, free = 0, len(t[: t.find("\n") + 1].encode())
+        prompt = 0
+        for i in ids[k][:-1]:
+            ends += len(byte_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken")).decode_single_token_bytes(i))
+            prompt += ends <= free
+        assert loss[k] == len(ids[k]) - prompt
+    assert max(sum(p.loss_tokens for p in s) for s in by_seq.values()) == 992
+    full = [s for s in by_seq.values() if sum(p.length for p in s) == 1024]
+    assert len(full) > 0.9 * len(by_seq)
+
+
+def test_each_limit_binds_by_itself(spark):
+    """Answers alone meet the loss limit, prompts alone the token limit, one-token texts the segment limit."""
+    answers = [(n, "word " * 3000) for n in range(4)]
+    prompts = [(n, "word " * 3000 + "\n") for n in range(4)]
+    small = [(n, "") for n in range(200)]
+    found = []
+    for rows in (answers, prompts, small):
+        by_seq = defaultdict(list)
+        for r in pack_documents(spark.createDataFrame(rows, DOCS).coalesce(1), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                                prompt=first_line(F.col("text")), max_loss=MAX_LOSS).collect():
+            by_seq[r.sequence_id].append(r)
+        found.append([max(f(s) for s in by_seq.values()) for f in (lambda s: sum(p.length for p in s), len, lambda s: sum(p.loss_tokens for p in s))])
+    assert found[0][0] == found[0][2] == 512  # 992, cut back to a power of two
+    assert found[1][0] == 1024 and found[1][1] < 64 and found[1][2] < 992
+    assert found[2] == [64, 64, 64]
 
 
 def test_pack_odd_texts(spark):
@@ -87,6 +122,15 @@ def test_pack_keeps_all_three_limits(spark, limits):
         assert sum(p.loss_tokens for p in by_doc[n]) == max(0, len(ids) // 4 - (loss_start or 0))
 
 
+def test_runs_of_white_space_keep_the_library_s_ids():
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    enc, rng = byte_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken")), random.Random(1)
+    for _ in range(40):
+        parts = [" " * rng.randrange(900, 1100), "\n" * 1500, "\u3000" * 1200, "\x1c" * 1200, "a", "b c", "<|endoftext|>", "\t", " " * 1200, "'s", "1"]
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(12))) + "q" * 100_000 + rng.choice(["", " " * 1500])
+        assert encoded(text, enc) == tok.encode(text, add_special_tokens=False).ids
+
+
 def test_pack_empty_table_and_bad_limits(spark):
     none = spark.createDataFrame([], "doc_id long, ids binary, loss_start long")
     assert pack(none).count() == 0
@@ -174,12 +218,10 @@ def test_links_of_crowded_fingerprints(spark, cap):
     fps = sorted(fps)
     rng.shuffle(fps)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    from pyspark.sql import functions as F
-
     from crestline.llm.simhash import band_keys
 
     nodes = spark.createDataFrame([(f,) for f in signed], "node long").select("node", F.col("node").alias("fp"))
-    routed = nodes.select("node", "fp", F.explode(band_keys(F.col("fp"), 2)).alias("key"))
+    routed = nodes.select("node", "fp", F.explode(band_keys(F.col("fp"), 2, 3)).alias("key"))
     links = shard_links(routed, 2, cap)
     root = {r.node: r.root for r in components(links).collect()}
     want = brute_components(fps, 2)

@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 
 from crestline.llm.hamming_search import top_k
-from crestline.llm.simhash import keep_one, near_classes
+from crestline.llm.simhash import components, keep_one, near_classes
 
 SF = "/root/testdata/sf0.001"
 
@@ -141,6 +141,53 @@ def test_keep_one_odd_table(spark):
     assert keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_near_classes_recall_at_the_bound(spark):
+    """Pairs of similarity 0.80 to 0.82: none of 1,000 lost."""
+    rng = random.Random(21)
+    docs = []
+    for n in range(1000):
+        base = [f"w{rng.getrandbits(40)}" for _ in range(104)]
+        other = list(base)
+        other[47], other[60] = "edit", "edit"  # 90 of 110 shingles are in both
+        docs += [(2 * n, " ".join(base)), (2 * n + 1, " ".join(other))]
+    a, b = ({tuple(t.split()[i : i + 5]) for i in range(100)} for _, t in docs[:2])
+    assert 0.8 <= len(a & b) / len(a | b) < 0.82
+    got = {r.doc_id: r.component_id for r in near_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    caught = sum(got[2 * n + 1] == 2 * n for n in range(1000))
+    assert caught >= 999 and all(got[2 * n] == 2 * n for n in range(1000))
+
+
+def test_edges_of_a_hub(spark):
+    """A class whose centre has most edges: broadcast, not brought to one task."""
+    edges = [(0, n) for n in range(1, 2000)] + [(5000 + n, 5001 + n) for n in range(300)] + [(7, 5000), (9000, 9001)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: 0 for n in [*range(2000), *range(5000, 5301)]} | {9000: 9000, 9001: 9000}
+
+
+def test_stages_keep_odd_rows_and_columns(spark):
+    import corpus_pipeline as pipeline
+
+    good = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.text}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    text = next(t for k, t in good.items() if labels.get(k) == 1 and len(t.split()) > 100)
+    rows = [(1, text, "en", None, 1), (1, text, "en", "s", 2), (None, text, None, "s", None), (2, None, "en", "s", 0), (3, "", None, None, 0)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in pipeline.STAGES:
+        found = stage(spark, odd, SF)
+        assert stage(spark, odd.limit(0), SF).count() == 0
+        if name in ("quality rules", "quality classifier"):
+            assert found.columns == odd.columns
+            kept = [tuple(r) for r in found.collect()]
+            assert set(kept) <= set(rows) and all(r in kept for r in rows[:3])
+        elif name == "packing":
+            by = defaultdict(int)
+            for r in found.collect():
+                by[r.doc_id] += r.length
+            assert by.keys() == {1, 2, 3, None} and by[2] == by[3] == 1 and by[1] == 2 * by[None]
+        else:
+            assert found.columns == odd.columns
+
+
 def test_pipeline_stage_by_stage(spark):
     import corpus_pipeline as pipeline
     from crestline.llm.common import written
