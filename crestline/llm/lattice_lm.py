@@ -15,7 +15,8 @@ its words of the word's, and each distinct word is worked on once:
 3. a pass over the table of words adds each word's log probability;
 4. a second pass over the documents adds up what concerns the `head` most frequent
    words, a table bounded by that number, and joins only the other, rarer words.
-   Those are spread evenly, for no frequent word is left among them.
+   Those are spread evenly, for no frequent word is left among them. Here a word of
+   over 64 bytes goes by a 128-bit digest, so the head is bounded in bytes as well.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +49,11 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(LOWER_BYTES).split()
 
 
+def key_of(word: bytes) -> bytes:
+    """A word as it is; a long one's digest after a byte that UTF-8 has not."""
+    return word if len(word) <= 64 else b"\xff" + xxhash.xxh3_128_digest(word)
+
+
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> tuple[tuple[bytes, ...], np.ndarray]:
     """(pieces as bytes, their prior probabilities). A blank stands for the start of a word.
@@ -243,8 +250,10 @@ def score(docs: DataFrame, path: str, training: F.Column | None = None, head: in
     marginal probability over all segmentations, the end included).
 
     Null and empty texts are the end alone. Null and repeated ids are carried along:
-    rows are scored one by one. An empty table gives an empty table. Without training
-    rows the vocabulary's own weights stand and no word is known.
+    rows are scored one by one. Very long texts are scored whole, one at a time, and so
+    are very long words, in learning as well. Of equally frequent words the smaller
+    comes first. Other columns are ignored. An empty table gives an empty table. Without
+    training rows the vocabulary's own weights stand and no word is known.
     """
     spark = docs.sparkSession
     training = F.coalesce(training, F.lit(False)) if training is not None else F.lit(True)
@@ -263,7 +272,8 @@ def score(docs: DataFrame, path: str, training: F.Column | None = None, head: in
         lattice = Lattice(vocabulary(path)[0], log_p.value)
         for batch in batches:
             marginal = lattice.log_probabilities([b" " + w for w in batch.column("word").to_pylist()]) / LN10
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), batch.column("n_train"), pa.array(marginal)], names=["word", "n", "n_train", "marginal"])
+            keys = pa.array(map(key_of, batch.column("word").to_pylist()), pa.binary())
+            yield pa.RecordBatch.from_arrays([keys, batch.column("n"), batch.column("n_train"), pa.array(marginal)], names=["word", "n", "n_train", "marginal"])
 
     weighed = written(counts.filter("octet_length(word) > 0").mapInArrow(weigh, "word binary, n long, n_train long, marginal double"), "word-scores")
     top = weighed.orderBy(F.desc("n"), "word").limit(head).toArrow()
@@ -282,6 +292,7 @@ def score(docs: DataFrame, path: str, training: F.Column | None = None, head: in
                 n_known, base, marginal = int(ends > 0), math.log10(ends + 0.5) - unit, stop + go_on * size
                 rare = []
                 for word, n in words.items():
+                    word = key_of(word)
                     if (found := base_of.get(word)) is not None:
                         base += n * found[0]
                         n_known += n * found[1]
