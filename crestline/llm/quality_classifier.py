@@ -6,8 +6,8 @@ and word pairs, and of one to three shapes in a row (a shape: letter case, marks
 at the end, and whether the word repeats the one before), hashed to `dims` places.
 
 The fit takes at most `max_rows` labelled rows, those with the smallest hash of
-their id; that bound makes its broadcast and what comes to the driver bounded
-too. Scoring reads every document once, without a shuffle, with two arrays of
+their id, one an id; that bound makes its broadcast and what comes to the driver
+bounded too. Scoring reads every document once, without a shuffle, with two arrays of
 `dims` numbers.
 """
 
@@ -166,7 +166,12 @@ def held_out(doc_id: str = "doc_id", fold: int = 0) -> F.Column:
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", fold: int | None = 0, max_rows: int = MAX_ROWS, dims: int = DIMS,
           id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on labelled documents, at most max_rows of them, without those of the held-out fold (None: all)."""
+    """Fit on labelled documents, at most max_rows of them, without those of the held-out fold (None: all).
+
+    Of an id's labels the largest counts; of an id's rows in docs the one whose n-gram
+    places are smallest, so no id brings more than one row. Null ids, labels and rows
+    without a text of their own learn nothing or count as empty; no labels: a constant score.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna()
     if fold is not None:
         known = known.filter(~held_out(fold=fold))
@@ -180,7 +185,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", fold:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(places, pa.binary())], names=["doc_id", "label", "places"])
 
     own = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
-    found = own.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, places binary").toArrow()
+    found = own.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, places binary")
+    found = found.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("places").alias("places")).toArrow()
     order = np.lexsort([[zlib.crc32(x) for x in found.column("places").to_pylist()], found.column("doc_id").to_numpy()])
     rows = [np.frombuffer(found.column("places")[int(i)].as_py(), np.int32) for i in order]
     y = np.where(found.column("label").to_numpy()[order] > 0, 1, -1) if len(order) else np.empty(0, int)
@@ -191,7 +197,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """(doc_id, score) of every row: 0 to 1, higher where label 1 is likelier.
 
     Null and empty texts get the score of a text without n-grams. Null and repeated
-    ids are carried along. An empty table gives an empty table.
+    ids are carried along. Very long texts are scored whole, one at a time; equal texts
+    score alike. Other columns are ignored. An empty table gives an empty table.
     """
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), score_column(docs.sparkSession, model)(F.coalesce(F.col(text_col), F.lit(""))).alias("score"))
 
