@@ -2,9 +2,11 @@
 
 A notice of n letters may be hit with k errors. Split into k + 1 pieces, at least
 one piece must stand in the text unchanged (the pigeonhole principle). All pieces
-of all notices are found in one pass by an Aho-Corasick automaton; around each
-find the regex library matches the whole notice with at most k errors, from left
-to right, and gives the span and the number of edits of each.
+of all notices are found in one pass by an Aho-Corasick automaton. Each find tells
+where the notice would stand, give or take k letters. A bit-parallel pass over that
+window tells whether the notice can be there with so few errors; in those that are
+left, from left to right, the regex library matches the whole notice with at most k
+errors and gives the span and the number of edits.
 
 Texts are searched in a plain form: A-Z lower-cased, words joined by one blank.
 Documents are independent of each other: no shuffle.
@@ -49,6 +51,7 @@ class Notice:
     text: str
     label: str
     errors: int
+    places: dict[str, int]  # of each letter, a bit for each place it has in the notice
     pattern: regex.Pattern
 
 
@@ -64,7 +67,8 @@ def searcher(notices: tuple[tuple[str, str], ...], error_rate: float) -> Searche
     seeds, made, pieces = ahocorasick.Automaton(), [], {}
     for n, (text, label) in enumerate(notices):
         k = max(1, int(len(text) * error_rate))
-        made.append(Notice(text, label, k, regex.compile(rf"(?e)(?:\b{regex.escape(text, special_only=True)}\b){{e<={k}}}")))
+        places = {c: sum(1 << i for i, x in enumerate(text) if x == c) for c in set(text)}
+        made.append(Notice(text, label, k, places, regex.compile(rf"(?e)(?:\b{regex.escape(text, special_only=True)}\b){{e<={k}}}")))
         cuts = [round(len(text) * i / (k + 1)) for i in range(k + 2)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             pieces.setdefault(text[a:b], []).append((n, a))
@@ -78,27 +82,47 @@ def plain(text: str) -> str:
     return b" ".join(text.encode("utf-8", "surrogatepass").translate(PLAIN).split()).decode("utf-8", "replace")
 
 
+def may_stand(window: str, notice: Notice) -> bool:
+    """Whether some stretch of the window is at most the notice's errors away from it (columns of the edit table as bits)."""
+    size, k = len(notice.text), notice.errors
+    full, top = (1 << size) - 1, 1 << (size - 1)
+    up, down, edits = full, 0, size
+    for c in window:
+        same = notice.places.get(c, 0)
+        diagonal = (((same & up) + up) ^ up) | same | down
+        more, less = down | ~(diagonal | up) & full, diagonal & up
+        edits += 1 if more & top else -1 if less & top else 0
+        if edits <= k:
+            return True
+        more = more << 1 & full
+        up, down = (less << 1 | ~(diagonal | more)) & full, diagonal & more
+    return False
+
+
 def fuzzy_spans(text: str, find: Searcher) -> list[tuple[str, int, int, int, float]]:
-    """(label, first letter, letter after the last, edits, similarity) of each notice in a plain text."""
-    windows: dict[int, list[list[int]]] = {}
+    """(label, first letter, letter after the last, edits, similarity) of each notice in a plain text.
+
+    Finds of one notice do not overlap; the window that begins first comes first.
+    """
+    starts: dict[int, set[int]] = {}
     for end, (size, where) in find.seeds.iter(text):
         for n, at in where:
-            notice = find.notices[n]
-            start = end - size + 1 - at
-            a, b = max(0, start - notice.errors), min(len(text), start + len(notice.text) + notice.errors)
-            rows = windows.setdefault(n, [])
-            if rows and a <= rows[-1][1]:
-                # windows come about by their start: near ones are one stretch
-                rows[-1] = [min(a, rows[-1][0]), max(b, rows[-1][1])]
-            else:
-                rows.append([a, b])
+            starts.setdefault(n, set()).add(end - size + 1 - at)
     found = []
-    for n, rows in windows.items():
-        notice = find.notices[n]
-        for a, b in rows:
-            for m in notice.pattern.finditer(text, a, b):
+    for n, places in starts.items():
+        notice, free = find.notices[n], 0
+        size, k = len(notice.text), notice.errors
+        for start in sorted(places):
+            # a notice with an unspoilt piece here begins at most k letters off
+            first, stop = max(0, start - k, free), min(len(text), start + size + k)
+            if start + k < free or not may_stand(text[first:stop], notice):
+                continue
+            m = notice.pattern.search(text, first, stop)
+            # at a window's end a word may go on
+            if m and (m.end() < stop or stop == len(text) or text[stop] == " "):
                 edits = sum(m.fuzzy_counts)
-                found.append((notice.label, m.start(), m.end(), edits, 1 - edits / len(notice.text)))
+                found.append((notice.label, m.start(), m.end(), edits, 1 - edits / size))
+                free = m.end()
     return sorted(found, key=lambda x: (x[1], x[2], x[0]))
 
 
@@ -141,7 +165,9 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: tuple[tupl
     (label, first and last word, matched text, edits, similarity of each notice found
     with at most error_rate edits a letter, one at least). Words are runs of digits, letters and
     everything beyond ASCII. Null and empty texts have no words and no finds. Null and
-    repeated ids are carried along. An empty table gives an empty table.
+    repeated ids are carried along. Very long texts are scanned whole, one at a time, in
+    windows of a notice's length. Other columns are ignored. An empty table gives an
+    empty table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
