@@ -237,7 +237,9 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
 
     vocabulary: path of a tokenizer file, readable on every executor. Null and empty
     texts have no ids and decode to an empty text. Rows are independent of each
-    other; null and repeated ids are carried along. An empty table gives an empty table.
+    other; null and repeated ids are carried along. Very long texts and words are encoded
+    whole. Of equal merges the leftmost comes first, as in the library. Other columns are
+    ignored. An empty table gives an empty table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -76,6 +76,13 @@ class SortedRuns:
                 self.spark.sql(f"DROP TABLE {name}")
             level += 1
 
+    def forget(self) -> None:
+        """Take the runs out of the catalog."""
+        for level in self.levels:
+            for name in level:
+                self.spark.sql(f"DROP TABLE {name}")
+        self.levels = []
+
     def all(self) -> DataFrame:
         first, *rest = self.tables()
         for run in rest:
@@ -93,12 +100,16 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout
     batch = F.lit(0)
     for cut in cuts:
         batch = batch + (F.col("owner") > cut).cast("int")
-    lines = written(line_hashes(docs, min_chars).withColumn("batch", batch), "line-hashes")
+    lines, path = line_hashes(docs, min_chars).withColumn("batch", batch), scratch_path(spark, "line-hashes")
+    lines.write.partitionBy("batch").parquet(path)  # a batch reads its own lines alone
+    lines = spark.read.schema(lines.schema).parquet(path)
     runs = SortedRuns(spark, buckets, fanout)
     for n in range(len(cuts) + 1):
         runs.add(lines.filter(F.col("batch") == n).groupBy(*HASH).agg(F.min("owner").alias("owner")))
     gone = lines.join(runs.all(), [*HASH, "owner"], "left_anti")
-    return gone.groupBy("owner", "text_hash").agg(F.collect_set("pos").alias("dropped"))
+    dropped = written(gone.groupBy("owner", "text_hash").agg(F.collect_set("pos").alias("dropped")), "dropped-lines")
+    runs.forget()
+    return dropped
 
 
 def with_lines_dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10,
@@ -112,7 +123,9 @@ def with_lines_dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     A null text is one empty line and comes back empty. A null id counts as the
     largest. Rows that repeat one id are one document: a key stays in all of them. An
-    empty table gives an empty table. Documents that lose all lines stay, with an empty text.
+    empty table gives an empty table. Documents that lose all lines stay, with an empty
+    text. Very long texts are split whole, in one row's task. Of equal lines in one
+    document none is dropped for the other.
     """
     own = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs[text_col], F.lit("")).alias("text"),

@@ -111,8 +111,8 @@ def failure(rule: Rule, ready: tuple[str, ...] = ()) -> Column:
 def estimate_rules(docs: DataFrame, rules: tuple[Rule, ...], rows: int = 512, seed: int = 1) -> list[dict]:
     """Cost (seconds a document) and selectivity (share rejected) of each rule, on a sample of about rows documents.
 
-    Returned in the order to ask them: rejection per cost, falling. Without any
-    sampled row the given order stands. The share to sample comes from a count, so
+    Returned in the order to ask them: rejection per cost, falling; equal ones in the
+    given order. Without any sampled row the given order stands. The share to sample comes from a count, so
     about that many rows are shuffled however many partitions docs has; a limit would
     send up to rows documents from each of them to one task.
     """
@@ -159,7 +159,8 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     order defaults to what estimate_rules() finds. Null texts count as empty (no
     words, so "few words" rejects them); null or repeated ids make no difference,
-    every row is judged alone. An empty table gives an empty table.
+    every row is judged alone. Very long texts are judged whole. Other columns are
+    ignored. An empty table gives an empty table.
     """
     own = id_and_text(docs, id_col, text_col)
     if order is None:
