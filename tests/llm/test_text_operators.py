@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -13,6 +14,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from crestline.llm import license_scan, line_dedup, quality_classifier, quality_rules, token_counts
 from crestline.llm.lattice_lm import Lattice, op4_lattice_lm, score, vocabulary
@@ -125,6 +127,73 @@ def test_dual_descent_finds_a_separating_plane():
     assert all((model.margin(r) > 0) == (t > 0) for r, t in zip(rows, y))
 
 
+def plain_features(text, dims):
+    """The places of a text's n-grams, written out one by one."""
+    big = 1 << 64
+    row, looks, codes = text.encode().split(), [], []
+    for k, w in enumerate(row):
+        codes.append(zlib.crc32(w.lower()))
+        looks.append(quality_classifier.shape(w) * 2 + (k > 0 and codes[-1] == codes[-2]))
+
+    def mixed(x, salt):
+        x = (x + salt) * 0x9E3779B97F4A7C15 % big
+        return x ^ x >> 29
+
+    grams = [mixed(c, 1) for c in codes] + [mixed((mixed(a, 2) + b) % big, 2) for a, b in itertools.pairwise(codes)]
+    grams += [mixed(x, 3) for x in looks] + [mixed(a << 12 | b, 4) for a, b in itertools.pairwise(looks)]
+    grams += [mixed(a << 24 | b << 12 | c, 5) for a, b, c in zip(looks, looks[1:], looks[2:])]
+    return sorted({g * 0xD6E8FEB86659FD93 % big >> 65 - dims.bit_length() for g in grams})
+
+
+def test_op3_equals_brute_force(spark):
+    """Chosen rows, ratios, the hinge-loss optimum and every score, with plain loops; the weights by their optimality."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    model = quality_classifier.train(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    dims = quality_classifier.DIMS
+    places = {k: plain_features(t, dims) for k, t in docs.items()}
+    known = [k for k in labels if k in docs and zlib.crc32(str(k).encode()) % 5 != 0]
+    up, down = [k for k in known if labels[k]], [k for k in known if not labels[k]]
+    has = [Counter(j for k in group for j in places[k]) for group in (down, up)]
+    ratio = {j: math.log((has[1][j] + 1) / (len(up) + 2) / ((has[0][j] + 1) / (len(down) + 2))) for j in has[0].keys() | has[1].keys() if has[0][j] + has[1][j] >= 3}
+    assert np.count_nonzero(model.ratios) <= len(ratio) and all(abs(model.ratios[j] - x) < 1e-9 for j, x in ratio.items())
+
+    def margin(k):
+        x = [(j, ratio.get(j, 0.0)) for j in places[k]]
+        length = math.sqrt(sum(v * v for _, v in x)) or 1.0
+        return sum(model.weights[j] * v / length for j, v in x) + model.weights[-1]
+
+    # the primal value lies at the optimum: no small step in any of many directions is better
+    rows = [(1 if labels[k] else -1, k) for k in known]
+    loss = sum(max(0.0, 1 - y * margin(k)) for y, k in rows) + (model.weights @ model.weights) / 2
+    rng, kept = np.random.default_rng(0), model.weights.copy()
+    for _ in range(20):
+        step = np.zeros(dims + 1)
+        for _, k in [rows[i] for i in rng.integers(0, len(rows), 5)]:
+            step[places[k]] += rng.normal(0, 0.05)
+        model.weights = kept + step
+        assert sum(max(0.0, 1 - y * margin(k)) for y, k in rows) + (model.weights @ model.weights) / 2 > loss - 2e-3 * len(rows)
+    model.weights = kept
+    got = {r.doc_id: r for r in QUERIES["op3_quality_classifier"](spark, SF).collect()}
+    assert got.keys() == docs.keys()
+    for k, r in got.items():
+        want = 1 / (1 + math.exp(-min(max(model.slope * margin(k) + model.shift, -30), 30)))
+        assert abs(r.score - want) < 1e-4 and r.held_out == (zlib.crc32(str(k).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.3)
+
+
+def test_a_repeated_label_id_brings_one_row(spark):
+    docs = spark.createDataFrame([(1, f"good text {n % 7}") for n in range(10_000)] + [(n, f"good words {n}" if n % 2 else f"BAD $$ {n}") for n in range(2, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(n, n % 2) for n in range(1, 60)], "doc_id long, quality int")
+    seen = []
+    fit = quality_classifier.fit
+    quality_classifier.fit = lambda rows, y, dims: seen.append(len(rows)) or fit(rows, y, dims)
+    try:
+        quality_classifier.train(docs, labels, fold=None)
+    finally:
+        quality_classifier.fit = fit
+    assert seen == [59]
+
+
 def test_classifier_odd_tables(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     model = quality_classifier.train(odd_docs(spark), labels)
@@ -196,6 +265,52 @@ def test_op4_base_counts(spark):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 1)
 
 
+def test_lm_score_equals_brute_force(spark):
+    """Scores and learnt weights of whole texts, words of 65 to 5,000 bytes among them, by plain recursions."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["the", "Cat", "naïve", "中文字", "x1", "a" * 65, "ab" * 60, "言" * 30]) for _ in range(rng.randrange(1, 12))) for _ in range(12)]
+    texts += ["", "q" * 5000, "一" * 400 + " the"]
+    got = {r.doc_id: r for r in score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, F.col("doc_id") % 3 != 1, head=3).collect()}
+    pieces, prior = vocabulary(path)
+    weight = dict(zip(pieces, prior))
+    longest = max(map(len, pieces))
+
+    def plain(text):
+        return [b"".join(bytes([b + 32]) if 65 <= b <= 90 else bytes([b]) for b in w) for w in text.encode().split()]
+
+    def alphas(word, weight):
+        # scaled by the sum so far, so that nothing underflows
+        a, scale = [1.0], [0.0]
+        for end in range(1, len(word) + 1):
+            total = sum(a[s] * math.exp(scale[s] - scale[-1]) * weight[word[s:end]] for s in range(max(0, end - longest), end) if word[s:end] in weight)
+            a.append(1.0)
+            scale.append(scale[-1] + math.log(total))
+        return scale
+
+    expected = np.zeros(len(pieces))
+    place = {p: i for i, p in enumerate(pieces)}
+    backward = {p[::-1]: w for p, w in weight.items()}
+    for n, text in enumerate(texts):
+        if n % 3 != 1:
+            for w in plain(text):
+                w = b" " + w
+                ahead, behind = alphas(w, weight), alphas(w[::-1], backward)[::-1]
+                for s in range(len(w)):
+                    for e in range(s + 1, min(len(w), s + longest) + 1):
+                        if w[s:e] in weight:
+                            expected[place[w[s:e]]] += math.exp(ahead[s] + behind[e] - ahead[-1]) * weight[w[s:e]]
+    learnt = 1000 * prior + expected
+    learnt = dict(zip(pieces, learnt / learnt.sum()))
+    train = [plain(t) for n, t in enumerate(texts) if n % 3 != 1]
+    tokens = sum(map(len, train)) + len(train)
+    stop = (len(train) + 1) / (tokens + 2)
+    for n, text in enumerate(texts):
+        own = plain(text)
+        want = math.log10(stop) + len(own) * math.log10(1 - stop) + sum(alphas(b" " + w, learnt)[-1] for w in own) / math.log(10)
+        assert math.isclose(got[n].score, want, rel_tol=1e-9) and got[n].train_tokens == tokens
+
+
 def test_lm_rare_words_and_odd_table(spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
     few, many = (sorted((str(r.doc_id), r.n_tokens, round(r.score, 6), round(r.base_score, 6)) for r in score(odd_docs(spark), path, head=h).collect()) for h in (1, 1000))
@@ -231,6 +346,30 @@ def test_license_spans_of_neighbours_and_repeats():
     assert [r["first_word"] for r in rows] == [1 + 6 * k for k in range(2000)]
 
 
+def test_op5_base_columns_equal_sql(spark):
+    sql = r"""
+WITH d AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS w FROM documents),
+p AS (SELECT * FROM (VALUES ('mit license', 2, 'mit'), ('apache license', 2, 'apache'), ('general public license', 3, 'gpl')) t(phrase, n, label)),
+f AS (SELECT doc_id, i - 1 AS place, label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d), p WHERE array_to_string(w[i:i + n - 1], ' ') = phrase)
+SELECT d.doc_id, len(w) AS n_words, count(place) AS n_base, min(place) AS first_word, max(place) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels
+FROM d LEFT JOIN f ON d.doc_id = f.doc_id GROUP BY d.doc_id, w"""
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    want = {r[0]: tuple(r[1:]) for r in con.execute(sql).fetchall()}
+    got = license_scan.op5_license_scan(spark, sf).collect()
+    assert {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got} == want and sum(x[1] for x in want.values()) > 20
+
+
+def test_repeated_heads_of_a_notice_cost_little():
+    find = license_scan.searcher(license_scan.NOTICES, 0.08)
+    head = license_scan.NOTICES[1][0]
+    began = time.perf_counter()
+    assert not license_scan.fuzzy_spans(" ".join([head[:60]] * 1700), find) and not license_scan.fuzzy_spans(" ".join([head[:75]] * 1400), find)
+    assert time.perf_counter() - began < 5
+
+
 def test_license_base_is_every_consecutive_place(spark):
     text = "MIT license mit LICENSE x general public license general public license"
     row = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
@@ -256,7 +395,7 @@ def test_fuzzy_search_misses_nothing_within_its_bound():
 
 def test_edits_count_as_a_fresh_count():
     enc = byte_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    counts = token_counts.Counts(enc.encode_ordinary)
+    counts = token_counts.Counts(enc._encode_single_piece)
     rng = random.Random(4)
     parts = ["a", "b", "the ", "'s", " ", "  ", "\n", "1", "23", ".", " !", "é", "'", "re ", "\t"]
     for _ in range(400):
@@ -275,7 +414,6 @@ def test_edits_count_as_a_fresh_count():
 
 def test_edits_touch_little(spark):
     docs = spark.createDataFrame([(1, "some words of a text. " * 2000)], "doc_id long, text string")
-    from pyspark.sql import functions as F
 
     edits = F.array(*[F.struct(F.lit(k * 4000).alias("start"), F.lit(k * 4000 + 5).alias("stop"), F.lit("new ones").alias("new")) for k in range(10)])
     row = token_counts.count_edited(docs.withColumn("edits", edits), public_tokenizers.path("byte_bpe_50k.tiktoken")).first()
@@ -296,7 +434,6 @@ def test_op2_counts(spark):
 
 
 def test_token_counts_odd_table(spark):
-    from pyspark.sql import functions as F
 
     docs = odd_docs(spark).withColumn("edits", F.when(F.col("doc_id") == 3, F.array(F.struct(F.lit(99).alias("start"), F.lit(None).cast("int").alias("stop"), F.lit(None).cast("string").alias("new")))))
     rows = token_counts.count_edited(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()
