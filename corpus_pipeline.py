@@ -40,8 +40,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, tokenized and packed into sequences; a row per piece."""
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    """All documents, tokenized and packed into sequences; a row per piece. A first line bears no loss."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), prompt=packing.first_line(F.col("text")), max_loss=packing.MAX_LOSS)
 
 
 STAGES = [
