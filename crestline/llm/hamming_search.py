@@ -1,56 +1,67 @@
 """Exact top-k search over binary codes: incremental multi-index hashing.
 
-A code of `bits` bits is cut into m segments; an index has a row for each segment of
-each distinct code. A query looks up all values within radius s of its segments, one
-segment after another and s growing from 0. A code that has not come up after the
-first j segments at radius s differs in more than s bits in those and more than
-s - 1 in the others, so in at least j * (s + 1) + (m - j) * s bits: the kth verified
-distance is final as soon as it is not above that bound less one. A round here takes
-all segments at one radius, and only queries that are not final go on to the next.
-
-Rows with one code are one code with its k + 1 smallest ids (no more can be among the
+A code of `bits` bits is cut into m segments of 16 bits, or log2(codes) where that is more; an index
+has a row for each segment of each distinct code. A query looks up all values within
+radius s of its segments, one segment after another and s growing from 0. A code that
+has not come up after the first j segments at radius s differs in more than s bits in
+those and more than s - 1 in the others, so in at least j * (s + 1) + (m - j) * s bits:
+the kth verified distance is final as soon as it is not above that bound less one. A
+round here takes all segments at one radius, and only queries that are not final go on
+to the next.
+
+Rows with one code are one code with its smallest ids (no more can be among the
 nearest, ties going to the smaller id), so copies, even a third of all rows, cost
 nothing; queries with one code are answered once. Lookups are equi-joins on (segment,
-value), where Spark can split what is skewed; each query's best are kept per task
-before they meet.
+value), where Spark can split what is skewed. A pair that several segments or radii
+bring up counts where it comes up first, which the pair itself tells, so no pairs are
+shuffled to tell them apart. Of a query's candidates each task keeps the best alone (a
+ranked window, which Spark limits before its shuffle and sorts with spilling), so no
+query's candidates are ever gathered.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
-
-SEGMENT_BITS = 16
+from .common import join_unique, table, written
 
 
 def sign_code(vector: Column, bits: int = 64) -> Column:
     """The signs of a vector's first `bits` components as one integer: bit i is set where component i is above 0."""
-    bit = F.transform(F.slice(vector, 1, bits), lambda x, i: F.when(x > 0, F.shiftleft(F.lit(1).cast("long"), 0)).otherwise(F.lit(0).cast("long")))
+    bit = F.transform(F.slice(vector, 1, bits), lambda x: F.when(x > 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))
     return F.aggregate(F.reverse(bit), F.lit(0).cast("long"), lambda acc, b: F.shiftleft(acc, 1).bitwiseOR(b))
 
 
-def segment_rows(codes: DataFrame, code: str, bits: int, *keep: str) -> DataFrame:
-    """A row (segment, value) for each segment of a code."""
-    m = -(-bits // SEGMENT_BITS)
-    mask = F.lit((1 << SEGMENT_BITS) - 1)
-    parts = [F.shiftrightunsigned(F.col(code), i * SEGMENT_BITS).bitwiseAND(mask).cast("int") for i in range(m)]
-    return codes.select(*keep, code, F.posexplode(F.array(*parts)).alias("segment", "value"))
+def segment_cuts(bits: int, codes: int) -> list[int]:
+    """Where segments begin, and the end: 16 bits a segment, or as many as that number of codes fills if it fills more, up to 32."""
+    width = min(max(math.ceil(math.log2(max(codes, 2))), 16), 32)
+    m = -(-bits // width)
+    return [round(bits * i / m) for i in range(m + 1)]
+
+
+def segments(code: Column, cuts: list[int]) -> list[Column]:
+    return [F.shiftrightunsigned(code, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def masks(radius: int) -> list[int]:
-    return [sum(1 << b for b in bits) for bits in combinations(range(SEGMENT_BITS), radius)]
+def probes(waiting: DataFrame, cuts: list[int], radius: int) -> DataFrame:
+    """(query, segment, value): all values that differ in exactly radius bits from a query's segments."""
+    widths = F.array(*[F.lit(b - a) for a, b in zip(cuts, cuts[1:], strict=False)])
+    rows = waiting.select("query", F.posexplode(F.array(*segments(F.col("query"), cuts))).alias("segment", "value"))
+    rows = rows.select("query", "segment", "value", F.get(widths, F.col("segment")).alias("width"), F.lit(-1).alias("last"))
+    for _ in range(radius):
+        # one bit more, above those flipped already
+        rows = rows.filter("last + 1 < width").select("query", "segment", "value", "width", F.explode(F.expr("sequence(last + 1, width - 1)")).alias("last"))
+        rows = rows.withColumn("value", F.col("value").bitwiseXOR(F.expr("shiftleft(1L, last)")))
+    return rows.select("query", "segment", "value")
 
 
-def smallest(rows: DataFrame, k: int, *keys: str) -> DataFrame:
-    """The k nearest (distance, id) of each key, ids counted once."""
-    best = F.array_sort(F.collect_set(F.struct("distance", "id")))
-    parts = rows.groupBy(*keys, F.pmod(F.spark_partition_id(), F.lit(64)).alias("part")).agg(F.slice(best, 1, k).alias("best"))
-    merged = F.array_sort(F.array_distinct(F.flatten(F.collect_list("best"))))
-    return parts.groupBy(*keys).agg(F.slice(merged, 1, k).alias("best"))
+def nearest(rows: DataFrame, k: int) -> DataFrame:
+    """Of (query, code, ids, distance) the k nearest codes of each query, ties to the smaller first id."""
+    order = Window.partitionBy("query").orderBy("distance", F.col("ids")[0], "code")
+    return rows.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= k).drop("k")
 
 
 def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64) -> DataFrame:
@@ -59,47 +70,52 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64) ->
     codes and queries: (id, code), code a 64-bit integer of which `bits` are used.
     Returns query_id, rank (from 1), id, distance. A row of codes with the query's own
     id is left out. Fewer than k others: all of them. Null codes or ids are left out,
-    as queries and as codes; rows that repeat an id and a code count once. Empty
-    tables give an empty table.
+    as queries and as codes; rows that repeat an id and a code count once, an id with
+    several codes has a row for each. Empty tables give an empty table. Texts play no
+    part here; a code has 64 bits however long what it stands for was. Other columns
+    are ignored.
     """
-    known = codes.select(F.col("id").cast("long").alias("id"), F.col("code").cast("long").alias("code")).dropna()
-    asked = queries.select(F.col("id").cast("long").alias("query_id"), F.col("code").cast("long").alias("query")).dropna().distinct()
-    asked = written(asked, "queries")
-    # per distinct code the smallest ids: task by task first, so that a hot code meets as few rows
-    ids = known.groupBy("code", F.pmod(F.xxhash64("id"), F.lit(32)).alias("part")).agg(F.slice(F.array_sort(F.collect_set("id")), 1, k + 1).alias("ids"))
-    ids = ids.groupBy("code").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
-    ids = written(ids, "codes")
-    index = written(segment_rows(ids, "code", bits), "segments", ["segment", "value"])
-    total = ids.agg(F.sum(F.size("ids"))).first()[0] or 0
-    m = -(-bits // SEGMENT_BITS)
-    want = min(k + 1, total)
+    known = written(codes.select(F.col("id").cast("long").alias("id"), F.col("code").cast("long").alias("code")).dropna().distinct(), "known-codes")
+    asked = written(queries.select(F.col("id").cast("long").alias("query_id"), F.col("code").cast("long").alias("query")).dropna().distinct(), "queries")
+    # as many rows of a query's own id may be among its nearest
+    own = known.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    most = k + own
+    firsts = known.withColumn("k", F.row_number().over(Window.partitionBy("code").orderBy("id"))).filter(F.col("k") <= most)
+    ids = written(firsts.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")), "codes")
+    n_codes, total = ids.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
+    cuts = segment_cuts(bits, n_codes)
+    m, widest = len(cuts) - 1, max(b - a for a, b in zip(cuts, cuts[1:], strict=False))
+    index = ids.select("code", "ids", F.posexplode(F.array(*segments(F.col("code"), cuts))).alias("segment", "value"))
+    index = written(index, "segments", ["segment", "value"])
+    want = min(most, total)
+    apart = [F.bit_count(x) for x in segments(F.col("query").bitwiseXOR(F.col("code")), cuts)]
     waiting = asked.select("query").distinct()
-    best = None
-    for radius in range(SEGMENT_BITS + 1):
-        probes = segment_rows(waiting, "query", bits)
-        if radius:
-            probes = probes.select("query", "segment", F.explode(F.expr(f"array({', '.join(map(str, masks(radius)))})")).alias("mask"), "value")
-            probes = probes.select("query", "segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
+    best = results = None
+    for radius in range(widest + 1):
         # merged, not broadcast: the planner can't see how many rows explode() makes
-        hits = probes.join(index.hint("merge"), ["segment", "value"]).select("query", "code").distinct()
-        near = hits.join(ids.hint("merge"), "code").select(
-            "query", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).cast("int").alias("distance"), F.explode("ids").alias("id"))
-        if best is not None:
-            near = near.unionByName(best.select("query", F.explode("best").alias("b")).select("query", "b.distance", "b.id"))
-        state = smallest(near, k + 1, "query")
-        # whoever has not turned up differs in more than `radius` bits of every segment
-        covered = m * (radius + 1) - 1
-        final = (F.size("best") >= want) & (F.element_at("best", -1)["distance"] <= covered)
-        state = written(waiting.join(state, "query", "left").select(
-            "query", "best", F.coalesce(final, F.lit(want == 0)).alias("final")), "found")
-        done = state.filter("final") if radius < SEGMENT_BITS else state
-        results = done if radius == 0 else results.unionByName(done)  # noqa: F821
-        best = state.filter("not final and best is not null").select("query", "best")
+        hits = probes(waiting, cuts, radius).join(index.hint("merge"), ["segment", "value"])
+        # nothing nearer in any segment, and farther in those before this one: here the pair comes up first
+        first = F.lit(True)
+        for i, d in enumerate(apart):
+            first = first & (d >= radius) & ((F.col("segment") <= i) | (d > radius))
+        near = hits.filter(first).select("query", "code", "ids", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).cast("int").alias("distance"))
+        state = nearest(near if best is None else near.unionByName(best), most).groupBy("query").agg(
+            F.array_sort(F.collect_list(F.struct("distance", "ids", "code"))).alias("best"))
+        # the distance at which there are as many ids as wanted; who has not turned up differs in more than `radius` bits of every segment
+        reach = F.aggregate("best", F.struct(F.lit(want).cast("long").alias("left"), F.lit(0).alias("at")), lambda acc, b: F.when(acc["left"] > 0, F.struct(
+            (acc["left"] - F.size(b["ids"])).cast("long").alias("left"), b["distance"].alias("at"))).otherwise(acc))
+        final = (reach["left"] <= 0) & (reach["at"] <= m * (radius + 1) - 1)
+        state = written(waiting.join(state, "query", "left").select("query", "best", F.coalesce(final, F.lit(want == 0)).alias("final")), "found")
+        done = state if radius == widest else state.filter("final")
+        results = done if results is None else results.unionByName(done)
         waiting = state.filter("not final").select("query")
-        if radius == SEGMENT_BITS or not waiting.take(1):
+        if radius == widest or not waiting.take(1):
             break
-    ranked = asked.join(results, "query").select("query_id", F.filter("best", lambda b: b["id"] != F.col("query_id")).alias("best"))
-    return ranked.select("query_id", F.posexplode(F.slice("best", 1, k)).alias("pos", "b")).select(
+        best = state.filter("not final").select("query", F.explode("best").alias("b")).select("query", "b.code", "b.ids", "b.distance")
+    answers = results.select("query", F.expr("flatten(transform(best, b -> transform(b.ids, i -> struct(b.distance, i as id))))").alias("pairs"))
+    ranked = join_unique(asked, answers, "query").select(
+        "query_id", F.array_sort(F.filter("pairs", lambda b: b["id"] != F.col("query_id"))).alias("pairs"))
+    return ranked.select("query_id", F.posexplode(F.slice("pairs", 1, k)).alias("pos", "b")).select(
         "query_id", (F.col("pos") + 1).alias("rank"), "b.id", "b.distance")
 
 
