@@ -6,23 +6,22 @@ radius s of its segments, one segment after another and s growing from 0. A code
 has not come up after the first j segments at radius s differs in more than s bits in
 those and more than s - 1 in the others, so in at least j * (s + 1) + (m - j) * s bits:
 the kth verified distance is final as soon as it is not above that bound less one. A
-round here takes a step of these, or several of few values, and only queries that are
-not final go on to the next.
+round here takes all segments at one radius, and only queries that are not final go on
+to the next.
 
 Rows with one code are one code with its smallest ids (no more can be among the
 nearest, ties going to the smaller id), so copies, even a third of all rows, cost
 nothing; queries with one code are answered once. Lookups are equi-joins on (segment,
-value), where Spark can split what is skewed. A pair that several segments or radii
-bring up counts where it comes up first, which the pair itself tells, so no pairs are
-shuffled to tell them apart. Of a query's candidates each task keeps the best alone (a
-ranked window, which Spark limits before its shuffle and sorts with spilling), so no
-query's candidates are ever gathered.
+value), where Spark can split what is skewed. Of a query's candidates each task keeps
+the best alone (a ranked window, which Spark limits before its shuffle and sorts with
+spilling), so no query's candidates are ever gathered. A pair comes up once for each
+segment at most; the window keeps m times as many rows as wanted, and only those are
+told apart.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,25 +46,11 @@ def segments(code: Column, cuts: list[int]) -> list[Column]:
     return [F.shiftrightunsigned(code, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def rounds(cuts: list[int], few: int = 600) -> Iterator[list[tuple[int, int]]]:
-    """The (radius, segment) steps of each round: in order, as many as look up to `few` values, one at least."""
-    widths, taken, size = [b - a for a, b in zip(cuts, cuts[1:], strict=False)], [], 0
-    for radius in range(max(widths) + 1):
-        for j, width in enumerate(widths):
-            values = math.comb(width, radius)
-            if taken and size + values > few:
-                yield taken
-                taken, size = [], 0
-            taken, size = [*taken, (radius, j)], size + values
-    yield taken
-
-
-def probes(waiting: DataFrame, cuts: list[int], radius: int, asked: list[int]) -> DataFrame:
-    """(query, segment, value): all values that differ in exactly radius bits from a query's segments, of those asked."""
-    own = segments(F.col("query"), cuts)
-    rows = waiting.select("query", F.explode(F.array(*[F.struct(
-        F.lit(j).alias("segment"), own[j].alias("value"), F.lit(cuts[j + 1] - cuts[j]).alias("width")) for j in asked])).alias("s"))
-    rows = rows.select("query", "s.*", F.lit(-1).alias("last"))
+def probes(waiting: DataFrame, cuts: list[int], radius: int) -> DataFrame:
+    """(query, segment, value): all values that differ in exactly radius bits from a query's segments."""
+    widths = F.array(*[F.lit(b - a) for a, b in zip(cuts, cuts[1:], strict=False)])
+    rows = waiting.select("query", F.posexplode(F.array(*segments(F.col("query"), cuts))).alias("segment", "value"))
+    rows = rows.select("query", "segment", "value", F.get(widths, F.col("segment")).alias("width"), F.lit(-1).alias("last"))
     for _ in range(radius):
         # one bit more, above those flipped already
         rows = rows.filter("last + 1 < width").select("query", "segment", "value", "width", F.explode(F.expr("sequence(last + 1, width - 1)")).alias("last"))
@@ -73,10 +58,12 @@ def probes(waiting: DataFrame, cuts: list[int], radius: int, asked: list[int]) -
     return rows.select("query", "segment", "value")
 
 
-def nearest(rows: DataFrame, k: int) -> DataFrame:
-    """Of (query, code, ids, distance) the k nearest codes of each query, ties to the smaller first id."""
+def nearest(rows: DataFrame, k: int, copies: int) -> DataFrame:
+    """Of (query, code, ids, distance), each up to `copies` times, the k nearest codes of each query, ties to the smaller first id."""
     order = Window.partitionBy("query").orderBy("distance", F.col("ids")[0], "code")
-    return rows.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= k).drop("k")
+    few = rows.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= k * copies).drop("k")
+    best = F.array_sort(F.collect_set(F.struct("distance", "ids", "code")))
+    return few.groupBy("query").agg(F.slice(best, 1, k).alias("best"))
 
 
 def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64) -> DataFrame:
@@ -99,30 +86,21 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64) ->
     ids = written(firsts.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")), "codes")
     n_codes, total = ids.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
     cuts = segment_cuts(bits, n_codes)
-    m = len(cuts) - 1
+    m, widest = len(cuts) - 1, max(b - a for a, b in zip(cuts, cuts[1:], strict=False))
     index = ids.select("code", "ids", F.posexplode(F.array(*segments(F.col("code"), cuts))).alias("segment", "value"))
     index = written(index, "segments", ["segment", "value"])
     want = min(most, total)
-    apart = F.array(*[F.bit_count(x) for x in segments(F.col("query").bitwiseXOR(F.col("code")), cuts)])
     waiting = asked.select("query").distinct()
     best = results = None
-    for taken in rounds(cuts):
-        asking = None
-        for radius in sorted({r for r, _ in taken}):
-            some = probes(waiting, cuts, radius, [j for r, j in taken if r == radius])
-            asking = some if asking is None else asking.unionByName(some)
+    for radius in range(widest + 1):
         # merged, not broadcast: the planner can't see how many rows explode() makes
-        hits = asking.join(index.filter(F.col("segment").isin([j for _, j in taken])).hint("merge"), ["segment", "value"])
-        # a pair comes up first in the first of its nearest segments
-        first = F.array_position(apart, F.array_min(apart)) == F.col("segment") + 1
-        near = hits.filter(first).select("query", "code", "ids", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).cast("int").alias("distance"))
-        state = nearest(near if best is None else near.unionByName(best), most).groupBy("query").agg(
-            F.array_sort(F.collect_list(F.struct("distance", "ids", "code"))).alias("best"))
-        # the distance at which there are as many ids as wanted; who has not turned up differs in
-        # more bits than the last radius of the segments done at it, and in as many of the others
+        hits = probes(waiting, cuts, radius).join(index.hint("merge"), ["segment", "value"])
+        near = hits.select("query", "code", "ids", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).cast("int").alias("distance"))
+        state = nearest(near if best is None else near.unionByName(best), most, m + 1)
+        # the distance at which there are as many ids as wanted; who has not turned up differs in more than `radius` bits of every segment
         reach = F.aggregate("best", F.struct(F.lit(want).cast("long").alias("left"), F.lit(0).alias("at")), lambda acc, b: F.when(acc["left"] > 0, F.struct(
             (acc["left"] - F.size(b["ids"])).cast("long").alias("left"), b["distance"].alias("at"))).otherwise(acc))
-        final = (reach["left"] <= 0) & (reach["at"] <= m * taken[-1][0] + taken[-1][1])
+        final = (reach["left"] <= 0) & (reach["at"] <= m * (radius + 1) - 1)
         state = written(waiting.join(state, "query", "left").select("query", "best", F.coalesce(final, F.lit(want == 0)).alias("final")), "found")
         results = state.filter("final") if results is None else results.unionByName(state.filter("final"))
         waiting = state.filter("not final").select("query")

@@ -441,17 +441,17 @@ def exact_links(docs: DataFrame, groups: DataFrame, size: int, similarity: float
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 28, bands: int = 25, rows: int = 5, width: int = 64,
+def near_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 28, bands: int = 20, rows: int = 5, width: int = 32,
                  id_col: str = "doc_id", text_col: str = "text", members: DataFrame | None = None) -> DataFrame:
     """(doc_id, component_id) of documents by the Jaccard similarity of their shingles; component_id is the smallest linked doc_id.
 
     Documents with one set of shingles are one node. The others meet in shards of equal MinHash
     bands, where BK-trees of SimHash fingerprints find what differs in radius bits or
     fewer and sketches of `width` bytes estimate the similarity, with a standard error of
-    0.05; up to five of those below the bound pass. Within what these pairs connect, exact_links()
+    0.07; up to five of those below the bound pass. Within what these pairs connect, exact_links()
     computes the similarities, and only pairs at the bound or above link. With the defaults a
-    pair of similarity 0.8 shares a band with a probability of 0.99995 (one of 0.3 with 0.06, one
-    of 0.1 with 0.0002), and fails the sketch with one of 0.000003.
+    pair of similarity 0.8 shares a band with a probability of 0.9996 (one of 0.3 with 0.05, one
+    of 0.1 with 0.0002), and fails the sketch with one of 0.00001.
     Its fingerprints differ in a bit with a probability of 0.15, and of 0.1875 at most (sets of 4 and 5): the radius
     is passed with one of 0.0000011 at most.
 
@@ -473,7 +473,7 @@ def near_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius
     return join_unique(members.select("doc_id", "same"), by_set, "same").select("doc_id", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, bands: int = 25, rows: int = 5, width: int = 64, **options) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, bands: int = 20, rows: int = 5, width: int = 32, **options) -> DataFrame:
     """The rows of docs, all columns, without near-duplicates: of each class the smallest id stays.
 
     Linked are documents with fingerprints of simhash_classes() near each other, and
