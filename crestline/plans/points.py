@@ -149,11 +149,10 @@ def target_occluded(spark, sf):
 
 
 @query("p6_inspect", f"""WITH {GRAD_SQL} SELECT view_id, px::INT AS px, py::INT AS py, {r3_sql('distance')} AS distance, {r3_sql('elevation')} AS elevation, {r3_sql('atan(sqrt(grad_e * grad_e + grad_n * grad_n)) * 180 / pi()')} AS slope_deg,
-  {r3_sql('(degrees(atan2(-grad_e, -grad_n)) + 360) - 360 * floor((degrees(atan2(-grad_e, -grad_n)) + 360) / 360)')} AS aspect_deg FROM gg WHERE (px + py) % 3 = 0""")
+  {r3_sql('(degrees(atan2(-grad_e, -grad_n)) + 360) - 360 * floor((degrees(atan2(-grad_e, -grad_n)) + 360) / 360)')} AS aspect_deg FROM gg""")
 def inspect(spark, sf):
     hits, _, _ = tracing.hits_with_gradients(spark, sf)
-    pixels = hits.filter("(px + py) % 3 = 0").select("view_id", "px", "py")
-    return points.inspect(hits, pixels).select("view_id", "px", "py", *[r3(F.col(c)).alias(c) for c in ("distance", "elevation", "slope_deg", "aspect_deg")])
+    return points.inspect(hits, hits.select("view_id", "px", "py")).select("view_id", "px", "py", *[r3(F.col(c)).alias(c) for c in ("distance", "elevation", "slope_deg", "aspect_deg")])
 
 
 def places(spark, sf):
@@ -249,11 +248,11 @@ def _primary_sql() -> str:
 BOTH_SQL = CELLS_SQL + _primary_sql()
 
 
-@query("c1_pick_frame", """WITH d AS (SELECT s_suppkey // 3 AS view_id, CASE WHEN s_suppkey % 5 = 0 THEN 4326 ELSE 2056 END AS epsg FROM supplier WHERE s_suppkey % 4 <> 1)
+@query("c1_pick_frame", """WITH d AS (SELECT CASE WHEN s_suppkey % 4 = 0 THEN -s_suppkey ELSE s_suppkey // 3 END AS view_id, CASE WHEN s_suppkey % 5 = 0 THEN 4326 ELSE 2056 END AS epsg FROM supplier)
 SELECT view_id, CASE WHEN count(*) = 1 AND min(epsg) <> 4326 THEN 'crs' ELSE 'aeqd' END AS kind, CASE WHEN count(*) = 1 AND min(epsg) <> 4326 THEN min(epsg) END AS epsg FROM d GROUP BY 1""")
 def pick_frame(spark, sf):
     k = F.col("s_suppkey")
-    rows = table(spark, sf, "supplier").filter(k % 4 != 1).select(F.floor(k / 3).alias("view_id"), F.when(k % 5 == 0, 4326).otherwise(2056).alias("epsg"))
+    rows = table(spark, sf, "supplier").select(F.when(k % 4 == 0, -k).otherwise(F.floor(k / 3)).alias("view_id"), F.when(k % 5 == 0, 4326).otherwise(2056).alias("epsg"))
     return catalogue.pick_frame(rows.withColumn("projected", F.col("epsg") != 4326))
 
 

@@ -10,7 +10,7 @@ from ..sources import tiles as store
 from ..storage import scratch_path
 from . import terrain, tracing
 from .registry import query, r3, r3_sql, table
-from .terrain import MOSAIC_SQL, VERTICES_SQL
+from .terrain import CELLS_SQL, MOSAIC_SQL
 
 
 @query("s1_discover_sources", "SELECT '.txt' AS kind, count(*) AS count FROM (SELECT s_suppkey FROM supplier UNION SELECT l_suppkey FROM lineitem) HAVING count(*) > 0")
@@ -65,7 +65,7 @@ def read_peaks(spark, sf):
     return found.groupBy("elevation", "prominence", "name").agg(F.count_distinct("peak_id").alias("n"))
 
 
-@query("s7_read_manifest", f"""WITH {VERTICES_SQL} SELECT trow, tcol, {r3_sql('min(z)')} AS zmin, {r3_sql('max(z)')} AS zmax FROM v GROUP BY 1, 2""")
+@query("s7_read_manifest", f"""WITH {CELLS_SQL} SELECT trow, tcol, {r3_sql('min(z)')} AS zmin, {r3_sql('max(z)')} AS zmax FROM v SEMI JOIN c USING (trow, tcol) GROUP BY 1, 2""")
 def read_manifest(spark, sf):
     path = scratch_path(spark, "tiles")
     store.write_tiles(terrain.vertices(spark, sf).withColumn("lod", F.lit(1)), path)
@@ -74,17 +74,17 @@ def read_manifest(spark, sf):
     return store.read_manifest(spark, path).select("trow", "tcol", r3(F.col("zmin") + F.col("zmax") * eps / (1 + eps)).alias("zmin"), r3(F.col("zmax") / (1 + eps)).alias("zmax"))
 
 
-@query("s8_write_tiles", f"""WITH {VERTICES_SQL}, k AS (SELECT DISTINCT trow, tcol FROM v), n AS (SELECT count(*) AS n FROM k)
-SELECT 1 AS run, least(n, 3) AS written, n - least(n, 3) AS skipped FROM n UNION ALL SELECT 2, n - least(n, 3), least(n, 3) FROM n UNION ALL SELECT 3, 0, n FROM n""")
+@query("s8_write_tiles", f"""WITH {CELLS_SQL}, k AS (SELECT DISTINCT trow, tcol FROM c), n AS (SELECT count(*) AS n FROM k)
+SELECT 1 AS run, least(n, 3) AS written, 0 AS skipped FROM n UNION ALL SELECT 2, n - least(n, 3), least(n, 3) FROM n UNION ALL SELECT 3, 0, least(n, 5) FROM n""")
 def write_tiles(spark, sf):
-    """Three tiles, then the rest, then nothing is left to do."""
+    """Three tiles, then the rest, then five that are there already."""
     path = scratch_path(spark, "tiles")
     vertices = terrain.vertices(spark, sf).withColumn("lod", F.lit(1))
-    done = [store.write_tiles(vertices, path, max_tiles=limit).withColumn("run", F.lit(run)) for run, limit in ((1, 3), (2, None), (3, None))]
+    done = [store.write_tiles(vertices, path, max_tiles=limit).withColumn("run", F.lit(run)) for run, limit in ((1, 3), (2, None), (3, 5))]
     return done[0].unionByName(done[1]).unionByName(done[2]).select("run", "written", "skipped")
 
 
-@query("s9_write_products")
+@query("s9_write_products", f"WITH {tracing.GRAD_SQL} SELECT view_id, count(*) AS n_hits, {r3_sql('min(distance)')} AS nearest FROM gg GROUP BY 1")
 def write_products(spark, sf):
     hits, _, _ = tracing.hits_with_gradients(spark, sf)
     path = scratch_path(spark, "products")

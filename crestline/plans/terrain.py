@@ -61,8 +61,8 @@ v AS (SELECT tcol, trow, (col - tcol * 16)::INT AS x, (16 - (row - trow * 16))::
   SELECT m.*, col // 16 - dc AS tcol, row // 16 - dr AS trow FROM m, (SELECT unnest([0, 1]) AS dc) a, (SELECT unnest([0, 1]) AS dr) b
   WHERE (dc = 0 OR col % 16 = 0) AND (dr = 0 OR row % 16 = 0))
   WHERE tcol BETWEEN 0 AND (n - 1) // 16 AND trow BETWEEN 0 AND (n - 1) // 16)"""
+# a vertex is a corner of four cells: one aggregation, no self join
 CELLS_SQL = VERTICES_SQL + """,
-c AS (SELECT a.trow, a.tcol, a.y, a.x, a.z AS z00, b.z AS z01, p.z AS z10, q.z AS z11, greatest(a.z, b.z, p.z, q.z) AS zmax
-  FROM v a JOIN v b ON b.trow = a.trow AND b.tcol = a.tcol AND b.y = a.y AND b.x = a.x + 1
-  JOIN v p ON p.trow = a.trow AND p.tcol = a.tcol AND p.y = a.y + 1 AND p.x = a.x
-  JOIN v q ON q.trow = a.trow AND q.tcol = a.tcol AND q.y = a.y + 1 AND q.x = a.x + 1)"""
+c AS MATERIALIZED (SELECT trow, tcol, y, x, max(z) FILTER (k = 0) AS z00, max(z) FILTER (k = 1) AS z01, max(z) FILTER (k = 2) AS z10, max(z) FILTER (k = 3) AS z11, max(z) AS zmax
+  FROM (SELECT trow, tcol, y - k // 2 AS y, x - k % 2 AS x, z, k FROM (SELECT v.*, unnest([0, 1, 2, 3]) AS k FROM v))
+  GROUP BY trow, tcol, y, x HAVING count(z) = 4)"""

@@ -60,14 +60,31 @@ def camera_rays(spark, sf):
     return rays.camera_rays(cameras(spark, sf)).select("view_id", "px", "py", r3(F.col("dx")).alias("dx"), r3(F.col("dy")).alias("dy"), r3(F.col("slope")).alias("slope"))
 
 
-@query("r3_undistort", """SELECT c_custkey, (c_custkey % 21 - 10)::DOUBLE / 20 AS u, (c_custkey % 13 - 6)::DOUBLE / 15 AS v,
-  round((c_custkey % 21 - 10)::DOUBLE / 20, 6) AS x, round((c_custkey % 13 - 6)::DOUBLE / 15, 6) AS y FROM customer""")
+def distorted_sql(u: str, v: str) -> tuple[str, str, str]:
+    """(radial, tangential u, tangential v) of the test lens, as SQL."""
+    r2 = f"({u} * {u} + {v} * {v})"
+    return (f"(1 + {r2} * (0.05 + {r2} * (-0.01 + {r2} * 0.001)))", f"(0.004 * {u} * {v} - 0.001 * ({r2} + 2 * {u} * {u}))", f"(0.002 * ({r2} + 2 * {v} * {v}) - 0.002 * {u} * {v})")
+
+
+def undistort_sql() -> str:
+    """Points made from keys, 32 fixed-point steps for each, and what those still miss."""
+    radial, tu, tv = distorted_sql("u", "v")
+    miss = f"sqrt(power(u * {radial} + {tu} - px, 2) + power(v * {radial} + {tv} - py, 2))"
+    return f"""WITH RECURSIVE st(c_custkey, px, py, k, u, v) AS (
+  SELECT c_custkey, px, py, 0, px, py FROM (SELECT c_custkey, (c_custkey % 21 - 10)::DOUBLE / 8 AS px, (c_custkey % 13 - 6)::DOUBLE / 6 AS py FROM customer)
+  UNION ALL SELECT c_custkey, px, py, k + 1, CASE WHEN abs({radial}) >= 1e-12 THEN (px - {tu}) / {radial} END, CASE WHEN abs({radial}) >= 1e-12 THEN (py - {tv}) / {radial} END FROM st WHERE k < 32),
+d AS (SELECT *, {miss} <= 2e-6 * (1 + sqrt(px * px + py * py)) AS ok FROM st WHERE k = 32)
+SELECT c_custkey, px, py, CASE WHEN ok THEN round(u, 5) END AS x, CASE WHEN ok THEN round(v, 5) END AS y FROM d"""
+
+
+@query("r3_undistort", undistort_sql())
 def undistort(spark, sf):
-    """Distort points made from keys, undo it, and return both."""
-    u, v = (F.col("c_custkey") % 21 - 10) / 20, (F.col("c_custkey") % 13 - 6) / 15
-    radial, tx, ty = rays.distortion(u, v, 0.05, -0.01, 0.001, 0.002, -0.001)
-    at = rays.undistort(u * radial + tx, v * radial + ty, F.lit(0.05), F.lit(-0.01), F.lit(0.001), F.lit(0.002), F.lit(-0.001))
-    return table(spark, sf, "customer").select("c_custkey", u.alias("u"), v.alias("v"), at.alias("at")).select("c_custkey", "u", "v", F.round("at.x", 6).alias("x"), F.round("at.y", 6).alias("y"))
+    """Points made from keys, some far out, and where an undistorted ray meets the image plane."""
+    px, py = ((F.col("c_custkey") % 21 - 10) / 8).cast("double"), ((F.col("c_custkey") % 13 - 6) / 6).cast("double")
+    lens = [F.lit(x) for x in (0.05, -0.01, 0.001, 0.002, -0.001)]
+    points = table(spark, sf, "customer").select("c_custkey", px.alias("px"), py.alias("py"))
+    at = points.withColumn("at", rays.undistort(F.col("px"), F.col("py"), *lens))
+    return at.select("c_custkey", "px", "py", F.round("at.x", 5).alias("x"), F.round("at.y", 5).alias("y"))
 
 
 @query("r4_intrinsics", f"WITH {CAMERAS_SQL} SELECT view_id, {r3_sql('f')} AS focal FROM cam")
@@ -200,10 +217,13 @@ def gradient_triangle(spark, sf):
     return terrain.cells(spark, sf).select("trow", "tcol", "y", "x", r3(e).alias("grad_e"), r3(n).alias("grad_n"))
 
 
-SMOOTH_JOINS = " ".join(f"LEFT JOIN v {k} ON {k}.trow = c.trow AND {k}.tcol = c.tcol AND {k}.x = c.x + {dx} AND {k}.y = c.y + {dy}" for k, (dx, dy) in trace.NEIGHBOURS.items())
+#: Every vertex goes to the eight cells that it neighbours: one aggregation.
+SMOOTH_SQL = f"""nb AS (SELECT trow, tcol, y, x, {', '.join(f"max(z) FILTER (k = '{k}') AS {k}" for k in trace.NEIGHBOURS)}
+  FROM (SELECT trow, tcol, z, y - d.dy AS y, x - d.dx AS x, d.k FROM (SELECT v.*, unnest([{', '.join(f"{{'k': '{k}', 'dx': {dx}, 'dy': {dy}}}" for k, (dx, dy) in trace.NEIGHBOURS.items())}]) AS d FROM v)) GROUP BY 1, 2, 3, 4),
+w AS (SELECT c.*, {', '.join(f'nb.{k}' for k in trace.NEIGHBOURS)} FROM c LEFT JOIN nb ON nb.trow = c.trow AND nb.tcol = c.tcol AND nb.y = c.y AND nb.x = c.x)"""
 
 
-@query("r15_gradient_smooth", f"""WITH {CELLS_SQL}, w AS (SELECT c.*, {', '.join(f'{k}.z AS {k}' for k in trace.NEIGHBOURS)} FROM c {SMOOTH_JOINS})
+@query("r15_gradient_smooth", f"""WITH {CELLS_SQL}, {SMOOTH_SQL}
 SELECT trow, tcol, y, x, {r3_sql('coalesce((0.7*0.4*(z01-zw0) + 0.3*0.4*(ze0-z00) + 0.7*0.6*(z11-zw1) + 0.3*0.6*(ze1-z10)) / 20 + 0*(zs0+zs1+zn0+zn1), (z01 - z00 + (z00-z01-z10+z11) * 0.6) / 10)')} AS grad_e,
   {r3_sql('coalesce((0.7*0.4*(z10-zs0) + 0.3*0.4*(z11-zs1) + 0.7*0.6*(zn0-z00) + 0.3*0.6*(zn1-z01)) / 20 + 0*(zw0+zw1+ze0+ze1), (z10 - z00 + (z00-z01-z10+z11) * 0.3) / 10)')} AS grad_n FROM w""")
 def gradient_smooth(spark, sf):

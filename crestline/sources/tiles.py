@@ -1,28 +1,53 @@
-"""Prepared tiles: Parquet by dataset and LOD, with a manifest that is the data-skipping index."""
+"""Prepared tiles: Parquet by blocks of tiles, with a manifest that is the data-skipping index.
+
+A block is BLOCK x BLOCK tiles and a partition folder of both tables. A write replaces
+whole blocks (dynamic partition overwrite), tiles first, then the manifest; what the
+manifest does not list is not there, so a write that stops half-way is done again by
+the next one.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.tiles import coverage_rects, elevation_range, usable_cells
+from ..storage import written
 
 KEY = ["trow", "tcol"]
+BLOCK = 8
+BLOCK_KEY = ["brow", "bcol"]
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({b: F.floor(F.col(k) / BLOCK).cast("int") for b, k in zip(BLOCK_KEY, KEY, strict=True)})
+
 
+def _manifest(spark: SparkSession, path: str) -> DataFrame | None:
+    """The manifest's rows, None before the first write."""
+    try:
+        return spark.read.parquet(f"{path}/manifest")
+    except Exception as e:  # nothing stored yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
 
-def read_tiles(spark: SparkSession, path: str) -> DataFrame:
-    """Vertices (trow, tcol, y, x, z, lod)."""
-    return spark.read.parquet(f"{path}/tiles")
+
+def read_tiles(spark: SparkSession, path: str, keys: DataFrame | None = None) -> DataFrame:
+    """Vertices (trow, tcol, y, x, z, lod) of the tiles that the manifest lists; with keys (trow, tcol) of those alone, whose blocks alone are read."""
+    listed = _manifest(spark, path).filter("not removed").select(*KEY, *BLOCK_KEY)
+    if keys is not None:
+        listed = listed.join(_in_blocks(keys.select(*KEY).distinct()), [*KEY, *BLOCK_KEY], "left_semi")
+    return spark.read.parquet(f"{path}/tiles").join(listed, [*KEY, *BLOCK_KEY], "left_semi").select(*KEY, "y", "x", "z", "lod")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """(trow, tcol, zmin, zmax, coverage), unique keys; coverage that is missing is made from the tile."""
-    rows = spark.read.parquet(f"{path}/manifest")
+    rows = _manifest(spark, path).filter("not removed")
     counted = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("zmin", "zmax", "coverage")])
     unique = counted.withColumn("zmax", F.when(F.col("n") > 1, F.raise_error(F.lit("a tile is listed twice")).cast("double")).otherwise(F.col("zmax"))).drop("n")
     lacking = unique.filter("coverage is null").select(*KEY)
-    tiles = read_tiles(spark, path).filter("lod = 1").join(lacking, KEY, "left_semi")
-    made = _coverage(tiles).withColumnRenamed("coverage", "made")
+    made = _coverage(read_tiles(spark, path, lacking).filter("lod = 1")).withColumnRenamed("coverage", "made")
     return unique.join(made, KEY, "left").select(*KEY, "zmin", "zmax", F.coalesce("coverage", "made").alias("coverage"))
 
 
@@ -30,35 +55,52 @@ def _coverage(vertices: DataFrame) -> DataFrame:
     return coverage_rects(usable_cells(vertices)).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("column", "row", "width", "height"))).alias("coverage"))
 
 
+def _before(edge) -> Column:
+    return (F.col("trow") < edge.trow) | ((F.col("trow") == edge.trow) & (F.col("tcol") < edge.tcol))
+
+
 def write_tiles(vertices: DataFrame, path: str, overwrite: bool = False, max_tiles: int | None = None) -> DataFrame:
-    """Store tiles that have vertices and list them in the manifest; returns one row of counts: written, skipped, empty.
+    """Store tiles and list them in the manifest; returns one row of counts: written, skipped, partial, empty.
 
-    Tiles that are there are kept unless overwrite; max_tiles takes the first by key.
-    Runs add files, so nothing written is touched; overwriting replaces all of path.
+    Tiles are taken by their key. One that is stored is skipped, unless overwrite: then
+    it is replaced, or removed if it has no usable cell any more. Tiles without a
+    usable cell are empty and not stored; partial ones lack some. The run stops before
+    more than max_tiles are written or skipped. Other stored tiles stay as they are.
     """
     spark = vertices.sparkSession
-    keys = vertices.groupBy(*KEY).agg(F.count("z").alias("n"))
-    full = keys.filter("n > 0").select(*KEY)
-    old = None
-    if not overwrite:
-        try:
-            old = spark.read.parquet(f"{path}/manifest").select(*KEY)
-        except Exception as e:  # nothing stored yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-    todo = full.join(old, KEY, "left_anti") if old is not None else full
+    base = vertices.filter("lod = 1")
+    side = base.agg(F.max("x")).first()[0] or 0
+    old = _manifest(spark, path)
+    # a snapshot: the manifest is overwritten below
+    old = None if old is None else written(old, "manifest-before")
+    stored = spark.createDataFrame([], "trow long, tcol long") if old is None else old.filter("not removed").select(*KEY)
+    usable = usable_cells(base).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
+    keys = vertices.select(*KEY).distinct().join(usable, KEY, "left").join(stored.withColumn("stored", F.lit(True)), KEY, "left")
+    has, n = F.coalesce("stored", F.lit(False)), F.coalesce("n", F.lit(0))
+    what = F.when(has & F.lit(not overwrite), "skipped").when(n == 0, "empty").otherwise("written")
+    plan = written(keys.select(*KEY, what.alias("what"), (n < side * side).alias("part"), has.alias("stored")), "tile-plan")
     if max_tiles is not None:
-        todo = todo.orderBy(*KEY).limit(max_tiles)
-    todo = todo.persist()
-    chosen = vertices.join(todo, KEY, "left_semi")
-    mode = "overwrite" if overwrite else "append"
-    counts = spark.range(1).crossJoin(todo.agg(F.count(F.lit(1)).alias("written"))).crossJoin(keys.agg(F.count_if(F.col("n") == 0).alias("empty"), F.count_if(F.col("n") > 0).alias("full")))
-    found = counts.select("written", (F.col("full") - F.col("written")).alias("skipped"), "empty").first()
-    chosen.select(*KEY, "y", "x", "z", "lod").repartition(*KEY).write.mode(mode).partitionBy("lod").parquet(f"{path}/tiles")
-    cover = _coverage(chosen.filter("lod = 1"))
-    elevation_range(chosen).join(cover, KEY, "left").write.mode(mode).parquet(f"{path}/manifest")
-    todo.unpersist()
-    return spark.createDataFrame([tuple(found)], "written long, skipped long, empty long")
+        edge = plan.filter("what <> 'empty'").orderBy(*KEY).offset(max_tiles).limit(1).first()
+        plan = plan.filter(_before(edge)) if edge is not None else plan
+    todo = plan.filter("what = 'written'").select(*KEY)
+    gone = plan.filter("what = 'empty' and stored").select(*KEY) if overwrite else todo.limit(0)
+    chosen = vertices.join(todo, KEY, "left_semi").select(*KEY, "y", "x", "z", "lod")
+    ranges = elevation_range(chosen).join(_coverage(chosen.filter("lod = 1")), KEY, "left").select(*KEY, "zmin", "zmax", "coverage")
+    listed = ranges.withColumn("removed", F.lit(False)).unionByName(gone.withColumn("removed", F.lit(True)), allowMissingColumns=True)
+    changed = todo.unionByName(gone)
+    if old is not None:
+        # what else the touched blocks hold
+        blocks = _in_blocks(changed).select(*BLOCK_KEY).distinct()
+        kept = written(old.join(blocks, BLOCK_KEY, "left_semi").join(changed, KEY, "left_anti"), "manifest-kept")
+        others = kept.filter("not removed").select(*KEY, *BLOCK_KEY)
+        stay = spark.read.parquet(f"{path}/tiles").join(others, [*KEY, *BLOCK_KEY], "left_semi").select(*chosen.columns)
+        chosen = written(chosen.unionByName(stay), "tiles-new")
+        listed = written(listed.unionByName(kept.drop(*BLOCK_KEY)), "manifest-new")
+    for rows, name, order in ((chosen, "tiles", ["lod", *KEY]), (listed, "manifest", KEY)):
+        (_in_blocks(rows).repartition(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY, *order).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy(*BLOCK_KEY).parquet(f"{path}/{name}"))
+    return plan.agg(F.count_if(F.col("what") == "written").alias("written"), F.count_if(F.col("what") == "skipped").alias("skipped"),
+                    F.count_if((F.col("what") == "written") & F.col("part")).alias("partial"), F.count_if(F.col("what") == "empty").alias("empty"))
 
 
 def write_products(hits: DataFrame, path: str, products: list[str]) -> None:

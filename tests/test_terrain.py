@@ -109,15 +109,48 @@ def test_manifest_and_stack_checks(spark):
 def test_tiles_are_written_once_and_read_back(spark):
     v = spark.createDataFrame([(r, c, y, x, float(r + c + y * x)) for r in range(2) for c in range(2) for y in range(3) for x in range(3)] + [(5, 5, 0, 0, None)], VERTEX).withColumn("lod", F.lit(1))
     path = scratch_path(spark, "tiles")
-    assert tuple(store.write_tiles(v, path, max_tiles=1).first()) == (1, 3, 1)
-    assert tuple(store.write_tiles(v, path).first()) == (3, 1, 1)
-    assert tuple(store.write_tiles(v, path).first()) == (0, 4, 1)
+    assert tuple(store.write_tiles(v, path, max_tiles=1).first())[:2] == (1, 0)
+    assert tuple(store.write_tiles(v, path).first())[:2] == (3, 1)
+    assert tuple(store.write_tiles(v, path).first())[:2] == (0, 4)
     m = store.read_manifest(spark, path).collect()
     assert len(m) == 4 and all(sum(c.width * c.height for c in r.coverage) == 4 for r in m)
-    assert tuple(store.write_tiles(v, path, overwrite=True).first()) == (4, 0, 1)
+    assert tuple(store.write_tiles(v, path, overwrite=True).first())[:2] == (4, 0)
     assert store.read_tiles(spark, path).count() == 36
 
 
+def test_overwriting_tiles_leaves_the_others(spark):
+    def tile(r, c, z):
+        return [(r, c, y, x, z) for y in range(3) for x in range(3)]
+
+    def frame(*parts):
+        return spark.createDataFrame(sum(parts, []), VERTEX).withColumn("lod", F.lit(1))
+
+    def heights():
+        return {(r.trow, r.tcol): r.z for r in store.read_tiles(spark, path).groupBy("trow", "tcol").agg(F.max("z").alias("z")).collect()}
+
+    path = scratch_path(spark, "tiles")
+    first = frame(tile(0, 0, 1.0), tile(0, 1, 2.0), tile(1, 0, 3.0), tile(20, 20, 4.0))
+    assert tuple(store.write_tiles(first, path).first()) == (4, 0, 0, 0)
+    # one tile replaced, by a partial one; all others stay, in its block and elsewhere
+    half = tile(0, 1, 9.0)[:-1] + [(0, 1, 2, 2, None)]
+    assert tuple(store.write_tiles(frame(half), path, overwrite=True).first()) == (1, 0, 1, 0)
+    assert heights() == {(0, 0): 1.0, (0, 1): 9.0, (1, 0): 3.0, (20, 20): 4.0}
+    # a tile that has lost its ground goes, also where it was its block's last; others in its input are written
+    bare = [(20, 20, y, x, None) for y in range(3) for x in range(3)]
+    assert tuple(store.write_tiles(frame(bare, tile(2, 2, 5.0)), path, overwrite=True).first()) == (1, 0, 0, 1)
+    assert heights() == {(0, 0): 1.0, (0, 1): 9.0, (1, 0): 3.0, (2, 2): 5.0}
+    assert {(r.trow, r.tcol): r.zmax > 0 for r in store.read_manifest(spark, path).collect()} == {k: True for k in heights()}
+    # without overwrite an empty tile removes nothing; max_tiles counts what is skipped too
+    assert tuple(store.write_tiles(frame(tile(0, 0, 7.0), tile(0, 1, 7.0), tile(3, 3, 7.0)), path, max_tiles=2).first()) == (0, 2, 0, 0)
+    assert tuple(store.write_tiles(frame(tile(0, 0, 7.0), tile(3, 3, 7.0), tile(4, 4, 7.0)), path, max_tiles=2).first()) == (1, 1, 0, 0)
+    # stored tiles may be their own input
+    assert tuple(store.write_tiles(store.read_tiles(spark, path), path, overwrite=True).first()) == (5, 0, 1, 0)
+    assert heights() == {(0, 0): 1.0, (0, 1): 9.0, (1, 0): 3.0, (2, 2): 5.0, (3, 3): 7.0}
+    # a block's tiles alone, by key
+    some = spark.createDataFrame([(0, 1)], "trow long, tcol long")
+    assert store.read_tiles(spark, path, some).count() == 9
+
+
 def test_hgt_and_zip_and_asc(spark, tmp_path):
     import zipfile
 
