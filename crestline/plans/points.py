@@ -242,7 +242,7 @@ def _primary_sql() -> str:
     import re
 
     own = CELLS_SQL[len(SAMPLES_SQL):].replace("mask <> 0", "mask <> 0 AND source_id % 2 = 0")
-    return re.sub(r"\b(m|v|c) AS \(", r"\g<1>1 AS (", own).replace("FROM m,", "FROM m1,").replace("FROM v a JOIN v b", "FROM v1 a JOIN v1 b").replace("JOIN v p", "JOIN v1 p").replace("JOIN v q", "JOIN v1 q").replace("m.*", "m1.*")
+    return re.sub(r"\b([mvc])(?= AS (?:MATERIALIZED )?\(|\.\*)|(?<=FROM )([mv])\b", lambda x: (x[1] or x[2]) + "1", own)
 
 
 BOTH_SQL = CELLS_SQL + _primary_sql()
