@@ -196,34 +196,39 @@ def apparent(height: Column, t: Column) -> Column:
     return (height - F.col("z")) / t - CURVATURE * t
 
 
-def trace(views: DataFrame, cells: DataFrame, manifest: DataFrame, grid: Grid, surface: str = "bilinear") -> DataFrame:
-    """First hits of angular views, one row a ray; NULL distance is sky.
+def paths_of(views: DataFrame) -> DataFrame:
+    """A row for each pixel column of angular views, with the slope of its lowest ray."""
+    return angular_columns(views).withColumn("low_slope", F.least(angular_slope(F.lit(0)), angular_slope(F.col("height") - 1)))
 
-    views: view_id, x, y, z, width, height, az0, az1, el0, el1, tmax. cells: trow, tcol,
-    y, x, z00..z11, zmax. manifest: trow, tcol, zmax. Returns view_id, px, py, dx, dy,
-    slope, distance, elevation, trow, tcol, cy, cx, sx, sy, n_cells (cells tested).
-    """
-    solve = {"bilinear": hit_bilinear, "triangles": hit_triangles}[surface]
-    low_slope = F.least(angular_slope(F.lit(0)), angular_slope(F.col("height") - 1))
-    paths = angular_columns(views).withColumn("low_slope", low_slope)
-    near = cull_tiles(tile_path(paths, grid), manifest, F.col("low_slope"))
-    crossed = cell_path(near, grid)
+
+def on_ground(segments: DataFrame, cells: DataFrame, grid: Grid) -> DataFrame:
+    """Tile segments cut at cell lines, with the cells they cross."""
     ground = cells.select("trow", "tcol", F.col("y").alias("cy"), F.col("x").alias("cx"), "z00", "z01", "z10", "z11", "zmax")
-    met = crossed.join(ground, ["trow", "tcol", "cy", "cx"])
+    return cell_path(segments, grid).join(ground, ["trow", "tcol", "cy", "cx"])
+
+
+def in_sight(met: DataFrame, grid: Grid) -> DataFrame:
+    """Rays (py, slope) with the pieces of path in which they can have their first hit.
+
+    met: pieces of paths on ground that do not overlap. A piece without corners (z00 is
+    NULL) has ground that all rays fly over. Adds gaps: 0 as long as the ground is
+    continuous from the observer on.
+    """
     # what each cell hides (the ground at its exit) and at most shows (its highest corner)
     exit_x, exit_y = local(F.col("t1"), grid)
     rise = F.col("zmax") - F.col("z")
     best_t = F.when(rise >= 0, F.col("t0")).otherwise(F.least(F.greatest(F.sqrt(-rise / CURVATURE), F.col("t0")), F.col("t1")))
     met = met.withColumns({"hides": apparent(bilinear(exit_x, exit_y), F.col("t1")), "shows": F.when(best_t > 0, rise / best_t - CURVATURE * best_t).otherwise(float("inf"))})
     along = Window.partitionBy("view_id", "px").orderBy("t0")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
     # the ground hides only as long as it is continuous from the observer on
-    gap = (F.col("t0") - F.coalesce(F.lag("t1").over(along), F.lit(0.0)) > 1e-6).cast("int")
-    met = met.withColumn("gaps", F.sum(gap).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    hidden = F.max("hides").over(along.rowsBetween(Window.unboundedPreceding, -1))
-    met = met.withColumn("hidden", F.when(F.col("gaps") == 0, F.coalesce(hidden, F.lit(float("-inf")))).otherwise(float("-inf")))
+    gap = (F.col("t0") - F.coalesce(F.max("t1").over(before), F.lit(0.0)) > 1e-6).cast("int")
+    met = met.withColumn("_gap", gap).withColumn("gaps", F.sum("_gap").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    hidden = F.coalesce(F.max("hides").over(before), F.lit(float("-inf")))
+    met = met.withColumn("hidden", F.when(F.col("gaps") == 0, hidden).otherwise(float("-inf")))
     # float noise at either bound costs a test, not a hit
     spare = 1e-6
-    met = met.filter(F.col("hidden") <= F.col("shows") + spare)
+    met = met.filter(F.col("z00").isNotNull() & (F.col("hidden") <= F.col("shows") + spare))
     # slopes grow with atan, so the rows between two slopes are a range
     step = (F.col("el1") - F.col("el0")) / F.col("height")
 
@@ -232,17 +237,32 @@ def trace(views: DataFrame, cells: DataFrame, manifest: DataFrame, grid: Grid, s
 
     first, last = F.least(row_of(F.col("hidden") - spare), row_of(F.col("shows") + spare)), F.greatest(row_of(F.col("hidden") - spare), row_of(F.col("shows") + spare))
     low, high = F.greatest(F.floor(first), F.lit(0)).cast("int"), F.least(F.ceil(last), F.col("height") - 1).cast("int")
-    tested = met.filter(low <= high).withColumn("py", F.explode(F.sequence(low, high))).withColumn("slope", angular_slope(F.col("py")))
-    solved = tested.withColumn("t", solve(F.col("slope"), grid))
+    return met.filter(low <= high).withColumn("py", F.explode(F.sequence(low, high))).withColumn("slope", angular_slope(F.col("py")))
+
+
+def nearest(views: DataFrame, solved: DataFrame, grid: Grid, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every ray of the views with the nearest of its cells' hits t; what gets here is a few cells a ray."""
     sx, sy = local(F.col("t"), grid)
-    hit = F.struct("t", "trow", "tcol", "cy", "cx", sx.alias("sx"), sy.alias("sy"))
-    # the nearest of the cells' hits; what gets here is a few cells a ray
+    hit = F.struct("t", "trow", "tcol", "cy", "cx", sx.alias("sx"), sy.alias("sy"), *keep)
     found = solved.groupBy("view_id", "px", "py").agg(F.min_by(F.when(F.col("t").isNotNull(), hit), "t").alias("h"), F.count(F.lit(1)).alias("n_cells"))
     rays = angular_columns(views).withColumn("py", F.explode(F.sequence(F.lit(0), F.col("height") - 1))).withColumn("slope", angular_slope(F.col("py")))
     z = F.col("z") + F.col("slope") * F.col("h.t") + CURVATURE * F.col("h.t") * F.col("h.t")
     return rays.join(found, ["view_id", "px", "py"], "left").select(
         "view_id", "px", "py", "x", "y", "z", "dx", "dy", "slope", F.col("h.t").alias("distance"), z.alias("elevation"), "h.trow", "h.tcol", "h.cy", "h.cx", "h.sx", "h.sy",
-        F.coalesce("n_cells", F.lit(0)).alias("n_cells"))
+        F.coalesce("n_cells", F.lit(0)).alias("n_cells"), *[f"h.{c}" for c in keep])
+
+
+def trace(views: DataFrame, cells: DataFrame, manifest: DataFrame, grid: Grid, surface: str = "bilinear") -> DataFrame:
+    """First hits of angular views, one row a ray; NULL distance is sky.
+
+    views: view_id, x, y, z, width, height, az0, az1, el0, el1, tmax. cells: trow, tcol,
+    y, x, z00..z11, zmax. manifest: trow, tcol, zmax. Returns view_id, px, py, dx, dy,
+    slope, distance, elevation, trow, tcol, cy, cx, sx, sy, n_cells (cells tested).
+    """
+    solve = {"bilinear": hit_bilinear, "triangles": hit_triangles}[surface]
+    near = cull_tiles(tile_path(paths_of(views), grid), manifest, F.col("low_slope"))
+    tested = in_sight(on_ground(near, cells, grid), grid)
+    return nearest(views, tested.withColumn("t", solve(F.col("slope"), grid)), grid)
 
 
 def recovered_steps(path: DataFrame) -> DataFrame:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.geodesy import from_crs, to_crs
-from ..operators import catalogue, points, tiles, trace
+from ..operators import catalogue, points, stacked, tiles, trace
 from ..storage import written
 from ..streaming.track import stream_track_clearance
 from . import terrain, tracing
 from .registry import query, r3, r3_sql, table
 from .terrain import CELLS, CELLS_SQL, GRID, SAMPLES_SQL, VERTICES_SQL
-from .tracing import BILINEAR_SQL, CELL_PATH_SQL, GRAD_SQL, HITS_SQL, RANGE, VIEWS_SQL, K
+from .tracing import BILINEAR_SQL, CELL_PATH_SQL, GRAD_SQL, HITS_SQL, RANGE, RAYS_SQL, VIEWS_SQL, K, crossing_sql
 
 # peaks --------------------------------------------------------------------------
 
@@ -303,6 +303,39 @@ def vertical_offset(spark, sf):
     return catalogue.apply_vertical_offset(rows, offsets, ["zmax"]).groupBy("trow", "tcol").agg(r3(F.max("zmax")).alias("zmax"))
 
 
+RAY_KEYS = "view_id, px, py, x, y, z, dx, dy, slope"
+RAISED = 37.5
+#: Every ray cut at the lines of both grids; the layer on top owns a piece, else the one below, raised by its offset.
+STACK_SQL = f"""{BOTH_SQL}, {RAYS_SQL},
+{crossing_sql(10.0, 'fa', 'ry', RAY_KEYS, 'x - 2600000.0', 'y - 1200000.0')}, {crossing_sql(15.0, 'fb', 'ry', RAY_KEYS, 'x - 2600004.0', 'y - 1199998.0')},
+cut AS (SELECT *, (t + t1) / 2 AS mid FROM (SELECT *, lead(t) OVER (PARTITION BY {RAY_KEYS} ORDER BY t) AS t1 FROM (SELECT * FROM fa_t UNION SELECT * FROM fb_t)) WHERE t1 - t > 1e-9),
+piece AS (SELECT *, floor((x - 2600000.0 + dx * mid) / 10)::BIGINT AS gx, floor(-(y - 1200000.0 + dy * mid) / 10)::BIGINT AS gy,
+  floor((x - 2600004.0 + dx * mid) / 15)::BIGINT AS hx, floor(-(y - 1199998.0 + dy * mid) / 15)::BIGINT AS hy FROM cut),
+top AS (SELECT piece.*, c1.z00 AS p00, c1.z01 AS p01, c1.z10 AS p10, c1.z11 AS p11 FROM piece LEFT JOIN c1
+  ON hx >= 0 AND hy >= 0 AND c1.tcol = hx // 16 AND c1.trow = hy // 16 AND c1.x = hx % 16 AND c1.y = 15 - hy % 16),
+owned AS (SELECT top.*, p00 IS NULL AS low, c.z00 + {RAISED} AS q00, c.z01 + {RAISED} AS q01, c.z10 + {RAISED} AS q10, c.z11 + {RAISED} AS q11 FROM top LEFT JOIN c
+  ON p00 IS NULL AND gx >= 0 AND gy >= 0 AND c.tcol = gx // 16 AND c.trow = gy // 16 AND c.x = gx % 16 AND c.y = 15 - gy % 16),
+met AS (SELECT *, sum(gap) OVER (PARTITION BY view_id, px, py ORDER BY t) AS gaps FROM (
+  SELECT view_id, px, py, x, y, z, dx, dy, slope, t, t1, gx, gy, low::INT AS dataset_id, coalesce(p00, q00) AS z00, coalesce(p01, q01) AS z01, coalesce(p10, q10) AS z10, coalesce(p11, q11) AS z11,
+    CASE WHEN low THEN (x - 2600000.0 + dx * t) / 10 - gx ELSE (x - 2600004.0 + dx * t) / 15 - hx END AS a0,
+    CASE WHEN low THEN 1 + gy + (y - 1200000.0 + dy * t) / 10 ELSE 1 + hy + (y - 1199998.0 + dy * t) / 15 END AS b0,
+    dx / CASE WHEN low THEN 10 ELSE 15 END AS a1, dy / CASE WHEN low THEN 10 ELSE 15 END AS b1,
+    (t - coalesce(lag(t1) OVER (PARTITION BY view_id, px, py ORDER BY t), 0) > 1e-6)::INT AS gap
+  FROM owned WHERE coalesce(p00, q00) IS NOT NULL)),
+{BILINEAR_SQL},
+sh AS (SELECT view_id, px, py, min(th) AS distance, arg_min(dataset_id, th) AS dataset_id
+  FROM (SELECT view_id, px, py, dataset_id, CASE WHEN gaps = 0 AND qc < 0 THEN t ELSE th END AS th FROM hit) WHERE th IS NOT NULL GROUP BY 1, 2, 3)"""
+
+
+@query("c5_stacked_first_hits", f"""WITH {STACK_SQL} SELECT ry.view_id, ry.px::INT AS px, ry.py::INT AS py, {r3_sql('distance')} AS distance, {r3_sql(f'z + slope * distance + {K!r} * distance * distance')} AS elevation, dataset_id
+FROM ry LEFT JOIN sh ON ry.view_id = sh.view_id AND ry.px = sh.px AND ry.py = sh.py""")
+def stacked_first_hits(spark, sf):
+    """R10-R13 over two datasets with other origins and cell sizes, the lower one raised."""
+    layers = [stacked.Layer(written(primary_cells(spark, sf), "cells"), COARSE), stacked.Layer(terrain.cells(spark, sf), GRID, RAISED)]
+    found = stacked.trace_stack(tracing.views(spark, sf), layers)
+    return found.select("view_id", "px", "py", r3(F.col("distance")).alias("distance"), r3(F.col("elevation")).alias("elevation"), "dataset_id")
+
+
 @query("c8_coverage_footprints")
 def coverage_footprints(spark, sf):
     keys = terrain.vertices(spark, sf).select("trow", "tcol").distinct()

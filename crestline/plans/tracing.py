@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..operators import rays, tiles, trace
+from ..operators import rays, stacked, tiles, trace
 from ..storage import written
 from . import terrain
 from .registry import query, r3, r3_sql, table

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from crestline.operators import catalogue, points, tiles, trace, validate
+from crestline.operators import catalogue, points, stacked, tiles, trace, validate
 from crestline.sources import gazetteer, rasters
 from crestline.sources import tiles as store
 from crestline.storage import scratch_path
@@ -307,6 +307,68 @@ def test_trace_equals_a_dense_march(spark, surface):
     assert hits > 60
 
 
+def test_stack_of_misaligned_plains_is_one_plain(spark):
+    """Fine ground on top of coarse ground with another origin: the same distances as one flat dataset."""
+    fine = tiles.usable_cells(flat(spark, tcols=(0,)))
+    wide = tiles.Grid(-317.0, 203.0, 20.0, 16)
+    coarse = tiles.usable_cells(flat(spark, tcols=(0, 1, 2), grid=wide))
+    at = view(spark, 45.0, -75.0, 1020.0, el=(0.0, -1.2))
+    got = {(r.px, r.py): r for r in stacked.trace_stack(at, [stacked.Layer(fine, GRID), stacked.Layer(coarse, wide)]).collect()}
+    plain = tiles.Grid(-2000.0, 2000.0, 40.0, 100)
+    one = spark.range(10000).selectExpr("0L as trow", "0L as tcol", "cast(id div 100 as int) as y", "cast(id % 100 as int) as x", *[f"1000D as {c}" for c in stacked.HEIGHTS])
+    want = trace.trace(at, one, one.groupBy("trow", "tcol").agg(F.max("zmax").alias("zmax")), plain).collect()
+    inside = [r for r in want if r.distance is not None and -317 < 45 + r.dx * r.distance < 640 and -117 < -75 + r.dy * r.distance < 203]
+    assert len(inside) > 100 and all(abs(got[r.px, r.py].distance - r.distance) < 0.01 for r in inside)
+    assert {r.dataset_id for r in got.values()} >= {0, 1}
+
+
+def test_stack_equals_a_dense_march(spark):
+    """Two layers with holes, the lower one raised: owner, root after a hidden root, and steps only where the ground is continuous."""
+    rng = random.Random(5)
+    low_grid = tiles.Grid(-83.0, 71.0, 15.0, 16)
+
+    def layer(cells_of, base):
+        rows = [(tr, tc, y, x, None if rng.random() < 0.02 else base + rng.uniform(-12, 12)) for tr in range(0, 2) for tc in cells_of for y in range(17) for x in range(17)]
+        return spark.createDataFrame(rows, VERTEX)
+
+    top, below = tiles.usable_cells(layer((0,), 1000.0)), tiles.usable_cells(layer((0, 1), 1004.0))
+    got = stacked.trace_stack(view(spark, 63.0, -71.0, 1050.0, el=(-0.1, -1.3), size=(32, 12), tmax=260.0), [stacked.Layer(top, GRID), stacked.Layer(below, low_grid, 9.0)]).collect()
+    ground = []
+    for cells, grid, up in ((top, GRID, 0.0), (below, low_grid, 9.0)):
+        ground.append((grid, up, {(r.tcol * 16 + r.x, -(r.trow + 1) * 16 + r.y): (r.z00, r.z01, r.z10, r.z11) for r in cells.collect()}))
+
+    def surface(px, py):
+        for k, (grid, up, cells) in enumerate(ground):
+            gx, gy = (px - grid.origin_x) / grid.cell, (py - grid.origin_y) / grid.cell
+            c = cells.get((math.floor(gx), math.floor(gy)))
+            if c:
+                sx, sy = gx % 1, gy % 1
+                return k, up + c[0] + (c[1] - c[0]) * sx + (c[2] - c[0]) * sy + (c[0] - c[1] - c[2] + c[3]) * sx * sy
+        return None
+
+    from crestline.operators.rays import CURVATURE
+
+    hits, owners = 0, set()
+    for r in got:
+        t, found, before, covered = 0.0, None, None, True
+        while t < 260 and found is None:
+            s = surface(63 + r.dx * t, -71 + r.dy * t)
+            covered = covered and s is not None
+            above = s and 1050 + r.slope * t + CURVATURE * t * t > s[1]
+            # a change of side within a layer is a root, one between layers a step
+            if s and before and above != before[1] and (s[0] == before[0] or (covered and not above)):
+                found = (t, s[0])
+            before = s and (s[0], above)
+            t += 0.01
+        if found is None or r.distance is None:
+            assert found is None and r.distance is None
+        else:
+            hits += 1
+            owners.add(found[1])
+            assert abs(found[0] - r.distance) < 0.03 and found[1] == r.dataset_id
+    assert hits > 200 and owners == {0, 1}
+
+
 def test_gaps_and_far_face(spark):
     """Flat ground with a gap, then a rise: steep rays hit near, shallow ones the face beyond the gap."""
     v = flat(spark, spikes={(c, r): 1040.0 for c in range(10, 33) for r in range(17)}, skip={(c, r) for c in range(7, 9) for r in range(17)})
