@@ -72,14 +72,22 @@ def undistort(x: Column, y: Column, k1: Column, k2: Column, k3: Column, p1: Colu
     return F.transform(F.array(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)), checked)[0]
 
 
+LENS = ("k1", "k2", "k3", "p1", "p2")
+
+
 def camera_rays(views: DataFrame) -> DataFrame:
     """R2: rays of pinhole views (heading, pitch, roll, fx, fy, cx, cy), per horizontal metre.
 
-    A vertical or undefined ray has NULLs: the view it belongs to is to be rejected.
+    Views with a lens (k1, k2, k3, p1, p2) have their pixels undistorted first. A vertical
+    or undefined ray has NULLs; without_bad_views() drops the view it belongs to.
     """
     pixels = views.withColumns(camera_axes()).withColumn("px", F.explode(F.sequence(F.lit(0), F.col("width") - 1))).withColumn(
         "py", F.explode(F.sequence(F.lit(0), F.col("height") - 1)))
     u, v = (F.col("px") + 0.5 - F.col("cx")) / F.col("fx"), (F.col("py") + 0.5 - F.col("cy")) / F.col("fy")
+    if set(LENS) <= set(views.columns):
+        at = undistort(u, v, *map(F.col, LENS))
+        pixels = pixels.withColumn("_at", at)
+        u, v = F.col("_at.x"), F.col("_at.y")
     e, n, up = (F.col("f" + a) + u * F.col("r" + a) - v * F.col("u" + a) for a in "enu")
     length = F.hypot(e, n)
     ok = length > 1e-12
@@ -87,6 +95,11 @@ def camera_rays(views: DataFrame) -> DataFrame:
         "view_id", "px", "py", "dx", "dy", "slope")
 
 
+def without_bad_views(rays: DataFrame) -> DataFrame:
+    """R2: rays of the views whose every ray is defined."""
+    return rays.join(rays.filter("slope is null").select("view_id").distinct(), "view_id", "left_anti")
+
+
 def pixel_footprint(rays: DataFrame) -> DataFrame:
     """The smallest angle between neighbouring pixels of each view."""
     def after(axis: str, step: str) -> DataFrame:

@@ -20,6 +20,8 @@ from .rays import CURVATURE, angular_columns, angular_slope
 from .tiles import Grid
 
 NUDGE = 1e-9
+#: What names a ray.
+RAY = ["view_id", "px", "py"]
 
 
 def crossings(x: Column, y: Column, dx: Column, dy: Column, t0: Column, t1: Column, step: float) -> Column:
@@ -276,34 +278,44 @@ def recovered_steps(path: DataFrame) -> DataFrame:
     return marked.withColumn("hit", F.when(F.col("t_hit").isNotNull(), F.col("t_hit")).when(F.col("entry_below") & (F.col("gaps") == 0), F.col("t0"))).drop("gaps")
 
 
-def shadow_rays(hits: DataFrame, sun_azimuth: Column, sun_elevation: Column, cell: float) -> DataFrame:
+def shadow_rays(hits: DataFrame, sun_azimuth: Column, sun_elevation: Column, cell: float, keys: list[str] = RAY) -> DataFrame:
     """Rays to the sun from hits that face it, their start moved a little along and up."""
     sx, sy, slope = F.sin(sun_azimuth), F.cos(sun_azimuth), F.tan(sun_elevation)
     along, up = max(0.1, 0.05 * cell), max(0.05, 0.005 * cell)
     facing = -F.col("grad_e") * sx - F.col("grad_n") * sy + slope > 0
     return hits.filter((F.col("distance") > 0) & facing).select(
-        "view_id", "px", "py", (F.col("x") + F.col("distance") * F.col("dx") + along * sx).alias("x"), (F.col("y") + F.col("distance") * F.col("dy") + along * sy).alias("y"),
+        *keys, (F.col("x") + F.col("distance") * F.col("dx") + along * sx).alias("x"), (F.col("y") + F.col("distance") * F.col("dy") + along * sy).alias("y"),
         (F.col("elevation") + along * slope + up).alias("z"), sx.alias("dx"), sy.alias("dy"), slope.alias("slope"))
 
 
-def shadowed(rays: DataFrame, cells: DataFrame, manifest: DataFrame, grid: Grid, tmax: float) -> DataFrame:
-    """(view_id, px, py) of shadow rays that meet ground within tmax; any hit will do, so nothing is ordered."""
+def shadowed(rays: DataFrame, cells: DataFrame, manifest: DataFrame, grid: Grid, tmax: float, keys: list[str] = RAY) -> DataFrame:
+    """Keys of shadow rays that meet ground within tmax; any hit will do, so nothing is ordered."""
     near = cull_tiles(tile_path(rays.withColumn("tmax", F.lit(tmax)), grid), manifest, F.col("slope"))
+    # what flies over the tile's highest ground needs no cell
+    low = cell_path(near, grid).filter(lowest(F.col("slope"), F.col("z"), F.col("t0"), F.col("t1")) <= F.col("tile_max"))
     ground = cells.select("trow", "tcol", F.col("y").alias("cy"), F.col("x").alias("cx"), "z00", "z01", "z10", "z11", "zmax")
-    met = cell_path(near, grid).join(ground, ["trow", "tcol", "cy", "cx"])
+    met = low.join(ground, ["trow", "tcol", "cy", "cx"])
     met = met.filter(lowest(F.col("slope"), F.col("z"), F.col("t0"), F.col("t1")) <= F.col("zmax"))
-    return met.filter(hit_bilinear(F.col("slope"), grid).isNotNull()).select("view_id", "px", "py").distinct()
+    return met.filter(hit_bilinear(F.col("slope"), grid).isNotNull()).select(*keys).distinct()
 
 
-def shadow_visibility(hits: DataFrame, cells: DataFrame, manifest: DataFrame, grid: Grid, azimuth: float, elevation: float, tmax: float) -> DataFrame:
+def shadow_visibility(hits: DataFrame, cells: DataFrame, manifest: DataFrame, grid: Grid, azimuth: float | Column, elevation: float | Column, tmax: float, keys: list[str] = RAY) -> DataFrame:
     """Hits with lit. A sun not above the horizon lights nothing, one in the zenith everything; slopes turned away keep true."""
-    import math
+    azimuth, elevation = F.lit(azimuth), F.lit(elevation)
+    up = elevation > 0
+    rays = shadow_rays(hits.filter(up & (F.cos(elevation) >= 1e-6)), azimuth, elevation, grid.cell, keys)
+    dark = shadowed(rays, cells, manifest, grid, tmax, keys).withColumn("dark", F.lit(True))
+    return hits.join(dark, keys, "left").withColumn("lit", F.when(up, F.col("dark").isNull()).otherwise(False)).drop("dark")
 
-    if elevation <= 0 or math.cos(elevation) < 1e-6:
-        return hits.withColumn("lit", F.lit(elevation > 0))
-    rays = shadow_rays(hits, F.lit(azimuth), F.lit(elevation), grid.cell)
-    dark = shadowed(rays, cells, manifest, grid, tmax).withColumn("dark", F.lit(True))
-    return hits.join(dark, ["view_id", "px", "py"], "left").withColumn("lit", F.col("dark").isNull()).drop("dark")
+
+def sunlit_hits(hits: DataFrame, suns: DataFrame, cells: DataFrame, manifest: DataFrame, grid: Grid, tmax: float) -> DataFrame:
+    """A5: hits with lit for each instant of their view. suns: view_id, instant, azimuth, elevation (A3's).
+
+    One trace for all instants, one shadow pass for all suns; the instant is a part of the
+    key. Hits of a view without a sun have no row.
+    """
+    up = suns.select("view_id", "instant", F.col("azimuth").alias("sun_azimuth"), F.col("elevation").alias("sun_elevation"))
+    return shadow_visibility(hits.join(up, "view_id"), cells, manifest, grid, F.col("sun_azimuth"), F.col("sun_elevation"), tmax, [*RAY, "instant"])
 
 
 def crossed_cells(rays: DataFrame, cells: DataFrame, manifest: DataFrame | None, grid: Grid) -> DataFrame:

@@ -231,12 +231,26 @@ def daylight_times(spark, sf):
     return found.select("id", "d.state", r3(F.col("d.sunrise")).alias("sunrise"), r3(F.col("d.sunset")).alias("sunset"))
 
 
-@query("a5_sunlit_hits")
+#: Three instants for each view, some at night; the observer's place comes from its key.
+SUNS_SQL = f"""src AS (SELECT s_suppkey AS id, 46.0::DOUBLE + (s_suppkey % 10) AS lat, 7.0::DOUBLE + (s_suppkey % 7) AS lon, instant,
+  TIMESTAMP '2026-06-21 00:00:00' + (s_suppkey * 37 % 240 + instant * 480)::INT * INTERVAL 1 MINUTE AS ts FROM supplier, range(3) i(instant)), {ephemeris_sql('src', 'hour(ts) * 60 + minute(ts)')},
+ha AS (SELECT *, ((((mi + eq + 4 * lon) - 1440 * floor((mi + eq + 4 * lon) / 1440)) / 4 - 180) * pi() / 180) AS ho, lat * pi() / 180 AS la FROM ep),
+suns AS (SELECT id, instant, atan2(sin(ho), cos(ho) * sin(la) - tan(de) * cos(la)) + pi() AS sa, asin(least(greatest(sin(la) * sin(de) + cos(la) * cos(de) * cos(ho), -1), 1)) AS el FROM ha),
+sr AS (SELECT view_id * 10 + instant AS view_id, px, py, x + distance * dx + 0.5 * sin(sa) AS x, y + distance * dy + 0.5 * cos(sa) AS y, elevation + 0.5 * tan(el) + 0.05 AS z, sin(sa) AS dx, cos(sa) AS dy, tan(el) AS slope
+  FROM gg JOIN suns ON id = view_id WHERE el > 0 AND distance > 0 AND -grad_e * sin(sa) - grad_n * cos(sa) + tan(el) > 0)"""
+
+
+@query("a5_sunlit_hits", f"""WITH {tracing.GRAD_SQL}, {SUNS_SQL}, {tracing.again(tracing.CELL_PATH_SQL)}, {tracing.again(tracing.BILINEAR_SQL)}
+SELECT gg.view_id, gg.px::INT AS px, gg.py::INT AS py, instant, el > 0 AND s_fh.distance IS NULL AS lit FROM gg JOIN suns ON id = gg.view_id
+  LEFT JOIN s_fh ON gg.view_id * 10 + instant = s_fh.view_id AND gg.px = s_fh.px AND gg.py = s_fh.py""")
 def sunlit_hits(spark, sf):
-    """A3, R19 for two instants of a day: one trace, a shadow pass for each."""
+    """A3, R19 for three instants of each view: one trace, one pass of shadows."""
     hits, cells, manifest = tracing.hits_with_gradients(spark, sf)
-    passes = [trace.shadow_visibility(hits, cells, manifest, GRID, az, el, tracing.RANGE).select("view_id", "px", "py", F.lit(hour).alias("hour"), "lit") for hour, az, el in ((9, 2.2, 0.5), (15, 4.1, 0.6))]
-    return passes[0].unionByName(passes[1])
+    key = F.col("s_suppkey")
+    at = table(spark, sf, "supplier").select(key.alias("view_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("instant"))
+    at = at.withColumn("ts", F.expr("timestamp_ntz'2026-06-21 00:00:00' + make_dt_interval(0, 0, cast(view_id * 37 % 240 + instant * 480 as int))"))
+    suns = at.withColumn("s", solar.solar_place(46.0 + F.col("view_id") % 10, 7.0 + F.col("view_id") % 7, F.col("ts"))).select("view_id", "instant", "s.azimuth", "s.elevation")
+    return trace.sunlit_hits(hits, suns, cells, manifest, GRID, tracing.RANGE).select("view_id", "px", "py", "instant", "lit")
 
 
 @query("a6_local_clock", f"""SELECT event_id, strftime(((DATE '2026-07-01' + (event_id % 5)::INT)::TIMESTAMP + (event_id * 37 % 3000 - 700) * INTERVAL 1 MINUTE) AT TIME ZONE 'UTC' AT TIME ZONE ({ZONES})[1 + event_id % 3], '%H:%M') AS clock FROM events""")

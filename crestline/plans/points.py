@@ -277,7 +277,11 @@ def owned_cells(spark, sf):
     return catalogue.owned_cells(terrain.cells(spark, sf), GRID, primary_cells(spark, sf), GRID).select("trow", "tcol", "y", "x")
 
 
-@query("c4_owned_cells_misaligned")
+@query("c4_owned_cells_misaligned", f"""WITH {BOTH_SQL},
+w AS (SELECT trow, tcol, y, x, (tcol * 16 + x) * 10.0::DOUBLE - 4 AS e, 2.0::DOUBLE - (trow * 16 + 16 - y) * 10 AS n FROM c),
+o AS (SELECT w.*, hx, unnest(range(floor(n / 15 + 1e-6)::BIGINT, ceil((n + 10) / 15 - 1e-6)::BIGINT)) AS hn FROM (SELECT *, unnest(range(floor(e / 15 + 1e-6)::BIGINT, ceil((e + 10) / 15 - 1e-6)::BIGINT)) AS hx FROM w) w)
+SELECT trow, tcol, count(*) AS n_owned FROM (SELECT o.trow, o.tcol, o.y, o.x FROM o LEFT JOIN c1 ON hx >= 0 AND hn < 0 AND c1.tcol = hx // 16 AND c1.x = hx % 16 AND c1.trow = (-hn - 1) // 16 AND c1.y = 15 - (-hn - 1) % 16
+  WHERE c1.trow IS NULL GROUP BY ALL) GROUP BY 1, 2""")
 def owned_cells_misaligned(spark, sf):
     """The same where the upper dataset has another origin and cell size."""
     keep = catalogue.owned_cells(terrain.cells(spark, sf), GRID, primary_cells(spark, sf), COARSE)

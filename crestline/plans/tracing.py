@@ -60,10 +60,10 @@ def camera_rays(spark, sf):
     return rays.camera_rays(cameras(spark, sf)).select("view_id", "px", "py", r3(F.col("dx")).alias("dx"), r3(F.col("dy")).alias("dy"), r3(F.col("slope")).alias("slope"))
 
 
-def distorted_sql(u: str, v: str) -> tuple[str, str, str]:
+def distorted_sql(u: str, v: str, k1: str = "0.05") -> tuple[str, str, str]:
     """(radial, tangential u, tangential v) of the test lens, as SQL."""
     r2 = f"({u} * {u} + {v} * {v})"
-    return (f"(1 + {r2} * (0.05 + {r2} * (-0.01 + {r2} * 0.001)))", f"(0.004 * {u} * {v} - 0.001 * ({r2} + 2 * {u} * {u}))", f"(0.002 * ({r2} + 2 * {v} * {v}) - 0.002 * {u} * {v})")
+    return (f"(1 + {r2} * ({k1} + {r2} * (-0.01 + {r2} * 0.001)))", f"(0.004 * {u} * {v} - 0.001 * ({r2} + 2 * {u} * {u}))", f"(0.002 * ({r2} + 2 * {v} * {v}) - 0.002 * {u} * {v})")
 
 
 def undistort_sql() -> str:
@@ -87,6 +87,29 @@ def undistort(spark, sf):
     return at.select("c_custkey", "px", "py", F.round("at.x", 5).alias("x"), F.round("at.y", 5).alias("y"))
 
 
+def lens_rays_sql() -> str:
+    """The views of CAMERAS_SQL seen through lenses, some too strong to be undone; those views go."""
+    radial, tu, tv = distorted_sql("u", "v", "k1")
+    miss = f"sqrt(power(u * {radial} + {tu} - u0, 2) + power(v * {radial} + {tv} - v0, 2))"
+    start, rest = CAMERAS_SQL.split("pix AS", 1)
+    seen = rest[: rest.index("FROM (SELECT cam")]
+    return f"""WITH RECURSIVE {start}
+st(view_id, px, py, u0, v0, k1, k, u, v) AS (SELECT *, 0, u0, v0 FROM (
+    SELECT view_id, px, py, (px + 0.5 - 4.5)::DOUBLE / f AS u0, (py + 0.5 - 2.5)::DOUBLE / f AS v0, CASE WHEN view_id % 5 = 0 THEN -0.6 ELSE 0.05 END::DOUBLE AS k1 FROM cam, range(9) a(px), range(5) b(py))
+  UNION ALL SELECT view_id, px, py, u0, v0, k1, k + 1, CASE WHEN abs({radial}) >= 1e-12 THEN (u0 - {tu}) / {radial} END, CASE WHEN abs({radial}) >= 1e-12 THEN (v0 - {tv}) / {radial} END FROM st WHERE k < 32),
+d AS (SELECT *, coalesce({miss} <= 2e-6 * (1 + sqrt(u0 * u0 + v0 * v0)), false) AS ok FROM st WHERE k = 32),
+pix AS {seen} FROM (SELECT d.*, h, p, r FROM d JOIN cam ON cam.view_id = d.view_id WHERE d.view_id NOT IN (SELECT view_id FROM d WHERE NOT ok)))
+SELECT view_id, px::INT AS px, py::INT AS py, {r3_sql('e / sqrt(e*e + no*no)')} AS dx, {r3_sql('no / sqrt(e*e + no*no)')} AS dy, {r3_sql('up / sqrt(e*e + no*no)')} AS slope FROM pix"""
+
+
+@query("r2_lens_rays", lens_rays_sql())
+def lens_rays(spark, sf):
+    """Rays through lenses; a view with a pixel that has no undistorted place goes."""
+    lens = {"k1": F.when(F.col("view_id") % 5 == 0, -0.6).otherwise(0.05), "k2": F.lit(-0.01), "k3": F.lit(0.001), "p1": F.lit(0.002), "p2": F.lit(-0.001)}
+    found = rays.without_bad_views(rays.camera_rays(cameras(spark, sf).withColumns(lens)))
+    return found.select("view_id", "px", "py", r3(F.col("dx")).alias("dx"), r3(F.col("dy")).alias("dy"), r3(F.col("slope")).alias("slope"))
+
+
 @query("r4_intrinsics", f"WITH {CAMERAS_SQL} SELECT view_id, {r3_sql('f')} AS focal FROM cam")
 def intrinsics(spark, sf):
     return cameras(spark, sf).select("view_id", r3(F.col("fx")).alias("focal"))
@@ -253,14 +276,14 @@ def shadow_rays(spark, sf):
     return found.select("view_id", "px", "py", *[r3(F.col(c)).alias(c) for c in "xyz"])
 
 
-def _again(sql: str) -> str:
+def again(sql: str) -> str:
     """The flat trace's CTEs once more, under other names, for the shadow rays."""
     import re
 
     return re.sub(r"\b(cp_t|cp|ck|met|co|so|hit|fh|ry)\b", lambda m: {"ry": "sr"}.get(m[1], "s_" + m[1]), sql)
 
 
-@query("r19_shadow_visibility", f"""WITH {SUN_SQL}, {_again(CELL_PATH_SQL)}, {_again(BILINEAR_SQL)}
+@query("r19_shadow_visibility", f"""WITH {SUN_SQL}, {again(CELL_PATH_SQL)}, {again(BILINEAR_SQL)}
 SELECT gg.view_id, gg.px::INT AS px, gg.py::INT AS py, s_fh.distance IS NULL AS lit FROM gg LEFT JOIN s_fh ON gg.view_id = s_fh.view_id AND gg.px = s_fh.px AND gg.py = s_fh.py""")
 def shadow_visibility(spark, sf):
     hits, cells, manifest = hits_with_gradients(spark, sf)
