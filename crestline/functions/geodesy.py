@@ -71,7 +71,8 @@ def geodesic(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
                 lam = p["l"] + (1 - c) * FLAT * q["sin_a"] * (q["sigma"] + c * q["sin_s"] * (q["cos_2m"] + c * q["cos_s"] * (-1 + 2 * q["cos_2m"] * q["cos_2m"])))
                 return F.struct(lam.alias("lam"), state["lam"].alias("was"))
 
-            return let_all(sphere(p, state["lam"]), next_lam)
+            # settled after a few steps, the rest of them cost nothing
+            return F.when(F.abs(state["lam"] - state["was"]) < 1e-15, state).otherwise(let_all(sphere(p, state["lam"]), next_lam))
 
         final = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.struct(p["l"].alias("lam"), F.lit(0.0).alias("was")), step)
         return let(final, lambda s: let_all(sphere(p, s["lam"]) | {"lam": s["lam"], "was": s["was"]}, lambda q: result(p, q)))

@@ -23,22 +23,43 @@ def pick_frame(datasets: DataFrame) -> DataFrame:
     return kinds.select("view_id", F.when(own, "crs").otherwise("aeqd").alias("kind"), F.when(own, F.col("epsg")).alias("epsg"))
 
 
-def tiles_in_range(tiles: DataFrame, observers: DataFrame, grid: Grid, max_distance: float, max_tiles: int) -> DataFrame:
+def tiles_in_range(tiles: DataFrame, observers: DataFrame, grids: Grid | dict[int, Grid], max_distance: float, max_tiles: int) -> DataFrame:
     """The tiles each observer needs, nearest first: its own, then by distance, priority, key; max_tiles at most.
 
-    Observers are keyed to the tiles of their box, so the join is on the tile key and
-    only those in reach meet. The observer's own tile is kept at any distance.
+    grids: that of all tiles, or one for each priority of a stack. Observers are keyed
+    to the tiles of their box, so the join is on the tile key and only those in reach
+    meet. The observer's own tiles are kept at any distance.
     """
-    reach = int(max_distance // grid.width) + 1
-    here = observers.withColumns({"_r": F.floor((grid.origin_y - F.col("y")) / grid.width), "_c": F.floor((F.col("x") - grid.origin_x) / grid.width)})
-    boxed = here.withColumn("trow", F.explode(F.sequence(F.col("_r") - reach, F.col("_r") + reach))).withColumn("tcol", F.explode(F.sequence(F.col("_c") - reach, F.col("_c") + reach)))
-    d = tile_distance(F.col("x"), F.col("y"), F.col("trow"), F.col("tcol"), grid)
-    met = boxed.join(tiles, ["trow", "tcol"]).withColumns({"distance": d, "own": (F.col("trow") == F.col("_r")) & (F.col("tcol") == F.col("_c"))})
-    near = met.filter(F.col("own") | (F.col("distance") <= max_distance))
+    near = None
+    for priority, grid in (grids if isinstance(grids, dict) else {None: grids}).items():
+        reach = int(max_distance // grid.width) + 1
+        here = observers.withColumns({"_r": F.floor((grid.origin_y - F.col("y")) / grid.width), "_c": F.floor((F.col("x") - grid.origin_x) / grid.width)})
+        boxed = here.withColumn("trow", F.explode(F.sequence(F.col("_r") - reach, F.col("_r") + reach))).withColumn("tcol", F.explode(F.sequence(F.col("_c") - reach, F.col("_c") + reach)))
+        d = tile_distance(F.col("x"), F.col("y"), F.col("trow"), F.col("tcol"), grid)
+        some = tiles if priority is None else tiles.filter(F.col("priority") == priority)
+        met = boxed.join(some, ["trow", "tcol"]).withColumns({"distance": d, "own": (F.col("trow") == F.col("_r")) & (F.col("tcol") == F.col("_c"))})
+        one = met.filter(F.col("own") | (F.col("distance") <= max_distance))
+        near = one if near is None else near.unionByName(one)
     order = Window.partitionBy("observer_id").orderBy(F.desc("own"), "distance", "priority", "trow", "tcol")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max_tiles).select("observer_id", "rank", "priority", "trow", "tcol", "own", "distance")
 
 
+def stack_fallback(candidates: DataFrame, coverage: DataFrame, grids: dict[int, Grid]) -> DataFrame:
+    """C3 for stacks: where observers of tiles_in_range() without a tile of their own go: (observer_id, priority, trow, tcol, x, y).
+
+    It is the middle of the first usable rectangle (coverage: priority, trow, tcol,
+    column, row, width, height) of the first candidate by priority and key.
+    """
+    key = ["priority", "trow", "tcol"]
+    lost = candidates.groupBy("observer_id").agg(F.min(F.struct(*key)).alias("t"), F.bool_or("own").alias("own")).filter("not own").select("observer_id", "t.*")
+    first = coverage.groupBy(*key).agg(F.min_by(F.struct("column", "row", "width", "height"), F.struct("row", "column")).alias("r"))
+    sides = F.create_map(*[c for p, g in grids.items() for c in (F.lit(p), F.struct(*[F.lit(float(v)).alias(k) for k, v in (("ox", g.origin_x), ("oy", g.origin_y), ("cell", g.cell), ("width", g.width))]))])
+    met = lost.join(first, key).withColumn("_g", sides[F.col("priority")])
+    x = F.col("_g.ox") + F.col("tcol") * F.col("_g.width") + (F.col("r.column") + F.col("r.width") / 2) * F.col("_g.cell")
+    y = F.col("_g.oy") - (F.col("trow") + 1) * F.col("_g.width") + (F.col("r.row") + F.col("r.height") / 2) * F.col("_g.cell")
+    return met.select("observer_id", *key, x.alias("x"), y.alias("y"))
+
+
 def observer_fallback(tiles: DataFrame, grid: Grid) -> DataFrame:
     """Where an observer without a tile goes: the centre of the tile nearest the middle of the key box (one row)."""
     box = tiles.agg(((F.min("trow") + F.max("trow")) / 2).alias("mr"), ((F.min("tcol") + F.max("tcol")) / 2).alias("mc"))

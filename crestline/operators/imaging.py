@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geodesy import map_xy
 from .rays import CURVATURE
 
 RADII = (1, 2, 4)
@@ -56,6 +57,13 @@ def map_pixel(east: Column, north: Column, centre: tuple[float, float], east_axi
     return centre[0] + east * east_axis[0] + north * north_axis[0], centre[1] + east * east_axis[1] + north * north_axis[1]
 
 
+def map_pixel_of(lat: Column, lon: Column, region: tuple[float, float, float, float], width: int, height: int) -> tuple[Column, Column]:
+    """The same by latitude and longitude, for a map that shows a region (left, top, wide, high) of map_xy()'s world; the turn of a longitude nearest to its middle."""
+    left, top, wide, high = region
+    x, y = map_xy(lat, lon, F.lit((left + wide / 2) / float(1 << 28) * 360 - 180))
+    return (x - left) / wide * width, (y - top) / high * height
+
+
 def visibility_mask(points: DataFrame, width: int, height: int, keys: list[str] | None = None) -> DataFrame:
     """The map pixels that points (mx, my) cover, with the number of points: pixels whose centre is within [p - 1, p + 1).
 

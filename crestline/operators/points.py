@@ -127,11 +127,11 @@ def sample_ground(points: DataFrame, cells: DataFrame, grid: Grid, offset: float
     return met.withColumn("ground", z + offset).select(*points.columns, "ground")
 
 
-def grid_points(centres: DataFrame, vertices: DataFrame, grid: Grid, radius: float) -> DataFrame:
-    """(centre_id, vx, vy, z, distance): vertices within a radius of centres (centre_id, x, y).
+def near_vertices(centres: DataFrame, vertices: DataFrame, grid: Grid, radius: float) -> DataFrame:
+    """Vertices within a radius of centres (centre_id, x, y): the centres' columns, vx, vy, z, distance; once for each tile that holds the vertex.
 
     A centre goes to the tiles its box touches, vertices are joined by tile, and the
-    distance is checked last. Edge vertices, which two tiles share, come once.
+    distance is checked last.
     """
     if radius < 0:
         raise ValueError("radius is negative")
@@ -140,21 +140,30 @@ def grid_points(centres: DataFrame, vertices: DataFrame, grid: Grid, radius: flo
     rows = F.sequence(F.floor((grid.origin_y - F.col("y") - radius) / grid.width), F.floor((grid.origin_y - F.col("y") + radius) / grid.width))
     boxed = centres.withColumn("tcol", F.explode(cols)).withColumn("trow", F.explode(rows))
     vx, vy = grid.origin_x + F.col("col") * grid.cell, grid.origin_y - F.col("row") * grid.cell
-    own = vertices.filter("z is not null").select("trow", "tcol", vx.alias("vx"), vy.alias("vy"), "z").filter(F.col("vx") - grid.origin_x < (F.col("tcol") + 1) * grid.width).filter(
-        grid.origin_y - F.col("vy") < (F.col("trow") + 1) * grid.width)
+    own = vertices.filter("z is not null").select("trow", "tcol", vx.alias("vx"), vy.alias("vy"), "z")
     met = boxed.join(own, ["trow", "tcol"]).withColumn("distance", F.hypot(F.col("vx") - F.col("x"), F.col("vy") - F.col("y")))
     return met.filter(F.col("distance") <= radius).select(*centres.columns, "vx", "vy", "z", "distance")
 
 
+def grid_points(centres: DataFrame, vertices: DataFrame, grid: Grid, radius: float) -> DataFrame:
+    """near_vertices(), each vertex once, on the edges of tiles too."""
+    near = near_vertices(centres, vertices, grid, radius)
+    return near.groupBy(*centres.columns, "vx", "vy", "distance").agg(F.max("z").alias("z")).select(*near.columns)
+
+
+def highest(candidates: DataFrame, centres: DataFrame, columns: list[str]) -> DataFrame:
+    """The highest of candidates (centre_id, z, distance and columns) of each centre; ties go to the nearer, then the smaller columns. NULL without one."""
+    order = F.struct(-F.col("z"), "distance", *columns)
+    best = candidates.filter("z is not null").groupBy("centre_id").agg(F.min_by(F.struct("z", *columns, "distance"), order).alias("b"))
+    return centres.select("centre_id").join(best, "centre_id", "left").select("centre_id", "b.z", *[f"b.{c}" for c in columns], "b.distance")
+
+
 def find_summit(centres: DataFrame, vertices: DataFrame, cells: DataFrame, grid: Grid, radius: float) -> DataFrame:
-    """Highest of the vertices within the radius and the centre's own ground; ties go to the nearer. NULL off the ground."""
-    around = grid_points(centres, vertices, grid, radius).select("centre_id", "vx", "vy", "z", "distance")
-    own = sample_ground(centres, cells, grid).select("centre_id", F.col("x").alias("vx"), F.col("y").alias("vy"), F.col("ground").alias("z"), F.lit(0.0).alias("distance"))
-    every = own.unionByName(around)
-    best = F.max_by(F.struct("z", "vx", "vy", "distance"), F.when(F.col("z").isNotNull(), F.struct("z", -F.col("distance"), -F.col("vx"), -F.col("vy"))))
-    # no ground under the centre: no answer
-    return every.groupBy("centre_id").agg(best.alias("b"), F.max(F.when(F.col("distance") == 0, F.col("z"))).alias("own")).select(
-        "centre_id", *[F.when(F.col("own").isNotNull(), F.col(f"b.{c}")).alias(c) for c in ("z", "vx", "vy", "distance")])
+    """Highest ground of the vertices within the radius and of the centre itself; ties go to the nearer. NULL where none has ground."""
+    around = near_vertices(centres.select("centre_id", "x", "y"), vertices, grid, radius).select("centre_id", F.col("vx").alias("x"), F.col("vy").alias("y"), "distance")
+    every = around.unionByName(centres.select("centre_id", "x", "y", F.lit(0.0).alias("distance")))
+    found = sample_ground(every, cells, grid).select("centre_id", F.col("ground").alias("z"), F.col("x").alias("vx"), F.col("y").alias("vy"), "distance")
+    return highest(found, centres, ["vx", "vy"])
 
 
 def track_clearance(track: DataFrame, cells: DataFrame, grid: Grid, clearance: float = 50.0, spare: float = 0.5) -> DataFrame:

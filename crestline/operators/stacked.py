@@ -8,14 +8,16 @@ only where two layers meet can the ground have a step, and that counts as ground
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geodesy import from_crs, geodesic, to_crs, valid_lat_lon
 from ..storage import written
 from .catalogue import owned_cells
-from .points import cell_of
+from .points import cell_of, highest, sample_ground
 from .rays import CURVATURE
 from .tiles import Grid
 from .trace import bilinear, crossings, hit_bilinear, in_sight, local, lowest, nearest, on_ground, paths_of, tile_path
@@ -25,11 +27,17 @@ HEIGHTS = ("z00", "z01", "z10", "z11", "zmax")
 
 @dataclass(frozen=True)
 class Layer:
-    """A dataset: cells (trow, tcol, y, x, z00..z11, zmax), the grid they lie on, metres to raise it by."""
+    """A dataset: cells (trow, tcol, y, x, z00..z11, zmax), the grid they lie on, metres to raise it by.
+
+    Traces take all layers in one frame. Questions asked by latitude and longitude
+    need the grid's system, those for vertices (trow, tcol, col, row, z) these, too.
+    """
 
     cells: DataFrame
     grid: Grid
     vertical_offset_m: float = 0.0
+    epsg: int | None = None
+    vertices: DataFrame | None = None
 
 
 def owned_layers(layers: list[Layer]) -> list[Layer]:
@@ -87,3 +95,95 @@ def trace_stack(views: DataFrame, layers: list[Layer], margin: float = 1.0) -> D
         pieces = both if pieces is None else pieces.unionByName(both)
     grid = Grid(0.0, 0.0, F.col("cell"), 0)  # only the cell's size is asked for, each piece has its own
     return nearest(views, in_sight(pieces, grid).withColumn("t", hit_or_step(grid)), grid, ("dataset_id",))
+
+
+def sample_stack(points: DataFrame, layers: list[Layer]) -> DataFrame:
+    """P7 by C6 and C7: points (lat, lon) with ground, raised by its layer's offset, and dataset_id, the number of the first layer
+    with a usable cell there. NULL: no layer has one.
+
+    An equi-join on tile and cell for each layer, as sample_ground(); a stream of points may be joined so, too.
+    """
+    found, grounds = points, []
+    for number, layer in enumerate(layers):
+        at = to_crs(F.col("lon"), F.col("lat"), layer.epsg)
+        placed = found.withColumn("_at", at).withColumns({"x": F.col("_at.x"), "y": F.col("_at.y")}).drop("_at")
+        grounds.append(f"_ground{number}")
+        found = sample_ground(placed, layer.cells, layer.grid, layer.vertical_offset_m).withColumnRenamed("ground", grounds[-1]).drop("x", "y")
+    owner = F.coalesce(*[F.when(F.col(c).isNotNull(), number) for number, c in enumerate(grounds)])
+    return found.withColumns({"ground": F.coalesce(*grounds), "dataset_id": owner}).drop(*grounds)
+
+
+#: The ellipsoid's smallest and largest radius of curvature: spheres of them bound its distances. What a box around a circle is widened by.
+LEAST_RADIUS, MOST_RADIUS, WIDER = 6335439.0, 6399594.0, 1.01
+
+
+def box_of(layer: Layer, radius: float) -> tuple[Column, Column, Column]:
+    """(x, half width, half height) of a box in the layer's coordinates around the circle at (lat, lon), a cell wider than it.
+
+    The projected systems stretch lengths by less than WIDER where they are in use. By
+    longitude, a circle with a pole in it goes all the way round.
+    """
+    if layer.epsg != 4326:
+        half = F.lit(radius * WIDER + layer.grid.cell)
+        return to_crs(F.col("lon"), F.col("lat"), layer.epsg)["x"], half, half
+    angle = radius / LEAST_RADIUS * WIDER
+    round_pole = F.abs(F.radians("lat")) + angle >= F.pi() / 2
+    wide = F.when(round_pole, 180.0).otherwise(F.degrees(F.asin(F.least(F.sin(F.lit(angle)) / F.cos(F.radians("lat")), F.lit(1.0)))))
+    return F.col("lon"), wide + layer.grid.cell, F.degrees(F.lit(angle)) + layer.grid.cell
+
+
+def layer_points(centres: DataFrame, layer: Layer, radius: float) -> DataFrame:
+    """Vertices of one layer within a geodesic radius of centres (centre_id, lat, lon): the centre's columns as from_lat, from_lon, and lat, lon, distance.
+
+    Centres go to the tiles that their box touches, on both sides of the date line.
+    """
+    grid = layer.grid
+    x, wide, high = box_of(layer, radius)
+    y = to_crs(F.col("lon"), F.col("lat"), layer.epsg)["y"]
+    turns = [0.0, -360.0, 360.0] if layer.epsg == 4326 else [0.0]
+    spans = [F.sequence(F.floor((x + t - wide - grid.origin_x) / grid.width), F.floor((x + t + wide - grid.origin_x) / grid.width)) for t in turns]
+    if len(spans) > 1:
+        # a turn is only of use where the box leaves -180..180
+        crosses = [F.lit(True), x + wide > 180, x - wide < -180]
+        spans = [F.when(c, s).otherwise(F.array().cast("array<bigint>")) for c, s in zip(crosses, spans, strict=True)]
+    rows = F.sequence(F.floor((grid.origin_y - y - high) / grid.width), F.floor((grid.origin_y - y + high) / grid.width))
+    boxed = centres.select("centre_id", F.col("lat").alias("from_lat"), F.col("lon").alias("from_lon"), F.array_distinct(F.flatten(F.array(*spans))).alias("_cols"), rows.alias("_rows"))
+    keyed = boxed.withColumn("tcol", F.explode("_cols")).withColumn("trow", F.explode("_rows")).drop("_cols", "_rows")
+    vx, vy = grid.origin_x + F.col("col") * grid.cell, grid.origin_y - F.col("row") * grid.cell
+    spots = layer.vertices.filter("z is not null").select("trow", "tcol", from_crs(vx, vy, layer.epsg).alias("_at")).select("trow", "tcol", F.col("_at.lat").alias("lat"), F.col("_at.lon").alias("lon"))
+    met = keyed.join(spots.filter(valid_lat_lon(F.col("lat"), F.col("lon"))), ["trow", "tcol"])
+    # on a sphere of the smallest radius nothing is farther than on the ellipsoid: few pairs are left to be measured exactly
+    half = lambda a, b: F.sin(F.radians(F.col(a) - F.col(b)) / 2) ** 2
+    chord = half("lat", "from_lat") + F.cos(F.radians("lat")) * F.cos(F.radians("from_lat")) * half("lon", "from_lon")
+    limit = lambda r: math.sin(min(radius / r, math.pi) / 2) ** 2
+    near = met.withColumn("_chord", chord).filter(F.col("_chord") <= limit(LEAST_RADIUS) + 1e-15)
+    away = geodesic(F.col("from_lat"), F.col("from_lon"), F.col("lat"), F.col("lon"))["distance"]
+    # within the circle on a sphere of the largest radius it is within it on the ellipsoid
+    inside = near.filter((F.col("_chord") < limit(MOST_RADIUS) - 1e-15) | (away <= radius))
+    return inside.select("centre_id", "from_lat", "from_lon", "lat", "lon", away.alias("distance"))
+
+
+def _around(centres: DataFrame, layers: list[Layer], radius: float) -> DataFrame:
+    if radius < 0:
+        raise ValueError("radius is negative")
+    found = None
+    for number, layer in enumerate(layers):
+        one = layer_points(centres, layer, radius).withColumn("dataset_id", F.lit(number))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def grid_points(centres: DataFrame, layers: list[Layer], radius: float) -> DataFrame:
+    """(centre_id, dataset_id, lat, lon, distance): vertices of all layers within a geodesic radius of centres (centre_id, lat, lon), each layer's once."""
+    return _around(centres, layers, radius).select("centre_id", "dataset_id", "lat", "lon", "distance").distinct()
+
+
+def find_summit(centres: DataFrame, layers: list[Layer], radius: float) -> DataFrame:
+    """(centre_id, z, lat, lon, distance): the highest ground of grid_points() and of the centre itself; ties go to the nearer.
+
+    The ground is that of sample_stack(), so a lower layer counts only where no higher one has a cell. NULL where no point has ground.
+    """
+    around = _around(centres, layers, radius).select("centre_id", "lat", "lon", "distance")
+    every = around.unionByName(centres.select("centre_id", "lat", "lon", F.lit(0.0).alias("distance")))
+    found = sample_stack(every, layers).withColumnRenamed("ground", "z").drop("dataset_id")
+    return highest(found, centres, ["lat", "lon"])

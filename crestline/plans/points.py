@@ -172,7 +172,7 @@ def sample_ground(spark, sf):
     return points.sample_ground(places(spark, sf), terrain.cells(spark, sf), GRID).select("point_id", r3(F.col("ground")).alias("ground"))
 
 
-RADIUS_SQL = """rd AS (SELECT p.point_id, v.z, 2600000.0 + v.col * 10 AS vx, 1200000.0 - v.row * 10 AS vy, sqrt(power(2600000.0 + v.col * 10 - p.x, 2) + power(1200000.0 - v.row * 10 - p.y, 2)) AS d
+RADIUS_SQL = """rd AS (SELECT p.point_id, v.z, v.col, v.row, 2600000.0 + v.col * 10 AS vx, 1200000.0 - v.row * 10 AS vy, sqrt(power(2600000.0 + v.col * 10 - p.x, 2) + power(1200000.0 - v.row * 10 - p.y, 2)) AS d
   FROM pl p JOIN m v ON v.col BETWEEN floor((p.x - 2600000.0) / 10) - 5 AND floor((p.x - 2600000.0) / 10) + 6 AND v.row BETWEEN floor((1200000.0 - p.y) / 10) - 5 AND floor((1200000.0 - p.y) / 10) + 6 WHERE sqrt(power(2600000.0 + v.col * 10 - p.x, 2) + power(1200000.0 - v.row * 10 - p.y, 2)) <= 45)"""
 
 
@@ -182,8 +182,10 @@ def grid_points(spark, sf):
     return found.groupBy(F.col("centre_id").alias("point_id")).agg(F.count(F.lit(1)).alias("n"), r3(F.min("z")).alias("lo"), r3(F.max("z")).alias("hi"))
 
 
-@query("p9_find_summit", f"""WITH {CELLS_SQL}, {GROUND_SQL}, {RADIUS_SQL}, ev AS (SELECT point_id, z, d FROM rd UNION ALL SELECT point_id, ground, 0 FROM gr0)
-SELECT pl.point_id, CASE WHEN o.ground IS NOT NULL THEN {r3_sql('max(ev.z)')} END AS z FROM pl JOIN gr0 o ON o.point_id = pl.point_id LEFT JOIN ev ON ev.point_id = pl.point_id GROUP BY pl.point_id, o.ground""")
+@query("p9_find_summit", f"""WITH {CELLS_SQL}, {GROUND_SQL}, {RADIUS_SQL},
+on_ground AS (SELECT rd.* FROM rd SEMI JOIN c ON c.tcol = rd.col // 16 AND c.trow = rd.row // 16 AND c.x = rd.col % 16 AND c.y = least(15, 16 - rd.row % 16)),
+ev AS (SELECT point_id, z FROM on_ground UNION ALL SELECT point_id, ground FROM gr0)
+SELECT pl.point_id, {r3_sql('max(ev.z)')} AS z FROM pl LEFT JOIN ev ON ev.point_id = pl.point_id GROUP BY 1""")
 def find_summit(spark, sf):
     vertices = written(terrain.vertices(spark, sf), "vertices")
     found = points.find_summit(places(spark, sf).withColumnRenamed("point_id", "centre_id"), vertices, tiles.usable_cells(vertices), GRID, 45.0)
@@ -230,12 +232,16 @@ def compass_sector(spark, sf):
 COARSE = tiles.Grid(2600004.0, 1199998.0, 15.0, CELLS)
 
 
-def primary_cells(spark, sf):
-    """Cells of the even sources alone: the dataset on top of the stack; all sources' cells lie below."""
+def primary_vertices(spark, sf):
+    """Vertices of the even sources alone: the dataset on top of the stack; all sources' lie below."""
     some = terrain.samples(spark, sf).filter("source_id % 2 = 0 and mask <> 0").withColumnRenamed("value", "z")
     n = terrain.side(spark, sf)
     placed = tiles.assign_tiles(tiles.mosaic(some, terrain.RANK), CELLS)
-    return tiles.usable_cells(placed.filter(F.col("tcol").between(0, (n - 1) // CELLS) & F.col("trow").between(0, (n - 1) // CELLS)))
+    return placed.filter(F.col("tcol").between(0, (n - 1) // CELLS) & F.col("trow").between(0, (n - 1) // CELLS))
+
+
+def primary_cells(spark, sf):
+    return tiles.usable_cells(primary_vertices(spark, sf))
 
 
 def _primary_sql() -> str:
@@ -340,6 +346,109 @@ def stacked_first_hits(spark, sf):
     return found.select("view_id", "px", "py", r3(F.col("distance")).alias("distance"), r3(F.col("elevation")).alias("elevation"), "dataset_id")
 
 
+# a stack by latitude and longitude: cells of powers of two, so that both engines place vertices exactly
+GEO, GEO_TOP = tiles.Grid(7.0, 46.0, 1 / 8192, CELLS), tiles.Grid(7.0 + 1 / 2048, 46.0 - 1 / 4096, 3 / 16384, CELLS)
+
+
+def geo_stack(spark, sf):
+    layers = []
+    for vertices, grid, offset in ((primary_vertices(spark, sf), GEO_TOP, -2.5), (terrain.vertices(spark, sf), GEO, RAISED)):
+        kept = written(vertices, "vertices")
+        layers.append(stacked.Layer(tiles.usable_cells(kept), grid, offset, 4326, kept))
+    return layers
+
+
+def geo_places(spark, sf):
+    n = terrain.side(spark, sf)
+    k = F.col("c_custkey")
+    return table(spark, sf, "customer").select(k.alias("centre_id"), (46.0 - (k * 91 % (n * 10) / 10.0 + 0.22) / 8192).alias("lat"), (7.0 + (k * 37 % (n * 10) / 10.0 + 0.33) / 8192).alias("lon"))
+
+
+GEO_PLACES_SQL = "gp AS (SELECT c_custkey AS centre_id, 46.0::DOUBLE - (c_custkey * 91 % (n * 10) / 10.0::DOUBLE + 0.22::DOUBLE) / 8192 AS lat, 7.0::DOUBLE + (c_custkey * 37 % (n * 10) / 10.0::DOUBLE + 0.33::DOUBLE) / 8192 AS lon FROM customer, g)"
+
+
+def geo_ground_sql(src: str) -> str:
+    """CTEs that add ground and dataset_id of the stack to src (lat, lon)."""
+    steps, was = [], src
+    for number, (grid, cells, offset) in enumerate(((GEO_TOP, "c1", -2.5), (GEO, "c", RAISED))):
+        keys = f"SELECT *, floor(a / 16)::BIGINT AS tc, floor(-b / 16)::BIGINT AS tr FROM (SELECT *, (lon - {grid.origin_x!r}::DOUBLE) / {grid.cell!r}::DOUBLE AS a, (lat - {grid.origin_y!r}::DOUBLE) / {grid.cell!r}::DOUBLE AS b FROM {was})"
+        cell = f"SELECT *, least(floor(a - tc * 16), 15)::INT AS kx, least(floor(b + (tr + 1) * 16), 15)::INT AS ky FROM ({keys})"
+        steps.append(f"""gs{number} AS (SELECT k.* EXCLUDE (a, b, tc, tr, kx, ky), q.z00 + (q.z01 - q.z00) * sx + (q.z10 - q.z00) * sy + (q.z00 - q.z01 - q.z10 + q.z11) * sx * sy + {offset} AS h{number}
+  FROM (SELECT *, a - tc * 16 - kx AS sx, b + (tr + 1) * 16 - ky AS sy FROM ({cell})) k LEFT JOIN {cells} q ON q.tcol = tc AND q.trow = tr AND q.x = kx AND q.y = ky)""".replace("EXCLUDE (a, b, tc, tr, kx, ky)", "EXCLUDE (a, b, tc, tr, kx, ky, sx, sy)"))
+        was = f"gs{number}"
+    return ",\n".join(steps) + ",\ngs AS (SELECT * EXCLUDE (h0, h1), coalesce(h0, h1) AS ground, CASE WHEN h0 IS NOT NULL THEN 0 WHEN h1 IS NOT NULL THEN 1 END AS dataset_id FROM gs1)"
+
+
+GEO_NEAR_SQL = f"""{GEO_PLACES_SQL},
+gv AS (SELECT 0 AS layer, {GEO_TOP.origin_x!r}::DOUBLE + col * {GEO_TOP.cell!r}::DOUBLE AS vlon, {GEO_TOP.origin_y!r}::DOUBLE - row * {GEO_TOP.cell!r}::DOUBLE AS vlat FROM m1
+  UNION ALL SELECT 1, {GEO.origin_x!r}::DOUBLE + col * {GEO.cell!r}::DOUBLE, {GEO.origin_y!r}::DOUBLE - row * {GEO.cell!r}::DOUBLE FROM m),
+gb AS (SELECT centre_id, layer, gp.lat AS lat0, gp.lon AS lon0, vlat AS lat1, vlon AS lon1 FROM gp JOIN gv ON vlat BETWEEN gp.lat - 0.0005 AND gp.lat + 0.0005 AND vlon BETWEEN gp.lon - 0.0007 AND gp.lon + 0.0007),
+gn AS (SELECT centre_id, layer, lat1 AS lat, lon1 AS lon, distance FROM ({vincenty_sql('gb')}) WHERE distance <= 45)"""
+
+
+@query("p7_stacked_ground", f"WITH {BOTH_SQL}, {GEO_PLACES_SQL}, {geo_ground_sql('gp')} SELECT centre_id AS point_id, {r3_sql('ground')} AS ground, dataset_id FROM gs")
+def stacked_ground(spark, sf):
+    """P7 over two datasets with other origins, cell sizes and offsets."""
+    return stacked.sample_stack(geo_places(spark, sf), geo_stack(spark, sf)).select(F.col("centre_id").alias("point_id"), r3(F.col("ground")).alias("ground"), "dataset_id")
+
+
+@query("p8_stacked_grid_points", f"WITH {BOTH_SQL}, {GEO_NEAR_SQL} SELECT centre_id, layer AS dataset_id, count(*) AS n, {r3_sql('max(distance)')} AS farthest FROM gn GROUP BY 1, 2")
+def stacked_grid_points(spark, sf):
+    found = stacked.grid_points(geo_places(spark, sf), geo_stack(spark, sf), 45.0)
+    return found.groupBy("centre_id", "dataset_id").agg(F.count(F.lit(1)).alias("n"), r3(F.max("distance")).alias("farthest"))
+
+
+@query("p9_stacked_summit", f"""WITH {BOTH_SQL}, {GEO_NEAR_SQL}, ge AS (SELECT centre_id, lat, lon, distance FROM gn UNION ALL SELECT centre_id, lat, lon, 0 FROM gp), {geo_ground_sql('ge')}
+SELECT centre_id, {r3_sql('max(ground)')} AS z, {r3_sql('arg_min(distance, (-ground, distance))')} AS distance FROM gs GROUP BY 1""")
+def stacked_summit(spark, sf):
+    found = stacked.find_summit(geo_places(spark, sf), geo_stack(spark, sf), 45.0)
+    return found.select("centre_id", r3(F.col("z")).alias("z"), r3(F.col("distance")).alias("distance"))
+
+
+STACK_RANGE_SQL = f"""{VERTICES_SQL}, {PLACES_SQL}, k AS (SELECT DISTINCT trow, tcol FROM v WHERE (trow + tcol) % 3 > 0),
+t AS (SELECT 0 AS priority, trow, tcol, 2600004.0::DOUBLE + tcol * 240 AS west, 1199998.0::DOUBLE - (trow + 1) * 240 AS south, 240 AS w FROM k WHERE tcol % 2 = 0
+  UNION ALL SELECT 1, trow, tcol, 2600000.0::DOUBLE + tcol * 160, 1200000.0::DOUBLE - (trow + 1) * 160, 160 FROM k),
+d AS (SELECT point_id AS observer_id, t.*, x >= west AND x < west + w AND y > south AND y <= south + w AS own,
+  sqrt(power(greatest(west - x, x - west - w, 0), 2) + power(greatest(south - y, y - south - w, 0), 2)) AS distance FROM pl, t),
+near AS (SELECT * FROM d WHERE own OR distance <= 250)"""
+
+
+def stack_range(spark, sf):
+    keys = terrain.vertices(spark, sf).select("trow", "tcol").distinct().filter((F.col("trow") + F.col("tcol")) % 3 > 0)
+    both = keys.filter("tcol % 2 = 0").withColumn("priority", F.lit(0)).unionByName(keys.withColumn("priority", F.lit(1)))
+    return catalogue.tiles_in_range(both, places(spark, sf).withColumnRenamed("point_id", "observer_id"), {0: COARSE, 1: GRID}, 250.0, 1 << 30)
+
+
+@query("c2_stacked_tiles_in_range", f"""WITH {STACK_RANGE_SQL} SELECT observer_id, row_number() OVER (PARTITION BY observer_id ORDER BY own DESC, distance, priority, trow, tcol)::INT AS rank, priority, trow, tcol, {r3_sql('distance')} AS distance FROM near""")
+def stacked_tiles_in_range(spark, sf):
+    """C2 over two datasets with other grids; the datasets lack every third tile."""
+    return stack_range(spark, sf).select("observer_id", "rank", "priority", "trow", "tcol", r3(F.col("distance")).alias("distance"))
+
+
+@query("c3_stack_fallback", f"""WITH {STACK_RANGE_SQL}, f AS (SELECT observer_id, min((priority, trow, tcol)) AS t FROM near GROUP BY 1 HAVING NOT bool_or(own))
+SELECT observer_id, priority, f.t[2] AS trow, f.t[3] AS tcol, west + (tcol % 5 + 4) * w / 16.0 AS x, south + (trow % 3 + 2) * w / 16.0 AS y
+FROM f JOIN t ON t.priority = f.t[1] AND t.trow = f.t[2] AND t.tcol = f.t[3]""")
+def stack_fallback(spark, sf):
+    """Each tile with two usable rectangles, of which the lower one is the first."""
+    found = written(stack_range(spark, sf), "candidates")
+    rect = lambda column, row, size: F.struct(column.alias("column"), row.alias("row"), F.lit(size).alias("width"), F.lit(size // 2).alias("height"))
+    low, high = rect(F.col("tcol") % 5, F.col("trow") % 3, 8), rect(F.col("tcol") % 5, F.col("trow") % 3 + 6, 4)
+    coverage = found.select("priority", "trow", "tcol").distinct().withColumn("r", F.explode(F.array(high, low))).select("priority", "trow", "tcol", "r.*")
+    return catalogue.stack_fallback(found, coverage, {0: COARSE, 1: GRID})
+
+
+W2_REGION = (139488000.0, 95090000.0, 40000.0, 30000.0)
+
+
+@query("w2_map_pixel_of", f"""WITH {terrain.GRID_SQL}, {GEO_PLACES_SQL} SELECT centre_id AS point_id, {r3_sql(f'((lon + 180) / 360 * 268435456 - {W2_REGION[0]}) / {W2_REGION[2]} * 800')} AS mx,
+  {r3_sql(f'((0.5 - ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) / (4 * pi())) * 268435456 - {W2_REGION[1]}) / {W2_REGION[3]} * 600')} AS my FROM gp""")
+def map_pixel_of(spark, sf):
+    from ..operators.imaging import map_pixel_of as pixel
+
+    mx, my = pixel(F.col("lat"), F.col("lon"), W2_REGION, 800, 600)
+    return geo_places(spark, sf).select(F.col("centre_id").alias("point_id"), r3(mx).alias("mx"), r3(my).alias("my"))
+
+
 @query("c8_coverage_footprints")
 def coverage_footprints(spark, sf):
     keys = terrain.vertices(spark, sf).select("trow", "tcol").distinct()

@@ -245,6 +245,64 @@ def test_summit(spark):
         points.find_summit(at, v, c, GRID, -1.0)
 
 
+def test_vertices_on_the_last_edge_count_once(spark):
+    v = flat(spark)
+    at = spark.createDataFrame([(1, 318.0, -158.0), (2, 160.0, -80.0)], "centre_id long, x double, y double")
+    got = {(r.centre_id, r.vx, r.vy) for r in points.grid_points(at, v, GRID, 10.0).collect()}
+    assert got == {(1, 320.0, -160.0), (1, 310.0, -160.0), (1, 320.0, -150.0)} | {(2, 160.0 + x, -80.0 + y) for x, y in ((0, 0), (10, 0), (-10, 0), (0, 10), (0, -10))}
+    assert points.grid_points(at, v, GRID, 10.0).filter("centre_id = 2").count() == 5
+
+
+def geo_layer(spark, grid, offset, **flat_args):
+    v = flat(spark, grid=grid, **flat_args)
+    return stacked.Layer(tiles.usable_cells(v), grid, offset, 4326, v)
+
+
+def test_summit_of_a_stack(spark):
+    """Offsets, circle, priority over a higher dataset below, holes, plateau, far away, off the ground."""
+    step = 1 / 8192
+    top = geo_layer(spark, tiles.Grid(7.0, 46.0, step, 16), -50.0, tcols=(0,), spikes={(13, 4): 1200.0, (13, 13): 1800.0}, skip={(2, 13)})
+    below = geo_layer(spark, tiles.Grid(7.0, 46.0, step, 16), 0.0, tcols=(0,), z=2000.0)
+    far = geo_layer(spark, tiles.Grid(16.0, 43.0, step, 16), 0.0, tcols=(0,), spikes={(7, 8): 1300.0})
+    rows = [(1, 46 - 6 * step, 7 + 9 * step), (2, 46 - 4 * step, 7 + 4.5 * step), (3, 46 - 13 * step, 7 + 1 * step), (4, 43 - 8 * step, 16 + 5 * step), (5, 50.0, 7.0)]
+    at = spark.createDataFrame(rows, "centre_id long, lat double, lon double")
+    got = {r.centre_id: r for r in stacked.find_summit(at, [top, below, far], 60.0).collect()}
+    assert got[1].z == 1150 and abs(got[1].lon - 7 - 13 * step) < 1e-12 and abs(got[1].lat - 46 + 4 * step) < 1e-12
+    assert got[2].z == 950 and got[2].distance == 0 and got[3].z == 2000 and got[4].z == 1300 and got[5].z is None
+    same = {r.centre_id: (r.z, r.distance) for r in stacked.find_summit(at, [top, below, far], 0.0).collect()}
+    assert same[1] == (950.0, 0.0) and same[4] == (1000.0, 0.0) and same[5] == (None, None)
+    with pytest.raises(ValueError):
+        stacked.find_summit(at, [top], -1.0)
+
+
+def test_grid_points_over_the_date_line_and_at_a_pole(spark):
+    from crestline.functions.geodesy import geodesic
+
+    step = 1 / 64
+    west = geo_layer(spark, tiles.Grid(-180.0, 90.0, step, 16), 0.0, tcols=(0,), trows=(0, 1))
+    east = geo_layer(spark, tiles.Grid(-180.0, 90.0, step, 16), 0.0, tcols=(1439,), trows=(0, 1))
+    layer = stacked.Layer(west.cells.unionByName(east.cells), west.grid, 0.0, 4326, west.vertices.unionByName(east.vertices))
+    centres = [(1, 89.6, 179.95), (2, 89.7, -179.99), (3, 89.99, 20.0), (4, 89.6, 0.0)]
+    at = spark.createDataFrame(centres, "centre_id long, lat double, lon double")
+    spots = layer.vertices.select((90 - F.col("row") * step).alias("la"), (-180 + F.col("col") * step).alias("lo")).distinct()
+    d = geodesic(F.col("lat"), F.col("lon"), F.col("la"), F.col("lo"))["distance"]
+    want = {(r.centre_id, r.la, r.lo) for r in at.crossJoin(spots).filter(d <= 3000).collect()}
+    found = stacked.grid_points(at, [layer], 3000.0).collect()
+    assert {(r.centre_id, r.lat, r.lon) for r in found} == want and len(found) == len(want)
+    assert {r[0] for r in want} == {1, 2, 3} and {r[2] > 0 for r in want if r[0] == 1} == {True, False}
+
+
+def test_stack_range_and_fallback(spark):
+    fine, coarse = tiles.Grid(0.0, 0.0, 10.0, 16), tiles.Grid(1000.0, 0.0, 20.0, 16)
+    keys = spark.createDataFrame([(1, 0, 0), (1, 0, 1), (0, 0, 0), (0, 0, 1)], "priority int, trow long, tcol long")
+    at = spark.createDataFrame([(1, 80.0, -80.0), (2, 700.0, -80.0), (3, 9000.0, 0.0)], "observer_id long, x double, y double")
+    near = catalogue.tiles_in_range(keys, at, {0: coarse, 1: fine}, 400.0, 3)
+    got = [tuple(r) for r in near.select("observer_id", "rank", "priority", "tcol", "own", "distance").orderBy("observer_id", "rank").collect()]
+    assert got == [(1, 1, 1, 0, True, 0.0), (1, 2, 1, 1, False, 80.0), (2, 1, 0, 0, False, 300.0), (2, 2, 1, 1, False, 380.0)]
+    rects = spark.createDataFrame([(0, 0, 0, 4, 2, 8, 4), (0, 0, 0, 0, 6, 16, 2), (1, 0, 1, 0, 0, 16, 16)], "priority int, trow long, tcol long, column int, row int, width int, height int")
+    assert [tuple(r) for r in catalogue.stack_fallback(near, rects, {0: coarse, 1: fine}).collect()] == [(2, 0, 0, 0, 1160.0, -240.0)]
+
+
 def test_ground_holes_and_priority(spark):
     top, below = flat(spark, skip={(7, r) for r in range(17)}, tcols=(0,)), flat(spark, 990.0, tcols=(0, 1))
     upper, lower = tiles.usable_cells(top), tiles.usable_cells(below)
