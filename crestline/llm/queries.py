@@ -16,6 +16,7 @@ from .quality_classifier import op3_quality_classifier
 from .quality_rules import OP7_SQL, op7_quality_rules
 from .simhash import op10_simhash
 from .token_counts import op2_token_counts
+from .url_filter import OP11_SQL, op11_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hamming_top_k": op1_hamming_top_k,
@@ -28,9 +29,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_trie": op8_bpe_trie,
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
+    "op11_url_filter": op11_url_filter,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_hamming_top_k": OP1_SQL,
     "op7_quality_rules": OP7_SQL,
     "op9_line_dedup": OP9_SQL,
+    "op11_url_filter": OP11_SQL,
 }
