@@ -17,6 +17,7 @@ from .quality_rules import OP7_SQL, op7_quality_rules
 from .simhash import op10_simhash
 from .token_counts import op2_token_counts
 from .url_filter import OP11_SQL, op11_url_filter
+from .whitening import op12_embedding_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hamming_top_k": op1_hamming_top_k,
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
     "op11_url_filter": op11_url_filter,
+    "op12_embedding_whitening": op12_embedding_whitening,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_hamming_top_k": OP1_SQL,
