@@ -11,6 +11,7 @@ from .hamming_search import OP1_SQL, op1_hamming_top_k
 from .lattice_lm import op4_lattice_lm
 from .license_scan import op5_license_scan
 from .line_dedup import OP9_SQL, op9_line_dedup
+from .merkle import OP13_SQL, op13_merkle_manifest
 from .packing import op6_packing
 from .quality_classifier import op3_quality_classifier
 from .quality_rules import OP7_SQL, op7_quality_rules
@@ -32,10 +33,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
     "op11_url_filter": op11_url_filter,
     "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_hamming_top_k": OP1_SQL,
     "op7_quality_rules": OP7_SQL,
     "op9_line_dedup": OP9_SQL,
     "op11_url_filter": OP11_SQL,
+    "op13_merkle_manifest": OP13_SQL,
 }
