@@ -487,7 +487,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     by_shingles = near_classes(named, size, bands=bands, rows=rows, width=width, id_col=id_col, text_col=text_col, members=members, **options)
     pairs = [x.filter("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")) for x in (by_bits, by_shingles)]
     gone = components(pairs[0].unionByName(pairs[1])).filter("node <> root").select(F.col("node").alias("gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("gone"), "left_anti")
+    # a struct, as docs may have columns of any name
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("gone"))
+    return rows.join(gone, "gone", "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
