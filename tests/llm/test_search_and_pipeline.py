@@ -136,8 +136,8 @@ def test_crowds_of_near_copies(spark):
 def test_keep_one_odd_table(spark):
     rows = [(1, None, 1), (2, "", 2), (3, "a b c", 3), (3, "a b c", 4), (4, "A b c", 5), (None, "a b c", 6), (5, "other", 7)]
     got = keep_one(spark.createDataFrame(rows, "doc_id long, text string, gone int"))
-    assert got.columns == ["doc_id", "text", "node"]
-    assert sorted(r.node for r in got.collect()) == [1, 3, 4, 6, 7]
+    assert got.columns == ["doc_id", "text", "gone"]
+    assert sorted(r.gone for r in got.collect()) == [1, 3, 4, 6, 7]
     assert keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
