@@ -19,8 +19,8 @@ from ..storage import written
 from .catalogue import owned_cells
 from .points import cell_of, highest, sample_ground
 from .rays import CURVATURE
-from .tiles import Grid
-from .trace import bilinear, crossings, hit_bilinear, in_sight, local, lowest, nearest, on_ground, paths_of, tile_path
+from .tiles import Grid, tile_index
+from .trace import bilinear, crossings, hit_bilinear, in_sight, local, nearest, on_cells, paths_of, pieces_of, stop_rising
 
 HEIGHTS = ("z00", "z01", "z10", "z11", "zmax")
 
@@ -54,14 +54,16 @@ def owned_layers(layers: list[Layer]) -> list[Layer]:
 def outside(pieces: DataFrame, higher: DataFrame, grid: Grid) -> DataFrame:
     """Pieces of paths (x, y, dx, dy, t0, t1) cut at a higher layer's cell lines, without those that lie in its cells.
 
-    So a root under the higher layer is never made, and the next one of the same cell stays in play.
+    So a root under the higher layer is never made, and the next one of the same cell stays in play. Pieces over ground stay as they are.
     """
-    cut = crossings(F.col("x") - grid.origin_x, F.col("y") - grid.origin_y, F.col("dx"), F.col("dy"), F.col("t0"), F.col("t1"), grid.cell)
+    whole = F.array(F.struct(F.col("t0").alias("a"), F.col("t1").alias("b")))
+    cut = F.when(F.col("over"), whole).otherwise(crossings(F.col("x") - grid.origin_x, F.col("y") - grid.origin_y, F.col("dx"), F.col("dy"), F.col("t0"), F.col("t1"), grid.cell))
     parts = pieces.withColumn("_i", F.explode(cut)).withColumns({"t0": F.col("_i.a"), "t1": F.col("_i.b")}).drop("_i")
     mid = (F.col("t0") + F.col("t1")) / 2
     place = cell_of(F.col("x") + F.col("dx") * mid, F.col("y") + F.col("dy") * mid, grid)
     keys = {"trow": "_r", "tcol": "_c", "cy": "_y", "cx": "_x"}
     taken = higher.select(F.col("trow").alias("_r"), F.col("tcol").alias("_c"), F.col("y").alias("_y"), F.col("x").alias("_x"))
+    place["cy"] = F.when(F.col("over"), -1).otherwise(place["cy"])  # a row of cells that isn't there
     return parts.withColumns({to: place[k] for k, to in keys.items()}).join(taken, list(keys.values()), "left_anti").drop(*keys.values())
 
 
@@ -72,26 +74,25 @@ def hit_or_step(grid: Grid) -> Column:
     return F.when((F.col("gaps") == 0) & (height < bilinear(sx, sy)), F.col("t0")).otherwise(hit_bilinear(F.col("slope"), grid))
 
 
-def trace_stack(views: DataFrame, layers: list[Layer], margin: float = 1.0) -> DataFrame:
+def trace_stack(views: DataFrame, layers: list[Layer]) -> DataFrame:
     """R1-R13 over a stack, highest priority first: trace()'s columns and dataset_id, the hit layer's number from 0.
 
-    Heights are bilinear. A tile that the lowest ray flies over is not joined to its
-    cells; it counts as ground for what is behind it if all its cells are there, and is
-    kept in the trace otherwise.
+    Heights are bilinear. Tiles and blocks of cells that the lowest ray flies over are not joined to
+    their cells; they count as ground for what is behind them if all their cells are there, and are met cell by cell otherwise.
     """
     paths = paths_of(views)
     pieces = None
     owned = owned_layers(layers)
-    for number, layer in enumerate(owned):
-        manifest = layer.cells.groupBy("trow", "tcol").agg(F.max("zmax").alias("tile_max"), F.count(F.lit(1)).alias("_n"))
-        low = lowest(F.col("low_slope"), F.col("z"), F.col("t0"), F.col("t1"))
-        over = (low > F.col("tile_max") + margin) & (F.col("_n") == layer.grid.cells**2)
-        segments = tile_path(paths, layer.grid).join(manifest, ["trow", "tcol"]).withColumn("_over", over).drop("tile_max", "_n")
-        met = on_ground(segments.filter(~F.col("_over")), layer.cells, layer.grid)
+    indexes = [written(tile_index(layer.cells, layer.grid), "tile-index") for layer in owned]
+    tops = None
+    for index in indexes:
+        tops = index.select("zmax") if tops is None else tops.unionByName(index.select("zmax"))
+    paths = stop_rising(paths, tops, F.col("low_slope"))
+    for number, (layer, index) in enumerate(zip(owned, indexes, strict=True)):
+        met = on_cells(pieces_of(paths, index, layer.grid, F.col("low_slope"), voids=True), layer.cells, layer.grid, keep_over=True)
         for higher in layers[:number]:
             met = outside(met, higher.cells, higher.grid)
-        both = met.unionByName(segments.filter("_over"), allowMissingColumns=True).drop("_over")
-        both = both.withColumns({"dataset_id": F.lit(number), "cell": F.lit(layer.grid.cell)})
+        both = met.drop("over").withColumns({"dataset_id": F.lit(number), "cell": F.lit(layer.grid.cell)})
         pieces = both if pieces is None else pieces.unionByName(both)
     grid = Grid(0.0, 0.0, F.col("cell"), 0)  # only the cell's size is asked for, each piece has its own
     return nearest(views, in_sight(pieces, grid).withColumn("t", hit_or_step(grid)), grid, ("dataset_id",))

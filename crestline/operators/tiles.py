@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 TILE = ["dataset_id", "lod", "trow", "tcol"]
 KEY = ["trow", "tcol"]
+#: Tiles along the side of a folder of stored tiles, and the folder's numbers.
+BLOCK = 8
+BLOCK_KEY = ["brow", "bcol"]
 SRTM_FLOOR = -2000.0
 MAX_RELIEF_DM = 65534
 
@@ -191,16 +194,47 @@ def build_manifest(new: DataFrame, old: DataFrame) -> DataFrame:
 
 
 def max_pyramid(cells: DataFrame, levels: int, keys: list[str] | None = None) -> DataFrame:
-    """(level, by, bx, zmax): level 1 has the highest corner of each cell, each next one of 2x2 blocks.
+    """(level, by, bx, zmax, n): level 1 has the highest corner of each cell, each next one of 2x2 blocks; n: usable cells.
 
     Each level is made from the one below, so what is shuffled falls by four.
     """
     keys = keys or KEY
-    level = cells.select(*keys, F.col("y").alias("by"), F.col("x").alias("bx"), "zmax")
+    level = cells.select(*keys, F.col("y").alias("by"), F.col("x").alias("bx"), "zmax", F.lit(1).cast("long").alias("n"))
     found = level.withColumn("level", F.lit(1))
-    for n in range(2, levels + 1):
-        level = level.groupBy(*keys, F.floor(F.col("by") / 2).cast("int").alias("by"), F.floor(F.col("bx") / 2).cast("int").alias("bx")).agg(F.max("zmax").alias("zmax"))
-        found = found.unionByName(level.withColumn("level", F.lit(n)))
+    for k in range(2, levels + 1):
+        level = level.groupBy(*keys, F.floor(F.col("by") / 2).cast("int").alias("by"), F.floor(F.col("bx") / 2).cast("int").alias("bx")).agg(F.max("zmax").alias("zmax"), F.sum("n").alias("n"))
+        found = found.unionByName(level.withColumn("level", F.lit(k)))
+    return found
+
+
+#: Cells along the side of the blocks that a trace asks before it asks cells, and T12's level that has them.
+BLOCK_LEVELS = {64: 7, 8: 4}
+
+
+def block_sizes(grid: Grid) -> list[int]:
+    return [size for size in BLOCK_LEVELS if size < grid.cells]
+
+
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """rows (trow, tcol, ...) with the numbers of the folder that their tile is stored in."""
+    return rows.withColumns({b: F.floor(F.col(k) / BLOCK).cast("int") for b, k in zip(BLOCK_KEY, KEY, strict=True)})
+
+
+def tile_index(cells: DataFrame, grid: Grid) -> DataFrame:
+    """A row for each tile: zmax, full (no void) and, from T12, arrays b64 and b8 of (top, full) of its blocks, row by row from the south-west.
+
+    NULL is a block without a usable cell. A tile has (cells / 8)^2 entries at most, so the index is about a fiftieth of the cells.
+    """
+    found = cells.groupBy(*KEY).agg(F.max("zmax").alias("zmax"), (F.count(F.lit(1)) == grid.cells**2).alias("full"))
+    sizes = block_sizes(grid)
+    pyramid = max_pyramid(cells, max([BLOCK_LEVELS[s] for s in sizes], default=1)) if sizes else None
+    for size in sizes:
+        side = -(-grid.cells // size)
+        room = F.least(F.lit(size), grid.cells - F.col("by") * size) * F.least(F.lit(size), grid.cells - F.col("bx") * size)
+        entry = F.struct((F.col("by") * side + F.col("bx")).alias("k"), F.struct(F.col("zmax").alias("top"), (F.col("n") == room).alias("full")).alias("v"))
+        blocks = pyramid.filter(F.col("level") == BLOCK_LEVELS[size]).groupBy(*KEY).agg(F.map_from_entries(F.collect_list(entry)).alias("m"))
+        every = F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda k: F.try_element_at("m", k))
+        found = found.join(blocks.select(*KEY, every.alias(f"b{size}")), KEY)
     return found
 
 

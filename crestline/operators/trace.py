@@ -1,11 +1,13 @@
 """Ray casting as joins: where does each line of sight first meet the ground?
 
-All rays of an angular view's pixel column share a horizontal path. The path's
-crossings with grid lines are made inside the row (no shuffle): first with tile
-lines, joined to the manifest, which drops tiles the lowest ray flies over; then with
-cell lines inside the tiles that are left, joined to their cells. Only then it is
-widened to slopes, and only to those that can have their first hit in a cell: above
-what the cells before have hidden, not above the cell's highest corner.
+All rays of an angular view's pixel column share a horizontal path. It ends where its
+lowest ray is above all ground for good. Its crossings with grid lines are made inside
+the row (no shuffle): first with tile lines, joined to the manifest, which drops tiles
+the lowest ray flies over; then with the lines of blocks of 64 and 8 cells, whose highest
+ground the manifest's row has with it; what is left is cut at cell lines and joined to
+cells, of which stored ones are read by need. Only then it is widened to slopes, and only
+to those that can have their first hit in a cell: above what the cells before have
+hidden, not above the cell's highest corner.
 
 Heights follow z(t) = z0 + slope * t + CURVATURE * t^2, t in horizontal metres.
 """
@@ -17,8 +19,12 @@ from pyspark.sql import functions as F
 
 from ..storage import written
 from .rays import CURVATURE, angular_columns, angular_slope
-from .tiles import Grid
+from .tiles import BLOCK_KEY, KEY, Grid, block_sizes, in_blocks
 
+#: Folders of stored cells whose numbers are broadcast at most, to read only those that are asked for.
+MAX_FOLDERS = 1 << 18
+#: How far over the highest ground a ray counts as over it for good, in metres.
+MARGIN = 1.0
 NUDGE = 1e-9
 #: What names a ray.
 RAY = ["view_id", "px", "py"]
@@ -45,10 +51,12 @@ def crossings(x: Column, y: Column, dx: Column, dy: Column, t0: Column, t1: Colu
 def tile_path(paths: DataFrame, grid: Grid) -> DataFrame:
     """A row for each tile a path crosses, with entry and exit: t0, t1, trow, tcol.
 
-    paths: x, y (frame metres), dx, dy, tmax. Tiles without ground fall out at the join with the manifest.
+    paths: x, y (frame metres), dx, dy, tmax, and tmin if they begin later than at 0.
+    Tiles without ground fall out at the join with the manifest.
     """
     px, py = F.col("x") - grid.origin_x, F.col("y") - grid.origin_y
-    cut = paths.withColumn("_i", F.explode(crossings(px, py, F.col("dx"), F.col("dy"), F.lit(0.0), F.col("tmax"), grid.width)))
+    tmin = F.col("tmin") if "tmin" in paths.columns else F.lit(0.0)
+    cut = paths.withColumn("_i", F.explode(crossings(px, py, F.col("dx"), F.col("dy"), tmin, F.col("tmax"), grid.width)))
     mid = (F.col("_i.a") + F.col("_i.b")) / 2
     return cut.select(
         *paths.columns, F.col("_i.a").alias("t0"), F.col("_i.b").alias("t1"),
@@ -61,24 +69,131 @@ def lowest(slope: Column, z0: Column, t0: Column, t1: Column) -> Column:
     return z0 + slope * t + CURVATURE * t * t
 
 
+def over_all_from(slope: Column, z: Column, top: Column, margin: float = MARGIN) -> Column:
+    """The distance from which on a ray is above the highest ground by the margin, and stays so; 0 if it is so all along.
+
+    The larger root of slope * t + CURVATURE * t^2 = rise: behind it the ray rises, as it is convex.
+    """
+    rise = top + margin - z
+    root = F.sqrt(slope * slope + 4 * CURVATURE * rise)
+    # of the two forms of the root the one that doesn't cancel
+    far = F.when(slope > 0, 2 * rise / (slope + root)).otherwise((root - slope) / (2 * CURVATURE))
+    return F.when(slope * slope + 4 * CURVATURE * rise < 0, 0.0).otherwise(F.greatest(far, F.lit(0.0)))
+
+
+def stop_rising(paths: DataFrame, manifest: DataFrame, slope: Column) -> DataFrame:
+    """Paths with tmax no farther than where they are over all ground for good; those that are over it all along go."""
+    top = manifest.agg(F.coalesce(F.max("zmax"), F.lit(float("-inf")))).scalar()
+    ends = paths.withColumn("tmax", F.least(F.col("tmax"), over_all_from(slope, F.col("z"), top)))
+    return ends.filter(F.col("tmax") > (F.col("tmin") if "tmin" in paths.columns else 0.0))
+
+
 def cull_tiles(segments: DataFrame, manifest: DataFrame, slope: Column, margin: float = 1.0) -> DataFrame:
     """Segments whose lowest height is not above the tile's highest ground by more than the margin."""
     found = segments.join(manifest.select("trow", "tcol", F.col("zmax").alias("tile_max")), ["trow", "tcol"])
     return found.filter(lowest(slope, F.col("z"), F.col("t0"), F.col("t1")) <= F.col("tile_max") + margin)
 
 
+def from_corner(grid: Grid) -> tuple[Column, Column]:
+    """Where a path begins, in metres from the south-west corner of the tile trow, tcol."""
+    return F.col("x") - (grid.origin_x + F.col("tcol") * grid.width), F.col("y") - (grid.origin_y - (F.col("trow") + 1) * grid.width)
+
+
+def placed(pieces: DataFrame, grid: Grid) -> DataFrame:
+    """Pieces inside a cell of trow, tcol each, with its cx, cy and the path's begin lx, ly in cells from the tile's corner."""
+    sx, sy = from_corner(grid)
+    mid = (F.col("t0") + F.col("t1")) / 2
+    return pieces.select(
+        *pieces.columns, F.floor((sx + F.col("dx") * mid) / grid.cell).cast("int").alias("cx"), F.floor((sy + F.col("dy") * mid) / grid.cell).cast("int").alias("cy"),
+        (sx / grid.cell).alias("lx"), (sy / grid.cell).alias("ly"))
+
+
 def cell_path(segments: DataFrame, grid: Grid) -> DataFrame:
     """A row for each cell crossed inside a tile: t0, t1 and x, y counted from the tile's south-west corner."""
-    west = grid.origin_x + F.col("tcol") * grid.width
-    south = grid.origin_y - (F.col("trow") + 1) * grid.width
-    sx, sy = F.col("x") - west, F.col("y") - south
+    sx, sy = from_corner(grid)
     keep = [c for c in segments.columns if c not in ("t0", "t1")]
     cut = segments.withColumn("_i", F.explode(crossings(sx, sy, F.col("dx"), F.col("dy"), F.col("t0"), F.col("t1"), grid.cell)))
-    mid = (F.col("_i.a") + F.col("_i.b")) / 2
-    return cut.select(
-        *keep, F.col("_i.a").alias("t0"), F.col("_i.b").alias("t1"),
-        F.floor((sx + F.col("dx") * mid) / grid.cell).cast("int").alias("cx"), F.floor((sy + F.col("dy") * mid) / grid.cell).cast("int").alias("cy"),
-        (sx / grid.cell).alias("lx"), (sy / grid.cell).alias("ly"))
+    return placed(cut.select(*keep, F.col("_i.a").alias("t0"), F.col("_i.b").alias("t1")), grid)
+
+
+#: What becomes of a piece of path: it is cut finer, it is over ground without a void, it is of no use.
+CUT, OVER, GONE = 0, 1, 2
+
+
+def descent(grid: Grid, slope: Column, sizes: list[int], voids: bool = False, to_cells: bool = True) -> Column:
+    """R9's block cull inside the row of a tile and its index: pieces (a, b, what) of t0..t1 after the tile, its blocks of each size and cells.
+
+    A piece that the ray flies over is not cut any finer: OVER if the ground under it has no
+    void, as it hides what ground hides, else it is gone. With voids, ground that has some is
+    cut all the same, down to its cells, so that where they are comes out.
+    """
+    sx, sy = from_corner(grid)
+
+    def asked(a: Column, b: Column, top: Column, full: Column, margin: float) -> Column:
+        over = lowest(slope, F.col("z"), a, b) > top + margin
+        return F.struct(a.alias("a"), b.alias("b"), F.when(top.isNull() | (over & ~full & F.lit(not voids)), GONE).when(over & full, OVER).otherwise(CUT).alias("what"))
+
+    def finer(pieces: Column, step: float, entry) -> Column:
+        def cut(p: Column) -> Column:
+            return F.transform(crossings(sx, sy, F.col("dx"), F.col("dy"), p["a"], p["b"], step), entry)
+
+        every = F.flatten(F.transform(pieces, lambda p: F.when(p["what"] == CUT, cut(p)).otherwise(F.array(p))))
+        return F.filter(every, lambda p: p["what"] != GONE)
+
+    def in_block(size: int):
+        step, side = grid.cell * size, -(-grid.cells // size)
+
+        def entry(q: Column) -> Column:
+            mid = (q["a"] + q["b"]) / 2
+            at = [F.least(F.greatest(F.floor((s + F.col(d) * mid) / step), F.lit(0)), F.lit(side - 1)) for s, d in ((sy, "dy"), (sx, "dx"))]
+            found = F.get(F.col(f"b{size}"), (at[0] * side + at[1]).cast("int"))
+            return F.transform(F.array(found), lambda e: asked(q["a"], q["b"], e["top"], F.coalesce(e["full"], F.lit(False)), 1e-6))[0]
+
+        return entry
+
+    pieces = F.filter(F.array(asked(F.col("t0"), F.col("t1"), F.col("tile_max"), F.col("tile_full"), MARGIN)), lambda p: p["what"] != GONE)
+    for size in sizes:
+        pieces = finer(pieces, grid.cell * size, in_block(size))
+    return finer(pieces, grid.cell, lambda q: F.struct(q["a"].alias("a"), q["b"].alias("b"), F.lit(CUT).alias("what"))) if to_cells else pieces
+
+
+def indexed(segments: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Tile segments with their tile's highest ground and, where the manifest has them (tile_index()), its blocks'."""
+    blocks = [c for c in manifest.columns if c in ("b64", "b8")]
+    full = F.col("full") if "full" in manifest.columns else F.lit(False)
+    return segments.join(manifest.select(*KEY, F.col("zmax").alias("tile_max"), full.alias("tile_full"), *blocks), KEY)
+
+
+def pieces_of(paths: DataFrame, manifest: DataFrame, grid: Grid, slope: Column, voids: bool = False, to_cells: bool = True) -> DataFrame:
+    """Paths cut at tile, block and cell lines, without what their ray flies over; over: pieces above ground without a void, left whole."""
+    segments = indexed(tile_path(paths, grid), manifest)
+    sizes = [s for s in block_sizes(grid) if f"b{s}" in manifest.columns]
+    cut = segments.withColumn("_p", F.explode(descent(grid, slope, sizes, voids, to_cells)))
+    keep = [c for c in segments.columns if c not in ("t0", "t1", "tile_max", "tile_full", "b64", "b8")]
+    return cut.select(*keep, F.col("_p.a").alias("t0"), F.col("_p.b").alias("t1"), (F.col("_p.what") == OVER).alias("over"))
+
+
+def cells_by_need(cells: DataFrame, paths: DataFrame, manifest: DataFrame, grid: Grid, slope: Column) -> DataFrame:
+    """The cells that a trace of paths can meet: of stored cells (sources.tiles.write_cells()) only the folders of tiles that the manifest leaves are read.
+
+    Their numbers are broadcast where the store has MAX_FOLDERS at most, and prune partitions at run time; beyond that they are joined.
+    """
+    if not set(BLOCK_KEY) <= set(cells.columns):
+        return cells
+    folders = in_blocks(manifest.select(*KEY)).select(*BLOCK_KEY).distinct().count()
+    met = cull_tiles(tile_path(paths, grid), manifest, slope).filter("t0 < t1")
+    asked = in_blocks(met.select(*KEY)).select(*BLOCK_KEY).distinct()
+    return cells.join(F.broadcast(asked) if folders <= MAX_FOLDERS else asked, BLOCK_KEY, "left_semi")
+
+
+def on_cells(pieces: DataFrame, cells: DataFrame, grid: Grid, keep_over: bool) -> DataFrame:
+    """Pieces with the corners of the cells they lie in; those over ground without corners, if they are kept."""
+    ground = cells.select(*KEY, F.col("y").alias("cy"), F.col("x").alias("cx"), "z00", "z01", "z10", "z11", "zmax")
+    if not keep_over:
+        return placed(pieces.filter("not over"), grid).join(ground, [*KEY, "cy", "cx"])
+    # a row of cells that isn't there: what is over finds none, spread by its tile
+    own = placed(pieces, grid).withColumn("cy", F.when(F.col("over"), -1).otherwise(F.col("cy")))
+    return own.join(ground, [*KEY, "cy", "cx"], "left").filter("over or z00 is not null")
 
 
 def local(t: Column, grid: Grid) -> tuple[Column, Column]:
@@ -203,18 +318,12 @@ def paths_of(views: DataFrame) -> DataFrame:
     return angular_columns(views).withColumn("low_slope", F.least(angular_slope(F.lit(0)), angular_slope(F.col("height") - 1)))
 
 
-def on_ground(segments: DataFrame, cells: DataFrame, grid: Grid) -> DataFrame:
-    """Tile segments cut at cell lines, with the cells they cross."""
-    ground = cells.select("trow", "tcol", F.col("y").alias("cy"), F.col("x").alias("cx"), "z00", "z01", "z10", "z11", "zmax")
-    return cell_path(segments, grid).join(ground, ["trow", "tcol", "cy", "cx"])
-
-
 def in_sight(met: DataFrame, grid: Grid) -> DataFrame:
     """Rays (py, slope) with the pieces of path in which they can have their first hit.
 
     met: pieces of paths on ground that do not overlap. A piece without corners (z00 is
     NULL) has ground that all rays fly over. Adds gaps: 0 as long as the ground is
-    continuous from the observer on.
+    continuous from the observer on. floor, where there is one: rays below it are not asked for.
     """
     # what each cell hides (the ground at its exit) and at most shows (its highest corner)
     exit_x, exit_y = local(F.col("t1"), grid)
@@ -227,7 +336,8 @@ def in_sight(met: DataFrame, grid: Grid) -> DataFrame:
     gap = (F.col("t0") - F.coalesce(F.max("t1").over(before), F.lit(0.0)) > 1e-6).cast("int")
     met = met.withColumn("_gap", gap).withColumn("gaps", F.sum("_gap").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     hidden = F.coalesce(F.max("hides").over(before), F.lit(float("-inf")))
-    met = met.withColumn("hidden", F.when(F.col("gaps") == 0, hidden).otherwise(float("-inf")))
+    floor = F.col("floor") if "floor" in met.columns else F.lit(float("-inf"))
+    met = met.withColumn("hidden", F.greatest(F.when(F.col("gaps") == 0, hidden).otherwise(float("-inf")), floor))
     # float noise at either bound costs a test, not a hit
     spare = 1e-6
     met = met.filter(F.col("z00").isNotNull() & (F.col("hidden") <= F.col("shows") + spare))
@@ -242,29 +352,60 @@ def in_sight(met: DataFrame, grid: Grid) -> DataFrame:
     return met.filter(low <= high).withColumn("py", F.explode(F.sequence(low, high))).withColumn("slope", angular_slope(F.col("py")))
 
 
-def nearest(views: DataFrame, solved: DataFrame, grid: Grid, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Every ray of the views with the nearest of its cells' hits t; what gets here is a few cells a ray."""
+def rays_of(views: DataFrame) -> DataFrame:
+    return angular_columns(views).withColumn("py", F.explode(F.sequence(F.lit(0), F.col("height") - 1))).withColumn("slope", angular_slope(F.col("py")))
+
+
+def best_hits(solved: DataFrame, grid: Grid, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(RAY, h, n_cells): the nearest of each ray's cells' hits t, NULL if there is none; what gets here is a few cells a ray."""
     sx, sy = local(F.col("t"), grid)
     hit = F.struct("t", "trow", "tcol", "cy", "cx", sx.alias("sx"), sy.alias("sy"), *keep)
-    found = solved.groupBy("view_id", "px", "py").agg(F.min_by(F.when(F.col("t").isNotNull(), hit), "t").alias("h"), F.count(F.lit(1)).alias("n_cells"))
-    rays = angular_columns(views).withColumn("py", F.explode(F.sequence(F.lit(0), F.col("height") - 1))).withColumn("slope", angular_slope(F.col("py")))
+    return solved.groupBy(*RAY).agg(F.min_by(F.when(F.col("t").isNotNull(), hit), "t").alias("h"), F.count(F.lit(1)).alias("n_cells"))
+
+
+def with_hits(views: DataFrame, found: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every ray of the views with its hit."""
     z = F.col("z") + F.col("slope") * F.col("h.t") + CURVATURE * F.col("h.t") * F.col("h.t")
-    return rays.join(found, ["view_id", "px", "py"], "left").select(
-        "view_id", "px", "py", "x", "y", "z", "dx", "dy", "slope", F.col("h.t").alias("distance"), z.alias("elevation"), "h.trow", "h.tcol", "h.cy", "h.cx", "h.sx", "h.sy",
+    return rays_of(views).join(found, RAY, "left").select(
+        *RAY, "x", "y", "z", "dx", "dy", "slope", F.col("h.t").alias("distance"), z.alias("elevation"), "h.trow", "h.tcol", "h.cy", "h.cx", "h.sx", "h.sy",
         F.coalesce("n_cells", F.lit(0)).alias("n_cells"), *[f"h.{c}" for c in keep])
 
 
-def trace(views: DataFrame, cells: DataFrame, manifest: DataFrame, grid: Grid, surface: str = "bilinear") -> DataFrame:
+def nearest(views: DataFrame, solved: DataFrame, grid: Grid, keep: tuple[str, ...] = ()) -> DataFrame:
+    return with_hits(views, best_hits(solved, grid, keep), keep)
+
+
+def trace(views: DataFrame, cells: DataFrame, manifest: DataFrame, grid: Grid, surface: str = "bilinear", bands: tuple[float, ...] = ()) -> DataFrame:
     """First hits of angular views, one row a ray; NULL distance is sky.
 
     views: view_id, x, y, z, width, height, az0, az1, el0, el1, tmax. cells: trow, tcol,
-    y, x, z00..z11, zmax. manifest: trow, tcol, zmax. Returns view_id, px, py, dx, dy,
+    y, x, z00..z11, zmax; stored ones are read by need. manifest: trow, tcol, zmax; with
+    tile_index()'s blocks paths are cut at those first. Returns view_id, px, py, dx, dy,
     slope, distance, elevation, trow, tcol, cy, cx, sx, sy, n_cells (cells tested).
+
+    bands: shares of the range to trace first. A column goes on from there with the lowest
+    of its rays that has no hit yet, so what that ray flies over is neither cut nor read;
+    hits of a band are stored. Worth it where views see far and most rays end near by.
     """
     solve = {"bilinear": hit_bilinear, "triangles": hit_triangles}[surface]
-    near = cull_tiles(tile_path(paths_of(views), grid), manifest, F.col("low_slope"))
-    tested = in_sight(on_ground(near, cells, grid), grid)
-    return nearest(views, tested.withColumn("t", solve(F.col("slope"), grid)), grid)
+    paths, found, begin = paths_of(views), None, 0.0
+    for share in (*bands, 1.0):
+        own = paths.withColumns({"tmin": F.col("tmax") * begin, "tmax": F.col("tmax") * share}) if bands else paths
+        own = stop_rising(own, manifest, F.col("low_slope"))
+        near = cells_by_need(cells, own, manifest, grid, F.col("low_slope"))
+        met = on_cells(pieces_of(own, manifest, grid, F.col("low_slope")), near, grid, keep_over=True)
+        hits = best_hits(in_sight(met, grid).withColumn("t", solve(F.col("slope"), grid)), grid)
+        if bands:
+            hits = written(hits, "band-hits")
+        found = hits if found is None else found.unionByName(hits)
+        if share < 1:
+            # the lowest ray of each column that has none
+            open_rays = rays_of(views).select(*RAY, "slope").join(found.filter("h is not null").select(*RAY), RAY, "left_anti")
+            lows = open_rays.groupBy("view_id", "px").agg(F.min("slope").alias("low_slope")).withColumn("floor", F.col("low_slope"))
+            paths, begin = paths_of(views).drop("low_slope").join(written(lows, "open-columns"), ["view_id", "px"]), share
+    if bands:  # a ray has a row for each band in which cells were tested
+        found = found.groupBy(*RAY).agg(F.min_by("h", F.col("h.t")).alias("h"), F.sum("n_cells").alias("n_cells"))
+    return with_hits(views, found)
 
 
 def recovered_steps(path: DataFrame) -> DataFrame:
@@ -290,11 +431,7 @@ def shadow_rays(hits: DataFrame, sun_azimuth: Column, sun_elevation: Column, cel
 
 def shadowed(rays: DataFrame, cells: DataFrame, manifest: DataFrame, grid: Grid, tmax: float, keys: list[str] = RAY) -> DataFrame:
     """Keys of shadow rays that meet ground within tmax; any hit will do, so nothing is ordered."""
-    near = cull_tiles(tile_path(rays.withColumn("tmax", F.lit(tmax)), grid), manifest, F.col("slope"))
-    # what flies over the tile's highest ground needs no cell
-    low = cell_path(near, grid).filter(lowest(F.col("slope"), F.col("z"), F.col("t0"), F.col("t1")) <= F.col("tile_max"))
-    ground = cells.select("trow", "tcol", F.col("y").alias("cy"), F.col("x").alias("cx"), "z00", "z01", "z10", "z11", "zmax")
-    met = low.join(ground, ["trow", "tcol", "cy", "cx"])
+    met = crossed_cells(rays.withColumn("tmax", F.lit(tmax)), cells, manifest, grid)
     met = met.filter(lowest(F.col("slope"), F.col("z"), F.col("t0"), F.col("t1")) <= F.col("zmax"))
     return met.filter(hit_bilinear(F.col("slope"), grid).isNotNull()).select(*keys).distinct()
 
@@ -319,14 +456,13 @@ def sunlit_hits(hits: DataFrame, suns: DataFrame, cells: DataFrame, manifest: Da
 
 
 def crossed_cells(rays: DataFrame, cells: DataFrame, manifest: DataFrame | None, grid: Grid) -> DataFrame:
-    """Rays with paths of their own (x, y, z, dx, dy, slope, tmax) and the cells they cross, tiles culled first if there is a manifest."""
-    segments = tile_path(rays, grid)
-    near = cull_tiles(segments, manifest, F.col("slope")) if manifest is not None else segments
-    ground = cells.select("trow", "tcol", F.col("y").alias("cy"), F.col("x").alias("cx"), "z00", "z01", "z10", "z11", "zmax")
-    path = cell_path(near, grid)
-    if manifest is not None:  # what flies over the tile's highest ground needs no cell
-        path = path.filter(lowest(F.col("slope"), F.col("z"), F.col("t0"), F.col("t1")) <= F.col("tile_max"))
-    return path.join(ground, ["trow", "tcol", "cy", "cx"])
+    """Rays with paths of their own (x, y, z, dx, dy, slope, tmax) and the cells they cross; with a manifest those alone that they don't fly over as far as its blocks tell."""
+    if manifest is None:
+        ground = cells.select(*KEY, F.col("y").alias("cy"), F.col("x").alias("cx"), "z00", "z01", "z10", "z11", "zmax")
+        return cell_path(tile_path(rays, grid), grid).join(ground, [*KEY, "cy", "cx"])
+    slope = F.col("slope")
+    own = stop_rising(rays, manifest, slope)
+    return on_cells(pieces_of(own, manifest, grid, slope), cells_by_need(cells, own, manifest, grid, slope), grid, keep_over=False)
 
 
 def first_hits(rays: DataFrame, cells: DataFrame, manifest: DataFrame, grid: Grid, bands: tuple[float, ...] = ()) -> DataFrame:

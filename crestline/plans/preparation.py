@@ -132,7 +132,7 @@ def build_manifest(spark, sf):
     return tiles.build_manifest(every.filter("(trow + tcol) % 2 = 0"), old).select("trow", "tcol", F.round("zmin", 3).alias("zmin"), F.round("zmax", 3).alias("zmax"), "rescan")
 
 
-@query("t12_max_pyramid", f"""WITH {CELLS_SQL} SELECT trow, tcol, k::INT AS level, (y >> (k - 1))::INT AS "by", (x >> (k - 1))::INT AS bx, round(max(zmax), 3) AS zmax
+@query("t12_max_pyramid", f"""WITH {CELLS_SQL} SELECT trow, tcol, k::INT AS level, (y >> (k - 1))::INT AS "by", (x >> (k - 1))::INT AS bx, round(max(zmax), 3) AS zmax, count(*) AS n
 FROM c, range(1, 6) t(k) GROUP BY ALL""")
 def max_pyramid(spark, sf):
     return tiles.max_pyramid(terrain.cells(spark, sf), 5).withColumn("zmax", F.round("zmax", 3))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import let
 from ..sources import gazetteer, rasters
 from ..sources import tiles as store
-from ..storage import scratch_path
+from ..storage import scratch_path, written
 from . import terrain, tracing
 from .registry import query, r3, r3_sql, table
 from .terrain import CELLS_SQL, MOSAIC_SQL
@@ -84,6 +84,24 @@ def write_tiles(spark, sf):
     return done[0].unionByName(done[1]).unionByName(done[2]).select("run", "written", "skipped")
 
 
+@query("s8_overwrite_tiles", f"""WITH {CELLS_SQL}, has AS (SELECT DISTINCT trow, tcol FROM c),
+nv AS (SELECT trow, tcol, CASE WHEN (trow + tcol) % 2 = 0 THEN z + 500 ELSE z END AS z FROM v SEMI JOIN has USING (trow, tcol) WHERE trow % 3 <> 2)
+SELECT trow, tcol, count(*) AS n_vertices, {r3_sql('min(z)')} AS zmin, {r3_sql('max(z)')} AS zmax FROM nv GROUP BY 1, 2""")
+def overwrite_tiles(spark, sf):
+    """All tiles stored; then every other one raised by 500 m and the rows 2, 5, 8, ... removed, by one overwrite. Heights from the tiles, checked against the manifest."""
+    path = scratch_path(spark, "tiles")
+    vertices = written(terrain.vertices(spark, sf).select("trow", "tcol", "y", "x", "z").withColumn("lod", F.lit(1)), "vertices")
+    store.write_tiles(vertices, path)
+    bare = F.col("trow") % 3 == 2
+    changed = vertices.filter(bare | ((F.col("trow") + F.col("tcol")) % 2 == 0)).withColumn("z", F.when(~bare, F.col("z") + 500))
+    store.write_tiles(changed, path, overwrite=True)
+    heights = store.read_tiles(spark, path).groupBy("trow", "tcol").agg(F.count("z").alias("n_vertices"), F.min("z").alias("lo"), F.max("z").alias("hi"))
+    # a tile without its bounds, or with those of another height, is not in the result
+    bounds = store.read_manifest(spark, path).select("trow", "tcol", "zmin", "zmax")
+    fine = heights.join(bounds, ["trow", "tcol"]).filter("zmin <= lo and hi <= zmax and zmax - hi < 0.01 and lo - zmin < 0.01")
+    return fine.select("trow", "tcol", "n_vertices", r3(F.col("lo")).alias("zmin"), r3(F.col("hi")).alias("zmax"))
+
+
 @query("s9_write_products", f"WITH {tracing.GRAD_SQL} SELECT view_id, count(*) AS n_hits, {r3_sql('min(distance)')} AS nearest FROM gg GROUP BY 1")
 def write_products(spark, sf):
     hits, _, _ = tracing.hits_with_gradients(spark, sf)

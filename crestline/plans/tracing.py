@@ -7,7 +7,8 @@ import math
 from pyspark.sql import functions as F
 
 from ..operators import rays, stacked, tiles, trace
-from ..storage import written
+from ..sources.tiles import read_cells, write_cells
+from ..storage import scratch_path, written
 from . import terrain
 from .registry import query, r3, r3_sql, table
 from .terrain import CELLS_SQL, GRID
@@ -30,7 +31,7 @@ def views(spark, sf):
 VIEWS_SQL = """vw AS (SELECT s_suppkey AS view_id, 2600000.0::DOUBLE + (s_suppkey * 37 % (n - 2)) * 10 + 3.7::DOUBLE AS x,
   1200000.0::DOUBLE - (s_suppkey * 53 % (n - 2)) * 10 - 4.3::DOUBLE AS y, 2150.0::DOUBLE + (s_suppkey % 5) * 20 AS z FROM supplier, g)"""
 RAYS_SQL = VIEWS_SQL + f""",
-ry AS (SELECT view_id, px, py, x, y, z, sin(0.05 + (px + 0.5) * 2 * pi() / {WIDTH}) AS dx, cos(0.05 + (px + 0.5) * 2 * pi() / {WIDTH}) AS dy,
+ry AS MATERIALIZED (SELECT view_id, px, py, x, y, z, sin(0.05 + (px + 0.5) * 2 * pi() / {WIDTH}) AS dx, cos(0.05 + (px + 0.5) * 2 * pi() / {WIDTH}) AS dy,
   tan({EL0!r} + (py + 0.5) * ({EL1!r} - {EL0!r}) / {HEIGHT}) AS slope FROM vw, range({WIDTH}) a(px), range({HEIGHT}) b(py))"""
 
 
@@ -148,10 +149,18 @@ def tile_path(spark, sf):
     return found.select("view_id", "px", r3(F.col("t0")).alias("t0"), r3(F.col("t1")).alias("t1"), "trow", "tcol")
 
 
+#: Where a session has its ground stored, by the folder of tables it is made from: it is prepared once and traced many times.
+_STORED: dict[tuple[str, str], str] = {}
+
+
 def prepared(spark, sf):
-    """(cells, manifest), stored: a trace reads both several times."""
-    cells = written(terrain.cells(spark, sf), "cells")
-    return cells, cells.groupBy("trow", "tcol").agg(F.max("zmax").alias("zmax"))
+    """(cells, index by tile), stored by folders of tiles once a session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORED:
+        path = scratch_path(spark, "terrain")
+        write_cells(terrain.cells(spark, sf), path, GRID)
+        _STORED[key] = path
+    return read_cells(spark, _STORED[key])
 
 
 LOW_SQL = f"z + slope * least(greatest(-slope / (2 * {K!r}), t), t1) + {K!r} * power(least(greatest(-slope / (2 * {K!r}), t), t1), 2)"
@@ -165,9 +174,66 @@ def cull_tiles(spark, sf):
     return found.select("view_id", "px", "trow", "tcol")
 
 
+#: A panorama for each nation, from the horizon's upper side down, over 600 km and so over the whole square.
+FAR_WIDTH, FAR_HEIGHT, FAR_RANGE = 24, 16, 600000.0
+FAR_EL0, FAR_EL1 = math.radians(20), math.radians(-20)
+#: Shares of that range after which a panorama goes on with what it has not hit yet: 120 and 600 m.
+FAR_BANDS = (0.0002, 0.001)
+
+
+def far_views(spark, sf):
+    n = terrain.side(spark, sf)
+    key = F.col("n_nationkey").cast("long")
+    return table(spark, sf, "nation").select(
+        key.alias("view_id"), (2600000.0 + (key * 37 % (n - 2)) * 10 + 3.7).alias("x"), (1200000.0 - (key * 53 % (n - 2)) * 10 - 4.3).alias("y"),
+        (2120.0 + (key % 5) * 20).alias("z"), F.lit(FAR_WIDTH).alias("width"), F.lit(FAR_HEIGHT).alias("height"), F.lit(0.05).alias("az0"), F.lit(0.05 + 2 * math.pi).alias("az1"),
+        F.lit(FAR_EL0).alias("el0"), F.lit(FAR_EL1).alias("el1"), F.lit(FAR_RANGE).alias("tmax"))
+
+
+FAR_RAYS_SQL = f"""vw AS (SELECT n_nationkey::BIGINT AS view_id, 2600000.0::DOUBLE + (n_nationkey * 37 % (n - 2)) * 10 + 3.7::DOUBLE AS x,
+  1200000.0::DOUBLE - (n_nationkey * 53 % (n - 2)) * 10 - 4.3::DOUBLE AS y, 2120.0::DOUBLE + (n_nationkey % 5) * 20 AS z, n FROM nation, g),
+ry AS MATERIALIZED (SELECT view_id, px, py, x, y, z, n, sin(0.05 + (px + 0.5) * 2 * pi() / {FAR_WIDTH}) AS dx, cos(0.05 + (px + 0.5) * 2 * pi() / {FAR_WIDTH}) AS dy,
+  tan({FAR_EL0!r} + (py + 0.5) * ({FAR_EL1!r} - {FAR_EL0!r}) / {FAR_HEIGHT}) AS slope FROM vw, range({FAR_WIDTH}) a(px), range({FAR_HEIGHT}) b(py))"""
+
+
+def square_crossing_sql(step: int, cte: str, src: str, keys: str) -> str:
+    """Crossings of rays with the grid lines of the square alone, where all the ground is; windows over a union."""
+    return f"""{cte}_t AS (SELECT {keys}, 0.0::DOUBLE AS t FROM {src} UNION ALL SELECT {keys}, {FAR_RANGE}::DOUBLE FROM {src}
+  UNION ALL SELECT {keys}, t FROM (SELECT {keys}, (k * {step} - (x - 2600000.0)) / dx AS t FROM {src}, LATERAL (SELECT unnest(range(0, n * 10 // {step} + 1)) AS k)) WHERE t > 0 AND t < {FAR_RANGE}
+  UNION ALL SELECT {keys}, t FROM (SELECT {keys}, (-k * {step} - (y - 1200000.0)) / dy AS t FROM {src}, LATERAL (SELECT unnest(range(0, n * 10 // {step} + 1)) AS k)) WHERE t > 0 AND t < {FAR_RANGE}),
+{cte} AS (SELECT * FROM (SELECT *, lead(t) OVER (PARTITION BY {keys} ORDER BY t) AS t1 FROM {cte}_t) WHERE t1 - t > 1e-9)"""
+
+
+STOP_SQL = f"""CASE WHEN slope * slope + 4 * {K!r} * rise < 0 THEN 0 WHEN slope > 0 THEN greatest(2 * rise / (slope + sqrt(slope * slope + 4 * {K!r} * rise)), 0)
+  ELSE greatest((sqrt(slope * slope + 4 * {K!r} * rise) - slope) / (2 * {K!r}), 0) END"""
+
+
+@query("r8_stop_rising", f"""WITH {CELLS_SQL}, {FAR_RAYS_SQL}, up AS (SELECT ry.*, top + 1 - z AS rise FROM ry, (SELECT max(zmax) AS top FROM c)),
+st AS (SELECT *, least({FAR_RANGE}, {STOP_SQL}) AS tmax FROM up)
+SELECT view_id, px::INT AS px, py::INT AS py, floor(tmax * 100 + 0.37) / 100 AS tmax FROM st WHERE tmax > 0""")
+def stop_rising(spark, sf):
+    """Where the rays of the panoramas are over all ground for good: upward ones end early, some at once."""
+    _, index = prepared(spark, sf)
+    found = trace.stop_rising(rays.angular_rays(far_views(spark, sf)), index, F.col("slope"))
+    return found.select("view_id", "px", "py", (F.floor(F.col("tmax") * 100 + 0.37) / 100).alias("tmax"))
+
+
+@query("r9_block_cull", f"""WITH {CELLS_SQL}, {FAR_RAYS_SQL}, cl AS (SELECT * FROM ry WHERE py = {FAR_HEIGHT - 1}), {square_crossing_sql(80, 'bp', 'cl', 'view_id, px, x, y, z, n, dx, dy, slope')},
+bk AS (SELECT *, floor((x - 2600000.0 + dx * (t + t1) / 2) / 80)::BIGINT AS gx, floor(-(y - 1200000.0 + dy * (t + t1) / 2) / 80)::BIGINT AS gy FROM bp),
+bm AS (SELECT tcol * 2 + x // 8 AS gx, trow * 2 + 1 - y // 8 AS gy, max(zmax) AS top FROM c GROUP BY 1, 2)
+SELECT view_id, px::INT AS px, gx, gy, {r3_sql('t')} AS t0, {r3_sql('t1')} AS t1 FROM (SELECT bk.*, top FROM bk JOIN bm ON bk.gx = bm.gx AND bk.gy = bm.gy) WHERE {LOW_SQL} <= top + 1e-6""")
+def block_cull(spark, sf):
+    """What a panorama's columns leave to be cut at cell lines: blocks of 8 x 8 cells that their lowest ray does not fly over."""
+    _, index = prepared(spark, sf)
+    found = trace.pieces_of(trace.paths_of(far_views(spark, sf)), index, GRID, F.col("low_slope"), to_cells=False).filter("not over")
+    mid = (F.col("t0") + F.col("t1")) / 2
+    gx, gy = F.floor((F.col("x") - GRID.origin_x + F.col("dx") * mid) / 80), F.floor((GRID.origin_y - F.col("y") - F.col("dy") * mid) / 80)
+    return found.select("view_id", "px", gx.alias("gx"), gy.alias("gy"), r3(F.col("t0")).alias("t0"), r3(F.col("t1")).alias("t1"))
+
+
 CELL_PATH_SQL = f"""{crossing_sql(10.0, 'cp', 'ry', 'view_id, px, py, x, y, z, dx, dy, slope', 'x - 2600000.0', 'y - 1200000.0')},
 ck AS (SELECT *, floor((x - 2600000.0 + dx * (t + t1) / 2) / 10)::BIGINT AS gx, floor(-(y - 1200000.0 + dy * (t + t1) / 2) / 10)::BIGINT AS gy FROM cp),
-met AS (SELECT ck.*, z00, z01, z10, z11, zmax, (ck.x - 2600000.0 + dx * t) / 10 - gx AS a0, 1 + gy + (ck.y - 1200000.0 + dy * t) / 10 AS b0, dx / 10 AS a1, dy / 10 AS b1
+met AS MATERIALIZED (SELECT ck.*, z00, z01, z10, z11, zmax, (ck.x - 2600000.0 + dx * t) / 10 - gx AS a0, 1 + gy + (ck.y - 1200000.0 + dy * t) / 10 AS b0, dx / 10 AS a1, dy / 10 AS b1
   FROM ck JOIN c ON c.tcol = gx // 16 AND c.trow = gy // 16 AND c.x = gx % 16 AND c.y = 15 - gy % 16 WHERE gx >= 0 AND gy >= 0)"""
 BILINEAR_SQL = f"""co AS (SELECT *, {K!r} - q * a1 * b1 AS qa, slope + 2 * {K!r} * t - ee * a1 - nn * b1 - q * (a0 * b1 + a1 * b0) AS qb,
   z + slope * t + {K!r} * t * t - (z00 + ee * a0 + nn * b0 + q * a0 * b0) AS qc
@@ -175,10 +241,11 @@ BILINEAR_SQL = f"""co AS (SELECT *, {K!r} - q * a1 * b1 AS qa, slope + 2 * {K!r}
 so AS (SELECT *, CASE WHEN abs(qa) < 1e-12 THEN CASE WHEN abs(qb) > 1e-12 THEN -qc / qb END WHEN disc < 0 THEN NULL ELSE w / qa END AS r1,
     CASE WHEN abs(qa) < 1e-12 OR disc < 0 OR w = 0 THEN NULL ELSE qc / w END AS r2
   FROM (SELECT *, -0.5 * (qb + CASE WHEN qb < 0 THEN -1 ELSE 1 END * sqrt(greatest(disc, 0))) AS w FROM (SELECT *, qb * qb - 4 * qa * qc AS disc FROM co))),
-hit AS (SELECT *, t + least(CASE WHEN r1 BETWEEN -1e-6 AND t1 - t + 1e-6 THEN least(greatest(r1, 0), t1 - t) END, CASE WHEN r2 BETWEEN -1e-6 AND t1 - t + 1e-6 THEN least(greatest(r2, 0), t1 - t) END,
+hit AS MATERIALIZED (SELECT *, t + least(CASE WHEN r1 BETWEEN -1e-6 AND t1 - t + 1e-6 THEN least(greatest(r1, 0), t1 - t) END, CASE WHEN r2 BETWEEN -1e-6 AND t1 - t + 1e-6 THEN least(greatest(r2, 0), t1 - t) END,
     CASE WHEN qc <= 0 AND qc >= -0.001 THEN 0 END) AS th FROM so),
-fh AS (SELECT view_id, px, py, min(th) AS distance, arg_min(struct_pack(z00, z01, z10, z11, gx, gy), th) AS h FROM hit WHERE th IS NOT NULL GROUP BY 1, 2, 3)"""
+fh AS MATERIALIZED (SELECT view_id, px, py, min(th) AS distance, arg_min(struct_pack(z00, z01, z10, z11, gx, gy), th) AS h FROM hit WHERE th IS NOT NULL GROUP BY 1, 2, 3)"""
 HITS_SQL = f"""{CELLS_SQL}, {RAYS_SQL}, {CELL_PATH_SQL}, {BILINEAR_SQL}"""
+FAR_PATH_SQL = square_crossing_sql(10, "cp", "ry", "view_id, px, py, x, y, z, n, dx, dy, slope") + CELL_PATH_SQL[CELL_PATH_SQL.index(",\nck AS"):]
 
 
 @query("r9_cell_path", f"WITH {CELLS_SQL}, {RAYS_SQL}, {CELL_PATH_SQL} SELECT view_id, px::INT AS px, (gx // 16)::BIGINT AS tcol, (gy // 16)::BIGINT AS trow, (gx % 16)::INT AS cx, (15 - gy % 16)::INT AS cy FROM met WHERE py = 0")
@@ -196,6 +263,15 @@ def first_hits(spark, sf):
     return trace.trace(views(spark, sf), cells, manifest, GRID).select("view_id", "px", "py", r3(F.col("distance")).alias("distance"), r3(F.col("elevation")).alias("elevation"))
 
 
+@query("r12_far_views", f"""WITH {CELLS_SQL}, {FAR_RAYS_SQL}, {FAR_PATH_SQL}, {BILINEAR_SQL}
+SELECT ry.view_id, ry.px::INT AS px, ry.py::INT AS py, {r3_sql('distance')} AS distance FROM ry LEFT JOIN fh ON ry.view_id = fh.view_id AND ry.px = fh.px AND ry.py = fh.py""")
+def far_hits(spark, sf):
+    """Panoramas of 24 x 16 rays over the whole square, in bands; most of the upward rays end at once."""
+    cells, index = prepared(spark, sf)
+    found = trace.trace(far_views(spark, sf), cells, index, GRID, bands=FAR_BANDS)
+    return found.select("view_id", "px", "py", r3(F.col("distance")).alias("distance"))
+
+
 @query("r11_triangle_hits", f"""WITH {CELLS_SQL}, {RAYS_SQL}, {CELL_PATH_SQL},
 pl AS (SELECT *, z + slope * t + {K!r} * t * t AS hh, abs(z00 - z11) < abs(z01 - z10) AS sp FROM met),
 pp AS (SELECT *, CASE WHEN k = 0 THEN z00 WHEN sp THEN z00 ELSE z01 + z10 - z11 END AS base, CASE WHEN k = 0 THEN z01 - z00 ELSE z11 - z10 END AS ee,

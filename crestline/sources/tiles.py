@@ -1,58 +1,92 @@
-"""Prepared tiles: Parquet by blocks of tiles, with a manifest that is the data-skipping index.
+"""Prepared tiles: Parquet by generation and block of tiles, with a manifest that is the data-skipping index.
 
-A block is BLOCK x BLOCK tiles and a partition folder of both tables. A write replaces
-whole blocks (dynamic partition overwrite), tiles first, then the manifest; what the
-manifest does not list is not there, so a write that stops half-way is done again by
-the next one.
+A write stores its tiles under a new generation, then a manifest that says for each
+tile in which generation it lies, then one row in commits that names both. Readers go
+by the last commit, so they see the tiles and bounds of before or of after, never some
+of each: what a stopped write has left is named by no commit. Writers that commit at
+once are told apart: one of them fails. Generations that no manifest names any more
+stay on disk until someone removes them.
+
+Cells that traces read are stored likewise by folders of BLOCK x BLOCK tiles, with their
+index (write_cells()).
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.tiles import coverage_rects, elevation_range, usable_cells
+from ..operators.tiles import BLOCK_KEY, KEY, Grid, build_manifest, coverage_rects, elevation_range, in_blocks, tile_index, usable_cells
 from ..storage import written
 
-KEY = ["trow", "tcol"]
-BLOCK = 8
-BLOCK_KEY = ["brow", "bcol"]
-
+TILES = "trow long, tcol long, y int, x int, z double, lod int, gen string, brow int, bcol int"
+RECTS = "array<struct<column: int, row: int, width: int, height: int>>"
+MANIFEST = f"trow long, tcol long, zmin double, zmax double, coverage {RECTS}, gen string"
+COMMITS = "seq long, gen string"
+CELLS = "trow long, tcol long, y int, x int, z00 double, z01 double, z10 double, z11 double, zmax double, brow int, bcol int"
 
-def _in_blocks(rows: DataFrame) -> DataFrame:
-    return rows.withColumns({b: F.floor(F.col(k) / BLOCK).cast("int") for b, k in zip(BLOCK_KEY, KEY, strict=True)})
 
-
-def _manifest(spark: SparkSession, path: str) -> DataFrame | None:
-    """The manifest's rows, None before the first write."""
+def _last_commit(spark: SparkSession, path: str):
+    """The row (seq, gen) of the last commit, None before the first."""
     try:
-        return spark.read.parquet(f"{path}/manifest")
+        commits = spark.read.schema(COMMITS).parquet(f"{path}/commits")
     except Exception as e:  # nothing stored yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return None
+    return commits.orderBy(F.desc("seq"), "gen").first()
+
+
+def _manifest(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows (trow, tcol, zmin, zmax, coverage, gen) of the last commit's manifest, None before the first."""
+    last = _last_commit(spark, path)
+    return None if last is None else spark.read.schema(MANIFEST).parquet(f"{path}/manifest/{last.gen}")
+
+
+def _commit(listed: DataFrame, path: str, gen: str, seq: int) -> None:
+    """Store a manifest and, by one row in one file, make it the current one."""
+    spark = listed.sparkSession
+    listed.select(*[f.split()[0] for f in MANIFEST.split(", ")[:4]], "coverage", "gen").sortWithinPartitions(*KEY).write.parquet(f"{path}/manifest/{gen}")
+    spark.createDataFrame([(seq, gen)], COMMITS).coalesce(1).write.mode("append").parquet(f"{path}/commits")
+    if _last_commit(spark, path).gen != gen:
+        raise RuntimeError("another write was committed meanwhile; this one doesn't count")
+
+
+def _read(spark: SparkSession, path: str, listed: DataFrame) -> DataFrame:
+    """Vertices of manifest rows, each from its own generation; other folders aren't read."""
+    keys = in_blocks(listed.select(*KEY, "gen"))
+    stored = spark.read.schema(TILES).parquet(f"{path}/tiles")
+    return stored.join(keys, [*KEY, "gen", *BLOCK_KEY], "left_semi").select(*KEY, "y", "x", "z", "lod")
 
 
 def read_tiles(spark: SparkSession, path: str, keys: DataFrame | None = None) -> DataFrame:
-    """Vertices (trow, tcol, y, x, z, lod) of the tiles that the manifest lists; with keys (trow, tcol) of those alone, whose blocks alone are read."""
-    listed = _manifest(spark, path).filter("not removed").select(*KEY, *BLOCK_KEY)
-    if keys is not None:
-        listed = listed.join(_in_blocks(keys.select(*KEY).distinct()), [*KEY, *BLOCK_KEY], "left_semi")
-    return spark.read.parquet(f"{path}/tiles").join(listed, [*KEY, *BLOCK_KEY], "left_semi").select(*KEY, "y", "x", "z", "lod")
+    """Vertices (trow, tcol, y, x, z, lod) of the tiles that the manifest lists; with keys (trow, tcol) of those alone, whose folders alone are read."""
+    listed = _manifest(spark, path)
+    return _read(spark, path, listed if keys is None else listed.join(keys.select(*KEY).distinct(), KEY, "left_semi"))
+
+
+def _rescanned(spark: SparkSession, path: str, listed: DataFrame) -> DataFrame:
+    """Manifest rows, those that lack a bound or coverage made anew from their tiles, which alone are read."""
+    lacking = "zmin is null or zmax is null or coverage is null"
+    vertices = _read(spark, path, listed.filter(lacking))
+    made = elevation_range(vertices).withColumnsRenamed({"zmin": "made_min", "zmax": "made_max"}).join(_coverage(vertices.filter("lod = 1")).withColumnRenamed("coverage", "made"), KEY, "left")
+    return listed.join(made, KEY, "left").select(
+        *KEY, F.coalesce("zmin", "made_min").alias("zmin"), F.coalesce("zmax", "made_max").alias("zmax"), F.coalesce("coverage", "made").alias("coverage"), "gen")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(trow, tcol, zmin, zmax, coverage), unique keys; coverage that is missing is made from the tile."""
-    rows = _manifest(spark, path).filter("not removed")
-    counted = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("zmin", "zmax", "coverage")])
-    unique = counted.withColumn("zmax", F.when(F.col("n") > 1, F.raise_error(F.lit("a tile is listed twice")).cast("double")).otherwise(F.col("zmax"))).drop("n")
-    lacking = unique.filter("coverage is null").select(*KEY)
-    made = _coverage(read_tiles(spark, path, lacking).filter("lod = 1")).withColumnRenamed("coverage", "made")
-    return unique.join(made, KEY, "left").select(*KEY, "zmin", "zmax", F.coalesce("coverage", "made").alias("coverage"))
+    """(trow, tcol, zmin, zmax, coverage), unique keys; what is missing is made from the tile."""
+    rows = _manifest(spark, path)
+    counted = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("zmin", "zmax", "coverage", "gen")])
+    unique = counted.withColumn("gen", F.when(F.col("n") > 1, F.raise_error(F.lit("a tile is listed twice")).cast("string")).otherwise(F.col("gen"))).drop("n")
+    return _rescanned(spark, path, unique).drop("gen")
 
 
 def _coverage(vertices: DataFrame) -> DataFrame:
-    return coverage_rects(usable_cells(vertices)).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("column", "row", "width", "height"))).alias("coverage"))
+    rects = F.array_sort(F.collect_list(F.struct("column", "row", "width", "height"))).cast(RECTS)
+    return coverage_rects(usable_cells(vertices)).groupBy(*KEY).agg(rects.alias("coverage"))
 
 
 def _before(edge) -> Column:
@@ -65,17 +99,17 @@ def write_tiles(vertices: DataFrame, path: str, overwrite: bool = False, max_til
     Tiles are taken by their key. One that is stored is skipped, unless overwrite: then
     it is replaced, or removed if it has no usable cell any more. Tiles without a
     usable cell are empty and not stored; partial ones lack some. The run stops before
-    more than max_tiles are written or skipped. Other stored tiles stay as they are.
+    more than max_tiles are written or skipped. Other stored tiles stay as they are; the
+    manifest rows of those that lack bounds are completed. A write that stops on its
+    way changes nothing.
     """
     spark = vertices.sparkSession
     base = vertices.filter("lod = 1")
     side = base.agg(F.max("x")).first()[0] or 0
-    old = _manifest(spark, path)
-    # a snapshot: the manifest is overwritten below
-    old = None if old is None else written(old, "manifest-before")
-    stored = spark.createDataFrame([], "trow long, tcol long") if old is None else old.filter("not removed").select(*KEY)
+    last, old = _last_commit(spark, path), _manifest(spark, path)
+    old = spark.createDataFrame([], MANIFEST) if old is None else old
     usable = usable_cells(base).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
-    keys = vertices.select(*KEY).distinct().join(usable, KEY, "left").join(stored.withColumn("stored", F.lit(True)), KEY, "left")
+    keys = vertices.select(*KEY).distinct().join(usable, KEY, "left").join(old.select(*KEY).withColumn("stored", F.lit(True)), KEY, "left")
     has, n = F.coalesce("stored", F.lit(False)), F.coalesce("n", F.lit(0))
     what = F.when(has & F.lit(not overwrite), "skipped").when(n == 0, "empty").otherwise("written")
     plan = written(keys.select(*KEY, what.alias("what"), (n < side * side).alias("part"), has.alias("stored")), "tile-plan")
@@ -84,25 +118,36 @@ def write_tiles(vertices: DataFrame, path: str, overwrite: bool = False, max_til
         plan = plan.filter(_before(edge)) if edge is not None else plan
     todo = plan.filter("what = 'written'").select(*KEY)
     gone = plan.filter("what = 'empty' and stored").select(*KEY) if overwrite else todo.limit(0)
+    gen = f"g-{uuid.uuid4().hex}"
     chosen = vertices.join(todo, KEY, "left_semi").select(*KEY, "y", "x", "z", "lod")
-    ranges = elevation_range(chosen).join(_coverage(chosen.filter("lod = 1")), KEY, "left").select(*KEY, "zmin", "zmax", "coverage")
-    listed = ranges.withColumn("removed", F.lit(False)).unionByName(gone.withColumn("removed", F.lit(True)), allowMissingColumns=True)
-    changed = todo.unionByName(gone)
-    if old is not None:
-        # what else the touched blocks hold
-        blocks = _in_blocks(changed).select(*BLOCK_KEY).distinct()
-        kept = written(old.join(blocks, BLOCK_KEY, "left_semi").join(changed, KEY, "left_anti"), "manifest-kept")
-        others = kept.filter("not removed").select(*KEY, *BLOCK_KEY)
-        stay = spark.read.parquet(f"{path}/tiles").join(others, [*KEY, *BLOCK_KEY], "left_semi").select(*chosen.columns)
-        chosen = written(chosen.unionByName(stay), "tiles-new")
-        listed = written(listed.unionByName(kept.drop(*BLOCK_KEY)), "manifest-new")
-    for rows, name, order in ((chosen, "tiles", ["lod", *KEY]), (listed, "manifest", KEY)):
-        (_in_blocks(rows).repartition(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY, *order).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy(*BLOCK_KEY).parquet(f"{path}/{name}"))
+    (in_blocks(chosen).repartition(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY, "lod", *KEY).write.partitionBy(*BLOCK_KEY).parquet(f"{path}/tiles/gen={gen}"))
+    # from what is stored now, so that bounds are those of the tiles that will be read
+    stored = spark.read.schema(TILES).parquet(f"{path}/tiles").filter(F.col("gen") == gen)
+    own = _coverage(stored.filter("lod = 1")).withColumn("own_gen", F.lit(gen))
+    merged = build_manifest(elevation_range(stored), old.join(gone, KEY, "left_anti"))
+    both = merged.join(own.withColumnRenamed("coverage", "own"), KEY, "left").join(old.select(*KEY, "coverage", "gen"), KEY, "left")
+    new = F.col("own_gen").isNotNull()
+    listed = both.select(*KEY, "zmin", "zmax", F.when(new, F.col("own")).otherwise(F.col("coverage")).alias("coverage"), F.coalesce("own_gen", "gen").alias("gen"))
+    _commit(_rescanned(spark, path, written(listed, "manifest-new")), path, gen, 1 if last is None else last.seq + 1)
     return plan.agg(F.count_if(F.col("what") == "written").alias("written"), F.count_if(F.col("what") == "skipped").alias("skipped"),
                     F.count_if((F.col("what") == "written") & F.col("part")).alias("partial"), F.count_if(F.col("what") == "empty").alias("empty"))
 
 
+def write_cells(cells: DataFrame, path: str, grid: Grid) -> tuple[DataFrame, DataFrame]:
+    """Cells by folders of tiles and their index by tile (operators.tiles.tile_index()), stored for traces and read back."""
+    spark = cells.sparkSession
+    names = [f.split()[0] for f in CELLS.split(", ")]
+    in_blocks(cells).select(*names).repartition(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY, *KEY, "y", "x").write.partitionBy(*BLOCK_KEY).parquet(f"{path}/cells")
+    stored = spark.read.schema(CELLS).parquet(f"{path}/cells")
+    tile_index(stored, grid).write.parquet(f"{path}/index")
+    return read_cells(spark, path)
+
+
+def read_cells(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(cells, index) of write_cells(). Traces read the folders of the cells that they can meet alone."""
+    return spark.read.schema(CELLS).parquet(f"{path}/cells"), spark.read.parquet(f"{path}/index")
+
+
 def write_products(hits: DataFrame, path: str, products: list[str]) -> None:
     """Chosen products of hits, one table each, by view: distances, elevations, normals, cells.
 

@@ -483,3 +483,175 @@ def test_track_stream_equals_batch(spark):
     want = {1: (1050.0, True), 2: (1000.4, False), 3: (1000.5, True), 4: (None, False)}
     for df in (points.track_clearance(track, cells, GRID), stream_track_clearance(track, cells, GRID)):
         assert {r.id: (r.z, r.accepted) for r in df.collect()} == want
+
+
+def rough(spark, trows=range(2), tcols=range(2), cells=128, void=0.02, seed=5, grid=None):
+    """Vertices of tiles of many cells: hills, and some voids."""
+    import random
+
+    draw = random.Random(seed)
+    high = {}
+    for gy in range(len(trows) * cells + 1):
+        for gx in range(len(tcols) * cells + 1):
+            z = 1000 + 60 * math.sin(gx * 0.045) * math.cos(gy * 0.06) + 8 * math.sin(gx * 0.5 + gy * 0.3)
+            high[gy, gx] = None if draw.random() < void else z
+    rows = [(r, c, y, x, high[r * cells + cells - y, c * cells + x]) for r in trows for c in tcols for y in range(cells + 1) for x in range(cells + 1)]
+    return spark.createDataFrame(rows, VERTEX)
+
+
+ROUGH = tiles.Grid(2600000.0, 1200000.0, 10.0, 128)
+
+
+def rough_views(spark, n, tmax, el=(0.3, -0.7), size=(9, 14)):
+    rows = [(k, 2600000.0 + 37.3 + k * 411.7 % 2400, 1200000.0 - 63.1 - k * 713.3 % 2400, 1010.0 + 35 * (k % 4), size[0], size[1], 0.07 * k, 0.07 * k + 2 * math.pi, *el, tmax) for k in range(n)]
+    return spark.createDataFrame(rows, "view_id long, x double, y double, z double, width int, height int, az0 double, az1 double, el0 double, el1 double, tmax double")
+
+
+def by_ray(hits):
+    return {(r.view_id, r.px, r.py): (r.distance, r.elevation, r.trow, r.tcol, r.cy, r.cx) for r in hits.collect()}
+
+
+@pytest.mark.parametrize("surface", ["bilinear", "triangles"])
+@pytest.mark.parametrize("void", [0.0, 0.02])
+def test_block_cull_stop_and_bands_change_no_hit(spark, surface, void):
+    """Blocks of 64 and 8 cells, 600 km of range with rays that rise, bands and stored cells: the hits are those of a plain manifest."""
+    cells = store.written(tiles.usable_cells(rough(spark, void=void)), "rough")
+    plain = cells.groupBy("trow", "tcol").agg(F.max("zmax").alias("zmax"))
+    views = rough_views(spark, 4, 600000.0)
+    want = by_ray(trace.trace(views, cells, plain, ROUGH, surface))
+    assert sum(v[0] is None for v in want.values()) > 50 < sum(v[0] is not None for v in want.values())
+    stored, index = store.write_cells(cells, scratch_path(spark, "stored"), ROUGH)
+    for got in (trace.trace(views, stored, index, ROUGH, surface), trace.trace(views, stored, index, ROUGH, surface, bands=(0.0005, 0.002))):
+        got = by_ray(got)
+        assert got.keys() == want.keys()
+        for k, w in want.items():
+            assert got[k][2:] == w[2:] and (got[k][0] == pytest.approx(w[0], abs=1e-6) if w[0] is not None else got[k][0] is None)
+
+
+def test_rows_fall_with_each_level(spark):
+    """Pieces after tiles, blocks of 64, blocks of 8 and cells: the cull leaves fewer cells than the flat path has."""
+    cells = store.written(tiles.usable_cells(rough(spark, void=0.0)), "rough")
+    index = store.written(tiles.tile_index(cells, ROUGH), "index")
+    paths = trace.paths_of(rough_views(spark, 4, 4000.0, el=(0.3, -0.02)))
+    flat = trace.cell_path(trace.cull_tiles(trace.tile_path(paths, ROUGH), index, F.col("low_slope")), ROUGH).count()
+    met = trace.pieces_of(paths, index, ROUGH, F.col("low_slope"))
+    left = met.filter("not over").count()
+    assert 0 < left < 0.5 * flat
+    length = lambda rows: rows.agg(F.sum(F.col("t1") - F.col("t0"))).first()[0]
+    # without voids what is over and what is cut is the whole path over the culled tiles
+    whole = trace.tile_path(paths, ROUGH).join(index.select("trow", "tcol"), ["trow", "tcol"])
+    assert length(met) == pytest.approx(length(whole), rel=1e-9)
+
+
+def test_where_rays_rise_over_all(spark):
+    from crestline.operators.rays import CURVATURE
+
+    rows = [(k, s, z) for k, (s, z) in enumerate([(0.1, 900.0), (0.0, 900.0), (-0.01, 2000.0), (-0.2, 1500.0), (0.1, 2000.0), (-1e-5, 1100.5), (0.5, 1101.0), (1e-9, 1100.0)])]
+    got = spark.createDataFrame(rows, "k int, s double, z double").withColumn("t", trace.over_all_from(F.col("s"), F.col("z"), F.lit(1100.0))).collect()
+    for r in got:
+        height = lambda t, r=r: r.z + r.s * t + CURVATURE * t * t
+        assert r.t >= 0
+        # above for good from t on, and not before it
+        assert all(height(r.t + d) >= 1101.0 - 1e-6 for d in (0, 1, 1000, 1e6))
+        assert r.t == 0 or height(r.t * (1 - 1e-6)) < 1101.0
+    assert [r.k for r in got if r.t == 0] == [2, 4, 6]
+
+
+def test_stored_cells_are_read_by_need(spark):
+    """One short view reads a folder, not all; the plan prunes partitions at run time."""
+    cells = tiles.usable_cells(flat(spark, trows=(0, 9, 18, 27), tcols=(0, 9, 18, 27)))
+    stored, index = store.write_cells(cells, scratch_path(spark, "stored"), GRID)
+    assert stored.select("brow", "bcol").distinct().count() == 16
+    one = view(spark, 50.0, -50.0, 1020.0)
+    found = trace.trace(one, stored, index, GRID)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+    hits = found.filter("distance is not null").count()
+    assert hits == trace.trace(one, cells, cells.groupBy("trow", "tcol").agg(F.max("zmax").alias("zmax")), GRID).filter("distance is not null").count() > 0
+    need = trace.cells_by_need(stored, trace.paths_of(one), index, GRID, F.col("low_slope"))
+    need.collect()
+    read = scanned_files(need)
+    assert read == 1 and scanned_files(stored, run=True) == 16
+
+
+def scanned_files(df, run=False):
+    """Files that the scan of an executed plan has read."""
+    if run:
+        df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    found = []
+
+    def walk(node):
+        name = node.nodeName()
+        if name.startswith("Scan parquet") and node.output().mkString(",").find("z00") >= 0:
+            found.append(node.metrics().apply("numFiles").value())
+        if name == "AdaptiveSparkPlan":
+            walk(node.executedPlan())
+        if "QueryStage" in name:
+            walk(node.plan())
+        for k in range(node.children().size()):
+            walk(node.children().apply(k))
+
+    walk(plan)
+    return sum(found)
+
+
+def test_a_stopped_overwrite_changes_nothing(spark, monkeypatch):
+    """Between tiles and manifest, and between manifest and commit: readers see the old tile and its bounds, the next write goes on."""
+    v = lambda z: spark.createDataFrame([(0, c, y, x, z) for c in range(2) for y in range(3) for x in range(3)], VERTEX).withColumn("lod", F.lit(1))
+    path = scratch_path(spark, "tiles")
+    store.write_tiles(v(100.0), path)
+
+    def seen():
+        tops = {r.z for r in store.read_tiles(spark, path).select("z").distinct().collect()}
+        bounds = {round(r.zmax, 1) for r in store.read_manifest(spark, path).collect()}
+        return tops, bounds
+
+    for stop in ("_rescanned", "_last_commit"):
+        calls = []
+
+        def stopped(*args, stop=stop, calls=calls, real=getattr(store, stop)):
+            calls.append(1)
+            if stop == "_rescanned" or len(calls) > 2:
+                raise KeyboardInterrupt
+            return real(*args)
+
+        with monkeypatch.context() as m:
+            m.setattr(store, stop, stopped)
+            if stop == "_last_commit":  # stop in the commit itself, before its row
+                m.setattr(store, "_commit", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt))
+            with pytest.raises(KeyboardInterrupt):
+                store.write_tiles(v(2000.0), path, overwrite=True)
+        assert seen() == ({100.0}, {100.0})
+    assert tuple(store.write_tiles(v(2000.0), path).first())[:2] == (0, 2)
+    assert seen() == ({100.0}, {100.0})
+    assert tuple(store.write_tiles(v(2000.0), path, overwrite=True).first())[:2] == (2, 0)
+    assert seen() == ({2000.0}, {2000.0})
+
+
+def test_rows_without_bounds_are_rescanned(spark):
+    v = spark.createDataFrame([(0, c, y, x, 10.0 * c + y) for c in range(3) for y in range(3) for x in range(3)], VERTEX).withColumn("lod", F.lit(1))
+    path = scratch_path(spark, "tiles")
+    store.write_tiles(v, path)
+    whole = sorted(map(str, store.read_manifest(spark, path).collect()))
+    last = store._last_commit(spark, path)
+    lame = store._manifest(spark, path).withColumns({"zmax": F.when(F.col("tcol") != 1, F.col("zmax")), "coverage": F.when(F.col("tcol") != 2, F.col("coverage"))})
+    store._commit(lame, path, "g-lame", last.seq + 1)
+    assert store._manifest(spark, path).filter("zmax is null or coverage is null").count() == 2
+    assert sorted(map(str, store.read_manifest(spark, path).collect())) == whole
+    # the next write completes them
+    more = spark.createDataFrame([(7, 7, y, x, 1.0) for y in range(3) for x in range(3)], VERTEX).withColumn("lod", F.lit(1))
+    store.write_tiles(more, path)
+    assert store._manifest(spark, path).filter("zmax is null or coverage is null").count() == 0
+    assert sorted(map(str, store.read_manifest(spark, path).filter("trow = 0").collect())) == whole
+
+
+def test_of_two_writers_one_fails(spark):
+    v = spark.createDataFrame([(0, 0, y, x, 1.0) for y in range(3) for x in range(3)], VERTEX).withColumn("lod", F.lit(1))
+    path = scratch_path(spark, "tiles")
+    store.write_tiles(v, path)
+    listed = store._manifest(spark, path)
+    store._commit(listed, path, "g-a", 2)
+    with pytest.raises(RuntimeError):
+        store._commit(listed, path, "g-b", 2)
+    assert store._last_commit(spark, path).gen == "g-a"
