@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,19 +12,61 @@ from .rays import CURVATURE, camera_axes
 from .tiles import Grid
 
 
+def _folding() -> tuple[str, str]:
+    """Letters that are a plain one with marks, and those plain ones, by Unicode's decompositions."""
+    pairs = []
+    for code in [*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)]:
+        plain = unicodedata.normalize("NFD", chr(code))
+        if len(plain) > 1 and all(unicodedata.combining(c) for c in plain[1:]):
+            pairs.append((chr(code), plain[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+MARKED, PLAIN = _folding()
+#: Letters without a decomposition that search takes for others.
+STROKED, UNSTROKED = "øłđħ", "oldh"
+LIGATURES = {"ß": "ss", "æ": "ae", "œ": "oe"}
+
+
+def folded(text: Column) -> Column:
+    """Lower case without accents, so that strings can be compared and cut by their letters."""
+    plain = F.regexp_replace(F.translate(F.lower(F.translate(text, MARKED, PLAIN)), STROKED, UNSTROKED), r"\p{Mn}", "")
+    for ligature, letters in LIGATURES.items():
+        plain = F.replace(plain, F.lit(ligature), F.lit(letters))
+    return plain
+
+
+def grams(text: Column, size: Column | int) -> Column:
+    """The distinct substrings of that many letters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))), lambda k: F.substring(text, k, F.lit(size))))
+
+
 def search_peaks(queries: DataFrame, peaks: DataFrame, k: int = 6) -> DataFrame:
     """For each query (query_id, text, lat, lon) the k best peaks by name: equal, then starting with, then containing the text.
 
     Case and accents make no difference; ties go to the nearer, then the smaller id. An
-    empty text finds none. Names match by substring, which no key can express: the
-    queries go to the peaks, in a broadcast that Spark's own size threshold decides on.
+    empty text finds none. An inverted index: a name that contains a text has all its
+    runs of three letters, so a query meets the names that have the rarest of those, by
+    an equal key, and only they are compared. Texts of one or two letters are keys themselves.
     """
-    text = F.collate(F.trim("text"), "UNICODE_CI_AI")
-    name = F.collate(F.col("name"), "UNICODE_CI_AI")
-    asked = queries.filter(F.trim("text") != "").select("query_id", text.alias("wanted"), F.col("lat").alias("from_lat"), F.col("lon").alias("from_lon"))
-    both = peaks.join(asked, F.contains(name, F.col("wanted")))
-    ranked = both.select("query_id", "peak_id", "name", F.when(name == F.col("wanted"), 0).when(F.startswith(name, F.col("wanted")), 1).otherwise(2).alias("match"),
-                         geodesic(F.col("from_lat"), F.col("from_lon"), F.col("lat"), F.col("lon"))["distance"].alias("distance"))
+    asked = queries.select("query_id", folded(F.trim("text")).alias("wanted"), F.col("lat").alias("from_lat"), F.col("lon").alias("from_lon")).filter("wanted <> ''")
+    named = peaks.withColumn("_name", folded(F.col("name")))
+
+    def posted(size: int) -> DataFrame:
+        return named.filter(F.length("_name") >= size).withColumn("gram", F.explode(grams(F.col("_name"), size)))
+
+    short = None
+    for size in (1, 2):
+        own = asked.filter(F.length("wanted") == size).join(posted(size), F.col("wanted") == F.col("gram"))
+        short = own if short is None else short.unionByName(own)
+    # the rarest of a text's grams; one that no name has leaves none to be found
+    often = posted(3).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    keyed = asked.filter(F.length("wanted") >= 3).withColumn("gram", F.explode(grams(F.col("wanted"), 3))).join(often, "gram", "left")
+    rarest = keyed.groupBy("query_id", "wanted", "from_lat", "from_lon").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    both = rarest.join(posted(3), "gram").unionByName(short)
+    found = both.filter(F.contains("_name", F.col("wanted")))
+    ranked = found.select("query_id", "peak_id", "name", F.when(F.col("_name") == F.col("wanted"), 0).when(F.startswith("_name", F.col("wanted")), 1).otherwise(2).alias("match"),
+                          geodesic(F.col("from_lat"), F.col("from_lon"), F.col("lat"), F.col("lon"))["distance"].alias("distance"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("match", "distance", "peak_id"))
     return ranked.withColumn("rank", place).filter(F.col("rank") <= k)
 

@@ -655,3 +655,32 @@ def test_of_two_writers_one_fails(spark):
     with pytest.raises(RuntimeError):
         store._commit(listed, path, "g-b", 2)
     assert store._last_commit(spark, path).gen == "g-a"
+
+
+def test_peak_search_by_index_equals_substring_search(spark):
+    """Texts of one letter to whole names, accents, ligatures, nothing found; an equi-join, no nested loop, whatever the sizes."""
+    draw = random.Random(3)
+    names = ["".join(draw.choice(["a", "b", "É", "s", " ", "ö"]) for _ in range(draw.randrange(0, 9))) for _ in range(300)] + ["Straße", "Ärmeĺ", "Łódź", None]
+    asked = ["a", "É", "ab", "B ", "aé", "sss", "aBa", "bös", "  ess ", "strass", "armel", "lodz", "zzz", "", " ", None, "aaaaaaaaaaaa", *[n for n in names[:40] if n]]
+    peaks = spark.createDataFrame([(k, 46.0 + k / 1000, 7.0, n) for k, n in enumerate(names)], "peak_id long, lat double, lon double, name string")
+    queries = spark.createDataFrame([(k, t, 46.0, 7.0) for k, t in enumerate(asked)], "query_id long, text string, lat double, lon double")
+    import unicodedata
+
+    def fold(t):
+        plain = "".join(c for c in unicodedata.normalize("NFD", t.lower()) if not unicodedata.combining(c))
+        return plain.replace("ß", "ss").replace("ł", "l")
+
+    want = set()
+    for q, t in enumerate(asked):
+        w = fold((t or "").strip(" "))
+        hits = sorted((0 if fold(n) == w else 1 if fold(n).startswith(w) else 2, k) for k, n in enumerate(names) if n is not None and w and w in fold(n))
+        want |= {(q, r + 1, k, m) for r, (m, k) in enumerate(hits[:6])}
+    found = points.search_peaks(queries, peaks)
+    assert {(r.query_id, r.rank, r.peak_id, r.match) for r in found.collect()} == want
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        plan = points.search_peaks(queries, peaks)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "SortMergeJoin" in plan
