@@ -143,6 +143,21 @@ def patch_residual(col0: Column, row0: Column, size: Column, place) -> Column:
     return let(placed, fit)
 
 
+def patch_map(col0: Column, row0: Column, size: Column, place) -> Column:
+    """struct(x0, y0, ax, ay, bx, by) of the affine fit at a region's centre: frame = (x0, y0) + col * (ax, ay) + row * (bx, by)."""
+    half = size / 2
+    cx, cy = col0 + half, row0 + half
+    spots = F.array(*[F.struct(F.lit(float(i)).alias("i"), F.lit(float(j)).alias("j")) for i, j in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))])
+    placed = F.transform(spots, lambda q: place(cx + q["i"] * half, cy + q["j"] * half))
+
+    def fit(ps: Column) -> Column:
+        o, e, w, n, s = (F.get(ps, k) for k in range(5))
+        ax, ay, bx, by = (e["x"] - w["x"]) / size, (e["y"] - w["y"]) / size, (n["x"] - s["x"]) / size, (n["y"] - s["y"]) / size
+        return F.struct((o["x"] - cx * ax - cy * bx).alias("x0"), (o["y"] - cx * ay - cy * by).alias("y0"), ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"))
+
+    return let(placed, fit)
+
+
 def tile_patches(tiles: DataFrame, cells: int, place_of, residual: float = 0.25) -> DataFrame:
     """Square regions of tiles, quartered until an affine map into the frame is off by no more than `residual` metres.
 

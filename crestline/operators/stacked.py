@@ -4,6 +4,11 @@ The first dataset with a usable cell at a place owns it. Paths are cut at every
 layer's cell lines, and pieces that lie in a cell of a higher layer go, so what is left
 of all layers is one surface without overlaps. The rest is the trace of one dataset;
 only where two layers meet can the ground have a step, and that counts as ground.
+
+A layer of another reference system than the frame's is traced through patches: squares
+of its tiles in which an affine map into the frame is off by a quarter of a metre at most.
+A path is a straight line in a patch's columns and rows, too, so there it is cut and
+solved as in a grid of cells of size 1, with the same distances along it.
 """
 
 from __future__ import annotations
@@ -11,16 +16,17 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
 from ..functions.geodesy import from_crs, geodesic, to_crs, valid_lat_lon
 from ..storage import written
-from .catalogue import owned_cells
+from .catalogue import owned_cells, patch_map, tile_patches
 from .points import cell_of, highest, sample_ground
 from .rays import CURVATURE
-from .tiles import Grid, tile_index
-from .trace import bilinear, crossings, hit_bilinear, in_sight, local, nearest, on_cells, paths_of, pieces_of, stop_rising
+from .tiles import KEY, Grid, tile_index
+from .trace import NUDGE, bilinear, clamp_half, crossings, descended, gradient_bilinear, hit_bilinear, in_sight, local, nearest, on_cells, paths_of, pieces_of, stop_rising, tile_path
 
 HEIGHTS = ("z00", "z01", "z10", "z11", "zmax")
 
@@ -29,8 +35,9 @@ HEIGHTS = ("z00", "z01", "z10", "z11", "zmax")
 class Layer:
     """A dataset: cells (trow, tcol, y, x, z00..z11, zmax), the grid they lie on, metres to raise it by.
 
-    Traces take all layers in one frame. Questions asked by latitude and longitude
-    need the grid's system, those for vertices (trow, tcol, col, row, z) these, too.
+    Traces take layers in one frame, or in systems of their own if they are given the
+    frame's. Questions asked by latitude and longitude need the grid's system, those for
+    vertices (trow, tcol, col, row, z) these, too.
     """
 
     cells: DataFrame
@@ -46,21 +53,27 @@ def owned_layers(layers: list[Layer]) -> list[Layer]:
     for layer in layers:
         cells = layer.cells.withColumns({c: F.col(c) + layer.vertical_offset_m for c in HEIGHTS})
         for higher in layers[: len(found)]:
-            cells = owned_cells(cells, layer.grid, higher.cells, higher.grid)
+            if layer.epsg == higher.epsg:
+                cells = owned_cells(cells, layer.grid, higher.cells, higher.grid)
         found.append(replace(layer, cells=written(cells, "owned-cells"), vertical_offset_m=0.0))
     return found
 
 
-def outside(pieces: DataFrame, higher: DataFrame, grid: Grid) -> DataFrame:
+#: A path's place at distance 0 and its direction, in the frame.
+FRAME = ("x", "y", "dx", "dy")
+
+
+def outside(pieces: DataFrame, higher: DataFrame, grid: Grid, frame: tuple[str, str, str, str] = FRAME) -> DataFrame:
     """Pieces of paths (x, y, dx, dy, t0, t1) cut at a higher layer's cell lines, without those that lie in its cells.
 
     So a root under the higher layer is never made, and the next one of the same cell stays in play. Pieces over ground stay as they are.
     """
+    x, y, dx, dy = map(F.col, frame)
     whole = F.array(F.struct(F.col("t0").alias("a"), F.col("t1").alias("b")))
-    cut = F.when(F.col("over"), whole).otherwise(crossings(F.col("x") - grid.origin_x, F.col("y") - grid.origin_y, F.col("dx"), F.col("dy"), F.col("t0"), F.col("t1"), grid.cell))
+    cut = F.when(F.col("over"), whole).otherwise(crossings(x - grid.origin_x, y - grid.origin_y, dx, dy, F.col("t0"), F.col("t1"), grid.cell))
     parts = pieces.withColumn("_i", F.explode(cut)).withColumns({"t0": F.col("_i.a"), "t1": F.col("_i.b")}).drop("_i")
     mid = (F.col("t0") + F.col("t1")) / 2
-    place = cell_of(F.col("x") + F.col("dx") * mid, F.col("y") + F.col("dy") * mid, grid)
+    place = cell_of(x + dx * mid, y + dy * mid, grid)
     keys = {"trow": "_r", "tcol": "_c", "cy": "_y", "cx": "_x"}
     taken = higher.select(F.col("trow").alias("_r"), F.col("tcol").alias("_c"), F.col("y").alias("_y"), F.col("x").alias("_x"))
     place["cy"] = F.when(F.col("over"), -1).otherwise(place["cy"])  # a row of cells that isn't there
@@ -74,11 +87,92 @@ def hit_or_step(grid: Grid) -> Column:
     return F.when((F.col("gaps") == 0) & (height < bilinear(sx, sy)), F.col("t0")).otherwise(hit_bilinear(F.col("slope"), grid))
 
 
-def trace_stack(views: DataFrame, layers: list[Layer]) -> DataFrame:
-    """R1-R13 over a stack, highest priority first: trace()'s columns and dataset_id, the hit layer's number from 0.
+def patches_of(layer: Layer, frame_epsg: int, residual: float = 0.25) -> DataFrame:
+    """C9 of a layer's tiles: trow, tcol, col0, row0, size, the map m into the frame and its inverse ixx, ixy, iyx, iyy (cells a metre)."""
+    grid = layer.grid
+
+    def place_of(trow: Column, tcol: Column):
+        def place(col: Column, row: Column) -> Column:
+            x, y = grid.origin_x + tcol * grid.width + col * grid.cell, grid.origin_y - (trow + 1) * grid.width + row * grid.cell
+            return let(from_crs(x, y, layer.epsg), lambda p: to_crs(p["lon"], p["lat"], frame_epsg))
+
+        return place
+
+    found = tile_patches(layer.cells.select(*KEY).distinct(), grid.cells, place_of, residual)
+    mapped = found.withColumn("m", patch_map(F.col("col0"), F.col("row0"), F.col("size"), place_of(F.col("trow"), F.col("tcol"))))
+    det = F.col("m.ax") * F.col("m.by") - F.col("m.bx") * F.col("m.ay")
+    return mapped.withColumns({"ixx": F.col("m.by") / det, "ixy": -F.col("m.bx") / det, "iyx": -F.col("m.ay") / det, "iyy": F.col("m.ax") / det})
+
+
+def patch_segments(paths: DataFrame, layer: Layer, frame_epsg: int, residual: float = 0.25) -> DataFrame:
+    """Paths cut to the patches of a layer of another system, each as a path in the layer's columns and rows (x, y, dx, dy, t0, t1, trow,
+    tcol), with the frame's as fx, fy, fdx, fdy.
+
+    Patches and paths meet in squares of the frame about as wide as a tile: both list those they touch, so they are joined by equality.
+    """
+    grid = layer.grid
+    bin_width = grid.width * (111320.0 if layer.epsg == 4326 else 1.0)
+    patches = written(patches_of(layer, frame_epsg, residual), "tile-patches")
+    corner = [(F.col("m.x0") + (F.col("col0") + i * F.col("size")) * F.col("m.ax") + (F.col("row0") + j * F.col("size")) * F.col("m.bx"),
+               F.col("m.y0") + (F.col("col0") + i * F.col("size")) * F.col("m.ay") + (F.col("row0") + j * F.col("size")) * F.col("m.by")) for i in (0, 1) for j in (0, 1)]
+    spans = []
+    for axis in (0, 1):
+        low, high = F.least(*[c[axis] for c in corner]) - residual, F.greatest(*[c[axis] for c in corner]) + residual
+        spans.append(F.sequence(F.floor(low / bin_width), F.floor(high / bin_width)))
+    binned = patches.withColumn("_bc", F.explode(spans[0])).withColumn("_bn", F.explode(spans[1])).select(
+        *patches.columns, F.col("_bc").alias("_c"), (-F.col("_bn") - 1).alias("_r"))
+    cut = tile_path(paths, Grid(0.0, 0.0, bin_width, 1)).withColumnsRenamed({"trow": "_r", "tcol": "_c"})
+    met = cut.join(binned, ["_r", "_c"])
+    # the path in the tile's columns and rows; what the maps of neighbouring patches are apart is given to both
+    ex, ey = F.col("x") - F.col("m.x0"), F.col("y") - F.col("m.y0")
+    col, row = F.col("ixx") * ex + F.col("ixy") * ey, F.col("iyx") * ex + F.col("iyy") * ey
+    dc, dr = F.col("ixx") * F.col("dx") + F.col("ixy") * F.col("dy"), F.col("iyx") * F.col("dx") + F.col("iyy") * F.col("dy")
+    met = met.withColumns({"_col": col, "_row": row, "_dc": dc, "_dr": dr})
+    spare = 2 * residual / (grid.cell * (111320.0 if layer.epsg == 4326 else 1.0))
+    begin, end = F.col("t0"), F.col("t1")
+    for p, d, low in (("_col", "_dc", "col0"), ("_row", "_dr", "row0")):
+        a, b = (F.col(low) - spare - F.col(p)) / F.col(d), (F.col(low) + F.col("size") + spare - F.col(p)) / F.col(d)
+        still = F.abs(F.col(d)) < 1e-12
+        inside = F.col(p).between(F.col(low) - spare, F.col(low) + F.col("size") + spare)
+        begin = F.greatest(begin, F.when(still, F.when(inside, float("-inf")).otherwise(float("inf"))).otherwise(F.least(a, b)))
+        end = F.least(end, F.when(still, F.when(inside, float("inf")).otherwise(float("-inf"))).otherwise(F.greatest(a, b)))
+    clipped = met.withColumns({"_a": begin, "_b": end}).filter(F.col("_b") - F.col("_a") > NUDGE)
+    keep = [c for c in paths.columns if c not in FRAME]
+    return clipped.select(
+        *keep, *[F.col(c).alias("f" + c) for c in FRAME], (F.col("_col") + F.col("tcol") * grid.cells).alias("x"), (F.col("_row") - (F.col("trow") + 1) * grid.cells).alias("y"),
+        F.col("_dc").alias("dx"), F.col("_dr").alias("dy"), F.col("_a").alias("t0"), F.col("_b").alias("t1"), "trow", "tcol", "ixx", "ixy", "iyx", "iyy")
+
+
+def covered_stretches(pieces: DataFrame) -> DataFrame:
+    """(view_id, px, covered): the stretches (a, b) of each path on a layer's ground, neighbouring pieces joined to one."""
+    along = Window.partitionBy("view_id", "px").orderBy("t0")
+    apart = (F.col("t0") - F.coalesce(F.max("t1").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(float("-inf"))) > 1e-6).cast("int")
+    runs = pieces.select("view_id", "px", "t0", "t1").withColumn("_apart", apart).withColumn("_run", F.sum("_apart").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = runs.groupBy("view_id", "px", "_run").agg(F.min("t0").alias("a"), F.max("t1").alias("b"))
+    return joined.groupBy("view_id", "px").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("covered"))
+
+
+def off_stretches(pieces: DataFrame, covered: DataFrame) -> DataFrame:
+    """C5 for a higher layer of any system: pieces of paths without what lies on its stretches."""
+    met = pieces.join(covered, ["view_id", "px"], "left")
+    inner = F.filter(F.col("covered"), lambda s: (s["b"] > F.col("t0")) & (s["a"] < F.col("t1")))
+    ends = F.concat(F.array(F.col("t0")), F.flatten(F.transform(inner, lambda s: F.array(s["a"], s["b"]))), F.array(F.col("t1")))
+    # from the end of one stretch to the begin of the next
+    free = F.transform(F.array(ends), lambda e: F.transform(F.sequence(F.lit(0), (F.size(e) / 2).cast("int") - 1), lambda k: F.struct(
+        F.get(e, 2 * k).alias("a"), F.get(e, 2 * k + 1).alias("b"))))[0]
+    whole = F.array(F.struct(F.col("t0").alias("a"), F.col("t1").alias("b")))
+    left = F.filter(F.when(F.col("covered").isNull(), whole).otherwise(free), lambda s: s["b"] - s["a"] > NUDGE)
+    return met.withColumn("_s", F.explode(left)).withColumns({"t0": F.col("_s.a"), "t1": F.col("_s.b")}).drop("_s", "covered")
+
+
+def trace_stack(views: DataFrame, layers: list[Layer], frame_epsg: int | None = None, residual: float = 0.25) -> DataFrame:
+    """R1-R13 over a stack, highest priority first: trace()'s columns and dataset_id, the hit layer's number from 0, and, for
+    stack_gradients(), the inverse ixx, ixy, iyx, iyy of the map of the hit's cell into the frame.
 
     Heights are bilinear. Tiles and blocks of cells that the lowest ray flies over are not joined to
     their cells; they count as ground for what is behind them if all their cells are there, and are met cell by cell otherwise.
+    frame_epsg: the views' system, where layers have other ones; those are traced through
+    patches whose maps are off by residual metres at most.
     """
     paths = paths_of(views)
     pieces = None
@@ -88,14 +182,41 @@ def trace_stack(views: DataFrame, layers: list[Layer]) -> DataFrame:
     for index in indexes:
         tops = index.select("zmax") if tops is None else tops.unionByName(index.select("zmax"))
     paths = stop_rising(paths, tops, F.col("low_slope"))
+    slope, stretches = F.col("low_slope"), []
     for number, (layer, index) in enumerate(zip(owned, indexes, strict=True)):
-        met = on_cells(pieces_of(paths, index, layer.grid, F.col("low_slope"), voids=True), layer.cells, layer.grid, keep_over=True)
-        for higher in layers[:number]:
-            met = outside(met, higher.cells, higher.grid)
-        both = met.drop("over").withColumns({"dataset_id": F.lit(number), "cell": F.lit(layer.grid.cell)})
+        foreign = frame_epsg is not None and layer.epsg not in (None, frame_epsg)
+        if foreign:
+            grid, frame = Grid(0.0, 0.0, 1.0, layer.grid.cells), tuple("f" + c for c in FRAME)
+            met = on_cells(descended(patch_segments(paths, layer, frame_epsg, residual), index, grid, slope, voids=True), layer.cells, grid, keep_over=True)
+        else:
+            grid, frame = layer.grid, FRAME
+            met = on_cells(pieces_of(paths, index, grid, slope, voids=True), layer.cells, grid, keep_over=True)
+            met = met.withColumns({"ixx": F.lit(1 / grid.cell), "ixy": F.lit(0.0), "iyx": F.lit(0.0), "iyy": F.lit(1 / grid.cell)})
+        own = met
+        for higher, covered in zip(layers[:number], stretches, strict=True):
+            met = outside(met, higher.cells, higher.grid, frame) if covered is None else off_stretches(met, covered)
+        # of another system's layer others can't be cut at its cell lines, so its stretches are made
+        stretches.append(written(covered_stretches(own), "stretches") if foreign and number + 1 < len(layers) else None)
+        both = met.drop("over", *["f" + c for c in FRAME]).withColumns({"dataset_id": F.lit(number), "cell": F.lit(grid.cell)})
         pieces = both if pieces is None else pieces.unionByName(both)
     grid = Grid(0.0, 0.0, F.col("cell"), 0)  # only the cell's size is asked for, each piece has its own
-    return nearest(views, in_sight(pieces, grid).withColumn("t", hit_or_step(grid)), grid, ("dataset_id",))
+    return nearest(views, in_sight(pieces, grid).withColumn("t", hit_or_step(grid)), grid, ("dataset_id", *MAP))
+
+
+#: The inverse of a cell's map into the frame, in cells a metre.
+MAP = ("ixx", "ixy", "iyx", "iyy")
+
+
+def stack_gradients(hits: DataFrame, layers: list[Layer]) -> DataFrame:
+    """R14 for trace_stack()'s hits: grad_e, grad_n along the frame's axes: by column and row, then by the inverse transpose of the map."""
+    cells = None
+    for number, layer in enumerate(layers):
+        one = layer.cells.select(F.lit(number).alias("dataset_id"), *KEY, F.col("y").alias("cy"), F.col("x").alias("cx"), "z00", "z01", "z10", "z11")
+        cells = one if cells is None else cells.unionByName(one)
+    found = hits.filter("distance is not null").join(cells, ["dataset_id", *KEY, "cy", "cx"])
+    by_col, by_row = gradient_bilinear(F.col("sx"), F.col("sy"), 1.0)
+    grads = {"grad_e": clamp_half(F.col("ixx") * by_col + F.col("iyx") * by_row), "grad_n": clamp_half(F.col("ixy") * by_col + F.col("iyy") * by_row)}
+    return found.withColumns(grads).drop("z00", "z01", "z10", "z11")
 
 
 def sample_stack(points: DataFrame, layers: list[Layer]) -> DataFrame:

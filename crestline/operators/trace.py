@@ -164,15 +164,20 @@ def indexed(segments: DataFrame, manifest: DataFrame) -> DataFrame:
     return segments.join(manifest.select(*KEY, F.col("zmax").alias("tile_max"), full.alias("tile_full"), *blocks), KEY)
 
 
-def pieces_of(paths: DataFrame, manifest: DataFrame, grid: Grid, slope: Column, voids: bool = False, to_cells: bool = True) -> DataFrame:
-    """Paths cut at tile, block and cell lines, without what their ray flies over; over: pieces above ground without a void, left whole."""
-    segments = indexed(tile_path(paths, grid), manifest)
+def descended(segments: DataFrame, manifest: DataFrame, grid: Grid, slope: Column, voids: bool = False, to_cells: bool = True) -> DataFrame:
+    """Tile segments cut at block and cell lines, without what their ray flies over; over: pieces above ground without a void, left whole."""
+    found = indexed(segments, manifest)
     sizes = [s for s in block_sizes(grid) if f"b{s}" in manifest.columns]
-    cut = segments.withColumn("_p", F.explode(descent(grid, slope, sizes, voids, to_cells)))
-    keep = [c for c in segments.columns if c not in ("t0", "t1", "tile_max", "tile_full", "b64", "b8")]
+    cut = found.withColumn("_p", F.explode(descent(grid, slope, sizes, voids, to_cells)))
+    keep = [c for c in segments.columns if c not in ("t0", "t1")]
     return cut.select(*keep, F.col("_p.a").alias("t0"), F.col("_p.b").alias("t1"), (F.col("_p.what") == OVER).alias("over"))
 
 
+def pieces_of(paths: DataFrame, manifest: DataFrame, grid: Grid, slope: Column, voids: bool = False, to_cells: bool = True) -> DataFrame:
+    """Paths cut at tile, block and cell lines; see descended()."""
+    return descended(tile_path(paths, grid), manifest, grid, slope, voids, to_cells)
+
+
 def cells_by_need(cells: DataFrame, paths: DataFrame, manifest: DataFrame, grid: Grid, slope: Column) -> DataFrame:
     """The cells that a trace of paths can meet: of stored cells (sources.tiles.write_cells()) only the folders of tiles that the manifest leaves are read.
 
@@ -186,14 +191,15 @@ def cells_by_need(cells: DataFrame, paths: DataFrame, manifest: DataFrame, grid:
     return cells.join(F.broadcast(asked) if folders <= MAX_FOLDERS else asked, BLOCK_KEY, "left_semi")
 
 
-def on_cells(pieces: DataFrame, cells: DataFrame, grid: Grid, keep_over: bool) -> DataFrame:
-    """Pieces with the corners of the cells they lie in; those over ground without corners, if they are kept."""
-    ground = cells.select(*KEY, F.col("y").alias("cy"), F.col("x").alias("cx"), "z00", "z01", "z10", "z11", "zmax")
+def on_cells(pieces: DataFrame, cells: DataFrame, grid: Grid, keep_over: bool, more: tuple[str, ...] = ()) -> DataFrame:
+    """Pieces with the corners of the cells they lie in; those over ground without corners, if they are kept. more: keys beside the tile's."""
+    key = [*more, *KEY, "cy", "cx"]
+    ground = cells.select(*more, *KEY, F.col("y").alias("cy"), F.col("x").alias("cx"), "z00", "z01", "z10", "z11", "zmax")
     if not keep_over:
-        return placed(pieces.filter("not over"), grid).join(ground, [*KEY, "cy", "cx"])
+        return placed(pieces.filter("not over"), grid).join(ground, key)
     # a row of cells that isn't there: what is over finds none, spread by its tile
     own = placed(pieces, grid).withColumn("cy", F.when(F.col("over"), -1).otherwise(F.col("cy")))
-    return own.join(ground, [*KEY, "cy", "cx"], "left").filter("over or z00 is not null")
+    return own.join(ground, key, "left").filter("over or z00 is not null")
 
 
 def local(t: Column, grid: Grid) -> tuple[Column, Column]:

@@ -346,6 +346,18 @@ def stacked_first_hits(spark, sf):
     return found.select("view_id", "px", "py", r3(F.col("distance")).alias("distance"), r3(F.col("elevation")).alias("elevation"), "dataset_id")
 
 
+#: About where EPSG 2154 has the corner of the square.
+FRENCH = tiles.Grid(1037400.0, 6659590.0, 10.0, CELLS)
+
+
+@query("r14_foreign_layer_hits")
+def foreign_layer_hits(spark, sf):
+    """A stack of two reference systems: the dataset of EPSG 2056 over one of 2154, traced through affine patches, with gradients."""
+    layers = [stacked.Layer(written(primary_cells(spark, sf), "cells"), COARSE, epsg=2056), stacked.Layer(tracing.prepared(spark, sf)[0].drop("brow", "bcol"), FRENCH, RAISED, 2154)]
+    found = stacked.stack_gradients(stacked.trace_stack(tracing.views(spark, sf), layers, frame_epsg=2056), layers)
+    return found.select("view_id", "px", "py", "dataset_id", *[r3(F.col(c)).alias(c) for c in ("distance", "elevation", "grad_e", "grad_n")])
+
+
 # a stack by latitude and longitude: cells of powers of two, so that both engines place vertices exactly
 GEO, GEO_TOP = tiles.Grid(7.0, 46.0, 1 / 8192, CELLS), tiles.Grid(7.0 + 1 / 2048, 46.0 - 1 / 4096, 3 / 16384, CELLS)
 

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..operators import rays, stacked, tiles, trace
+from ..operators import levels, rays, stacked, tiles, trace
 from ..sources.tiles import read_cells, write_cells
 from ..storage import scratch_path, written
 from . import terrain
@@ -364,3 +364,43 @@ SELECT gg.view_id, gg.px::INT AS px, gg.py::INT AS py, s_fh.distance IS NULL AS
 def shadow_visibility(spark, sf):
     hits, cells, manifest = hits_with_gradients(spark, sf)
     return trace.shadow_visibility(hits, cells, manifest, GRID, AZ, EL, RANGE).select("view_id", "px", "py", "lit")
+
+
+LEVELS, LEVEL_SCALE, FOOTPRINT = 3, 1.5, 0.2
+#: The terrain without voids, as C11 keeps tiles that have some at level 1; the last row and column of tiles still lack an edge.
+FILLED_SQL = terrain.MOSAIC_SQL + """,
+mm AS (SELECT a.col, b.row, coalesce(m.z, 1500.0) AS z, g.n FROM g, LATERAL (SELECT unnest(range(g.n)) AS col) a, LATERAL (SELECT unnest(range(g.n)) AS row) b LEFT JOIN m ON m.col = a.col AND m.row = b.row)""" + terrain.VERTICES_SQL[len(terrain.MOSAIC_SQL):].replace("FROM m,", "FROM mm m,")
+LEVELS_SQL = FILLED_SQL + f""",
+vl AS (SELECT trow, tcol, k AS lod, y >> (k - 1) AS y, x >> (k - 1) AS x, z FROM v, range(1, {LEVELS + 1}) t(k) WHERE x % (1 << (k - 1)) = 0 AND y % (1 << (k - 1)) = 0),
+cl AS MATERIALIZED (SELECT lod, trow, tcol, y, x, max(z) FILTER (k = 0) AS z00, max(z) FILTER (k = 1) AS z01, max(z) FILTER (k = 2) AS z10, max(z) FILTER (k = 3) AS z11
+  FROM (SELECT lod, trow, tcol, y - k // 2 AS y, x - k % 2 AS x, z, k FROM (SELECT vl.*, unnest([0, 1, 2, 3]) AS k FROM vl)) GROUP BY ALL HAVING count(z) = 4),
+{RAYS_SQL},
+near AS (SELECT view_id, trow, tcol, CASE WHEN n < 256 THEN 1 ELSE 1 + (SELECT count(*) FROM range(2, {LEVELS + 1}) t(k) WHERE {LEVEL_SCALE} * away * {FOOTPRINT} / 10 >= power(2.0, k - 1) * (1 + 4 * power(2.0, -23))) END AS lod
+  FROM (SELECT view_id, trow, tcol, f.n, sqrt(power(greatest(2600000.0 + tcol * 160 - x, x - 2600000.0 - tcol * 160 - 160, 0), 2) + power(greatest(1200000.0 - (trow + 1) * 160 - y, y - 1200000.0 + (trow + 1) * 160 - 160, 0), 2)) AS away
+    FROM vw, (SELECT trow, tcol, count(*) AS n FROM cl WHERE lod = 1 GROUP BY 1, 2) f)),
+{crossing_sql(10.0, 'cp', 'ry', 'view_id, px, py, x, y, z, dx, dy, slope', 'x - 2600000.0', 'y - 1200000.0')},
+ck AS (SELECT *, floor((x - 2600000.0 + dx * (t + t1) / 2) / 10)::BIGINT AS gx, floor(-(y - 1200000.0 + dy * (t + t1) / 2) / 10)::BIGINT AS gy FROM cp),
+cn AS (SELECT ck.*, lod, 1 << (lod - 1) AS lw FROM ck JOIN near ON ck.view_id = near.view_id AND gx >= 0 AND gy >= 0 AND near.tcol = gx // 16 AND near.trow = gy // 16),
+met AS MATERIALIZED (SELECT *, sum(gap) OVER (PARTITION BY view_id, px, py ORDER BY t) AS gaps FROM (
+  SELECT cn.*, z00, z01, z10, z11, ((cn.x - 2600000.0 + dx * t) / 10 - cl.tcol * 16) / lw - cl.x AS a0, (16 * (cl.trow + 1) + (cn.y - 1200000.0 + dy * t) / 10) / lw - cl.y AS b0, dx / (10 * lw) AS a1, dy / (10 * lw) AS b1,
+    (t - coalesce(lag(t1) OVER (PARTITION BY view_id, px, py ORDER BY t), 0) > 1e-6)::INT AS gap
+  FROM cn JOIN cl ON cl.lod = cn.lod AND cl.tcol = gx // 16 AND cl.trow = gy // 16 AND cl.x = (gx % 16) // lw AND cl.y = (15 - gy % 16) // lw)),
+{BILINEAR_SQL},
+sh AS (SELECT view_id, px, py, min(th) AS distance, arg_min(lod, th) AS lod FROM (SELECT view_id, px, py, lod, CASE WHEN gaps = 0 AND qc < 0 THEN t ELSE th END AS th FROM hit) WHERE th IS NOT NULL GROUP BY 1, 2, 3)"""
+
+
+def filled_vertices(spark, sf):
+    n = terrain.side(spark, sf)
+    every = spark.range(n * n).select((F.col("id") % n).alias("col"), F.floor(F.col("id") / n).alias("row"))
+    whole = every.join(terrain.mosaic(spark, sf), ["col", "row"], "left").withColumn("z", F.coalesce("z", F.lit(1500.0)))
+    return tiles.assign_tiles(whole, terrain.CELLS).filter(F.col("tcol").between(0, (n - 1) // terrain.CELLS) & F.col("trow").between(0, (n - 1) // terrain.CELLS))
+
+
+@query("r6_level_hits", f"""WITH {LEVELS_SQL} SELECT ry.view_id, ry.px::INT AS px, ry.py::INT AS py, {r3_sql('distance')} AS distance, lod::INT AS lod
+FROM ry LEFT JOIN sh ON ry.view_id = sh.view_id AND ry.px = sh.px AND ry.py = sh.py""")
+def level_hits(spark, sf):
+    """First hits at mixed levels of detail, coarser with distance."""
+    cells = written(levels.level_cells(filled_vertices(spark, sf), GRID, LEVELS, "point"), "level-cells")
+    index = written(levels.level_index(cells, GRID), "level-index")
+    found = levels.trace_levels(views(spark, sf).withColumn("footprint", F.lit(FOOTPRINT)), cells, index, GRID, LEVELS, LEVEL_SCALE)
+    return found.select("view_id", "px", "py", r3(F.col("distance")).alias("distance"), F.col("lod").cast("int").alias("lod"))
