@@ -73,8 +73,10 @@ def is_coordinate(text: Column) -> Column:
 def candidates(text: Column, terrain_epsg: int) -> Column:
     """Array of struct(system, lat, lon): WGS84, LV95, OS grid, then the terrain's own system, as the numbers allow.
 
-    A later candidate within a centimetre of an earlier one is left out; the first is
-    the answer. A named system is the only one asked.
+    The terrain's system is asked if it is a projected one whose range holds the numbers, or
+    if no other takes them. A later candidate within a centimetre of an earlier one is left
+    out; the first is the answer. A named system is the only one asked, and an OS
+    reference is nothing else.
     """
     name, rest = strip_prefix(text)
 
@@ -85,19 +87,23 @@ def candidates(text: Column, terrain_epsg: int) -> Column:
     def rows(s: Column) -> Column:
         name, grid, a, b = s["name"], s["grid"], s["pair"]["a"], s["pair"]["b"]
         free = name.isNull()
-        return F.array(
+        known = [
             one("WGS84", (free | (name == "WGS84")) & (F.abs(a) <= 90) & (F.abs(b) <= 180), F.struct(a.alias("lat"), b.alias("lon"))),
             one("LV95", (free | (name == "LV95")) & a.between(2e6, 3e6) & b.between(1e6, 1.5e6), from_crs(a, b, 2056)),
             one("OSGB", (free | (name == "OSGB")) & grid.isNotNull(), from_crs(grid["x"], grid["y"], 27700)),
-            one("OSGB", (free | (name == "OSGB")) & a.between(0, 700000) & b.between(0, 1300000), from_crs(a, b, 27700)),
-            one("DATASET", (free | (name == "DATASET")) & _in_system(a, b, terrain_epsg), from_crs(a, b, terrain_epsg)))
+            one("OSGB", (free | (name == "OSGB")) & a.between(0, 700000) & b.between(0, 1300000), from_crs(a, b, 27700))]
+        own = F.lit(terrain_epsg != 4326) | F.coalesce(*known).isNull()
+        return F.array(*known, one("DATASET", ((free & own) | (name == "DATASET")) & _in_system(a, b, terrain_epsg), from_crs(a, b, terrain_epsg)))
+
+    def apart(k: Column, r: Column) -> Column:
+        """Metres, near enough for a centimetre."""
+        return F.hypot((k["lat"] - r["lat"]) * 111320, (k["lon"] - r["lon"]) * 111320 * F.cos(F.radians(r["lat"])))
 
-    near = 0.01 / 111000
     found = F.filter(let_all({"name": name, "pair": parse_pair(rest), "grid": parse_os_grid(rest)}, rows),
                      lambda r: r.isNotNull() & (F.abs(r["lat"]) <= 90) & (F.abs(r["lon"]) <= 180))
     empty = F.lit([]).cast("array<struct<system:string,lat:double,lon:double>>")
     return F.aggregate(found, empty, lambda kept, r: F.when(
-        F.exists(kept, lambda k: (F.abs(k["lat"] - r["lat"]) < near) & (F.abs(k["lon"] - r["lon"]) < near)), kept).otherwise(F.concat(kept, F.array(r))))
+        F.exists(kept, lambda k: apart(k, r) < 0.01), kept).otherwise(F.concat(kept, F.array(r))))
 
 
 def _in_system(a: Column, b: Column, epsg: int) -> Column:

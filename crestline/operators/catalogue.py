@@ -26,17 +26,17 @@ def pick_frame(datasets: DataFrame) -> DataFrame:
 def tiles_in_range(tiles: DataFrame, observers: DataFrame, grids: Grid | dict[int, Grid], max_distance: float, max_tiles: int) -> DataFrame:
     """The tiles each observer needs, nearest first: its own, then by distance, priority, key; max_tiles at most.
 
-    grids: that of all tiles, or one for each priority of a stack. Observers are keyed
-    to the tiles of their box, so the join is on the tile key and only those in reach
-    meet. The observer's own tiles are kept at any distance.
+    grids: that of all tiles, or one for each priority of a stack. Observers go down a
+    quadtree of keys: to blocks of 64 tiles a side that their circle touches and that
+    have tiles, in those to blocks of 8, in those to tiles, always by an equal key. The
+    observer's own tiles are kept at any distance.
     """
     near = None
     for priority, grid in (grids if isinstance(grids, dict) else {None: grids}).items():
-        reach = int(max_distance // grid.width) + 1
+        some = tiles if priority is None else tiles.filter(F.col("priority") == priority)
         here = observers.withColumns({"_r": F.floor((grid.origin_y - F.col("y")) / grid.width), "_c": F.floor((F.col("x") - grid.origin_x) / grid.width)})
-        boxed = here.withColumn("trow", F.explode(F.sequence(F.col("_r") - reach, F.col("_r") + reach))).withColumn("tcol", F.explode(F.sequence(F.col("_c") - reach, F.col("_c") + reach)))
+        boxed = in_circles(here, some, grid, max_distance)
         d = tile_distance(F.col("x"), F.col("y"), F.col("trow"), F.col("tcol"), grid)
-        some = tiles if priority is None else tiles.filter(F.col("priority") == priority)
         met = boxed.join(some, ["trow", "tcol"]).withColumns({"distance": d, "own": (F.col("trow") == F.col("_r")) & (F.col("tcol") == F.col("_c"))})
         one = met.filter(F.col("own") | (F.col("distance") <= max_distance))
         near = one if near is None else near.unionByName(one)
@@ -44,6 +44,31 @@ def tiles_in_range(tiles: DataFrame, observers: DataFrame, grids: Grid | dict[in
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max_tiles).select("observer_id", "rank", "priority", "trow", "tcol", "own", "distance")
 
 
+#: Tiles along the side of the blocks that a circle is asked for first.
+CIRCLE_BLOCKS = (64, 8)
+
+
+def in_circles(observers: DataFrame, tiles: DataFrame, grid: Grid, radius: float) -> DataFrame:
+    """Observers (x, y, _r, _c: their own tile) with the keys trow, tcol of tiles that their circle may touch; only where blocks of tiles are stored."""
+
+    def touched(rows: DataFrame, size: int) -> DataFrame:
+        """Rows whose block of that many tiles a side lies within the radius."""
+        block = Grid(grid.origin_x, grid.origin_y, grid.cell * size, grid.cells)
+        own = (F.col("_br") == F.floor(F.col("_r") / size)) & (F.col("_bc") == F.floor(F.col("_c") / size))
+        return rows.filter(own | (tile_distance(F.col("x"), F.col("y"), F.col("_br"), F.col("_bc"), block) <= radius))
+
+    first, wide = CIRCLE_BLOCKS[0], grid.width * CIRCLE_BLOCKS[0]
+    spans = [F.sequence(F.floor((v - radius) / wide), F.floor((v + radius) / wide)) for v in (grid.origin_y - F.col("y"), F.col("x") - grid.origin_x)]
+    found = touched(observers.withColumn("_br", F.explode(spans[0])).withColumn("_bc", F.explode(spans[1])), first)
+    for size, finer in zip(CIRCLE_BLOCKS, (*CIRCLE_BLOCKS[1:], 1), strict=True):
+        stored = tiles.select(F.floor(F.col("trow") / size).alias("_br"), F.floor(F.col("tcol") / size).alias("_bc")).distinct()
+        step = size // finer
+        inner = [F.sequence(F.col(c) * step, F.col(c) * step + step - 1) for c in ("_br", "_bc")]
+        found = found.join(stored, ["_br", "_bc"], "left_semi").withColumns({"_rows": inner[0], "_cols": inner[1]})
+        found = touched(found.withColumn("_br", F.explode("_rows")).withColumn("_bc", F.explode("_cols")).drop("_rows", "_cols"), finer)
+    return found.withColumnsRenamed({"_br": "trow", "_bc": "tcol"})
+
+
 def stack_fallback(candidates: DataFrame, coverage: DataFrame, grids: dict[int, Grid]) -> DataFrame:
     """C3 for stacks: where observers of tiles_in_range() without a tile of their own go: (observer_id, priority, trow, tcol, x, y).
 

@@ -7,7 +7,7 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geodesy import geodesic
+from ..functions.geodesy import from_crs, geodesic, true_north_basis
 from .rays import CURVATURE, camera_axes
 from .tiles import Grid
 
@@ -22,6 +22,8 @@ def _folding() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+#: What names a ray.
+RAY = ["view_id", "px", "py"]
 MARKED, PLAIN = _folding()
 #: Letters without a decomposition that search takes for others.
 STROKED, UNSTROKED = "øłđħ", "oldh"
@@ -140,12 +142,24 @@ def target_occluded(seen: DataFrame, hits: DataFrame) -> DataFrame:
     return met.withColumn("occluded", hidden).drop("_x", "_y", "_hit")
 
 
-def inspect(hits: DataFrame, pixels: DataFrame) -> DataFrame:
-    """Distance, elevation, slope and downhill aspect (degrees from north) at pixels; sky has no row."""
-    grade = F.hypot("grad_e", "grad_n")
-    aspect = F.when(grade > 0, F.pmod(F.degrees(F.atan2(-F.col("grad_e"), -F.col("grad_n"))) + 360, F.lit(360.0)))
-    return hits.join(pixels, ["view_id", "px", "py"]).filter("distance is not null").select(
-        "view_id", "px", "py", "distance", "elevation", F.degrees(F.atan(grade)).alias("slope_deg"), aspect.alias("aspect_deg"))
+def inspect(hits: DataFrame, pixels: DataFrame, epsg: int | None = None) -> DataFrame:
+    """Distance, elevation, slope and downhill aspect (degrees from north) at pixels; sky has no row.
+
+    With the frame's system (epsg) also lat and lon, and the aspect is from true north.
+    Without one it is from the frame's; hits then need no place.
+    """
+    met = hits.join(pixels, RAY).filter("distance is not null")
+    east, north = F.col("grad_e"), F.col("grad_n")
+    place = []
+    if epsg is not None:
+        x, y = F.col("x") + F.col("distance") * F.col("dx"), F.col("y") + F.col("distance") * F.col("dy")
+        met = met.withColumns({"_x": x, "_y": y}).withColumn("_p", from_crs(F.col("_x"), F.col("_y"), epsg))
+        met = met.withColumn("_b", true_north_basis(F.col("_x"), F.col("_y"), F.col("_p.lat"), F.col("_p.lon"), epsg))
+        # along true east and north
+        east, north = (F.col("grad_e") * F.col(f"_b.{a}e") + F.col("grad_n") * F.col(f"_b.{a}n") for a in "en")
+        place = [F.col("_p.lat").alias("lat"), F.col("_p.lon").alias("lon")]
+    aspect = F.when(F.hypot("grad_e", "grad_n") > 0, F.pmod(F.degrees(F.atan2(-east, -north)) + 360, F.lit(360.0)))
+    return met.select(*RAY, "distance", "elevation", *place, F.degrees(F.atan(F.hypot("grad_e", "grad_n"))).alias("slope_deg"), aspect.alias("aspect_deg"))
 
 
 def cell_of(x: Column, y: Column, grid: Grid) -> dict[str, Column]:

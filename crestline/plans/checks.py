@@ -218,6 +218,13 @@ def detect_systems(spark, sf):
     return found.select("id", F.posexplode("c").alias("rank", "c")).select("id", "rank", "c.system", F.round("c.lat", 6).alias("lat"), F.round("c.lon", 6).alias("lon"))
 
 
+@query("i5_detect_geographic")
+def detect_geographic(spark, sf):
+    """The same texts over a geographic terrain, whose system is asked only where no other takes the numbers."""
+    found = texts(spark, sf).select("id", coordinates.candidates(F.col("text"), 4326).alias("c"))
+    return found.select("id", F.posexplode("c").alias("rank", "c")).select("id", "rank", "c.system", F.round("c.lat", 6).alias("lat"), F.round("c.lon", 6).alias("lon"))
+
+
 # run logs ---------------------------------------------------------------------
 
 

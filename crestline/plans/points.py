@@ -155,6 +155,14 @@ def inspect(spark, sf):
     return points.inspect(hits, hits.select("view_id", "px", "py")).select("view_id", "px", "py", *[r3(F.col(c)).alias(c) for c in ("distance", "elevation", "slope_deg", "aspect_deg")])
 
 
+@query("p6_inspect_place")
+def inspect_place(spark, sf):
+    """The same with place and true north; projections are no SQL, a test compares it with moved points."""
+    hits, _, _ = tracing.hits_with_gradients(spark, sf)
+    found = points.inspect(hits, hits.select("view_id", "px", "py"), 2056)
+    return found.select("view_id", "px", "py", F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon"), r3(F.col("slope_deg")).alias("slope_deg"), r3(F.col("aspect_deg")).alias("aspect_deg"))
+
+
 def places(spark, sf):
     n = terrain.side(spark, sf)
     k = F.col("c_custkey")

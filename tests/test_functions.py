@@ -112,3 +112,27 @@ def test_query_equals_sql(spark, name):
     got = QUERIES[name](spark, sf)
     assert sorted(got.columns) == sorted(columns)
     assert canonical([r.asDict() for r in got.collect()], sorted(columns)) == canonical(want, sorted(columns))
+
+
+def test_terrain_system_of_a_free_text(spark):
+    """A geographic terrain is asked only where nothing else takes the numbers; a projected one where its range does."""
+    cases = {("46.5 7.2", 4326): ["WGS84", "OSGB"], ("120.5, 45.0", 4326): ["OSGB"], ("-120.5, 45.0", 4326): ["DATASET"], ("2600000 1200000", 4326): ["LV95"], ("2600000 1200000", 2056): ["LV95"],
+             ("900000 6500000", 2154): ["DATASET"], ("46.5 7.2", 2154): ["WGS84", "OSGB"], ("NG 90716 59877", 4326): ["OSGB"], ("46.5 7.2", 27700): ["WGS84", "OSGB"]}
+    for (text, epsg), want in cases.items():
+        got = spark.createDataFrame([(text,)], "t string").select(coordinates.candidates(F.col("t"), epsg).alias("c")).first().c
+        assert [c.system for c in got] == want, (text, epsg, got)
+    far = spark.createDataFrame([("-120.5, 45.0",)], "t string").select(coordinates.candidates(F.col("t"), 4326).alias("c")).first().c[0]
+    assert (far.lat, far.lon) == (45.0, -120.5)
+
+
+@pytest.mark.parametrize("epsg,x,y", [(2056, 2620000.0, 1105000.0), (2154, 900000.0, 6500000.0), (27700, 400000.0, 300000.0)])
+def test_true_north_and_frame_turns(spark, epsg, x, y):
+    """Unit axes at right angles; a frame offset by them ends where the geodesic does; a true azimuth turns with them."""
+    at = spark.range(1).select(geodesy.from_crs(F.lit(x), F.lit(y), epsg).alias("p")).select("p", geodesy.true_north_basis(F.lit(x), F.lit(y), F.col("p.lat"), F.col("p.lon"), epsg).alias("b"))
+    moved = geodesy.geodesic_move(F.col("p.lat"), F.col("p.lon"), F.lit(30.0), F.lit(40.0))
+    r = at.select("b", geodesy.frame_offset(F.col("b"), F.lit(30.0), F.lit(40.0)).alias("o"), moved.alias("m"), geodesy.render_azimuth(F.col("b"), F.lit(0.0)).alias("north")).select(
+        "b", "o", "north", geodesy.to_crs(F.col("m.lon"), F.col("m.lat"), epsg).alias("q")).first()
+    assert math.hypot(r.b.ee, r.b.en) == pytest.approx(1) and r.b.ee * r.b.ne + r.b.en * r.b.nn == pytest.approx(0, abs=1e-12)
+    # scale factors of the projections are within 0.1 %
+    assert math.hypot(r.q.x - x - r.o.x, r.q.y - y - r.o.y) < 0.06
+    assert (math.sin(r.north), math.cos(r.north)) == pytest.approx((r.b.ne, r.b.nn), abs=1e-9)

@@ -785,3 +785,42 @@ def test_layers_of_two_systems_equal_a_dense_march(spark, order):
 
 def trace_gradients(views, layers):
     return stacked.stack_gradients(stacked.trace_stack(views, layers, frame_epsg=2056, residual=0.02), layers)
+
+
+def test_inspect_with_place_and_true_north(spark):
+    """Aspects against points moved downhill by the geodesic: they are lower, and lowest among directions."""
+    from crestline.functions.geodesy import from_crs
+
+    rows = [(1, k, 0, 2500000.0 + 1000 * k, 1110000.0, 0.6, 0.8, 50.0, 900.0, 0.3 * math.cos(k), 0.3 * math.sin(k)) for k in range(8)] + [(1, 8, 0, 2500000.0, 1110000.0, 0.6, 0.8, None, None, None, None), (1, 9, 0, 2500000.0, 1110000.0, 1.0, 0.0, 9.0, 1.0, 0.0, 0.0)]
+    hits = spark.createDataFrame(rows, "view_id long, px int, py int, x double, y double, dx double, dy double, distance double, elevation double, grad_e double, grad_n double")
+    pixels = hits.select("view_id", "px", "py")
+    plain = {r.px: r for r in points.inspect(hits, pixels).collect()}
+    got = {r.px: r for r in points.inspect(hits, pixels, 2056).collect()}
+    assert got.keys() == plain.keys() == set(range(8)) | {9} and got[9].aspect_deg is None
+    for k in range(8):
+        at = spark.range(1).select(from_crs(F.lit(rows[k][3] + 30.0), F.lit(rows[k][4] + 40.0), 2056).alias("p")).first().p
+        assert (got[k].lat, got[k].lon) == pytest.approx((at.lat, at.lon), abs=1e-12) and got[k].slope_deg == pytest.approx(math.degrees(math.atan(0.3)))
+        # west of the system's meridian its north lies west of true north by the same angle everywhere here
+        turn = (got[k].aspect_deg - plain[k].aspect_deg + 180) % 360 - 180
+        assert 0.5 < abs(turn) < 1.5 and turn * ((got[0].aspect_deg - plain[0].aspect_deg + 180) % 360 - 180) > 0
+
+
+def test_tiles_in_wide_circles(spark):
+    """Circles over many blocks of tiles, few of which are there: the rows of a plain search, and few keys on the way."""
+    draw = random.Random(9)
+    keys = {(draw.randrange(-300, 300), draw.randrange(-300, 300)) for _ in range(300)} | {(r, c) for r in range(20) for c in range(20)}
+    tiles_ = spark.createDataFrame([(*k, 0) for k in keys], "trow long, tcol long, priority int")
+    seen = [(k, draw.uniform(-40000, 40000), draw.uniform(-40000, 40000)) for k in range(12)] + [(99, 85.0, -85.0)]
+    observers = spark.createDataFrame(seen, "observer_id long, x double, y double")
+    for radius in (0.0, 500.0, 30000.0):
+        got = {(r.observer_id, r.trow, r.tcol) for r in catalogue.tiles_in_range(tiles_, observers, GRID, radius, 10**6).collect()}
+        want = set()
+        for o, x, y in seen:
+            for r, c in keys:
+                dx, dy = max(c * 160 - x, x - c * 160 - 160, 0), max(-(r + 1) * 160 - y, y + r * 160, 0)
+                if math.hypot(dx, dy) <= radius or (math.floor(-y / 160), math.floor(x / 160)) == (r, c):
+                    want.add((o, r, c))
+        assert got == want
+    here = observers.withColumns({"_r": F.floor(-F.col("y") / 160), "_c": F.floor(F.col("x") / 160)})
+    # a square of keys would have (2 * 188 + 1)^2 an observer
+    assert catalogue.in_circles(here, tiles_, GRID, 30000.0).count() < 13 * 377**2 / 4
