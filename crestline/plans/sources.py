@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import let
-from ..sources import gazetteer, rasters
+from ..sources import gazetteer, rasters, srtm
 from ..sources import tiles as store
 from ..storage import scratch_path, written
 from . import terrain, tracing
@@ -26,15 +25,29 @@ def discover_sources(spark, sf):
     return rasters.discover_sources(spark, path, f"{path}/out", suffixes=(".txt",)).select("kind").groupBy("kind").count()
 
 
+@query("s2_read_hgt", f"""WITH {MOSAIC_SQL} SELECT (46 - row // 400)::INT AS lat, (7 + col // 400)::INT AS lon, row % 400 * 3 AS row, col % 400 * 3 AS col, round(z)::DOUBLE AS value FROM m""")
+def read_hgt(spark, sf):
+    """The mosaic's vertices as SRTM grids, every third sample of a row and every third row, and back."""
+    row, col = F.col("row"), F.col("col")
+    path = scratch_path(spark, "srtm")
+    spots = terrain.mosaic(spark, sf).select((46 - F.floor(row / 400)).cast("int").alias("lat"), (7 + F.floor(col / 400)).cast("int").alias("lon"), (row % 400 * 3).alias("row"), (col % 400 * 3).alias("col"), F.round("z").alias("value"))
+    srtm.write_hgt(spots, path)
+    return srtm.read_srtm(spark, path, voids=False).select("lat", "lon", "row", "col", "value")
+
+
 @query("s3_read_asc", f"""WITH {MOSAIC_SQL} SELECT (row // 32)::BIGINT AS strip, col, (row % 32)::BIGINT AS row, floor(z * 100 + 0.37) / 100 AS value FROM m""")
 def read_asc(spark, sf):
     """The mosaic as ASCII grids of 32 rows each, and back."""
     n = terrain.side(spark, sf)
-    filled = terrain.mosaic(spark, sf).groupBy(F.floor(F.col("row") / 32).alias("strip")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("row") % 32 * n + F.col("col")).alias("k"), "z"))).alias("m"))
-    body = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda r: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda c: let(F.try_element_at("m", (r * n + c).cast("long")), lambda z: F.when(z.isNull(), "-9999").otherwise(F.format_string("%.2f", F.floor(z * 100 + 0.37) / 100)))), " "))
-    text = F.concat(F.lit(f"ncols {n}\nnrows 32\nxllcorner 2600000\nyllcorner 1200000\ncellsize 10\nNODATA_value -9999\n"), F.array_join(body, "\n"))
+    every = spark.range(n * n).select((F.col("id") % n).alias("col"), F.floor(F.col("id") / n).alias("row")).join(terrain.mosaic(spark, sf), ["col", "row"], "left")
+    value = F.when(F.col("z").isNull(), "-9999").otherwise(F.format_string("%.2f", F.floor(F.col("z") * 100 + 0.37) / 100))
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", value.alias("v")))), lambda s: s["v"]), " ")
+    lines = every.groupBy("row").agg(line.alias("line"))
+    strips = lines.groupBy(F.floor(F.col("row") / 32).alias("strip")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda s: s["line"]), "\n").alias("body"))
+    head = f"ncols {n}\nnrows 32\nxllcorner 2600000\nyllcorner 1200000\ncellsize 10\nNODATA_value -9999\n"
+    filled = strips.filter(F.col("body").rlike("[.]")).withColumn("text", F.concat(F.lit(head), F.col("body")))
     path = scratch_path(spark, "asc")
-    filled.select(text.alias("value"), "strip").repartition("strip").write.partitionBy("strip").text(path)
+    filled.select(F.col("text").alias("value"), "strip").repartition("strip").write.partitionBy("strip").text(path)
     found = rasters.read_asc(spark, path, "*.txt")
     return found.filter("value <> no_data").select(F.col("strip").cast("long").alias("strip"), "col", "row", "value")
 

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SUFFIXES = (".tif", ".tiff", ".hgt", ".asc")
@@ -80,22 +80,92 @@ def read_hgt(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).filter(F.lower("path").endswith(".hgt")).select("path", "content").mapInArrow(decode, "source string, lat int, lon int, col long, row long, value double, mask int")
 
 
+NUMBER = r"([-+0-9.eE]+)"
+HEADER = r"^\s*[A-Za-z_]+\s+" + NUMBER + r"\s*$"
+#: Names of a grid's header and what they are here; fixed values of the format.
+HEADS = {"ncols": "ncols", "xll(?:corner|center)": "x0", "yll(?:corner|center)": "y0", "cellsize": "cell", "nodata_value": "no_data"}
+
+
+def _heads(line: str) -> list[Column]:
+    """Of a file's lines: what its header says."""
+    def head(key: str) -> Column:
+        return F.max(F.nullif(F.regexp_extract(line, r"(?i)^\s*" + key + r"\s+" + NUMBER, 1), F.lit("")).try_cast("double"))
+
+    return [head(key).alias(name) for key, name in HEADS.items()]
+
+
 def read_asc(spark: SparkSession, path: str, glob: str = "*.asc") -> DataFrame:
     """S3: samples of Arc/Info ASCII grids, with their header: source, x0, y0, cell, no_data, col, row, value.
 
-    Columns of a partitioned folder are kept.
+    Files are read line by line and split by Spark, so a grid may have any size. A sample's place is its
+    number among the file's values, wherever lines break: values are counted by split, splits are
+    numbered on, and a line's own are counted within its split. Columns of a partitioned folder are kept.
     """
-    text = spark.read.text(path, wholetext=True, pathGlobFilter=glob).withColumnRenamed("value", "text").withColumn("source", F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1))
-    extra = [c for c in text.columns if c not in ("source", "text")]
-    number = r"([-+0-9.eE]+)"
-
-    def head(key: str) -> Column:
-        return F.nullif(F.regexp_extract("text", r"(?im)^\s*" + key + r"\s+" + number, 1), F.lit("")).try_cast("double")
+    lines = spark.read.text(path, pathGlobFilter=glob)
+    extra = [c for c in lines.columns if c != "value"]
+    lines = lines.select(*extra, F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    is_head = F.col("line").rlike(HEADER) & F.col("line").rlike(r"^\s*[A-Za-z]")
+    heads = lines.filter(is_head).groupBy("file").agg(*_heads("line"))
+    own = F.filter(F.split(F.btrim("line", F.lit(" \t\r\n")), r"\s+"), lambda v: v != "")
+    rows = lines.filter(~is_head).select(*extra, "file", "block", "at", own.alias("values"))
+    counts = rows.groupBy("file", "block").agg(F.sum(F.size("values")).alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    begins = counts.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin")).join(heads, "file")
+    inside = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("_before", F.coalesce(F.sum(F.size("values")).over(inside), F.lit(0))).join(begins, ["file", "block"])
+    every = placed.select("*", F.posexplode("values").alias("i", "v"))
+    return _sampled(every, extra, F.regexp_extract("file", r"([^/]+)$", 1), F.col("begin") + F.col("_before") + F.col("i"))
+
+
+def _sampled(every: DataFrame, extra: list[str], source: Column, place: Column) -> DataFrame:
+    return every.select(source.alias("source"), *extra, "x0", "y0", "cell", "no_data", (place % F.col("ncols")).cast("long").alias("col"),
+                        F.floor(place / F.col("ncols")).alias("row"), F.col("v").cast("double").alias("value"))
+
+
+def read_zipped_asc(spark: SparkSession, path: str) -> DataFrame:
+    """S3 for the ASCII grids inside zip archives: source, member and read_asc()'s columns.
+
+    An archive is unpacked by one task, a line at a time; a member is never held whole.
+    """
+    number = re.compile(HEADER)
 
-    parsed = text.select("source", *extra, head("ncols").cast("int").alias("ncols"), head("xll(?:corner|center)").alias("x0"), head("yll(?:corner|center)").alias("y0"), head("cellsize").alias("cell"),
-                         head("nodata_value").alias("no_data"), F.split(F.btrim(F.regexp_replace("text", r"(?im)^\s*[a-z_]+\s+" + number + r"\s*$", ""), F.lit(" \t\r\n")), r"\s+").alias("values"))
-    return parsed.select("source", *extra, "ncols", "x0", "y0", "cell", "no_data", F.posexplode("values").alias("i", "v")).select(
-        "source", *extra, "x0", "y0", "cell", "no_data", (F.col("i") % F.col("ncols")).cast("long").alias("col"), F.floor(F.col("i") / F.col("ncols")).alias("row"), F.col("v").cast("double").alias("value"))
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                with zipfile.ZipFile(pa.BufferReader(content.as_buffer())) as z:
+                    for member in z.namelist():
+                        if member.lower().endswith(".asc"):
+                            yield from of_member(p.rsplit("/", 1)[-1], member, z)
+
+    def of_member(source: str, member: str, z: zipfile.ZipFile) -> Iterator[pa.RecordBatch]:
+        head: dict[str, float] = {}
+        begin, held = 0, []
+
+        def out() -> pa.RecordBatch:
+            n = len(held)
+            columns = [pa.array([source] * n), pa.array([member] * n), *[pa.array([head.get(c)] * n, pa.float64()) for c in HEADS.values()],
+                       pa.array([b for b, _ in held], pa.int64()), pa.array([v for _, v in held], pa.list_(pa.string()))]
+            return pa.RecordBatch.from_arrays(columns, names=["source", "member", *HEADS.values(), "begin", "values"])
+
+        with z.open(member) as f:
+            for line in io.TextIOWrapper(f, "utf-8", errors="replace"):
+                if number.match(line):
+                    for key, name in HEADS.items():
+                        if m := re.match(r"\s*" + key + r"\s+" + NUMBER, line, re.IGNORECASE):
+                            head[name] = float(m[1])
+                elif values := line.split():
+                    held.append((begin, values))
+                    begin += len(values)
+                if len(held) >= 256:
+                    yield out()
+                    held.clear()
+        if held:
+            yield out()
+
+    zips = _files(spark, path).filter(F.lower("path").endswith(".zip")).select("path", "content")
+    kinds = "source string, member string, " + ", ".join(f"{c} double" for c in HEADS.values()) + ", begin long, values array<string>"
+    every = zips.mapInArrow(lines, kinds).select("*", F.posexplode("values").alias("i", "v"))
+    return _sampled(every, ["member"], F.col("source"), F.col("begin") + F.col("i"))
 
 
 def epsg_from_gml(text: Column) -> Column:

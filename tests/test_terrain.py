@@ -824,3 +824,96 @@ def test_tiles_in_wide_circles(spark):
     here = observers.withColumns({"_r": F.floor(-F.col("y") / 160), "_c": F.floor(F.col("x") / 160)})
     # a square of keys would have (2 * 188 + 1)^2 an observer
     assert catalogue.in_circles(here, tiles_, GRID, 30000.0).count() < 13 * 377**2 / 4
+
+
+def test_ascii_grids_by_splits_and_in_archives(spark, tmp_path):
+    """A grid cut into many splits, lines broken anywhere, CRLF, no final newline; members of archives; each sample at its place."""
+    import zipfile
+
+    draw = random.Random(2)
+    want = {}
+    for name, cols, rows, sep in (("a.asc", 37, 90, "\n"), ("b.asc", 5, 400, "\r\n"), ("c.asc", 1, 3, "\n")):
+        values = [round(draw.uniform(-50, 4000), 2) for _ in range(cols * rows)]
+        want[name] = {(k // cols, k % cols): v for k, v in enumerate(values)}
+        text, k = f"NCOLS {cols}{sep}nrows {rows}{sep} xllcenter 10.5{sep}yllcorner -20{sep}CellSize 2e1{sep}NODATA_value -9999{sep}", 0
+        while k < len(values):  # lines of any length, not the raster's rows
+            n = draw.randrange(1, 60)
+            text += " " * draw.randrange(2) + " ".join(map(str, values[k : k + n])) + (sep if k + n < len(values) else "")
+            k += n
+        (tmp_path / name).write_text(text, newline="")
+    with zipfile.ZipFile(tmp_path / "z.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for name in want:
+            z.write(tmp_path / name, f"in/{name.upper()}")
+    (tmp_path / "e.asc").write_text("ncols 2\nnrows 0\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = rasters.read_asc(spark, str(tmp_path))
+        assert got.rdd.getNumPartitions() >= 1 and spark.read.text(str(tmp_path), pathGlobFilter="a.asc").rdd.getNumPartitions() > 3
+        found = {}
+        for r in got.collect():
+            found.setdefault(r.source, {})[r.row, r.col] = r.value
+            assert (r.x0, r.y0, r.cell, r.no_data) == (10.5, -20.0, 20.0, -9999.0)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert found == want
+    zipped = {}
+    for r in rasters.read_zipped_asc(spark, str(tmp_path)).collect():
+        zipped.setdefault(r.member, {})[r.row, r.col] = r.value
+        assert (r.source, r.x0, r.cell) == ("z.zip", 10.5, 20.0)
+    assert zipped == {f"in/{k.upper()}": v for k, v in want.items()}
+
+
+def test_srtm_source_writes_and_reads(spark, tmp_path):
+    from crestline.sources import srtm
+
+    rows = [(46, 7, 0, 0, 100.4), (46, 7, 1200, 1200, -430.0), (46, 7, 5, 9, None), (-1, -10, 3, 4, 32767.0)]
+    samples = spark.createDataFrame(rows, "lat int, lon int, col long, row long, value double")
+    srtm.write_hgt(samples, f"file://{tmp_path}/out")
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["N46E007.hgt", "S01W010.hgt"]
+    got = {(r.lat, r.lon, r.col, r.row): r.value for r in srtm.read_srtm(spark, f"{tmp_path}/out", voids=False).collect()}
+    assert got == {(46, 7, 0, 0): 100.0, (46, 7, 1200, 1200): -430.0, (-1, -10, 3, 4): 32767.0}
+    whole = srtm.read_srtm(spark, f"{tmp_path}/out")
+    assert whole.rdd.getNumPartitions() == 2 and whole.count() == 2 * 1201**2
+    # the reader that goes through Spark's own file readers sees the same
+    other = rasters.read_hgt(spark, f"{tmp_path}/out").filter("mask = 1")
+    assert {(r.lat, r.lon, r.col, r.row): r.value for r in other.collect()} == got
+    for bad in ([(46, 7, 1201, 0, 1.0)], [(46, 7, 0, 0, 1e6)]):
+        with pytest.raises(Exception, match="can't hold"):
+            srtm.write_hgt(spark.createDataFrame(bad, samples.schema), f"{tmp_path}/bad")
+    assert not any(p.suffix == ".hgt" for p in (tmp_path / "bad").iterdir()) if (tmp_path / "bad").exists() else True
+
+
+def test_footprints_and_patches(spark):
+    """Corners by the projection; patches tile the tile, are within the residual at every node of a fine net, and are as large as that allows."""
+    from crestline.functions.columns import let
+    from crestline.functions.geodesy import from_crs, to_crs
+
+    grid = tiles.Grid(2500000.0, 1120000.0, 250.0, 64)
+    keys = spark.createDataFrame([(0, 0), (3, 2)], "trow long, tcol long")
+    for r in catalogue.coverage_footprints(keys, grid, lambda x, y: from_crs(x, y, 2056)).collect():
+        for c, (i, j) in zip(r.corners, ((0, 0), (1, 0), (1, 1), (0, 1)), strict=True):
+            x, y = 2500000.0 + (r.tcol + i) * 16000, 1120000.0 - (r.trow + 1 - j) * 16000
+            p = spark.range(1).select(from_crs(F.lit(x), F.lit(y), 2056).alias("p")).first().p
+            assert (c.lat, c.lon) == pytest.approx((p.lat, p.lon), abs=1e-12)
+
+    def place_of(trow, tcol):
+        return lambda col, row: let(from_crs(grid.origin_x + tcol * grid.width + col * grid.cell, grid.origin_y - (trow + 1) * grid.width + row * grid.cell, 2056), lambda p: to_crs(p["lon"], p["lat"], 2154))
+
+    patches = catalogue.tile_patches(keys, grid.cells, place_of, 0.25)
+    mapped = store.written(patches.withColumn("m", catalogue.patch_map(F.col("col0"), F.col("row0"), F.col("size"), place_of(F.col("trow"), F.col("tcol")))), "patches")
+    area = {(r.trow, r.tcol): r.a for r in mapped.groupBy("trow", "tcol").agg(F.sum(F.col("size") ** 2).alias("a")).collect()}
+    assert area == {(0, 0): 64.0**2, (3, 2): 64.0**2}
+    net = mapped.withColumn("i", F.explode(F.array(*[F.lit(k / 4) for k in range(5)]))).withColumn("j", F.explode(F.array(*[F.lit(k / 4) for k in range(5)])))
+    col, row = F.col("col0") + F.col("i") * F.col("size"), F.col("row0") + F.col("j") * F.col("size")
+    true = place_of(F.col("trow"), F.col("tcol"))(col, row)
+    off = net.select(true.alias("p"), (F.col("m.x0") + col * F.col("m.ax") + row * F.col("m.bx")).alias("x"), (F.col("m.y0") + col * F.col("m.ay") + row * F.col("m.by")).alias("y"))
+    assert off.agg(F.max(F.hypot(F.col("p.x") - F.col("x"), F.col("p.y") - F.col("y")))).first()[0] < 0.26
+    sizes = {r.size for r in mapped.select("size").distinct().collect()}
+    assert max(sizes) > 1
+    # one a quarter as large would do for none: the patch above each was too coarse
+    parent = mapped.filter("size < 64").select("trow", "tcol", *[(F.floor(F.col(c) / (2 * F.col("size"))) * 2 * F.col("size")).alias(c) for c in ("col0", "row0")], (2 * F.col("size")).alias("size"))
+    worst = parent.withColumn("r", catalogue.patch_residual(F.col("col0"), F.col("row0"), F.col("size"), place_of(F.col("trow"), F.col("tcol")))).agg(F.min("r")).first()[0]
+    assert worst is None or worst > 0.25
