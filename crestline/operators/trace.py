@@ -329,7 +329,7 @@ def in_sight(met: DataFrame, grid: Grid) -> DataFrame:
 
     met: pieces of paths on ground that do not overlap. A piece without corners (z00 is
     NULL) has ground that all rays fly over. Adds gaps: 0 as long as the ground is
-    continuous from the observer on. floor, where there is one: rays below it are not asked for.
+    continuous from the observer on, and step, the piece's number along its path. floor, where there is one: rays below it are not asked for.
     """
     # what each cell hides (the ground at its exit) and at most shows (its highest corner)
     exit_x, exit_y = local(F.col("t1"), grid)
@@ -340,7 +340,7 @@ def in_sight(met: DataFrame, grid: Grid) -> DataFrame:
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     # the ground hides only as long as it is continuous from the observer on
     gap = (F.col("t0") - F.coalesce(F.max("t1").over(before), F.lit(0.0)) > 1e-6).cast("int")
-    met = met.withColumn("_gap", gap).withColumn("gaps", F.sum("_gap").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    met = met.withColumns({"_gap": gap, "step": F.row_number().over(along)}).withColumn("gaps", F.sum("_gap").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     hidden = F.coalesce(F.max("hides").over(before), F.lit(float("-inf")))
     floor = F.col("floor") if "floor" in met.columns else F.lit(float("-inf"))
     met = met.withColumn("hidden", F.greatest(F.when(F.col("gaps") == 0, hidden).otherwise(float("-inf")), floor))
@@ -363,10 +363,11 @@ def rays_of(views: DataFrame) -> DataFrame:
 
 
 def best_hits(solved: DataFrame, grid: Grid, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(RAY, h, n_cells): the nearest of each ray's cells' hits t, NULL if there is none; what gets here is a few cells a ray."""
+    """(RAY, h, n_cells, n_steps): the nearest of each ray's cells' hits t, NULL if there is none; what gets here is a few cells a ray."""
     sx, sy = local(F.col("t"), grid)
     hit = F.struct("t", "trow", "tcol", "cy", "cx", sx.alias("sx"), sy.alias("sy"), *keep)
-    return solved.groupBy(*RAY).agg(F.min_by(F.when(F.col("t").isNotNull(), hit), "t").alias("h"), F.count(F.lit(1)).alias("n_cells"))
+    return solved.groupBy(*RAY).agg(F.min_by(F.when(F.col("t").isNotNull(), hit), "t").alias("h"), F.count(F.lit(1)).alias("n_cells"),
+                                    F.coalesce(F.min_by(F.when(F.col("t").isNotNull(), F.col("step")), "t"), F.max("step")).cast("long").alias("n_steps"))
 
 
 def with_hits(views: DataFrame, found: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -374,7 +375,7 @@ def with_hits(views: DataFrame, found: DataFrame, keep: tuple[str, ...] = ()) ->
     z = F.col("z") + F.col("slope") * F.col("h.t") + CURVATURE * F.col("h.t") * F.col("h.t")
     return rays_of(views).join(found, RAY, "left").select(
         *RAY, "x", "y", "z", "dx", "dy", "slope", F.col("h.t").alias("distance"), z.alias("elevation"), "h.trow", "h.tcol", "h.cy", "h.cx", "h.sx", "h.sy",
-        F.coalesce("n_cells", F.lit(0)).alias("n_cells"), *[f"h.{c}" for c in keep])
+        F.coalesce("n_cells", F.lit(0)).alias("n_cells"), F.coalesce("n_steps", F.lit(0)).alias("n_steps"), *[f"h.{c}" for c in keep])
 
 
 def nearest(views: DataFrame, solved: DataFrame, grid: Grid, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -387,7 +388,8 @@ def trace(views: DataFrame, cells: DataFrame, manifest: DataFrame, grid: Grid, s
     views: view_id, x, y, z, width, height, az0, az1, el0, el1, tmax. cells: trow, tcol,
     y, x, z00..z11, zmax; stored ones are read by need. manifest: trow, tcol, zmax; with
     tile_index()'s blocks paths are cut at those first. Returns view_id, px, py, dx, dy,
-    slope, distance, elevation, trow, tcol, cy, cx, sx, sy, n_cells (cells tested).
+    slope, distance, elevation, trow, tcol, cy, cx, sx, sy, n_cells (cells tested) and n_steps
+    (pieces of the path up to the hit, or to the last one tested).
 
     bands: shares of the range to trace first. A column goes on from there with the lowest
     of its rays that has no hit yet, so what that ray flies over is neither cut nor read;
@@ -410,7 +412,7 @@ def trace(views: DataFrame, cells: DataFrame, manifest: DataFrame, grid: Grid, s
             lows = open_rays.groupBy("view_id", "px").agg(F.min("slope").alias("low_slope")).withColumn("floor", F.col("low_slope"))
             paths, begin = paths_of(views).drop("low_slope").join(written(lows, "open-columns"), ["view_id", "px"]), share
     if bands:  # a ray has a row for each band in which cells were tested
-        found = found.groupBy(*RAY).agg(F.min_by("h", F.col("h.t")).alias("h"), F.sum("n_cells").alias("n_cells"))
+        found = found.groupBy(*RAY).agg(F.min_by("h", F.col("h.t")).alias("h"), F.sum("n_cells").alias("n_cells"), F.sum("n_steps").alias("n_steps"))
     return with_hits(views, found)
 
 

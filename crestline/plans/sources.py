@@ -115,10 +115,15 @@ def overwrite_tiles(spark, sf):
     return fine.select("trow", "tcol", "n_vertices", r3(F.col("lo")).alias("zmin"), r3(F.col("hi")).alias("zmax"))
 
 
-@query("s9_write_products", f"WITH {tracing.GRAD_SQL} SELECT view_id, count(*) AS n_hits, {r3_sql('min(distance)')} AS nearest FROM gg GROUP BY 1")
+@query("s9_write_products", f"WITH {tracing.GRAD_SQL} SELECT view_id, count(*) AS n_hits, {r3_sql('min(distance)')} AS nearest, {r3_sql('max(elevation)')} AS highest FROM gg GROUP BY 1")
 def write_products(spark, sf):
+    """All products of the traced views but images, and back: one row a view from five tables."""
     hits, _, _ = tracing.hits_with_gradients(spark, sf)
     path = scratch_path(spark, "products")
-    store.write_products(hits, path, ["distances", "normals"])
-    back = spark.read.parquet(f"{path}/distances").join(spark.read.parquet(f"{path}/normals"), ["view_id", "px", "py"])
-    return back.groupBy("view_id").agg(F.count(F.lit(1)).alias("n_hits"), r3(F.min("distance")).alias("nearest"))
+    chosen = list(store.DIAGNOSTICS)
+    store.write_products(hits, path, chosen)
+    back = spark.read.parquet(f"{path}/{chosen[0]}")
+    for p in chosen[1:]:
+        back = back.join(spark.read.parquet(f"{path}/{p}"), ["view_id", "px", "py"])
+    return back.filter("n_steps >= 1 and n_cells >= 1 and grad_e is not null").groupBy("view_id").agg(
+        F.count(F.lit(1)).alias("n_hits"), r3(F.min("distance")).alias("nearest"), r3(F.max("elevation")).alias("highest"))

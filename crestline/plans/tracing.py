@@ -336,7 +336,7 @@ def gradient_smooth(spark, sf):
 def trace_stats(spark, sf):
     cells, manifest = prepared(spark, sf)
     return trace.trace(views(spark, sf), cells, manifest, GRID).groupBy("view_id").agg(
-        F.count(F.lit(1)).alias("n_rays"), F.sum("n_cells").alias("n_cells"), F.count("distance").alias("n_hits"))
+        F.count(F.lit(1)).alias("n_rays"), F.sum("n_cells").alias("n_cells"), F.sum("n_steps").alias("n_steps"), F.count("distance").alias("n_hits"))
 
 
 AZ, EL = 3.9, 0.6

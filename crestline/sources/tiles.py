@@ -13,6 +13,7 @@ index (write_cells()).
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -148,15 +149,44 @@ def read_cells(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.schema(CELLS).parquet(f"{path}/cells"), spark.read.parquet(f"{path}/index")
 
 
-def write_products(hits: DataFrame, path: str, products: list[str]) -> None:
-    """Chosen products of hits, one table each, by view: distances, elevations, normals, cells.
+#: The columns of each product beside the pixel's.
+PRODUCTS = {"distances": ["distance"], "elevations": ["elevation"], "normals": ["grad_e", "grad_n"], "steps": ["n_steps"], "evaluations": ["n_cells"], "synthetic": ["grey"]}
+DIAGNOSTICS = ("distances", "elevations", "normals", "steps", "evaluations")
 
-    Only the columns of what is asked are read.
-    """
-    columns = {"distances": ["distance"], "elevations": ["elevation"], "normals": ["grad_e", "grad_n"], "evaluations": ["n_cells"], "synthetic": ["grey"]}
+
+def check_products(products: list[str], columns: list[str], colour: str = "white", colour_range: tuple[float, float] | None = None) -> None:
+    """S9's rules: ValueError for a choice of products that hits of those columns, or the ways to colour them, don't allow."""
+    if not products:
+        raise ValueError("no product is chosen")
     for p in products:
-        missing = set(columns[p]) - set(hits.columns)
+        if p not in PRODUCTS:
+            raise ValueError(f"{p} is no product")
+        missing = set(PRODUCTS[p]) - set(columns)
         if missing:
             raise ValueError(f"{p} needs {', '.join(sorted(missing))}")
+    if colour not in ("white", "distance", "elevation"):
+        raise ValueError(f"{colour} is no terrain colour")
+    if "synthetic" not in products and colour != "white":
+        raise ValueError("a terrain colour needs the synthetic product")
+    if "synthetic" in products:
+        if not {"grad_e", "grad_n"} <= set(columns):
+            raise ValueError("synthetic needs normals")
+        if colour == "elevation" and "elevation" not in columns:
+            raise ValueError("elevation colour needs elevations")
+    if colour_range is not None:
+        low, high = colour_range
+        if not (math.isfinite(low) and math.isfinite(high) and low < high):
+            raise ValueError("the colour range's end must lie above its begin")
+        if colour == "white" and not set(products) & set(DIAGNOSTICS):
+            raise ValueError("a colour range needs diagnostics or a coloured terrain")
+
+
+def write_products(hits: DataFrame, path: str, products: list[str], colour: str = "white", colour_range: tuple[float, float] | None = None) -> None:
+    """Chosen products of hits, one table each, sorted by view: distances, elevations, normals, steps, evaluations, synthetic.
+
+    Only the columns of what is asked are read. Views lie together, and Parquet's bounds
+    by row group find them; a folder a view would be as many files as views.
+    """
+    check_products(products, hits.columns, colour, colour_range)
     for p in products:
-        hits.select("view_id", "px", "py", *columns[p]).write.partitionBy("view_id").parquet(f"{path}/{p}")
+        hits.select("view_id", "px", "py", *PRODUCTS[p]).repartitionByRange("view_id", "py", "px").sortWithinPartitions("view_id", "py", "px").write.parquet(f"{path}/{p}")

@@ -917,3 +917,32 @@ def test_footprints_and_patches(spark):
     parent = mapped.filter("size < 64").select("trow", "tcol", *[(F.floor(F.col(c) / (2 * F.col("size"))) * 2 * F.col("size")).alias(c) for c in ("col0", "row0")], (2 * F.col("size")).alias("size"))
     worst = parent.withColumn("r", catalogue.patch_residual(F.col("col0"), F.col("row0"), F.col("size"), place_of(F.col("trow"), F.col("tcol")))).agg(F.min("r")).first()[0]
     assert worst is None or worst > 0.25
+
+
+def test_products_and_their_rules(spark):
+    hits = spark.createDataFrame([(1, 0, 0, 5.0, 900.0, 0.1, 0.2, 3, 2)], "view_id long, px int, py int, distance double, elevation double, grad_e double, grad_n double, n_steps long, n_cells long")
+    path = scratch_path(spark, "products")
+    store.write_products(hits, path, list(store.DIAGNOSTICS))
+    assert spark.read.parquet(f"{path}/steps").collect() == [(1, 0, 0, 3)] and spark.read.parquet(f"{path}/normals").columns == ["view_id", "px", "py", "grad_e", "grad_n"]
+    grey = [*hits.columns, "grey"]
+    store.check_products(["synthetic"], grey, "elevation", (0.0, 1.0))
+    no_normals, no_heights = [c for c in grey if "grad" not in c], [c for c in grey if c != "elevation"]
+    for bad in (([], grey), (["pictures"], grey), (["steps"], ["view_id"]), (["synthetic"], no_normals), (["synthetic"], no_heights, "elevation"), (["distances"], grey, "distance"), (["synthetic"], grey, "red"),
+                (["distances"], grey, "white", (2.0, 1.0)), (["distances"], grey, "white", (0.0, float("nan"))), (["synthetic"], grey, "white", (0.0, 1.0))):
+        with pytest.raises(ValueError):
+            store.check_products(*bad)
+
+
+def test_steps_of_rays(spark):
+    """On a plain every cell of a path is tested or hidden, so a ray's steps are the pieces of its path up to the hit."""
+    cells = tiles.usable_cells(flat(spark))
+    manifest = cells.groupBy("trow", "tcol").agg(F.max("zmax").alias("zmax"))
+    at = view(spark, 55.0, -85.0, 1015.0, el=(-0.05, -1.0), size=(8, 6))
+    hits = [r for r in trace.trace(at, cells, manifest, GRID).collect() if r.distance is not None]
+    pieces = trace.cell_path(trace.tile_path(trace.paths_of(at), GRID), GRID).join(cells.select("trow", "tcol", F.col("y").alias("cy"), F.col("x").alias("cx")), ["trow", "tcol", "cy", "cx"])
+    begins = {}
+    for r in pieces.select("px", "t0").collect():
+        begins.setdefault(r.px, []).append(r.t0)
+    assert len(hits) > 20
+    for r in hits:
+        assert r.n_steps in {sum(t < r.distance + d for t in begins[r.px]) for d in (-1e-6, 1e-6)} and r.n_cells >= 1
