@@ -168,7 +168,8 @@ def descended(segments: DataFrame, manifest: DataFrame, grid: Grid, slope: Colum
     """Tile segments cut at block and cell lines, without what their ray flies over; over: pieces above ground without a void, left whole."""
     found = indexed(segments, manifest)
     sizes = [s for s in block_sizes(grid) if f"b{s}" in manifest.columns]
-    cut = found.withColumn("_p", F.explode(descent(grid, slope, sizes, voids, to_cells)))
+    # outer, or the optimizer asks the long expression once more whether it is empty
+    cut = found.withColumn("_p", F.explode_outer(descent(grid, slope, sizes, voids, to_cells))).filter("_p is not null")
     keep = [c for c in segments.columns if c not in ("t0", "t1")]
     return cut.select(*keep, F.col("_p.a").alias("t0"), F.col("_p.b").alias("t1"), (F.col("_p.what") == OVER).alias("over"))
 
