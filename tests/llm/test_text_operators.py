@@ -66,6 +66,54 @@ def test_line_dedup_is_the_same_for_any_batches(spark, batches, fanout):
     assert {r.doc_id: r.text for r in got.collect()} == plain_dedup(docs, 10)
 
 
+def test_runs_are_merged_in_their_order(spark):
+    """Neither a batch's anti-join nor a compaction sorts or shuffles a run."""
+    runs = line_dedup.SortedRuns(spark, 4, 3)
+
+    def hashes(start, stop):
+        rows = spark.range(start, stop).repartition(3).select(F.xxhash64("id").alias("h1"), F.col("id").alias("h2"), "id")
+        return rows.groupBy("h1", "h2").agg(F.min("id").alias("owner"))
+
+    try:
+        with runs.settings():
+            runs.add(hashes(0, 1000))
+            runs.add(hashes(500, 1500))
+            assert sorted(r.h2 for r in runs.all().collect()) == list(range(1500))
+            batch = hashes(900, 3000)
+            plan = runs.unseen(batch)._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("SortMergeJoin") == 2 and plan.count("Sort [") == 1 and plan.count("Exchange hashpartitioning") == 1
+            both = runs.merged(*runs.levels[0])
+            plan = both._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("SortMergeJoin") == 1 and "Sort [" not in plan and "Exchange" not in plan
+            assert sorted(r.owner for r in both.collect()) == list(range(1500))
+            runs.add(batch)
+            assert [len(x) for x in runs.levels] == [0, 1] and sorted(r.h2 for r in runs.all().collect()) == list(range(3000))
+            files = [f.rsplit("/", 1)[1] for f in runs.all().inputFiles()]
+            assert len(files) == 4  # one a bucket
+    finally:
+        runs.forget()
+
+
+def test_line_dedup_goes_on_with_kept_runs(spark, tmp_path):
+    rng = random.Random(7)
+    lines = [f"line number {n} of the pool" for n in range(60)] + ["Line number 3 of the POOL", "tiny"]
+    docs = [(n, "\n".join(rng.choice(lines) for _ in range(rng.randrange(6)))) for n in range(150)]
+    want, folder = plain_dedup(docs, 10), f"{tmp_path}/it's runs"
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for part in (docs[:60], docs[60:100], docs[100:], docs[60:100]):  # the last again
+        got = line_dedup.with_lines_dropped(spark.createDataFrame(part, "doc_id long, text string"), batches=2, folder=folder)
+        assert {r.doc_id: r.text for r in got.collect()} == {k: want[k] for k, _ in part}
+    # other tables lie in other folders; another number of partitions goes on with the buckets there are
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        got = line_dedup.with_lines_dropped(spark.createDataFrame([(900, "line number 5 of the pool\nquite a new line")], "doc_id long, text string"), folder=folder)
+        assert got.first().text == ("quite a new line" if any("number 5 " in t for _, t in docs) else "line number 5 of the pool\nquite a new line")
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "3"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert line_dedup.with_lines_dropped(spark.createDataFrame(docs[:0], "doc_id long, text string"), folder=folder).count() == 0
+
+
 def test_line_dedup_odd_table(spark):
     rows = line_dedup.with_lines_dropped(odd_docs(spark), counts=True).collect()
     assert len(rows) == len(ODD) + 2 and "kept" in rows[0]
