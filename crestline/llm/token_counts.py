@@ -7,6 +7,10 @@ walk down finds the touched leaves, the text from a little before them is cut in
 pre-tokens again until a cut falls together with an old one that the edit did not
 touch, only those pre-tokens are encoded, and the sums above them are updated.
 
+Trees can be kept: build_trees() makes a table with a row per document, edit_trees()
+applies edits to such a table and gives the next one, and cuts and encodes nothing but
+what edits touch. The special token's text counts as that token, as in packing.
+
 A document's edits are applied in order; documents are independent of each other.
 """
 
@@ -19,10 +23,16 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from .packing import PRE_TOKENS, byte_bpe
+from .common import id_and_text, table
+from .packing import END_OF_TEXT, PRE_TOKENS, byte_bpe
 
 SPLIT = regex.compile(PRE_TOKENS)
+STOP = regex.escape(END_OF_TEXT)
+#: The same, for texts that hold the special token: it is cut out first, and what is before it ends there.
+SPLIT_SPECIAL = regex.compile(
+    STOP + "|" + PRE_TOKENS.replace(r"[^\s\p{L}\p{N}]+", rf"(?:(?!{STOP})[^\s\p{{L}}\p{{N}}])+").replace(r"(?!\S)", rf"(?!(?!{STOP})\S)"))
+#: A cut depends on so many characters behind it at most.
+LOOK = len(END_OF_TEXT)
 MAX_WORDS = 200_000
 
 
@@ -36,7 +46,7 @@ class Counts(dict):
     def __missing__(self, piece: str) -> int:
         if len(self) > MAX_WORDS:
             self.clear()
-        n = self[piece] = len(self.encode(piece))
+        n = self[piece] = 1 if piece == END_OF_TEXT else len(self.encode(piece))
         return n
 
 
@@ -51,17 +61,39 @@ class SegmentTree:
     def __init__(self, text: str, counts: Counts, width: int = 16):
         self.counts, self.width = counts, width
         self.encoded = 0  # pre-tokens that edits have had encoded again
-        self.lay_out(SPLIT.findall(text))
+        self.lay_out((SPLIT_SPECIAL if END_OF_TEXT in text else SPLIT).findall(text))
+
+    @classmethod
+    def kept(cls, text: str, cuts: list[list[int]], tokens: list[int], counts: Counts, width: int = 16) -> SegmentTree:
+        """The tree whose leaves have pre-tokens of those lengths and so many tokens: nothing is cut or encoded."""
+        tree, at = cls.__new__(cls), 0
+        tree.counts, tree.width, tree.encoded, tree.leaves = counts, width, 0, []
+        for lengths in cuts:
+            row = []
+            for n in lengths:
+                row.append(text[at : at + n])
+                at += n
+            tree.leaves.append(row)
+        tree.sum_up(tokens)
+        return tree
 
     def lay_out(self, pieces: list[str]) -> None:
         w = self.width
         self.leaves = [pieces[i : i + w] for i in range(0, len(pieces), w)] or [[]]
+        self.sum_up(None)
+
+    def sum_up(self, tokens: list[int] | None) -> None:
+        """All sums from the leaves; tokens of each leaf, if they are known."""
         self.size = 1
         while self.size < len(self.leaves):
             self.size *= 2
         self.chars, self.tokens, self.pieces = ([0] * (2 * self.size) for _ in range(3))
-        for k in range(len(self.leaves)):
-            self.measure(k)
+        for k, row in enumerate(self.leaves):
+            if tokens is None:
+                self.measure(k)
+            else:
+                i = self.size + k
+                self.chars[i], self.tokens[i], self.pieces[i] = sum(map(len, row)), tokens[k], len(row)
         for i in range(self.size - 1, 0, -1):
             self.total(i)
 
@@ -99,9 +131,10 @@ class SegmentTree:
         length = self.chars[1]
         start = min(max(start, 0), length)
         stop = min(max(stop, start), length)
-        # context before: a cut may depend on the pre-token before it (white space looks one character ahead)
-        first, before = self.leaf_at(max(start - 1, 0))
-        if first and before >= start - 1:
+        # context before: a cut may depend on what follows it (white space looks one character ahead, the special token's text is longer)
+        near = start - LOOK
+        first, before = self.leaf_at(max(near - 1, 0))
+        if first and before >= near - 1:
             first -= 1
             while first and not self.leaves[first]:
                 first -= 1
@@ -114,7 +147,7 @@ class SegmentTree:
             have += self.chars[self.size + last]
         # whole pre-tokens ahead of the touched ones stay
         keep, at = 0, before
-        while keep < len(row) and at + len(row[keep]) < start:
+        while keep < len(row) and at + len(row[keep]) < near:
             at += len(row[keep])
             keep += 1
         if keep:
@@ -123,17 +156,20 @@ class SegmentTree:
         old = "".join(row[keep:])
         while True:
             fresh = old[: start - at] + new + old[stop - at :]
-            # one more leaf tells whether the last cut holds with what follows
-            after = next((k for k in range(last + 1, len(self.leaves)) if self.leaves[k]), None)
-            tail = self.leaves[after] if after is not None else []
+            # a little more tells whether the last cut holds with what follows
+            after, tail, far = last, [], 0
+            while far <= LOOK and after + 1 < len(self.leaves):
+                after += 1
+                tail += self.leaves[after]
+                far += self.chars[self.size + after]
             settled = len(fresh) - (at + len(old) - stop)  # where the edit ends
             cuts = self.cut(fresh, "".join(tail), settled, row[keep:], stop - at)
-            if cuts is not None or after is None:
+            if cuts is not None or not tail:
                 break
             row += tail
             old += "".join(tail)
             last = after
-        again, rest = cuts if cuts is not None else (SPLIT.findall(fresh), [])
+        again, rest = cuts if cuts is not None else (SPLIT_SPECIAL.findall(fresh), [])
         self.encoded += len(again)
         self.put(first, max(last, first), row[:keep] + again + rest)
 
@@ -149,7 +185,7 @@ class SegmentTree:
             place += len(piece)
         found: list[str] = []
         end = 0
-        for m in SPLIT.finditer(fresh + ahead):
+        for m in SPLIT_SPECIAL.finditer(fresh + ahead):
             # at a common cut with a letter or digit behind the edit on its left, both go on alike
             if m.start() > settled and m.start() in moved:
                 return found, old[moved[m.start()] :]
@@ -214,6 +250,61 @@ def count_edited(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_
     return own.mapInArrow(run, schema)
 
 
+TREES = "doc_id long, text string, cuts array<array<int>>, tokens array<int>, n_tokens long"
+
+
+def _trees(rows: DataFrame, schema: str, step: Callable[[dict, Counts], tuple[SegmentTree, tuple]], ranks_path: str) -> DataFrame:
+    """A row of TREES for each row, and what step returns besides the tree."""
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts(byte_bpe(ranks_path)._encode_single_piece)
+        types = [pa.int64(), pa.string(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.int32())] + [pa.int64()] * (len(names) - 4)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                made = []
+                for row in batch.slice(at, 64).to_pylist():
+                    tree, more = step(row, counts)
+                    made.append((row["doc_id"], tree.text(), [list(map(len, leaf)) for leaf in tree.leaves],
+                                 tree.tokens[tree.size : tree.size + len(tree.leaves)], tree.n_tokens, *more))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)], names=names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def build_trees(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The segment tree of each document as a row (doc_id, text, cuts, tokens, n_tokens), to be stored.
+
+    cuts has the lengths of each leaf's pre-tokens, tokens each leaf's tokens; the sums
+    above are made from those. Null texts count as empty; null and repeated ids are
+    carried along; other columns are ignored; an empty table gives an empty table.
+    """
+    return _trees(id_and_text(docs, id_col, text_col), TREES, lambda row, counts: (SegmentTree(row["text"], counts), ()), ranks_path)
+
+
+def edit_trees(trees: DataFrame, edits: DataFrame, ranks_path: str) -> DataFrame:
+    """The table of trees after edits, with n_reencoded: the pre-tokens that were cut and encoded again.
+
+    trees comes from build_trees() or from this; edits is (doc_id, edits), edits being an
+    array of (start, stop, new) as in count_edited(). A document without edits stays as
+    it is, edits of an unknown or null doc_id go. An id with several rows of edits has
+    them in order of their first edit's place; rows that repeat an id are all edited alike.
+    """
+    asked = edits.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("edits").cast("array<struct<start: int, stop: int, new: string>>").alias("edits"))
+    asked = asked.dropna().groupBy("doc_id").agg(F.flatten(F.array_sort(F.collect_list("edits"))).alias("edits"))
+    names = [f.split()[0] for f in TREES.replace("array<array", "array").split(", ")]
+
+    def step(row: dict, counts: Counts) -> tuple[SegmentTree, tuple]:
+        tree = SegmentTree.kept(row["text"], row["cuts"], row["tokens"], counts)
+        for e in row["edits"]:
+            tree.edit(e["start"] or 0, e["stop"] or 0, e["new"] or "")
+        return tree, (tree.encoded,)
+
+    own = trees.select(*names).join(asked, "doc_id", "left")
+    changed = _trees(own.filter("edits is not null"), f"{TREES}, n_reencoded long", step, ranks_path)
+    return changed.unionByName(own.filter("edits is null").select(*names, F.lit(0).cast("long").alias("n_reencoded")))
+
+
 def derived_edits() -> F.Column:
     """Edits made from a text itself: one for every 4,000 characters and one more.
 

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from crestline.llm import license_scan, line_dedup, quality_classifier, quality_rules, token_counts
 from crestline.llm.lattice_lm import Lattice, op4_lattice_lm, score, vocabulary
-from crestline.llm.packing import byte_bpe
+from crestline.llm.common import written
+from crestline.llm.packing import byte_bpe, encoded
 from crestline.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -460,6 +461,46 @@ def test_edits_count_as_a_fresh_count():
             assert tree.text() == text and tree.n_tokens == len(enc.encode_ordinary(text)) and tree.n_pieces == len(token_counts.SPLIT.findall(text))
 
 
+def test_the_special_token_is_one_token():
+    """As packing counts it, also where an edit makes, breaks or meets it."""
+    enc = byte_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    counts = token_counts.Counts(enc._encode_single_piece)
+    rng = random.Random(5)
+    parts = ["<|endoftext|>", "<|endoftext|>", "<|", "endoftext", "|>", "<", "<|endof", "text|>", "x", " ", "\n ", "!", "  ", "some "]
+    for _ in range(1500):
+        text = "".join(rng.choice(parts) for _ in range(rng.choice([0, 2, 8, 60])))
+        tree = token_counts.SegmentTree(text, counts, rng.choice([1, 2, 16]))
+        assert tree.n_tokens == len(encoded(text, enc))
+        for _ in range(rng.randrange(1, 6)):
+            a = rng.randrange(0, len(text) + 1)
+            b = min(a + rng.choice([0, 1, 1, 3, 13]), len(text))
+            new = "".join(rng.choice(parts) for _ in range(rng.choice([0, 1, 2])))
+            tree.edit(a, b, new)
+            text = text[:a] + new + text[b:]
+            assert tree.text() == text and tree.n_tokens == len(encoded(text, enc))
+
+
+def test_kept_trees_are_edited_on(spark):
+    """Two calls of edits on a stored table of trees count as fresh texts do, and encode little."""
+    path, enc = public_tokenizers.path("byte_bpe_50k.tiktoken"), byte_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    texts = {1: "some words of a text. " * 3000, 2: "", 3: None, 4: "a <|endoftext|> b", 5: " \n" * 50}
+    trees = written(token_counts.build_trees(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), path), "trees")
+    texts = {k: t or "" for k, t in texts.items()}
+    assert {r.doc_id: r.n_tokens for r in trees.collect()} == {k: len(encoded(t, enc)) for k, t in texts.items()}
+    schema = "doc_id long, edits array<struct<start: int, stop: int, new: string>>"
+    for edits in ({1: [(30000, 30005, "new ones"), (5, 6, None)], 2: [(0, 0, "no more <|endoftext|>")], 9: [(0, 1, "?")]}, {1: [(60000, 60001, "")], 4: [(3, 4, "")], 5: None}):
+        trees = written(token_counts.edit_trees(trees, spark.createDataFrame(list(edits.items()), schema), path).drop("n_reencoded") if 9 not in edits else
+                        token_counts.edit_trees(trees, spark.createDataFrame(list(edits.items()), schema), path), "trees")
+        for k, some in edits.items():
+            for a, b, new in (some or []) if k in texts else []:
+                texts[k] = texts[k][:a] + (new or "") + texts[k][max(a, b):]
+        rows = {r.doc_id: r for r in trees.collect()}
+        assert {k: (r.text, r.n_tokens, sum(r.tokens)) for k, r in rows.items()} == {k: (t, len(encoded(t, enc)), len(encoded(t, enc))) for k, t in texts.items()}
+        if 9 in edits:
+            assert 0 < rows[1].n_reencoded < 60 and rows[4].n_reencoded == 0
+    assert token_counts.build_trees(trees.limit(0), path).count() == 0
+
+
 def test_edits_touch_little(spark):
     docs = spark.createDataFrame([(1, "some words of a text. " * 2000)], "doc_id long, text string")
 
