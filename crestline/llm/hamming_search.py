@@ -47,23 +47,54 @@ def segments(code: Column, cuts: list[int]) -> list[Column]:
 
 
 def probes(waiting: DataFrame, cuts: list[int], radius: int) -> DataFrame:
-    """(query, segment, value): all values that differ in exactly radius bits from a query's segments."""
+    """waiting's columns, query among them, with (segment, value): all values that differ in exactly radius bits from a query's segments."""
+    by = waiting.columns
     widths = F.array(*[F.lit(b - a) for a, b in zip(cuts, cuts[1:], strict=False)])
-    rows = waiting.select("query", F.posexplode(F.array(*segments(F.col("query"), cuts))).alias("segment", "value"))
-    rows = rows.select("query", "segment", "value", F.get(widths, F.col("segment")).alias("width"), F.lit(-1).alias("last"))
+    rows = waiting.select(*by, F.posexplode(F.array(*segments(F.col("query"), cuts))).alias("segment", "value"))
+    rows = rows.select(*by, "segment", "value", F.get(widths, F.col("segment")).alias("width"), F.lit(-1).alias("last"))
     for _ in range(radius):
         # one bit more, above those flipped already
-        rows = rows.filter("last + 1 < width").select("query", "segment", "value", "width", F.explode(F.expr("sequence(last + 1, width - 1)")).alias("last"))
+        rows = rows.filter("last + 1 < width").select(*by, "segment", "value", "width", F.explode(F.expr("sequence(last + 1, width - 1)")).alias("last"))
         rows = rows.withColumn("value", F.col("value").bitwiseXOR(F.expr("shiftleft(1L, last)")))
-    return rows.select("query", "segment", "value")
+    return rows.select(*by, "segment", "value")
 
 
-def nearest(rows: DataFrame, k: int, copies: int) -> DataFrame:
-    """Of (query, code, ids, distance), each up to `copies` times, the k nearest codes of each query, ties to the smaller first id."""
-    order = Window.partitionBy("query").orderBy("distance", F.col("ids")[0], "code")
+def nearest(rows: DataFrame, by: list[str], k: int, copies: int) -> DataFrame:
+    """Of (*by, code, ids, distance), each up to `copies` times, the k nearest codes of each query, ties to the smaller first id."""
+    order = Window.partitionBy(*by).orderBy("distance", F.col("ids")[0], "code")
     few = rows.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= k * copies).drop("k")
     best = F.array_sort(F.collect_set(F.struct("distance", "ids", "code")))
-    return few.groupBy("query").agg(F.slice(best, 1, k).alias("best"))
+    return few.groupBy(*by).agg(F.slice(best, 1, k).alias("best"))
+
+
+def search(waiting: DataFrame, index: DataFrame, cuts: list[int], most: int) -> DataFrame:
+    """(query, best) for waiting (query, want): of each query code the nearest codes with their ids, `want` ids or more.
+
+    With a column own, an id, queries are told apart by it too and ids are without it.
+    """
+    m, widest = len(cuts) - 1, max(b - a for a, b in zip(cuts, cuts[1:], strict=False))
+    by = [c for c in waiting.columns if c != "want"]
+    best = results = None
+    for radius in range(widest + 1):
+        # merged, not broadcast: the planner can't see how many rows explode() makes
+        hits = probes(waiting.select(*by), cuts, radius).join(index.hint("merge"), ["segment", "value"])
+        if "own" in by:
+            hits = hits.withColumn("ids", F.filter("ids", lambda i: i != F.col("own"))).filter("size(ids) > 0")
+        near = hits.select(*by, "code", "ids", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).cast("int").alias("distance"))
+        state = nearest(near if best is None else near.unionByName(best), by, most, m + 1)
+        # the distance at which there are as many ids as wanted; who has not turned up differs in more than `radius` bits of every segment
+        reach = F.aggregate("best", F.struct(F.col("want").cast("long").alias("left"), F.lit(0).alias("at")), lambda acc, b: F.when(acc["left"] > 0, F.struct(
+            (acc["left"] - F.size(b["ids"])).cast("long").alias("left"), b["distance"].alias("at"))).otherwise(acc))
+        final = (reach["left"] <= 0) & (reach["at"] <= m * (radius + 1) - 1)
+        state = written(waiting.join(state, by, "left").select(*by, "want", "best", F.coalesce(final, F.col("want") == 0).alias("final")), "found")
+        results = state.filter("final") if results is None else results.unionByName(state.filter("final"))
+        waiting = state.filter("not final").select(*by, "want")
+        if not waiting.take(1):
+            break
+        best = state.filter("not final").select(*by, F.explode("best").alias("b")).select(*by, "b.code", "b.ids", "b.distance")
+    else:
+        results = results.unionByName(state.filter("not final"))
+    return results.select(*by, F.expr("flatten(transform(best, b -> transform(b.ids, i -> struct(b.distance, i as id))))").alias("pairs"))
 
 
 def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64) -> DataFrame:
@@ -76,44 +107,38 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64) ->
     several codes has a row for each. Empty tables give an empty table. Texts play no
     part here; a code has 64 bits however long what it stands for was. Other columns
     are ignored.
+
+    No query keeps more than k + 1 codes: one whose id has a single code finds that at
+    most among its nearest, others leave their own id out of each code they meet.
     """
     known = written(codes.select(F.col("id").cast("long").alias("id"), F.col("code").cast("long").alias("code")).dropna().distinct(), "known-codes")
     asked = written(queries.select(F.col("id").cast("long").alias("query_id"), F.col("code").cast("long").alias("query")).dropna().distinct(), "queries")
-    # as many rows of a query's own id may be among its nearest
-    own = known.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    most = k + own
+    most = k + 1
     firsts = known.withColumn("k", F.row_number().over(Window.partitionBy("code").orderBy("id"))).filter(F.col("k") <= most)
     ids = written(firsts.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")), "codes")
     n_codes, total = ids.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
     cuts = segment_cuts(bits, n_codes)
-    m, widest = len(cuts) - 1, max(b - a for a, b in zip(cuts, cuts[1:], strict=False))
     index = ids.select("code", "ids", F.posexplode(F.array(*segments(F.col("code"), cuts))).alias("segment", "value"))
     index = written(index, "segments", ["segment", "value"])
-    want = min(most, total)
-    waiting = asked.select("query").distinct()
-    best = results = None
-    for radius in range(widest + 1):
-        # merged, not broadcast: the planner can't see how many rows explode() makes
-        hits = probes(waiting, cuts, radius).join(index.hint("merge"), ["segment", "value"])
-        near = hits.select("query", "code", "ids", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).cast("int").alias("distance"))
-        state = nearest(near if best is None else near.unionByName(best), most, m + 1)
-        # the distance at which there are as many ids as wanted; who has not turned up differs in more than `radius` bits of every segment
-        reach = F.aggregate("best", F.struct(F.lit(want).cast("long").alias("left"), F.lit(0).alias("at")), lambda acc, b: F.when(acc["left"] > 0, F.struct(
-            (acc["left"] - F.size(b["ids"])).cast("long").alias("left"), b["distance"].alias("at"))).otherwise(acc))
-        final = (reach["left"] <= 0) & (reach["at"] <= m * (radius + 1) - 1)
-        state = written(waiting.join(state, "query", "left").select("query", "best", F.coalesce(final, F.lit(want == 0)).alias("final")), "found")
-        results = state.filter("final") if results is None else results.unionByName(state.filter("final"))
-        waiting = state.filter("not final").select("query")
-        if not waiting.take(1):
-            break
-        best = state.filter("not final").select("query", F.explode("best").alias("b")).select("query", "b.code", "b.ids", "b.distance")
+
+    def ranked(pairs: DataFrame) -> DataFrame:
+        others = F.array_sort(F.filter("pairs", lambda b: b["id"] != F.col("query_id")))
+        return pairs.select("query_id", F.posexplode(F.slice(others, 1, k)).alias("pos", "b")).select("query_id", (F.col("pos") + 1).alias("rank"), "b.id", "b.distance")
+
+    several = known.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("id").alias("query_id"))
+    several = written(asked.select("query_id").distinct().join(several, "query_id", "left_semi"), "several")
+    if not several.take(1):
+        single = asked
     else:
-        results = results.unionByName(state.filter("not final"))
-    answers = results.select("query", F.expr("flatten(transform(best, b -> transform(b.ids, i -> struct(b.distance, i as id))))").alias("pairs"))
-    ranked = join_unique(asked, answers, "query").select(
-        "query_id", F.array_sort(F.filter("pairs", lambda b: b["id"] != F.col("query_id"))).alias("pairs"))
-    return ranked.select("query_id", F.posexplode(F.slice("pairs", 1, k)).alias("pos", "b")).select(
-        "query_id", (F.col("pos") + 1).alias("rank"), "b.id", "b.distance")
+        single = asked.join(several, "query_id", "left_anti")
+        listed = ids.select(F.explode("ids").alias("query_id")).join(several, "query_id", "left_semi").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+        own = written(asked.join(several, "query_id", "left_semi").join(listed, "query_id", "left").select(
+            F.col("query_id").alias("own"), "query", F.least(F.lit(k), F.lit(total) - F.coalesce("n", F.lit(0))).alias("want")), "own")
+        found = search(own, index, cuts, most)
+        own = ranked(found.select(F.col("own").alias("query_id"), "pairs"))
+    answers = search(single.select("query").distinct().withColumn("want", F.lit(min(most, total))), index, cuts, most)
+    rest = ranked(join_unique(single, answers, "query"))
+    return rest if single is asked else rest.unionByName(own)
 
 
 def op1_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,6 +41,26 @@ def test_top_k_small_tables(spark):
     assert [(r.query_id, r.rank, r.id, r.distance) for r in top_k(some, some.filter("id = 1")).collect()] == [(1, 1, 2, 1)]
 
 
+def test_top_k_of_ids_with_many_codes(spark):
+    """An id may have any number of codes: none of its own is in its answer, and others keep k + 1 codes."""
+    rng = random.Random(9)
+    base = [rng.getrandbits(63) for _ in range(6)]
+    near = lambda c: c ^ (1 << rng.randrange(60)) ^ (1 << rng.randrange(60))
+    rows = list({(n, near(rng.choice(base))) for n in range(120)} | {(7, near(b)) for b in base for _ in range(40)} | {(20, base[0]), (20, base[1]), (200, base[0]), (201, base[0])})
+    queries = [(i, c) for i, c in rows if i in (20, 40, 200)] + [r for r in rows if r[0] == 7][:10] + [(5000, base[2])]
+    got = defaultdict(set)
+    for r in top_k(spark.createDataFrame(rows, "id long, code long"), spark.createDataFrame(queries, "id long, code long"), 5).collect():
+        got[r.query_id].add((r.rank, r.distance, r.id))
+    want = defaultdict(set)
+    for q, c in queries:
+        for n, (d, i) in enumerate(sorted(((c ^ x).bit_count(), i) for i, x in rows if i != q)[:5]):
+            want[q].add((n + 1, d, i))
+    assert got == want
+    alone = spark.createDataFrame([(1, 5), (1, 6), (1, 7), (2, 9)], "id long, code long")
+    assert sorted((r.query_id, r.rank, r.id, r.distance) for r in top_k(alone, alone).collect()) == [
+        (1, 1, 2, 2), (1, 1, 2, 3), (1, 1, 2, 4), (2, 1, 1, 2), (2, 2, 1, 3), (2, 3, 1, 4)]
+
+
 def words(rng, n):
     return [f"w{rng.randrange(5000)}" for _ in range(n)]
 
