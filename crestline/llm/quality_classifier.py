@@ -6,8 +6,8 @@ and word pairs, and of one to three shapes in a row (a shape: letter case, marks
 at the end, and whether the word repeats the one before), hashed to `dims` places.
 
 The fit takes at most `max_rows` labelled rows, those with the smallest hash of
-their id, one an id; that bound makes its broadcast and what comes to the driver
-bounded too. Scoring reads every document once, without a shuffle, with two arrays of
+their id, one an id, and of those no more than `max_bytes` of n-gram places; that bounds
+its broadcast and what comes to the driver. N-grams of fewer than 3 of these rows are left out. Scoring reads every document once, without a shuffle, with two arrays of
 `dims` numbers.
 """
 
@@ -19,13 +19,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, table
+from .common import id_and_text, table, written
 
 DIMS = 1 << 18
 MAX_ROWS = 6000
+MAX_BYTES = 1 << 28
 THRESHOLD = 0.3
 
 
@@ -164,10 +165,12 @@ def held_out(doc_id: str = "doc_id", fold: int = 0) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == fold, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", fold: int | None = 0, max_rows: int = MAX_ROWS, dims: int = DIMS,
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", fold: int | None = 0, max_rows: int = MAX_ROWS, dims: int = DIMS, max_bytes: int = MAX_BYTES,
           id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on labelled documents, at most max_rows of them, without those of the held-out fold (None: all).
 
+    Of those rows the first whose n-gram places come to max_bytes in all are fitted on the driver, in the order of a hash of their ids.
+
     Of an id's labels the largest counts; of an id's rows in docs the one whose n-gram
     places are smallest, so no id brings more than one row. Null ids, labels and rows
     without a text of their own learn nothing or count as empty; no labels: a constant score.
@@ -186,7 +189,11 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", fold:
 
     own = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
     found = own.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, places binary")
-    found = found.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("places").alias("places")).toArrow()
+    found = written(found.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("places").alias("places")), "fit-rows")
+    # a window over two numbers of each of at most max_rows rows
+    so_far = F.sum(F.length("places")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    fitting = found.select("doc_id", so_far.alias("so_far")).filter(F.col("so_far") <= max_bytes).select("doc_id")
+    found = found.join(F.broadcast(fitting), "doc_id").toArrow()
     order = np.lexsort([[zlib.crc32(x) for x in found.column("places").to_pylist()], found.column("doc_id").to_numpy()])
     rows = [np.frombuffer(found.column("places")[int(i)].as_py(), np.int32) for i in order]
     y = np.where(found.column("label").to_numpy()[order] > 0, 1, -1) if len(order) else np.empty(0, int)

@@ -204,13 +204,15 @@ def shard_links(routed: DataFrame, radius: int, cap: int = 4096, similarity: flo
         group, part, fps, node = group[several], part[several], fps[several], node[several]
         similar = None
         if similarity is not None:
-            width = len(t.column("sketch")[0].as_py())
-            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, width)[several]
-            # two equal bytes by chance: 1 in 256; less five standard errors, as the exact check follows
-            least = (similarity + (1 - similarity) / 256 - 5 * (similarity * (1 - similarity) / width) ** 0.5) * width
+            size = len(t.column("sketch")[0].as_py())
+            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, size)[several]
+            # two equal pairs of bits by chance: 1 in 4; less five standard errors, as the exact check follows
+            equal = similarity + (1 - similarity) / 4
+            most = (1 - equal + 5 * (equal * (1 - equal) / (4 * size)) ** 0.5) * 4 * size
 
             def similar(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-                return (sketch[u] == sketch[v]).sum(axis=1) >= least
+                unlike = sketch[u] ^ sketch[v]
+                return np.bitwise_count((unlike | unlike >> 1) & 0x55).sum(axis=1) <= most
 
         a, b = cell_links(group, part, fps, radius, similar)
         return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
@@ -324,8 +326,10 @@ def sketches(docs: DataFrame, size: int, bands: int, rows: int, width: int, id_c
     plain: the fingerprint of simhash_classes(), for shingles of that size; fp: of the
     set, so a shingle counts once, as in the similarity; same: a digest of the set of
     shingle hashes; n: their number; keys: a hash of `rows` whole minima of the shingles'
-    hashes for each band; sketch: a byte of each of the first `width` minima.
+    hashes for each band; sketch: two bits of each of the first `width` minima, `width` being a multiple of four.
     """
+    if width % 4:
+        raise ValueError("a sketch is of a multiple of four minima")
     salts = np.random.default_rng(20).integers(1, 1 << 62, (max(width, bands * rows), 2), np.uint64) | np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,7 +349,8 @@ def sketches(docs: DataFrame, size: int, bands: int, rows: int, width: int, id_c
                 mixed = mixed * np.uint64(0x9E3779B97F4A7C15)
                 keys = [xxhash.xxh64_intdigest(bytes([b]) + mixed[b * rows : (b + 1) * rows].tobytes()) - (1 << 63) for b in range(bands)]
                 same = xxhash.xxh3_128_digest(distinct.tobytes())
-                out.append((doc_id, whole, fingerprint(distinct), same, len(distinct), keys, (mixed[:width] >> np.uint64(56)).astype(np.uint8).tobytes()))
+                two = (mixed[:width] >> np.uint64(62)).astype(np.uint8).reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)
+                out.append((doc_id, whole, fingerprint(distinct), same, len(distinct), keys, two.sum(axis=1, dtype=np.uint8).tobytes()))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
             columns = zip(*out, strict=True) if out else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
@@ -383,16 +388,41 @@ def similar_sets(sets: list[np.ndarray], part: np.ndarray, similarity: float) ->
     return linked, links.label[linked]
 
 
+def in_parts(groups: DataFrame, cap: int, cap_hashes: int) -> DataFrame:
+    """groups (node, same, n, root) with parts: how many the group is split into, so that each has about `cap` sets and `cap_hashes` hashes at most."""
+    large = groups.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / cap), F.ceil(F.sum("n") / cap_hashes)).cast("int").alias("parts")).filter("parts > 1")
+    return groups.join(large, "root", "left").select("node", "same", "n", "root", F.coalesce("parts", F.lit(1)).alias("parts"))
+
+
+def cells_of(groups: DataFrame, keys: DataFrame | None, cap: int, cap_hashes: int, most: int) -> DataFrame:
+    """(doc_id, same, cells) of each set of groups (node, same, n, root): cells lists the (root, parts) of the groups it is compared in.
+
+    A group of more than `most` parts, which nodes may form as a chain, is not compared as a whole: with the band keys of
+    its nodes (keys: node, same, keys) those that share one are a group each, so that a set goes to as many as it has bands.
+    """
+    one = F.struct("root", "parts")
+    split = in_parts(groups, cap, cap_hashes)
+    vast = split.filter(F.col("parts") > most)
+    if keys is None or vast.isEmpty():
+        return split.select(F.col("node").alias("doc_id"), "same", F.array(one).alias("cells"))
+    banded = vast.select("node", "same", "n", "root").join(keys, ["node", "same"]).select("node", "same", "n", "root", F.explode("keys").alias("key"))
+    banded = banded.select("node", "same", "n", F.xxhash64("root", "key").alias("root"))
+    shared = banded.groupBy("root").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1").select("root")
+    banded = in_parts(banded.join(shared, "root", "left_semi"), cap, cap_hashes)
+    every = split.filter(F.col("parts") <= most).unionByName(banded)
+    return every.groupBy(F.col("node").alias("doc_id"), "same").agg(F.collect_set(one).alias("cells"))
+
+
 def exact_links(docs: DataFrame, groups: DataFrame, size: int, similarity: float, id_col: str = "doc_id", text_col: str = "text",
-                cap: int = 1024, cap_hashes: int = 1 << 20) -> DataFrame:
+                keys: DataFrame | None = None, cap: int = 1024, cap_hashes: int = 1 << 20, most: int = 16) -> DataFrame:
     """(a, b) links between the nodes of each group (node, same, n, root) whose sets of shingle hashes are that similar.
 
     All sets of a group are compared, but for what is linked already or cannot be that similar by its
     size. A group of more than `cap` sets or `cap_hashes` hashes is split into parts, with a cell for every
-    pair of parts. The hashes are made anew from the texts, of the groups' nodes alone.
+    pair of parts; one of more than `most` parts is compared by band keys (cells_of()), if they are given.
+    The hashes are made anew from the texts, of the groups' nodes alone.
     """
-    large = groups.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / cap), F.ceil(F.sum("n") / cap_hashes)).cast("int").alias("parts")).filter("parts > 1")
-    asked = groups.join(large, "root", "left").select(F.col("node").alias("doc_id"), "same", "root", F.coalesce("parts", F.lit(1)).alias("parts"))
+    asked = cells_of(groups, keys, cap, cap_hashes, most)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -403,11 +433,11 @@ def exact_links(docs: DataFrame, groups: DataFrame, size: int, similarity: float
                 if xxhash.xxh3_128_digest(found) == same:
                     keep.append(k)
                     sets.append(found)
-            rest = batch.select(["doc_id", "root", "parts"]).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(sets, pa.binary())], names=["node", "root", "parts", "hashes"])
+            rest = batch.select(["doc_id", "cells"]).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(sets, pa.binary())], names=["node", "cells", "hashes"])
 
-    sets = id_and_text(docs, id_col, text_col).join(asked, "doc_id").select("doc_id", "text", "same", "root", "parts")
-    sets = sets.mapInArrow(hashed, "node long, root long, parts int, hashes binary")
+    sets = id_and_text(docs, id_col, text_col).join(asked, "doc_id").select("doc_id", "text", "same", "cells")
+    sets = sets.mapInArrow(hashed, "node long, cells array<struct<root: long, parts: int>>, hashes binary").select("node", "hashes", F.inline("cells"))
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     cells = sets.select("node", "root", "hashes", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     cells = cells.select("node", "root", "hashes", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("part"))
@@ -441,14 +471,14 @@ def exact_links(docs: DataFrame, groups: DataFrame, size: int, similarity: float
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 28, bands: int = 20, rows: int = 5, width: int = 32,
+def near_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 28, bands: int = 20, rows: int = 5, width: int = 100,
                  id_col: str = "doc_id", text_col: str = "text", members: DataFrame | None = None) -> DataFrame:
     """(doc_id, component_id) of documents by the Jaccard similarity of their shingles; component_id is the smallest linked doc_id.
 
     Documents with one set of shingles are one node. The others meet in shards of equal MinHash
     bands, where BK-trees of SimHash fingerprints find what differs in radius bits or
-    fewer and sketches of `width` bytes estimate the similarity, with a standard error of
-    0.07; up to five of those below the bound pass. Within what these pairs connect, exact_links()
+    fewer and sketches of two bits of `width` minima estimate the similarity, with a standard error of
+    0.048; up to five of those below the bound (0.56) pass. Within what these pairs connect, exact_links()
     computes the similarities, and only pairs at the bound or above link. With the defaults a
     pair of similarity 0.8 shares a band with a probability of 0.9996 (one of 0.3 with 0.05, one
     of 0.1 with 0.0002), and fails the sketch with one of 0.00001.
@@ -466,14 +496,14 @@ def near_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius
     nodes = written(nodes.withColumnRenamed("doc_id", "node"), "sketch-nodes")
     routed = nodes.select("node", "fp", "sketch", F.explode("keys").alias("key"))
     groups = nodes.select("node", "same", "n").join(components(shard_links(routed, radius, similarity=similarity)), "node")
-    links = exact_links(docs, written(groups, "near-groups"), size, similarity, id_col, text_col)
+    links = exact_links(docs, written(groups, "near-groups"), size, similarity, id_col, text_col, nodes.select("node", "same", "keys"))
     # of a node in several sets (a repeated id) all are one
     rooted = nodes.select("node", "same").join(components(links), "node", "left")
     by_set = written(rooted.select("same", F.coalesce("root", "node").alias("component_id")), "set-classes")
     return join_unique(members.select("doc_id", "same"), by_set, "same").select("doc_id", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, bands: int = 20, rows: int = 5, width: int = 32, **options) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, bands: int = 20, rows: int = 5, width: int = 100, **options) -> DataFrame:
     """The rows of docs, all columns, without near-duplicates: of each class the smallest id stays.
 
     Linked are documents with fingerprints of simhash_classes() near each other, and

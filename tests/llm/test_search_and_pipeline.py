@@ -92,13 +92,13 @@ def test_near_classes_by_similarity(spark):
                 assert got[a] != got[b]
 
 
-@pytest.mark.parametrize("cap", [1024, 40])
-def test_near_classes_equal_brute_force_about_the_bound(spark, monkeypatch, cap):
-    """Templated pages and editions of similarity 0.7 to 0.9: linked from 0.8 on, and only those."""
+@pytest.mark.parametrize(("cap", "most"), [(1024, 16), (40, 16), (10, 3)])
+def test_near_classes_equal_brute_force_about_the_bound(spark, monkeypatch, cap, most):
+    """Templated pages and editions of similarity 0.7 to 0.9: linked from 0.8 on, and only those. The last bounds make the largest group one that goes by band keys."""
     import crestline.llm.simhash as simhash
 
     exact = simhash.exact_links
-    monkeypatch.setattr(simhash, "exact_links", lambda *args: exact(*args, cap=cap))
+    monkeypatch.setattr(simhash, "exact_links", lambda *args: exact(*args, cap=cap, most=most))
     rng = random.Random(8)
     docs, pages = [], [words(rng, 300) for _ in range(30)]
     for f, base in enumerate(pages):
@@ -120,6 +120,20 @@ def test_near_classes_equal_brute_force_about_the_bound(spark, monkeypatch, cap)
     assert {r.doc_id: r.component_id for r in near_classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()} == dict(enumerate(label))
 
 
+def test_a_vast_group_goes_by_band_keys(spark):
+    """A group of more parts than allowed: its sets meet those that share a key, once a key; others stay whole."""
+    from crestline.llm.simhash import cells_of
+
+    groups = spark.createDataFrame([(n, bytes([n]), 5, 0) for n in range(12)] + [(n, bytes([n]), 5, 20) for n in (20, 21)], "node long, same binary, n long, root long")
+    # neighbours share a key: 0 1, 1 2, ...; keys of the ends are their own
+    keys = spark.createDataFrame([(n, bytes([n]), [n, n + 1]) for n in [*range(12), 20, 21]], "node long, same binary, keys array<long>")
+    got = {r.doc_id: {c.root for c in r.cells} for r in cells_of(groups, keys, cap=2, cap_hashes=1 << 20, most=4).collect()}
+    assert got.keys() == {*range(12), 20, 21} and got[20] == got[21] == {20}
+    assert all(bool(got[a] & got[b]) == (b == a + 1) for a in range(12) for b in range(a + 1, 12))
+    whole = {r.doc_id: {(c.root, c.parts) for c in r.cells} for r in cells_of(groups, keys, cap=2, cap_hashes=1 << 20, most=6).collect()}
+    assert whole[3] == {(0, 6)} and whole[20] == {(20, 1)}
+
+
 def test_near_copies_with_repeats_of_their_own(spark):
     """A passage said over and over counts once, as in the similarity."""
     rng = random.Random(9)

@@ -243,6 +243,22 @@ def test_a_repeated_label_id_brings_one_row(spark):
     assert seen == [59]
 
 
+def test_the_fit_is_bounded_in_bytes(spark):
+    """The first rows in the order of their ids' hashes that come to the bound, and none after them."""
+    docs = spark.createDataFrame([(n, " ".join(f"w{n}x{k}" for k in range(10 * n))) for n in range(1, 30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(n, n % 2) for n in range(1, 30)], "doc_id long, quality int")
+    seen = []
+    fit = quality_classifier.fit
+    quality_classifier.fit = lambda rows, y, dims: seen.append(sorted(4 * len(r) for r in rows)) or fit(rows, y, dims)
+    try:
+        for most in (1 << 28, 5000, 0):
+            quality_classifier.train(docs, labels, fold=None, max_bytes=most)
+    finally:
+        quality_classifier.fit = fit
+    every, some, none = seen
+    assert len(every) == 29 and 0 < len(some) < 29 and sum(some) <= 5000 < sum(every) and not none
+
+
 def test_classifier_odd_tables(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     model = quality_classifier.train(odd_docs(spark), labels)
