@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import coordinates, geodesy
 from ..operators import runs, tiles, validate
 from . import terrain
+from .geodesy_sql import from_lv95_sql, move_sql, offset_sql, to_lv95_sql
 from .preparation import RANGE_SQL, RECTS_SQL
 from .registry import query, r3, r3_sql, table
 from .terrain import CELLS
@@ -134,7 +135,10 @@ def crs_round_trip(spark, sf):
     return found
 
 
-@query("g2_g4_geodesics")
+GONE_SQL = "(SELECT c_custkey AS id, (c_custkey % 140 - 70)::DOUBLE AS lat0, (c_custkey * 0.9::DOUBLE) % 360 - 180 AS lon0, (c_custkey * 37 % 20000 - 10000)::DOUBLE AS e, (c_custkey * 91 % 30000 - 15000)::DOUBLE AS n FROM customer)"
+
+
+@query("g2_g4_geodesics", f"""SELECT id, round(lat1, 6) AS lat, round(lon1, 6) AS lon, {r3_sql('east')} AS east, {r3_sql('north')} AS north FROM ({offset_sql('(' + move_sql(GONE_SQL) + ')')})""")
 def geodesics(spark, sf):
     """Go somewhere, look back; the frame's axes on the way."""
     k = F.col("c_custkey")
@@ -144,7 +148,12 @@ def geodesics(spark, sf):
     return back.select("id", F.round("p.lat", 6).alias("lat"), F.round("p.lon", 6).alias("lon"), r3(F.col("o.east")).alias("east"), r3(F.col("o.north")).alias("north"))
 
 
-@query("g5_g6_true_north")
+NORTH_SQL = f"""WITH pt AS (SELECT c_custkey AS id, 2500000.0::DOUBLE + c_custkey % 300 * 1000 AS x, 1100000.0::DOUBLE + c_custkey % 300 * 500 AS y FROM customer),
+ll AS (SELECT id, x, y, lat AS lat0, lon AS lon0, 0.0::DOUBLE AS e, 10.0::DOUBLE AS n FROM ({from_lv95_sql('pt')})),
+mv AS ({move_sql('ll')}), ax AS (SELECT id, (x1 - x) / sqrt(power(x1 - x, 2) + power(y1 - y, 2)) AS ne, (y1 - y) / sqrt(power(x1 - x, 2) + power(y1 - y, 2)) AS nn FROM ({to_lv95_sql('mv', 'lat1', 'lon1')}))"""
+
+
+@query("g5_g6_true_north", NORTH_SQL + f""" SELECT id, round(nn, 6) AS ee, round(ne, 6) AS ne, {r3_sql('nn * 100 + ne * 200')} AS dx, round(1 + atan2(ne, nn), 6) AS azimuth FROM ax""")
 def true_north(spark, sf):
     k = F.col("c_custkey") % 300
     base = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), (2500000.0 + k * 1000).alias("x"), (1100000.0 + k * 500).alias("y"))

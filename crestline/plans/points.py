@@ -9,6 +9,7 @@ from ..operators import catalogue, points, stacked, tiles, trace
 from ..storage import written
 from ..streaming.track import stream_track_clearance
 from . import terrain, tracing
+from .geodesy_sql import from_lv95_sql, vincenty_sql
 from .registry import query, r3, r3_sql, table
 from .terrain import CELLS, CELLS_SQL, GRID, SAMPLES_SQL, VERTICES_SQL
 from .tracing import BILINEAR_SQL, CELL_PATH_SQL, GRAD_SQL, HITS_SQL, RANGE, RAYS_SQL, VIEWS_SQL, K, crossing_sql
@@ -22,24 +23,6 @@ def peaks(spark, sf):
                                            F.col("p_retailprice").alias("elevation"), F.col("p_size").cast("double").alias("prominence"), F.col("p_name").alias("name"))
 
 
-# WGS84: semi-axes and flattening, fixed values
-AXIS_A, FLAT = 6378137.0, 1 / 298.257223563
-AXIS_B = AXIS_A * (1 - FLAT)
-
-
-def vincenty_sql(src: str, steps: int = 8) -> str:
-    """src (lat0, lon0, lat1, lon1 in degrees) with distance: metres along the ellipsoid, by that many steps of Vincenty's iteration."""
-    found = f"""SELECT *, lam0 AS lam FROM (SELECT *, radians(lon1 - lon0) AS lam0, atan((1 - {FLAT!r}) * tan(radians(lat0))) AS ua, atan((1 - {FLAT!r}) * tan(radians(lat1))) AS ub FROM {src})"""
-    for k in range(steps + 1):
-        angles = f"""SELECT *, atan2(ss, cs) AS sg, CASE WHEN ss = 0 THEN 0 ELSE cos(ua) * cos(ub) * sin(lam) / ss END AS sa
-          FROM (SELECT *, sqrt(power(cos(ub) * sin(lam), 2) + power(cos(ua) * sin(ub) - sin(ua) * cos(ub) * cos(lam), 2)) AS ss, sin(ua) * sin(ub) + cos(ua) * cos(ub) * cos(lam) AS cs FROM ({found}))"""
-        angles = f"SELECT *, cs - 2 * sin(ua) * sin(ub) / (1 - sa * sa) AS cm, {FLAT!r} / 16 * (1 - sa * sa) * (4 + {FLAT!r} * (4 - 3 * (1 - sa * sa))) AS cc FROM ({angles})"
-        if k < steps:
-            found = f"SELECT * EXCLUDE (lam, ss, cs, sg, sa, cm, cc), lam0 + (1 - cc) * {FLAT!r} * sa * (sg + cc * ss * (cm + cc * cs * (2 * cm * cm - 1))) AS lam FROM ({angles})"
-    return f"""SELECT *, {AXIS_B!r} * (1 + w / 16384 * (4096 + w * (-768 + w * (320 - 175 * w)))) * (sg - bb * ss * (cm + bb / 4 * (cs * (2 * cm * cm - 1) - bb / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))) AS distance
-      FROM (SELECT *, w / 1024 * (256 + w * (-128 + w * (74 - 47 * w))) AS bb FROM (SELECT *, (1 - sa * sa) * {(AXIS_A**2 - AXIS_B**2) / AXIS_B**2!r} AS w FROM ({angles})))"""
-
-
 @query("p1_search_peaks", f"""WITH q AS (SELECT n_nationkey::BIGINT AS query_id, lower(strip_accents(trim(n_name))) AS wanted FROM nation
   UNION ALL SELECT p_partkey + 1000, lower(strip_accents(trim(p_name[1:5]))) FROM part WHERE p_partkey % 100 = 1),
 b AS (SELECT query_id, p_partkey AS peak_id, CASE WHEN name = wanted THEN 0 WHEN starts_with(name, wanted) THEN 1 ELSE 2 END AS match, 46.0::DOUBLE AS lat0, 7.0::DOUBLE + (query_id % 10)::DOUBLE / 10 AS lon0,
@@ -117,13 +100,6 @@ def down_hits(spark, sf):
     return views, trace.first_hits(r, cells, manifest, GRID)
 
 
-@query("p2_visible_peaks")
-def visible_peaks(spark, sf):
-    views, hits = down_hits(spark, sf)
-    found = points.visible_peaks(views, hits, view_targets(spark, sf))
-    return found.select("view_id", "target_id", "rank", r3(F.col("distance")).alias("distance"), "prominence")
-
-
 OCCLUDED_SQL = f"""{CELLS_SQL}, {VIEWS_SQL},
 ca AS (SELECT *, sin(view_id * 0.37::DOUBLE) AS sh, cos(view_id * 0.37::DOUBLE) AS ch, sin(-1.0::DOUBLE) AS sp, cos(-1.0::DOUBLE) AS cp FROM vw),
 ax AS (SELECT ca.*, px, py, cp * sh + u * ch + v * sp * sh AS e, cp * ch - u * sh + v * sp * ch AS no, sp - v * cp AS up
@@ -139,6 +115,19 @@ ti AS (SELECT *, CASE WHEN fw > 1e-9 THEN 6 + 7 * ri / fw ELSE 6 END AS tx, CASE
 ts AS (SELECT *, fw > 1e-9 AND tx >= 0 AND ty >= 0 AND tx < 12 AND ty < 8 AS onscreen FROM ti)"""
 
 
+@query("p2_visible_peaks", f"""WITH {OCCLUDED_SQL},
+nr AS (SELECT ts.*, greatest(ceil(50 / away / 0.14), 1) AS w FROM ts WHERE onscreen AND away BETWEEN 50 AND {RANGE}),
+sp AS (SELECT fh.view_id, fh.px, fh.py, distance * dx AS he, distance * dy AS hn, slope * distance + {K!r} * distance * distance AS hz FROM fh JOIN ry ON fh.view_id = ry.view_id AND fh.px = ry.px AND fh.py = ry.py WHERE distance > 0),
+bt AS (SELECT nr.view_id, target_id, min(away) AS away, min(sqrt(power(he - east, 2) + power(hn - north, 2) + power(hz - dz, 2))) AS off
+  FROM nr JOIN sp ON sp.view_id = nr.view_id AND abs(px + 0.5 - tx) <= w AND abs(py + 0.5 - ty) <= w GROUP BY 1, 2),
+rk AS (SELECT bt.*, top.z AS prominence, row_number() OVER (PARTITION BY view_id ORDER BY top.z DESC, away, target_id)::INT AS rank FROM bt JOIN top ON trow * 100000 + tcol = target_id WHERE off <= greatest(50, 0.28 * away))
+SELECT view_id, target_id, rank, {r3_sql('away')} AS distance, prominence FROM rk WHERE rank <= 100""")
+def visible_peaks(spark, sf):
+    views, hits = down_hits(spark, sf)
+    found = points.visible_peaks(views, hits, view_targets(spark, sf))
+    return found.select("view_id", "target_id", "rank", r3(F.col("distance")).alias("distance"), "prominence")
+
+
 @query("p3_target_occluded", f"""WITH {OCCLUDED_SQL} SELECT ts.view_id, target_id, onscreen,
   CASE WHEN away > {RANGE} THEN true WHEN NOT onscreen THEN false ELSE coalesce(fh.distance + greatest(5.0, 0.28 * away) < away, false) END AS occluded
 FROM ts LEFT JOIN fh ON onscreen AND fh.view_id = ts.view_id AND fh.px = floor(tx) AND fh.py = floor(ty)""")
@@ -469,7 +458,9 @@ def map_pixel_of(spark, sf):
     return geo_places(spark, sf).select(F.col("centre_id").alias("point_id"), r3(mx).alias("mx"), r3(my).alias("my"))
 
 
-@query("c8_coverage_footprints")
+@query("c8_coverage_footprints", f"""WITH {VERTICES_SQL}, ks AS (SELECT DISTINCT trow, tcol FROM v),
+cn AS (SELECT trow, tcol, corner, 2600000.0 + (tcol + (corner IN (1, 2))::INT) * 160 AS x, 1200000.0 - (trow + 1 - (corner >= 2)::INT) * 160 AS y FROM ks, range(4) t(corner))
+SELECT trow, tcol, corner::INT AS corner, round(lat, 6) AS lat, round(lon, 6) AS lon FROM ({from_lv95_sql('cn')})""")
 def coverage_footprints(spark, sf):
     keys = terrain.vertices(spark, sf).select("trow", "tcol").distinct()
     found = catalogue.coverage_footprints(keys, GRID, lambda x, y: from_crs(x, y, 2056))
@@ -523,7 +514,8 @@ def recovered_steps(spark, sf):
     return trace.recovered_steps(path).groupBy("view_id", "px", "py").agg(r3(F.min("hit")).alias("distance"))
 
 
-@query("r20_hit_positions")
+@query("r20_hit_positions", f"""WITH {GRAD_SQL}, hp AS (SELECT view_id, px, py, x + distance * dx AS x, y + distance * dy AS y FROM gg)
+SELECT view_id, px::INT AS px, py::INT AS py, round(lat, 6) AS lat, round(lon, 6) AS lon FROM ({from_lv95_sql('hp')})""")
 def hit_positions(spark, sf):
     hits, _, _ = tracing.hits_with_gradients(spark, sf)
     at = from_crs(F.col("x") + F.col("distance") * F.col("dx"), F.col("y") + F.col("distance") * F.col("dy"), 2056)

@@ -100,7 +100,8 @@ def canonical(rows, columns):
 
 
 @pytest.mark.parametrize("name", ["t2_mosaic", "t4_lod_mean", "t6_coverage_rects", "t12_max_pyramid", "r10_r12_first_hits", "r11_triangle_hits", "r19_shadow_visibility", "h8_feature_outlines",
-                                  "w3_visibility_mask", "p9_find_summit", "c2_tiles_in_range", "c4_owned_cells", "x1_stream_track_clearance", "s8_write_tiles", "r16_recovered_steps"])
+                                  "w3_visibility_mask", "p9_find_summit", "c2_tiles_in_range", "c4_owned_cells", "x1_stream_track_clearance", "s8_write_tiles", "r16_recovered_steps", "g2_g4_geodesics", "g5_g6_true_north",
+                                  "c8_coverage_footprints", "p2_visible_peaks", "r20_hit_positions"])
 def test_query_equals_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
