@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .catalogue import native_if_partial
-from .rays import select_lod
-from .stacked import hit_or_step
+from .rays import select_lod, widened
+from .stacked import hits_or_steps
 from .tiles import KEY, Grid, lod_pyramid, tile_distance, usable_cells
 from .trace import OVER, descent, in_sight, nearest, on_cells, paths_of, stop_rising, tile_path
 
@@ -32,7 +32,7 @@ def choose_levels(segments: DataFrame, index: DataFrame, grid: Grid, levels: int
     """Segments of views (x, y, footprint) in tiles with lod; a tile with a void keeps its own cells, one without ground goes."""
     native = index.filter("lod = 1").select(*KEY, F.col("n").alias("_n"))
     lod = select_lod(tile_distance(F.col("x"), F.col("y"), F.col("trow"), F.col("tcol"), grid), F.col("footprint"), F.lit(grid.cell), levels, scale)
-    return segments.join(native, KEY).withColumn("lod", native_if_partial(F.col("_n"), grid.cells, lod)).drop("_n")
+    return widened(segments).join(native, KEY).withColumn("lod", native_if_partial(F.col("_n"), grid.cells, lod)).drop("_n")
 
 
 def trace_levels(views: DataFrame, cells: DataFrame, index: DataFrame, grid: Grid, levels: int, scale: float) -> DataFrame:
@@ -44,7 +44,7 @@ def trace_levels(views: DataFrame, cells: DataFrame, index: DataFrame, grid: Gri
     """
     paths = stop_rising(paths_of(views), index, F.col("low_slope"))
     chosen = choose_levels(tile_path(paths, grid), index, grid, levels, scale)
-    found = chosen.join(index.select(*LEVEL_KEY, F.col("zmax").alias("tile_max"), F.col("n").alias("_n")), LEVEL_KEY)
+    found = widened(chosen).join(index.select(*LEVEL_KEY, F.col("zmax").alias("tile_max"), F.col("n").alias("_n")), LEVEL_KEY)
     spread = F.pow(F.lit(2.0), F.col("lod") - 1)
     found = found.withColumns({"cell": grid.cell * spread, "tile_full": F.col("_n") == F.pow(F.lit(grid.cells) / spread, F.lit(2))}).drop("_n")
     own = Grid(grid.origin_x, grid.origin_y, F.col("cell"), F.lit(grid.width) / F.col("cell"))  # each segment has its level's cells
@@ -52,4 +52,4 @@ def trace_levels(views: DataFrame, cells: DataFrame, index: DataFrame, grid: Gri
     keep = [c for c in found.columns if c not in ("t0", "t1", "tile_max", "tile_full")]
     pieces = cut.select(*keep, F.col("_p.a").alias("t0"), F.col("_p.b").alias("t1"), (F.col("_p.what") == OVER).alias("over"))
     met = on_cells(pieces, cells, own, keep_over=True, more=("lod",))
-    return nearest(views, in_sight(met, own).withColumn("t", hit_or_step(own)), own, ("lod",))
+    return nearest(views, hits_or_steps(in_sight(met, own), own), own, ("lod",))
