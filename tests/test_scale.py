@@ -110,3 +110,16 @@ def test_peaks_alike_are_measured_once(spark, monkeypatch):
         want = fold(text)
         every = [(0 if fold(n) == want else 1 if fold(n).startswith(want) else 2, round(((la - lat) * 111.2) ** 2 + ((lo - lon) * 77.2) ** 2, 3), i) for i, n, la, lo in peaks if want in fold(n)]
         assert [p for _, p in mine] == [i for *_, i in sorted(every)[:6]], text
+
+
+def test_distances_in_batches_are_geodesics(spark):
+    """p8, p9: the same metres as geodesic(), near by, over the date line, at poles and on the other side."""
+    from crestline.functions.geodesy import distances, geodesic
+
+    rng = random.Random(9)
+    rows = [(a := rng.uniform(-90, 90), b := rng.uniform(-180, 180), a + rng.uniform(-1e-3, 1e-3), b + rng.uniform(-1e-3, 1e-3)) for _ in range(200)]
+    rows += [tuple(rng.uniform(-s, s) for s in (90, 180, 90, 180)) for _ in range(200)]
+    rows += [(10.0, 179.9, 10.1, -179.9), (90.0, 0.0, 89.9, 50.0), (0.0, 0.0, 0.0, 0.0), (0.0, 0.0, 0.0, 1.0), (0.0, 0.0, 0.3, 179.8), (5.0, 5.0, -5.0, -175.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    both = df.select(distances(*map(F.col, "abcd")).alias("t"), geodesic(*map(F.col, "abcd"))["distance"].alias("u")).collect()
+    assert all(abs(r.t - r.u) < 1e-6 for r in both)
