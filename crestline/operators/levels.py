@@ -48,8 +48,7 @@ def trace_levels(views: DataFrame, cells: DataFrame, index: DataFrame, grid: Gri
     spread = F.pow(F.lit(2.0), F.col("lod") - 1)
     found = found.withColumns({"cell": grid.cell * spread, "tile_full": F.col("_n") == F.pow(F.lit(grid.cells) / spread, F.lit(2))}).drop("_n")
     own = Grid(grid.origin_x, grid.origin_y, F.col("cell"), F.lit(grid.width) / F.col("cell"))  # each segment has its level's cells
-    cut = found.withColumn("_p", F.explode(descent(own, F.col("low_slope"), [], voids=True)))
-    keep = [c for c in found.columns if c not in ("t0", "t1", "tile_max", "tile_full")]
-    pieces = cut.select(*keep, F.col("_p.a").alias("t0"), F.col("_p.b").alias("t1"), (F.col("_p.what") == OVER).alias("over"))
+    cut = descent(found, own, F.col("low_slope"), [], voids=True)
+    pieces = cut.withColumn("over", F.col("what") == OVER).drop("what")
     met = on_cells(pieces, cells, own, keep_over=True, more=("lod",))
     return nearest(views, hits_or_steps(in_sight(met, own), own), own, ("lod",))

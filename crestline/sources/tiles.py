@@ -135,10 +135,14 @@ def write_tiles(vertices: DataFrame, path: str, overwrite: bool = False, max_til
 
 
 def write_cells(cells: DataFrame, path: str, grid: Grid) -> tuple[DataFrame, DataFrame]:
-    """Cells by folders of tiles and their index by tile (operators.tiles.tile_index()), stored for traces and read back."""
+    """Cells by folders of tiles and their index by tile (operators.tiles.tile_index()), stored for traces and read back.
+
+    Cells that bring their folders' numbers (brow, bcol) are taken to lie by them and are not shuffled; where they don't, a folder has more files.
+    """
     spark = cells.sparkSession
     names = [f.split()[0] for f in CELLS.split(", ")]
-    in_blocks(cells).select(*names).repartition(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY, *KEY, "y", "x").write.partitionBy(*BLOCK_KEY).parquet(f"{path}/cells")
+    lying = cells.select(*names) if set(BLOCK_KEY) <= set(cells.columns) else in_blocks(cells).select(*names).repartition(*BLOCK_KEY)
+    lying.sortWithinPartitions(*BLOCK_KEY, *KEY, "y", "x").write.partitionBy(*BLOCK_KEY).parquet(f"{path}/cells")
     stored = spark.read.schema(CELLS).parquet(f"{path}/cells")
     tile_index(stored, grid).write.parquet(f"{path}/index")
     return read_cells(spark, path)
