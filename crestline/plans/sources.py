@@ -81,7 +81,7 @@ def read_peaks(spark, sf):
 @query("s7_read_manifest", f"""WITH {CELLS_SQL} SELECT trow, tcol, {r3_sql('min(z)')} AS zmin, {r3_sql('max(z)')} AS zmax FROM v SEMI JOIN c USING (trow, tcol) GROUP BY 1, 2""")
 def read_manifest(spark, sf):
     path = scratch_path(spark, "tiles")
-    store.write_tiles(terrain.vertices(spark, sf).withColumn("lod", F.lit(1)), path)
+    store.write_tiles(written(terrain.vertices(spark, sf).withColumn("lod", F.lit(1)), "vertices"), path)
     eps = 4 * 2.0**-23
     # the bounds are widened by rounding's worst case; undone here
     return store.read_manifest(spark, path).select("trow", "tcol", r3(F.col("zmin") + F.col("zmax") * eps / (1 + eps)).alias("zmin"), r3(F.col("zmax") / (1 + eps)).alias("zmax"))
@@ -92,7 +92,8 @@ SELECT 1 AS run, least(n, 3) AS written, 0 AS skipped FROM n UNION ALL SELECT 2,
 def write_tiles(spark, sf):
     """Three tiles, then the rest, then five that are there already."""
     path = scratch_path(spark, "tiles")
-    vertices = terrain.vertices(spark, sf).withColumn("lod", F.lit(1))
+    # stored, as a write reads its vertices several times
+    vertices = written(terrain.vertices(spark, sf).withColumn("lod", F.lit(1)), "vertices")
     done = [store.write_tiles(vertices, path, max_tiles=limit).withColumn("run", F.lit(run)) for run, limit in ((1, 3), (2, None), (3, 5))]
     return done[0].unionByName(done[1]).unionByName(done[2]).select("run", "written", "skipped")
 
