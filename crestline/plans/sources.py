@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import rays
 from ..sources import gazetteer, rasters, srtm
 from ..sources import tiles as store
 from ..storage import scratch_path, written
@@ -125,6 +126,7 @@ def write_products(spark, sf):
     store.write_products(hits, path, chosen)
     back = spark.read.parquet(f"{path}/{chosen[0]}")
     for p in chosen[1:]:
-        back = back.join(spark.read.parquet(f"{path}/{p}"), ["view_id", "px", "py"])
+        # counts of steps take 1.5 bytes a row in sorted files, by whose size Spark would broadcast them
+        back = rays.widened(back).join(spark.read.parquet(f"{path}/{p}"), ["view_id", "px", "py"])
     return back.filter("n_steps >= 1 and n_cells >= 1 and grad_e is not null").groupBy("view_id").agg(
         F.count(F.lit(1)).alias("n_hits"), r3(F.min("distance")).alias("nearest"), r3(F.max("elevation")).alias("highest"))
